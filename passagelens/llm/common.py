@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed patterns of the contracts: what separates words, and what makes them up.
 WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-SPACED_WORD = r"[^\x20\x09-\x0D]+"
+SPACE_GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A table of at most so many narrow rows (some 20 bytes each) may be broadcast; larger ones are joined by a shuffle.
@@ -35,12 +35,29 @@ def hinted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for each row: lambdas would compute an inlined expression for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def pieces(text: Column, gap: str) -> Column:
+    """What stands between the gaps of a text; an empty piece may come first and last."""
+    return F.split(F.coalesce(text, F.lit("")), gap)
+
+
+def n_pieces(parts: Column) -> Column:
+    """The number of words in pieces(); parts should be a column or bound."""
+    ends = F.when(parts[0] == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return (F.size(parts) - ends).cast("long")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text that is in lower case already; null has none."""
-    parts = F.split(F.coalesce(text, F.lit("")), WORD_GAP)
-    first = F.when(parts[0] == "", 1).otherwise(0)
-    last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
+
+    def trimmed(parts: Column) -> Column:
+        return F.slice(parts, F.when(parts[0] == "", 2).otherwise(1), n_pieces(parts).cast("int"))
+
+    return bound(pieces(text, WORD_GAP), trimmed)
 
 
 def ascii_lower(text: Column) -> Column:

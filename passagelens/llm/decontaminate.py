@@ -17,42 +17,53 @@ empty results or no hits; columns besides the named ones are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, hinted, settled, words_of
+from .common import ascii_lower, bound, hinted, settled, words_of
 
 SPAN, K = 13, 8
 
 
-def grams(words: Column, k: int, hashed=F.xxhash64) -> Column:
-    """The hash of each k consecutive words."""
-    n = F.size(words) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: hashed(F.slice(words, i, k))))
+def grams(hashes: Column, k: int, hashed=F.xxhash64) -> Column:
+    """The hash of each k consecutive word hashes; hashes must be bound (common.bound)."""
+    starts = F.slice(hashes, 1, F.greatest(F.size(hashes) - k + 1, F.lit(0)))
+    return F.transform(starts, lambda x, i: hashed(x, *[F.get(hashes, i + j) for j in range(1, k)]))
+
+
+def minima(hashes: Column, k: int, width: int) -> Column:
+    """The least of each `width` consecutive gram hashes."""
+
+    def least(of: Column) -> Column:
+        starts = F.slice(of, 1, F.greatest(F.size(of) - width + 1, F.lit(0)))
+        return F.transform(starts, lambda x, i: F.least(x, *[F.get(of, i + j) for j in range(1, width)]))
 
+    return bound(grams(hashes, k), least)
 
-def minima(gram_hashes: Column, width: int) -> Column:
-    """The least of each `width` consecutive hashes."""
-    n = F.size(gram_hashes) - width + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_min(F.slice(gram_hashes, i, width))))
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
 
 
 def fingerprints(words: Column, span: int, k: int, short: list[int]) -> Column:
-    """The window minima of the words, and the whole-sequence hashes of each short length."""
-    per_length = [minima(grams(words, k), span - k + 1)] + [grams(words, n) for n in short]
-    return F.concat(*[F.coalesce(x, F.array().cast("array<bigint>")) for x in per_length])
+    """The window minima of the words, and the whole-sequence hashes of each short length; each once."""
+    return bound(word_hashes(words), lambda h: F.array_distinct(F.concat(minima(h, k, span - k + 1), *[grams(h, n) for n in short])))
 
 
 def windows(df: DataFrame, words: Column, keep: list[str], span: int, k: int, short: list[int]) -> DataFrame:
-    """A row for each window of df's words: start, length, fp and the hashes of its words."""
-    out = None
-    for n in [span, *short]:
-        fp = minima(grams(F.col("_w"), k), span - k + 1) if n == span else grams(F.col("_w"), n)
-        each = F.arrays_zip(fp.alias("fp"), grams(F.col("_w"), n).alias("a"), grams(F.col("_w"), n, F.hash).alias("b"))
-        part = df.withColumn("_w", words).select(*keep, F.posexplode(each).alias("start", "x"))
-        part = part.select(*keep, "start", F.lit(n).alias("length"), F.col("x.fp").alias("fp"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """A row for each window of df's words: start, length, fp and the hashes a and b of its words."""
+
+    def of_length(n: int) -> DataFrame:
+        def each(h: Column) -> Column:
+            fp = minima(h, k, span - k + 1) if n == span else grams(h, n)
+            return F.arrays_zip(fp.alias("fp"), grams(h, n).alias("a"), grams(h, n, F.hash).alias("b"))
+
+        part = df.select(*keep, F.posexplode(bound(word_hashes(words), each)).alias("start", "x"))
+        return part.select(*keep, "start", F.lit(n).alias("length"), "x.*")
+
+    return reduce(DataFrame.unionByName, map(of_length, [span, *short]))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, share: int = 20) -> DataFrame:
@@ -63,13 +74,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     each = windows(sized, item_words, ["item_id", "n"], span, k, short).where((F.col("length") == span) | (F.col("length") == F.col("n")))
     posted = settled(each.select("item_id", "length", "fp", "a", "b").distinct())
     spans = settled(posted.select("length", "fp", "a", "b").distinct())
-    prints = settled(spans.select("fp").distinct())
+    # Both sides of the first pass hash lower(): only then are words that A-Z lower case makes equal sure to be equal.
+    rough_items = windows(sized, words_of(F.lower(F.col("text"))), ["n"], span, k, short)
+    prints = settled(rough_items.where((F.col("length") == span) | (F.col("length") == F.col("n"))).select("fp").distinct())
 
     key = F.xxhash64("doc_id", "text")
-    rough = docs.select(key.alias("_key"), F.explode(F.array_distinct(fingerprints(words_of(F.lower(F.col("text"))), span, k, short))).alias("fp"))
-    shared = settled(rough.join(hinted(prints), "fp", "left_semi").select("_key").distinct())
+    split = docs.select(key.alias("_key"), words_of(F.lower(F.col("text"))).alias("w"))
+    rough = split.select("_key", F.size("w").cast("long").alias("n_words"), F.explode_outer(fingerprints(F.col("w"), span, k, short)).alias("fp"))
+    rough = rough.join(hinted(prints.withColumn("shared", F.lit(True))), "fp", "left")
+    read = settled(rough.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.max("shared").alias("shared")))
 
-    again = docs.select("doc_id", "text", key.alias("_key")).join(hinted(shared), "_key", "left_semi")
+    again = docs.select("text", key.alias("_key")).join(hinted(settled(read.where("shared").select("_key"))), "_key", "left_semi")
     found = windows(again, words_of(ascii_lower(F.col("text"))), ["_key"], span, k, short)
     found = settled(found.join(hinted(spans), ["length", "fp", "a", "b"]).select("_key", "start", "length", "fp", "a", "b").distinct())
 
@@ -88,11 +103,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     by_span = found.select("_key", "length", "fp", "a", "b").distinct()
     in_items = by_span.join(hinted(posted), ["length", "fp", "a", "b"]).select("_key", F.col("item_id").cast("string").alias("item")).distinct()
     in_items = in_items.groupBy("_key").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    judged = settled(hits.join(in_items, "_key"))
+    judged = read.drop("shared").join(hits.join(in_items, "_key"), "_key", "left")
 
-    own = [docs[c] for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    out = docs.select(*own, key.alias("_key"), n_words.alias("n_words")).join(hinted(judged), "_key", "left")
+    own = [docs[c] for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_key")]
+    out = docs.select(*own, key.alias("_key")).join(judged, "_key")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         *[c for c in out.columns if c not in ("_key", "n_hit", "n_items", "items")],

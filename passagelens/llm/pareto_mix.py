@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, hinted, settled
+from .common import SPACE_GAP, bound, hinted, n_pieces, pieces, settled
 
 BINS = 1024
 
@@ -56,7 +56,7 @@ def source_targets(sized: DataFrame, share: float, weights: tuple[int, ...], mos
 
 def pareto_mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, seed: int = 20) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies x size) for each row of docs."""
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SPACED_WORD)).cast("long")
+    size = bound(pieces(F.col("text"), SPACE_GAP), n_pieces)
     sized = settled(docs.select("doc_id", "source", size.alias("size"), uniform(F.col("doc_id"), seed).alias("u")))
     goals = settled(source_targets(sized, share, weights, most))
 
