@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
-from .common import table
+from .common import table, train_row
 from .decontaminate import decontaminate
+from .language_id import classified, learn_languages
 from .pareto_mix import pareto_mix
+from .token_counts import token_counts
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn_languages(docs.where(train_row(F.col("doc_id"))))
+    return classified(docs.drop("lang"), model).select("doc_id", (~train_row(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +31,5 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_benchmark_decontamination, op10_mixing_sources)}
 ORACLE_SQL = {"op4_benchmark_decontamination": sql.OP4, "op10_mixing_sources": sql.OP10}
