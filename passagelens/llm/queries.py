@@ -9,6 +9,7 @@ from . import sql
 from .common import table, train_row
 from .decontaminate import decontaminate
 from .language_id import classified, learn_languages
+from .minhash_forest import near_duplicates
 from .pareto_mix import pareto_mix
 from .token_counts import token_counts
 
@@ -27,9 +28,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+
+
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_benchmark_decontamination, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_benchmark_decontamination, op9_minhash_near_dedup, op10_mixing_sources)}
 ORACLE_SQL = {"op4_benchmark_decontamination": sql.OP4, "op10_mixing_sources": sql.OP10}
