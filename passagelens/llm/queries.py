@@ -9,7 +9,9 @@ from . import sql
 from .common import table, train_row
 from .decontaminate import decontaminate
 from .language_id import classified, learn_languages
+from .license_scan import PHRASES, RAREST, postings, scan_licenses
 from .minhash_forest import near_duplicates
+from .ogg_media import ogg_columns
 from .pareto_mix import pareto_mix
 from .token_counts import token_counts
 
@@ -28,6 +30,14 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg_columns(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
 
@@ -36,5 +46,5 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_benchmark_decontamination, op9_minhash_near_dedup, op10_mixing_sources)}
-ORACLE_SQL = {"op4_benchmark_decontamination": sql.OP4, "op10_mixing_sources": sql.OP10}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_benchmark_decontamination, op5_license_scan, op6_media_columns, op9_minhash_near_dedup, op10_mixing_sources)}
+ORACLE_SQL = {"op4_benchmark_decontamination": sql.OP4, "op5_license_scan": sql.op5(PHRASES, postings(), RAREST), "op10_mixing_sources": sql.OP10}
