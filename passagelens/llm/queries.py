@@ -13,6 +13,8 @@ from .license_scan import PHRASES, RAREST, postings, scan_licenses
 from .minhash_forest import near_duplicates
 from .ogg_media import ogg_columns
 from .pareto_mix import pareto_mix
+from .quality_pu import learn_quality, scored
+from .surrogates import replace_personal_data
 from .token_counts import token_counts
 
 
@@ -38,6 +40,17 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates-1")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    may_learn = train_row(F.col("doc_id"))
+    scorer = learn_quality(docs.where(may_learn), table(spark, sf_dir, "labels").where(may_learn).select("doc_id", "quality"))
+    return scored(docs, scorer).select("doc_id", (~may_learn).alias("held_out"), "score", "predicted")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
 
@@ -46,5 +59,5 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_benchmark_decontamination, op5_license_scan, op6_media_columns, op9_minhash_near_dedup, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_benchmark_decontamination, op5_license_scan, op6_media_columns, op7_pii_surrogates, op8_quality_classifier, op9_minhash_near_dedup, op10_mixing_sources)}
 ORACLE_SQL = {"op4_benchmark_decontamination": sql.OP4, "op5_license_scan": sql.op5(PHRASES, postings(), RAREST), "op10_mixing_sources": sql.OP10}
