@@ -10,6 +10,7 @@ from .common import table, train_row
 from .decontaminate import decontaminate
 from .language_id import classified, learn_languages
 from .license_scan import PHRASES, RAREST, postings, scan_licenses
+from .line_dedup import dedup_lines
 from .minhash_forest import near_duplicates
 from .ogg_media import ogg_columns
 from .pareto_mix import pareto_mix
@@ -22,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = learn_languages(docs.where(train_row(F.col("doc_id"))))
@@ -59,5 +64,5 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_benchmark_decontamination, op5_license_scan, op6_media_columns, op7_pii_surrogates, op8_quality_classifier, op9_minhash_near_dedup, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_language_id, op4_benchmark_decontamination, op5_license_scan, op6_media_columns, op7_pii_surrogates, op8_quality_classifier, op9_minhash_near_dedup, op10_mixing_sources)}
 ORACLE_SQL = {"op4_benchmark_decontamination": sql.OP4, "op5_license_scan": sql.op5(PHRASES, postings(), RAREST), "op10_mixing_sources": sql.OP10}
