@@ -1,0 +1,134 @@
+"""Cutting the sentences of documents into chunks. All cuts are array expressions: no shuffle, no row per sentence."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import bound
+
+
+def without_tail(chunks: Column, overlap: int) -> Column:
+    """Drops one last chunk that is no longer than the overlap."""
+    short = (F.lit(overlap) > 0) & (F.size(chunks) >= 2) & (F.size(F.try_element_at(chunks, F.lit(-1))) <= overlap)
+    return F.when(short, F.slice(chunks, 1, F.greatest(F.size(chunks) - 1, F.lit(0)))).otherwise(chunks)
+
+
+def fixed_chunks(sentences: Column, size: int, overlap: int = 0) -> Column:
+    """Arrays of `size` sentences that start every size - overlap sentences."""
+    size = max(1, size)
+    overlap = min(max(0, overlap), size - 1)
+
+    def cut(s: Column) -> Column:
+        starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1, F.lit(size - overlap)))
+        chunks = F.coalesce(F.transform(starts, lambda p: F.slice(s, p + 1, size)), F.array().cast("array<array<string>>"))
+        return without_tail(chunks, overlap)
+
+    return bound(sentences, cut)
+
+
+def _spans(n: Column, spans: Column) -> Column:
+    """Spans (from, to) without the empty ones."""
+    return F.filter(spans, lambda x: x["b"] > x["a"])
+
+
+def threshold_spans(probs: Column, n: Column, threshold: float, least: int, most: int, overlap: int = 0) -> Column:
+    """(a, b) spans of sentences: cut after sentence i where its probability reaches the threshold and the chunk has
+    `least` sentences, or where it has `most`; the next chunk begins `overlap` sentences before the cut."""
+    overlap = min(max(0, overlap), most - 1)
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def step(s: Column, p: Column, i: Column) -> Column:
+        size = i - s["start"] + 1
+        cut = ((p.cast("double") >= threshold) & (size >= least)) | (size >= most)
+        span = F.array(F.struct(s["start"].alias("a"), (i + 1).alias("b")))
+        return F.struct(F.when(cut, i + 1 - overlap).otherwise(s["start"]).alias("start"), F.when(cut, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+
+    def walk(p: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("start"), none.alias("spans"))
+        at = F.transform(p, lambda x, i: F.struct(x.alias("p"), i.alias("i")))
+        done = F.aggregate(at, zero, lambda s, x: step(s, x["p"], x["i"]))
+        tail = F.array(F.struct(done["start"].alias("a"), n.alias("b")))
+        spans = F.filter(F.concat(done["spans"], tail), lambda x: x["b"] > x["a"])
+        short = (F.lit(overlap) > 0) & (F.size(spans) >= 2) & ((F.try_element_at(spans, F.lit(-1))["b"] - F.try_element_at(spans, F.lit(-1))["a"]) <= overlap)
+        return F.when(short, F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0)))).otherwise(spans)
+
+    return bound(probs, walk)
+
+
+def target_spans(probs: Column, n: Column, target: int, least: int, most: int, overlap: int = 0) -> Column:
+    """(a, b) spans: each cut is the likeliest place between `least` and `most` sentences, the nearer to `target` and then the
+    earlier of equals; what fits in `most` sentences is the last chunk."""
+    target = min(max(target, least), most)
+    overlap = min(max(0, overlap), least - 1)
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def step(s: Column, p: Column) -> Column:
+        left = n - s["start"]
+
+        def best() -> Column:
+            places = F.transform(
+                F.sequence(F.lit(least), F.lit(most)),
+                lambda k: F.struct(F.get(p, s["start"] + k - 1).cast("double").alias("p"), (-F.abs(k - target)).alias("d"), (-k).alias("k")),
+            )
+            return s["start"] - F.array_max(places)["k"]
+
+        end = F.when(left <= most, n).otherwise(best())
+        go = left > 0
+        span = F.array(F.struct(s["start"].alias("a"), end.alias("b")))
+        return F.struct(F.when(~go, s["start"]).when(left <= most, n).otherwise(end - overlap).alias("start"), F.when(go, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+
+    def walk(p: Column) -> Column:
+        rounds = F.sequence(F.lit(1), F.ceil(n / F.lit(least - overlap)).cast("int") + 2)
+        return F.aggregate(rounds, F.struct(F.lit(0).alias("start"), none.alias("spans")), lambda s, _: step(s, p))["spans"]
+
+    return bound(probs, walk)
+
+
+def spans_to_texts(sentences: Column, spans: Column) -> Column:
+    return bound(sentences, lambda s: F.transform(spans, lambda x: F.array_join(F.slice(s, x["a"] + 1, x["b"] - x["a"]), " ")))
+
+
+def chunks_from_probs(policy: str, probs: Column, n: Column, *, threshold: float = 0.5, target: int = 10, least: int = 2, most: int = 15, overlap: int = 0) -> Column:
+    if policy == "threshold":
+        return threshold_spans(probs, n, threshold, least, most, overlap)
+    if policy == "target":
+        return target_spans(probs, n, target, least, most, overlap)
+    raise ValueError(f"no such policy: {policy}")
+
+
+def boundaries_to_chunks(sentences: Column, cut_after: Column) -> Column:
+    """Chunks of sentences, split after each true flag."""
+    ends = F.filter(F.transform(cut_after, lambda c, i: F.when(c, i + 1)), lambda x: x.isNotNull())
+    edges = F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(F.size(sentences))))
+    return bound(edges, lambda e: F.transform(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), lambda a, i: F.slice(sentences, a + 1, F.get(e, i + 1) - a)))
+
+
+def config_grid(sizes: list[int], overlaps: list[int]) -> list[tuple[int, str, int, int, int, int]]:
+    """(order, method, size, overlap, least, most): overlap first, then fixed sizes, then targets."""
+    rows = [(m, s, o) for o in overlaps for m in ("fixed", "target") for s in sizes]
+    return [(i, m, s, o, max(2, s - 4), s + 4) for i, (m, s, o) in enumerate(rows)]
+
+
+def chunk_all(docs: DataFrame, configs: list[tuple[int, str, int, int, int, int]]) -> DataFrame:
+    """docs (doc_id, sentences, probs) cut under every configuration: one narrow row for each document and configuration."""
+    cuts = []
+    n = F.size("sentences")
+    for order, method, size, overlap, least, most in configs:
+        if method == "fixed":
+            sizes = F.transform(fixed_chunks(F.col("sentences"), size, overlap), lambda c: F.size(c))
+        else:
+            sizes = F.transform(target_spans(F.col("probs"), n, size, least, most, overlap), lambda x: x["b"] - x["a"])
+        cuts.append(F.struct(F.lit(order).alias("config"), F.lit(method).alias("method"), F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), sizes.alias("chunk_sizes")))
+    return docs.select("doc_id", F.explode(F.array(*cuts)).alias("c")).select("doc_id", "c.*")
+
+
+def numbered(spark: SparkSession, chunks: DataFrame, order: list[str]) -> DataFrame:
+    """chunk_id by the order of the given columns, without gathering rows in one task: ranges are counted, then numbered."""
+    ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = sorted((r._part, r.n) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = dict(zip([p for p, _ in counts], reduce(lambda a, x: [*a, a[-1] + x[1]], counts, [0])))
+    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
+    return ranged.withColumn("chunk_id", (offsets[F.col("_part")] + F.col("_at")).cast("long")).drop("_part", "_at")
