@@ -6,29 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def document_numbers(rows: DataFrame, title: str, order: str) -> DataFrame:
-    """title, first_at, doc_no: documents numbered by their first row. The numbering is over documents, not rows."""
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with consecutive numbers from 1 in the given order, without gathering them in one task.
+
+    Rows are dealt to ranges and kept; the ranges' sizes (a number each) give the first number of each range.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", at).persist()
+    counts = dict(ranged.groupBy("_part").count().collect())
+    first, total = [], 0
+    for part in sorted(counts):
+        first += [F.lit(part), F.lit(total)]
+        total += counts[part]
+    before = F.create_map(*first)[F.col("_part")] if first else F.lit(0)
+    return ranged.withColumn(name, (before + F.col("_at") + 1).cast("long")).drop("_part", "_at")
+
+
+def document_numbers(rows: DataFrame, title: str, order: str, most: int | None = None) -> DataFrame:
+    """title, first_at, doc_no: documents numbered by their first row; only the first `most`, which is cheaper, if given."""
     first = rows.groupBy(title).agg(F.min(order).alias("first_at"))
-    return first.withColumn("doc_no", F.row_number().over(Window.orderBy("first_at")))
+    if most is None:
+        return numbered(first, ["first_at"], "doc_no")
+    head = first.orderBy("first_at").limit(most)  # each task sends its first rows only
+    return head.withColumn("doc_no", F.row_number().over(Window.orderBy("first_at")).cast("long"))
 
 
 def first_documents(rows: DataFrame, title: str, order: str, n: int) -> DataFrame:
     """The rows up to and with the one that admits the n-th distinct document."""
-    numbers = document_numbers(rows, title, order)
-    cutoff = numbers.where(F.col("doc_no") == n).select(F.col("first_at").alias("cutoff"))
-    most = cutoff.first()
-    return rows if most is None else rows.where(F.col(order) <= most.cutoff)
+    cutoff = document_numbers(rows, title, order, n).where(F.col("doc_no") == n).first()
+    return rows if cutoff is None else rows.where(F.col(order) <= cutoff.first_at)
 
 
 def consecutive_windows(rows: DataFrame, title: str, order: str, sizes: list[int]) -> DataFrame:
     """Rows of consecutive windows of documents, with `window`; later rows of a window's documents stay until the first
     new document after the last window."""
-    numbers = document_numbers(rows, title, order)
     total = sum(sizes)
+    numbers = document_numbers(rows, title, order, total + 1).persist()
     end = numbers.where(F.col("doc_no") == total + 1).first()
-    bounds, window = [sum(sizes[: i + 1]) for i in range(len(sizes))], F.lit(None).cast("int")
+    window = F.lit(None).cast("int")
     for i in reversed(range(len(sizes))):
-        window = F.when(F.col("doc_no") <= bounds[i], i + 1).otherwise(window)
+        window = F.when(F.col("doc_no") <= sum(sizes[: i + 1]), i + 1).otherwise(window)
     kept = rows.join(numbers.where(F.col("doc_no") <= total), title)
     kept = kept if end is None else kept.where(F.col(order) < end.first_at)
     return kept.withColumn("window", window)
