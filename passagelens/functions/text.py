@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: White space as Python's str methods and \s see it.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_ABBREVIATED = r"(^|[\s(\"])(Dr|Mr|Mrs|Ms|Prof|St|Jr|Sr|vs|[A-Z])\.\s+"
+_ABBREVIATED = r"(^|[\s(\"\x02])(Dr|Mr|Mrs|Ms|Prof|St|Jr|Sr|vs|[A-Z])\.\s+"
 _SENTENCE_END = r"([.!?][\"']?)\s+([\"'(]?[\p{Lu}0-9])"
 
 
@@ -67,7 +67,7 @@ def search_terms(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences by end marks before a capital, a digit or a quote; abbreviations and initials don't end one."""
-    kept = F.regexp_replace(text, _ABBREVIATED, "$1$2.\x02")
+    kept = F.regexp_replace(F.regexp_replace(text, _ABBREVIATED, "$1$2.\x02"), _ABBREVIATED, "$1$2.\x02")  # twice: neighbours share a blank
     cut = F.regexp_replace(kept, _SENTENCE_END, "$1\x01$2")
     parts = F.transform(F.split(cut, "\x01"), lambda x: strip(F.replace(x, F.lit("\x02"), F.lit(" "))))
     return F.filter(parts, lambda x: x != "")

@@ -45,7 +45,8 @@ def _norm_answer(x: str) -> str:
     return f"array_to_string(list_filter(string_split({bare}, ' '), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
 
 
-_KEPT = r"""regexp_replace(text, '(^|[\s("])(Dr|Mr|Mrs|Ms|Prof|St|Jr|Sr|vs|[A-Z])\.\s+', '\1\2.' || chr(2), 'g')"""
+_ABBREVIATED = r"""'(^|[\s("\x02])(Dr|Mr|Mrs|Ms|Prof|St|Jr|Sr|vs|[A-Z])\.\s+', '\1\2.' || chr(2), 'g'"""
+_KEPT = f"regexp_replace(regexp_replace(text, {_ABBREVIATED}), {_ABBREVIATED})"
 _CUT = rf"""regexp_replace({_KEPT}, '([.!?]["'']?)\s+(["''(]?[\p{{Lu}}0-9])', '\1' || chr(1) || '\2', 'g')"""
 _SENTENCES = rf"""list_filter(list_transform(string_split({_CUT}, chr(1)), lambda x: trim(replace(x, chr(2), ' '), E' \n\r\t')), lambda x: x <> '')"""
 _LONG = f"list_filter({_SENTENCES}, lambda x: length(x) >= 20)"
