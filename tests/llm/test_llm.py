@@ -1,0 +1,388 @@
+"""The operators of passagelens.llm against brute force, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from passagelens.llm import components, decontaminate, language_id, license_scan, line_dedup, minhash_forest, ogg_media, pareto_mix, quality_pu, surrogates, token_counts
+from passagelens.llm.shingles import shingle_sets
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "the quick brown fox jumps over lazy dogs while seven wizards make toxic brew for evil queens and kings of distant lands far away".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randint(0, 30)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(11)
+    base = [prose(rng, n) for n in (60, 80, 200, 30, 5, 1)]
+    near = base[1].split()
+    near[40] = "changed"
+    texts = [*base, base[0], " ".join(near), base[0], "", None, " \n\t ", "a " * 5000, "é" * 3000, base[2] + "\n" + base[1], prose(rng, 3000)]
+    return [(i, t, "en" if i % 3 else None, f"s{i % 3}" if i % 4 else None, 0 if t is None else len(t)) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([*rows, rows[0]], DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def lowered(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def words(t):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered(t))
+
+
+# 1
+def test_token_counts_equal_the_library(spark, docs, empty):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    parts = [" ", "  ", "\n", "'s", "'re", "don't", "a", "é", "1", "²", "!", "...", "\t", "<|endoftext|>", "日本", " ", "'ll", "x'v", "😀", "\r\n", "---", "ther", "　", "\x85", "ing", "''s"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["a" * 4000, " " * 3000 + "x", "日" * 1500, "ab" * 2000]
+    machine = token_counts.transducer(public.path("byte_bpe_50k.json"))
+    assert machine.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = token_counts.token_counts(docs, "byte_bpe_50k.json").collect()
+    by_id = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(got) == docs.count()
+    for r in got:
+        n = len(library.encode(by_id[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(by_id[r.doc_id].encode()), n > 512)
+    assert token_counts.token_counts(empty, "byte_bpe_50k.json").count() == 0
+
+
+def test_token_tables_start_anew(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    machine = token_counts.Transducer(public.path("byte_bpe_50k.json"))
+    first = machine.counts(["hello there, general"])
+    monkeypatch.setattr(token_counts, "MAX_STATES", 1)
+    assert machine.counts(["hello there, general"]).tolist() == first.tolist()
+
+
+# 2
+def brute_lines(texts, least):
+    seen, out = set(), []
+    for raw in texts:
+        lines = (raw or "").split("\n")
+        norm = [" ".join(x.split()) for x in lines]
+        full = [i for i, x in enumerate(norm) if x]
+        gone = set()
+        for a in range(len(full)):
+            total = 0
+            for b in range(a, len(full)):
+                total += len(norm[full[b]].split())
+                if total >= least:
+                    run = tuple(norm[i] for i in full[a : b + 1])
+                    if run in seen:
+                        gone |= set(range(full[a], full[b] + 1))
+                    seen.add(run)
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(2)
+    pool = [prose(rng, n) for n in (3, 7, 12, 20, 26, 55, 2, 4)]
+    texts = ["\n".join(rng.choice([*pool, "", prose(rng, 6)]) for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["", pool[5], pool[5] + "\n", "x\n" * 80, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, 25).collect()}
+    assert len(got) == len(texts) and got[len(texts) - 1].text is None and got[len(texts) - 1].n_lines == 0
+    assert [got[i].text for i in range(len(texts) - 1)] == brute_lines(texts[:-1], 25)
+
+
+def test_line_dedup_edges(docs, empty):
+    out = line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit("old")).withColumn("_row", F.lit(1)))
+    assert out.count() == docs.count() and out.columns.count("n_lines") == 1
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+# 3
+def test_language_id(spark, docs, empty):
+    rng = random.Random(3)
+    kinds = {"aa": "ba be bi bo bu da de di".split(), "bb": "xor xul zek zim vor vak tul tem".split()}
+    rows = [(i, " ".join("".join(rng.choice(kinds[k]) for _ in range(3)) for _ in range(rng.randint(5, 300))), k) for i in range(120) for k in [rng.choice(["aa", "bb"])]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn_languages(df.where("doc_id < 80"))
+    held = language_id.classified(df.where("doc_id >= 80"), model).collect()
+    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in held)
+    odd = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (3, "12 34 !!", 9.0), (4, rows[0][1] * 50, 9.0)], "doc_id long, text string, score double")
+    got = {r.doc_id: r for r in language_id.classified(odd, model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["und", "und", "und", rows[0][2]] and got[1].rejected and got[1].score == 0
+    assert language_id.classified(empty, model).count() == 0
+    assert {r.lang_pred for r in language_id.classified(odd, language_id.learn_languages(df.limit(0))).collect()} == {"und"}
+
+
+# 4
+def brute_contamination(docs, items):
+    windows = {}
+    for item, t in items:
+        w = words(t)
+        for i in range(max(1, len(w) - 12) if w else 0):
+            windows.setdefault(tuple(w[i : i + 13]), set()).add(item)
+    sizes = {len(k) for k in windows}
+    for doc_id, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if (k := windows.get(tuple(w[i : i + n]))) is not None:
+                    hit |= set(range(i, i + n))
+                    found |= k
+        ids = ",".join(sorted(map(str, found)))
+        yield doc_id, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_decontamination_equals_brute_force(spark, rows, docs, empty):
+    rng = random.Random(4)
+    long = rows[15][1].split()
+    items = [(1, " ".join(long[100:140])), (2, rows[0][1].upper()), (3, "quick"), (30, rows[4][1]), (4, None), (5, ""), (6, "ÀÉ " + " ".join(long[500:512])), (7, " ".join(long[900:913])), (8, " ".join(long[95:120]))]
+    extra = [(100 + i, "Àé! ÀÉ " + " ".join(long[500 : 512 + i])) for i in range(3)] + [(200, "a " * 40), (201, None)]
+    texts = [(r[0], r[1]) for r in rows] + extra
+    items.append((9, "a " * 15))
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_hit", F.lit("x")).withColumn("_key", F.lit(0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(df, bench)
+    want = sorted(brute_contamination(texts, items))
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())) == want
+    assert decontaminate.decontaminate(empty, bench).count() == 0
+    assert {r.n_hit for r in decontaminate.decontaminate(df, bench.limit(0)).collect()} == {0}
+
+
+# 5
+def test_license_scan(spark, docs, empty):
+    texts = ["Licensed under the Apache License, Version 2.0.", "x GNU General\nPublic-License and the MIT License", "cc by", "CC BY-NC 4.0", "", None, "license mit apache", "Released under the MIT License. " * 3, "Kind of gnu lesser general public license version 3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    for i, t in enumerate(texts):
+        w, places, labels = words(t), [], set()
+        for p, label in license_scan.PHRASES.items():
+            n = len(p.split())
+            own = [k for k in range(len(w) - n + 1) if " ".join(w[k : k + n]) == p]
+            places += own
+            labels |= {label} if own else set()
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+    assert got[0].labels == "apache,apache-2.0" and got[0].score == 1.0
+    assert got[3].labels == "cc-by,cc-by-nc-4.0" and got[8].labels == "lgpl-3.0" and got[6].labels == "" and got[6].score == 0
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+# 6
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 4079, 4080, 4081, 8160, 8161, 12241, 200_001])
+def test_ogg_round_trip(n):
+    payload = ogg_media.payload_of("b" * n)
+    media = ogg_media.write_ogg(payload)
+    packets, pages = ogg_media.read_ogg(media)
+    assert b"".join(p.data for p in packets) == payload and len(payload) % 64 == 0 and payload
+    ends = np.cumsum([len(p.data) for p in packets])
+    assert [p.granule for p in packets] == ends.tolist() and packets[-1].seconds == len(payload) / ogg_media.RATE
+
+
+def test_ogg_checksum_and_damage():
+    def slow(data):
+        crc = 0
+        for b in data:
+            crc ^= b << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        return crc
+
+    for data in (b"", b"a", bytes(range(256)) * 3):
+        assert ogg_media.checksum(data) == slow(data)
+    media = ogg_media.write_ogg(bytes(30_000))
+    for damaged in (media[:-1], media[:100] + b"x" + media[101:], media[300:], media[: media.index(b"OggS", 5)]):
+        with pytest.raises(ValueError):
+            ogg_media.read_ogg(damaged) if damaged != media[: media.index(b"OggS", 5)] else ogg_media.read_ogg(damaged + b"Ogg")
+
+
+def test_ogg_columns(docs, empty):
+    got = ogg_media.ogg_columns(docs, keep_media=True).collect()
+    by_id = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in got:
+        data = by_id[r.doc_id]
+        payload = data + bytes(-len(data) % 64) or bytes(64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
+    same = {(by_id[r.doc_id], r.media_sha256, r.feature) for r in got}
+    assert len(same) == len(set(by_id.values()))
+    assert ogg_media.ogg_columns(empty).count() == 0
+
+
+# 7
+def test_surrogates(spark, empty):
+    texts = [
+        "Mail ana.li@mail7.example.com or ANA.LI@mail7.example.com, call +1 (017) 555-7713.",
+        "Again ana.li@mail7.example.com; bob.9@mail7.example.com. Card 4111 1111 1111 1111, IP 10.1.2.3.",
+        "Mrs. Anna Smith met Mr. John Smith and Господин Иван Петров; 123-45-6789; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"",
+        "Nothing here, version 2.0.",
+        None,
+        "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_email", F.lit("old"))
+    rows = {r.doc_id: r for r in surrogates.replace_personal_data(df, "k").collect()}
+    found = lambda t: re.findall(r"[\w.]+@[\w.]+\w", t)
+    first, second = found(rows[0].text), found(rows[1].text)
+    assert first[0] == second[0] and first[0].split("@")[0].upper() == first[1].split("@")[0] and second[1] != second[0]
+    assert second[0].split("@")[1] == second[1].split("@")[1] and second[0].endswith(".com")
+    for t, r in ((texts[i], rows[i].text) for i in range(3)):
+        for value in (*found(t), "555-7713", "4111 1111 1111 1111", "10.1.2.3", "Anna Smith", "John Smith", "Иван Петров", "123-45-6789", "04dbebab91ab85687d33eeaaf9ac699e1188f962"):
+            assert value not in r
+    card = re.search(r"Card (\d{4} \d{4} \d{4} \d{4})", rows[1].text)[1].replace(" ", "")
+    assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(card[::-1])) % 10 == 0
+    octets = re.search(r"IP ([\d.]+\d)", rows[1].text)[1].split(".")
+    assert len(octets) == 4 and all(0 < int(o) < 256 for o in octets)
+    assert re.search(r"Mrs\. (\w+)", rows[2].text)[1] in surrogates.GIVEN["f", "latin"] and re.search(r"Господин (\w+)", rows[2].text)[1] in surrogates.GIVEN["m", "cyrillic"]
+    assert [rows[i].text for i in (3, 4, 5)] == [texts[3], None, ""]
+    assert (rows[0].n_email, rows[1].n_card, rows[2].n_name, rows[3].n_ip) == (2, 1, 3, 0)
+    assert surrogates.replace_personal_data(empty, "k").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    """Short family names alone leave few surrogates, so that many of these values collide at first."""
+    values = [f"Mr. {a}{b}{c}" for a in "ABCDEFGHIJ" for b in "aeiou" for c in ("bel", "dan", "mir", "nor", "pet", "ros", "sil", "tom", "var", "wen")]
+    df = spark.createDataFrame([(i, f"{v} and {v}") for i, v in enumerate(values)], "doc_id long, text string")
+    rows = surrogates.replace_personal_data(df, "k").collect()
+    made = [r.text.split(" and ")[0] for r in rows]
+    assert len(set(made)) == len(values) and not set(made) & set(values)
+    assert all(r.text == f"{m} and {m}" for r, m in zip(rows, made))
+
+
+# 8
+def test_quality(spark, docs, empty):
+    rng = random.Random(8)
+    good = [(i, prose(rng, rng.randint(20, 200)) + ".", 1) for i in range(150)]
+    bad = [(200 + i, " | ".join(prose(rng, 1) for _ in range(rng.randint(20, 100))), 0) for i in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in good + bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in good[:70] + bad[:20]], "doc_id long, quality int")
+    scorer = quality_pu.learn_quality(df, labels)
+    got = {r.doc_id: r for r in quality_pu.scored(df, scorer).collect()}
+    assert np.mean([got[i].predicted == q for i, _, q in good[70:] + bad[20:]]) > 0.95
+    for r in quality_pu.scored(docs, scorer).collect():
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    assert quality_pu.scored(empty, scorer).count() == 0
+    assert {r.score for r in quality_pu.scored(docs, quality_pu.learn_quality(df, labels.limit(0))).collect()} == {0.5}
+
+
+# 9
+def brute_groups(rows, k, percent):
+    sets = {}
+    for i, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", lowered(t))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark, rows, empty):
+    rng = random.Random(9)
+    texts = [(r[0], r[1]) for r in rows]
+    for g in range(12):
+        base = prose(rng, rng.choice([40, 120, 300])).split()
+        for c in range(rng.choice([2, 3, 12])):
+            own = base[:]
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                own[rng.randrange(len(own))] = f"w{rng.random()}"
+            texts.append((1000 + 100 * g + c, " ".join(own).title()))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for k, percent in ((3, 85), (5, 80)):
+        want = brute_groups(texts, k, percent)
+        got = minhash_forest.near_duplicates(df, k, percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert minhash_forest.near_duplicates(empty).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 30)] + [(100, 90), (90, 95), (7, 7)]
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 1 for i in range(1, 31)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_shingles_of_short_texts():
+    sets, at = shingle_sets(["", "a", "A", "a b", "a b c", "a b c a b c", " a\tb\nc "], 3)
+    assert np.diff(at).tolist() == [0, 1, 1, 1, 1, 3, 1]
+    assert sets[at[1]] == sets[at[2]] and sets[at[4]] == sets[at[6]]
+
+
+# 10
+def test_mix(spark, docs, empty):
+    rng = random.Random(10)
+    rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 60))), rng.choice(["a", "b", "c", "d", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x"))
+    got = pareto_mix.pareto_mix(df).collect()
+    total, sizes = 0, Counter()
+    for i, t, s in rows:
+        sizes[s] += len(t.split())
+        total += len(t.split())
+    order = [*sorted(s for s in sizes if s is not None), None]
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    targets, open_, rest = {}, set(order), 1.5 * total
+    while open_:
+        level = rest / sum(weights[s] for s in open_)
+        over = {s for s in open_ if weights[s] * level > 2 * sizes[s]}
+        if not over:
+            targets |= {s: weights[s] * level for s in open_}
+            break
+        targets |= {s: 2 * sizes[s] for s in over}
+        rest -= sum(2 * sizes[s] for s in over)
+        open_ -= over
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.target == pytest.approx(targets[r.source]) and r.taken <= 2 * r.size and r.source_size == sizes[r.source]
+    assert all(abs(taken[s] - targets[s]) <= 60 for s in order)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, pareto_mix.pareto_mix(df).collect()), key=str)
+    assert pareto_mix.pareto_mix(docs).count() == docs.count() and pareto_mix.pareto_mix(empty).count() == 0
+
+
+# the pipeline
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    languages = {"aa": [a + b for a in "bcdfg" for b in "aeiou"], "bb": [a + b for a in ("xor", "zek", "vak", "tul") for b in ("im", "ug", "yt")]}
+    sentence = lambda k, n: " ".join("".join(rng.choice(languages[k]) for _ in range(3)) for _ in range(n))
+    texts = [(k, "\n".join(sentence(k, 20) for _ in range(5))) for _ in range(60) for k in [rng.choice(["aa", "bb"])]]
+    item = sentence("aa", 40)
+    texts += [("aa", item + "\n" + sentence("aa", 30)), ("aa", sentence("aa", 150)), (None, "123 456"), ("aa", None)]
+    near = texts[61][1].split()
+    near[75] = "xx"
+    texts.append(("aa", " ".join(near)))
+    rows = [(i, t, k, f"s{i % 3}", len(t or "")) for i, (k, t) in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == p.COLUMNS, name
+        kept.append({r.doc_id for r in docs.collect()})
+    every = set(range(len(rows)))
+    assert kept == [every - {62, 63}, every - {62, 63}, every - {62, 63, 64}, every - {60, 62, 63, 64}]
+    assert {r.doc_id for r in p.run(spark, str(tmp_path)).collect()} <= kept[-1]
