@@ -96,6 +96,21 @@ def reranked(pool: DataFrame, depths: list[int]) -> DataFrame:
     return heads.withColumn("rank", F.row_number().over(order))
 
 
+def containing_documents(pages: DataFrame, answers: DataFrame, n: int = 5) -> DataFrame:
+    """qid, doc_id where the page holds the answer. pages: doc_id, page; answers: qid, answer; both normalised.
+
+    Words 2 to n + 1 of an answer are whole words of any page that holds it: pages and answers meet on that key, and only the pairs that
+    do are compared. Answers of fewer than n + 2 words are held by no page by this definition.
+    """
+    keyed = answers.select("qid", "answer", F.split("answer", " ").alias("w")).where(F.size("w") >= n + 2)
+    keys = keyed.select("qid", "answer", F.xxhash64(F.slice("w", 2, n)).alias("gram")).persist()
+    wanted = keys.select("qid", "gram")
+    wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_ROWS else wanted
+    grams = F.transform(F.array(F.split("page", " ")), lambda w: F.transform(w, lambda _, i: F.xxhash64(F.slice(w, i + 1, n))))[0]
+    pairs = pages.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(wanted, "gram").select("doc_id", "qid").distinct()
+    return pairs.join(keys.select("qid", "answer"), "qid").join(pages, "doc_id").where(F.contains("page", F.col("answer"))).select("qid", "doc_id").distinct()
+
+
 def term_overlap(left: Column, right: Column) -> Column:
     """A model-free pair score: shared terms over all terms."""
     a, b = F.array_distinct(search_terms(left)), F.array_distinct(search_terms(right))

@@ -251,21 +251,16 @@ def rerank_pools(spark, sf_dir):
 
 @query(
     f"""
-WITH {_POOL}, gold AS (SELECT item_id, min(doc_id) AS gold FROM benchmark b JOIN documents d ON contains({_norm("d.text")}, {_norm("b.text")}) GROUP BY item_id),
+WITH {_POOL}, gold AS (SELECT item_id, min(doc_id) AS gold FROM benchmark b JOIN documents d ON contains({_norm("d.text")}, {_norm("b.text")}) WHERE len(string_split({_norm("b.text")}, ' ')) >= 7 GROUP BY item_id),
 e AS (SELECT k, item_id, coalesce(max(CASE WHEN rank <= k AND hit AND chunk_id = gold THEN 1 ELSE 0 END), 0) AS c, coalesce(max(CASE WHEN rank <= k AND hit THEN 1 ELSE 0 END), 0) AS u
   FROM (SELECT item_id FROM benchmark) LEFT JOIN pool ON qid = item_id LEFT JOIN gold USING (item_id), (VALUES (1), (3), (5), (20), (50)) v(k) GROUP BY ALL)
 SELECT k, count(*) AS n_questions, round(avg(c), 9) AS recall, round(avg(u), 9) AS recall_unconstrained FROM e GROUP BY k"""
 )
 def retrieval_recall(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("page"))
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.normalize_text(F.col("text")).alias("whole"))
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.normalize_text(F.col("text")).alias("answer"))
     pool = _pool(spark, sf_dir).persist()
-    # Only a pool's own documents can be its gold document within the ranks that count; the first in the corpus is looked up by a key both sides share.
-    key = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 6), " ")
-    grams = docs.select("doc_id", "page", F.split("page", " ").alias("w")).select("doc_id", "page", F.explode(F.array_distinct(T.bound(F.col("w"), lambda w: F.transform(w, lambda x, i: F.array_join(F.slice(w, i + 1, 5), " "))))).alias("gram"))
-    second = items.select("qid", "whole", F.array_join(F.slice(F.split("whole", " "), 2, 5), " ").alias("gram"))
-    near = grams.join(F.broadcast(second) if second.count() <= R.BROADCAST_ROWS else second, "gram").where(F.contains("page", F.col("whole")))
-    gold = near.groupBy("qid").agg(F.min("doc_id").alias("gold"))
+    gold = R.containing_documents(docs, items).groupBy("qid").agg(F.min("doc_id").alias("gold"))
     hits = pool.join(gold, "qid", "left").select("qid", "rank", (F.col("chunk_id") == F.col("gold")).alias("in_gold"), F.col("hit").alias("holds_answer"))
     out = M.recall_at_k(items, hits.fillna(False, ["in_gold"]), [1, 3, 5, 20, 50])
     return out.select("k", "n_questions", F.round("recall", 9).alias("recall"), F.round("recall_unconstrained", 9).alias("recall_unconstrained"))
