@@ -80,6 +80,25 @@ def target_spans(probs: Column, n: Column, target: int, least: int, most: int, o
     return bound(probs, walk)
 
 
+def sampled_spans(probs: Column, n: Column, target: int, least: int, most: int, overlap: int, seed: Column, temperature: float = 1.0) -> Column:
+    """Like target_spans, but each cut is drawn by the softmax of the places' logits: the largest of logit / temperature plus
+    Gumbel noise, which a hash of seed and place stands for, so that a draw can be repeated anywhere."""
+
+    def noisy(p: Column, i: Column) -> Column:
+        x = F.least(F.greatest(p.cast("double"), F.lit(1e-6)), F.lit(1 - 1e-6))
+        digest = F.md5(F.concat(seed.cast("string"), F.lit(":"), i.cast("string")).cast("binary"))
+        u = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+        return F.round(F.log(x / (1 - x)) / temperature - F.log(-F.log(u)), 9)
+
+    return target_spans(F.transform(probs, noisy), n, target, least, most, overlap)
+
+
+def gold_contexts(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """qid, context: the first chunk (doc_id, pos, text) of a question's document (qid, doc_id, answer) that holds the answer; else empty."""
+    held = questions.join(chunks, "doc_id").where(F.contains("text", F.col("answer"))).groupBy("qid").agg(F.min_by("text", "pos").alias("context"))
+    return questions.select("qid").join(held, "qid", "left").select("qid", F.coalesce("context", F.lit("")).alias("context"))
+
+
 def spans_to_texts(sentences: Column, spans: Column) -> Column:
     return bound(sentences, lambda s: F.transform(spans, lambda x: F.array_join(F.slice(s, x["a"] + 1, x["b"] - x["a"]), " ")))
 

@@ -96,3 +96,36 @@ def group_loss(scores: Column, positive: Column) -> Column:
     """Listwise cross-entropy of a group: log of the summed exponentials less the positive's score."""
     top = F.array_max(scores)
     return top + F.log(F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.exp(s - top))) - positive
+
+
+def entropy(logits: Column) -> Column:
+    """The entropy of the softmax of an array of logits."""
+    top = F.array_max(logits)
+    weights = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    return F.log(total) - F.aggregate(F.zip_with(weights, logits, lambda w, x: w * (x - top)), F.lit(0.0), lambda a, x: a + x) / total
+
+
+def prefix_log_prob(scores: Column, k: int) -> Column:
+    """The Plackett-Luce log-probability of the first k of an ordered array of scores."""
+    top = F.array_max(scores)
+
+    def step(i: Column) -> Column:
+        rest = F.slice(scores, i, F.size(scores))
+        return F.get(scores, i - 1) - top - F.log(F.aggregate(rest, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.least(F.lit(k), F.size(scores))), step), F.lit(0.0), lambda a, x: a + x)
+
+
+def answer_roll_up(rows: DataFrame, by: list[str], short: int = 5) -> DataFrame:
+    """Means of accuracy, exact match and F1 of rows (accurate, exact, f1, hit, n_answer), also where a hit was shown, where none was, and for short answers."""
+    flag = lambda c: F.col(c).cast("double")
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(flag("accurate")).alias("accuracy"),
+        F.avg(flag("exact")).alias("exact"),
+        F.avg("f1").alias("f1"),
+        F.avg(F.when(F.col("hit"), flag("accurate"))).alias("accuracy_hit"),
+        F.avg(F.when(~F.col("hit"), flag("accurate"))).alias("accuracy_miss"),
+        F.avg(F.when(F.col("n_answer") <= short, flag("accurate"))).alias("accuracy_short"),
+    )

@@ -131,3 +131,30 @@ def hard_negatives(pool: DataFrame, wanted: int = 7) -> DataFrame:
 def first_hit_rank(lists: DataFrame) -> DataFrame:
     """qid, first_rank (0 without a hit) of ranked lists (qid, rank, hit)."""
     return lists.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0)).alias("first_rank"))
+
+
+def pair_key(*texts: Column) -> Column:
+    """What identifies a scored pair in a score table."""
+    return F.sha1(F.concat_ws("\x1f", *texts).cast("binary"))
+
+
+def pending_pairs(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """Pairs (with pair_key) that no score is kept for yet, each once."""
+    return pairs.dropDuplicates(["pair_key"]).join(scores.select("pair_key"), "pair_key", "left_anti")
+
+
+def swapped(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """base with the rows of the updated documents replaced by theirs."""
+    return base.join(updates.select(key).distinct(), key, "left_anti").unionByName(updates)
+
+
+def pool_cost(pools: DataFrame, depths: list[int]) -> DataFrame:
+    """depth, n_pairs: pairs to score up to each depth, of pools (qid, rank)."""
+    sizes = pools.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    each = sizes.select("n", F.explode(F.array(*map(F.lit, depths))).alias("depth"))
+    return each.groupBy("depth").agg(F.sum(F.least("n", "depth")).alias("n_pairs"))
+
+
+def first_contained(text: Column, candidates: Column) -> Column:
+    """The first candidate that text holds, null without one."""
+    return F.try_element_at(F.filter(candidates, lambda c: F.contains(text, c)), F.lit(1))

@@ -53,6 +53,16 @@ def consecutive_windows(rows: DataFrame, title: str, order: str, sizes: list[int
     return kept.withColumn("window", window)
 
 
+def excluding(rows: DataFrame, skipped: DataFrame, title: str) -> DataFrame:
+    """Rows of no skipped document; windows over them are holdouts."""
+    return rows.join(skipped.select(title).distinct(), title, "left_anti")
+
+
+def first_questions(rows: DataFrame, order: str, n: int, usable: Column) -> DataFrame:
+    """The first n usable rows: only these add documents."""
+    return rows.where(usable).orderBy(order).limit(n)
+
+
 def shards(numbers: DataFrame, size: int) -> DataFrame:
     return numbers.withColumn("shard", F.floor((F.col("doc_no") - 1) / size).cast("long"))
 

@@ -733,3 +733,187 @@ def nested_training_sets(spark, sf_dir):
 @query("SELECT event_id, user_id FROM (SELECT * FROM events ORDER BY event_id LIMIT 500) WHERE value > 50")
 def head_before_filter(spark, sf_dir):
     return S.head_before_filter(_table(spark, sf_dir, "events"), "event_id", 500, F.col("value") > 50).select("event_id", "user_id")
+
+
+@query(
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, len(s) AS n, {_PROBS} AS p FROM (SELECT doc_id, {_LONG} AS s FROM documents)),
+l AS (SELECT doc_id, n, list_transform(p, lambda x, i: round(ln(least(greatest(x::DOUBLE, 1e-6), 1 - 1e-6::DOUBLE) / (1 - least(greatest(x::DOUBLE, 1e-6), 1 - 1e-6::DOUBLE))) - ln(-ln((CAST(('0x' || substr(md5(doc_id || ':' || (i - 1)), 1, 8))::BIGINT AS DOUBLE) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)), 9)) AS p FROM d),
+w AS (
+  SELECT doc_id, n, p, 0 AS start, CAST([] AS INT[]) AS a, CAST([] AS INT[]) AS b FROM l
+  UNION ALL
+  SELECT doc_id, n, p, CASE WHEN n - start <= 10 THEN n ELSE start + k - 1 END, list_append(a, start::INT), list_append(b, (CASE WHEN n - start <= 10 THEN n ELSE start + k END)::INT)
+  FROM (SELECT *, CASE WHEN n - start > 10 THEN -(list_max(list_transform(range(2, 11), lambda k: {{'p': p[start + k], 'd': -abs(k - 6), 'k': -k}})).k) ELSE 0 END AS k FROM w WHERE start < n))
+SELECT doc_id, len(a) AS n_chunks, array_to_string(a, ',') AS starts, array_to_string(b, ',') AS ends FROM w WHERE start >= n"""
+)
+def sampled_chunks(spark, sf_dir):
+    spans = C.sampled_spans(F.col("probs"), F.col("n"), 6, 2, 10, 1, F.col("doc_id"))
+    return _spans(_split(spark, sf_dir).select("doc_id", spans.alias("x")))
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id, {_LONG} AS s FROM documents), c AS (SELECT doc_id, unnest(range(0, len(s), 15)) AS p, s FROM d), k AS (SELECT doc_id, p, array_to_string(s[p + 1:p + 15], ' ') AS text FROM c),
+q AS (SELECT doc_id, s[len(s) // 2 + 1][1:25] AS answer FROM d WHERE doc_id % 20 = 0 AND len(s) >= 2)
+SELECT doc_id AS qid, md5(coalesce(min_by(text, p) FILTER (WHERE contains(text, answer)), '')) AS context FROM q JOIN k USING (doc_id) GROUP BY doc_id"""
+)
+def gold_contexts(spark, sf_dir):
+    docs = _split(spark, sf_dir)
+    chunks = docs.select("doc_id", F.posexplode(C.fixed_chunks(F.col("sentences"), 15)).alias("pos", "c")).select("doc_id", "pos", F.array_join("c", " ").alias("text"))
+    middle = F.substring(F.get("sentences", F.floor(F.col("n") / 2).cast("int")), 1, 25)
+    questions = docs.where("doc_id % 20 = 0 AND n >= 2").select(F.col("doc_id").alias("qid"), "doc_id", middle.alias("answer"))
+    return C.gold_contexts(chunks, questions).select("qid", F.md5(F.col("context").cast("binary")).alias("context"))
+
+
+@query(f"WITH {_POOL} SELECT depth, sum(least(n, depth))::BIGINT AS n_pairs FROM (SELECT qid, count(*) AS n FROM pool GROUP BY qid), (VALUES (5), (20), (50)) v(depth) GROUP BY depth")
+def rerank_cost(spark, sf_dir):
+    return R.pool_cost(_pool(spark, sf_dir), [5, 20, 50])
+
+
+@query(
+    f"""
+WITH {_POOL}, a AS (SELECT qid, chunk_id, rank, hit, 'dense' AS arm, -rank::DOUBLE AS s FROM pool WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, rank, hit, 'overlap', pair_score FROM pool WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, rank, hit, 'reverse', rank::DOUBLE FROM pool WHERE rank <= 20),
+r AS (SELECT arm, qid, hit, row_number() OVER (PARTITION BY arm, qid ORDER BY s DESC, rank) AS new FROM a),
+f AS (SELECT arm, qid, max(CASE WHEN hit AND new = 1 THEN 1 ELSE 0 END) AS h1, max(CASE WHEN hit AND new <= 5 THEN 1 ELSE 0 END) AS h5 FROM r GROUP BY ALL)
+SELECT arm, count(*) AS n, round(avg(h1), 9) AS recall_1, round(avg(h5), 9) AS recall_5 FROM f GROUP BY arm"""
+)
+def shared_pool_arms(spark, sf_dir):
+    pool = _pool(spark, sf_dir).where("rank <= 20")
+    arms = F.array(*[F.struct(F.lit(a).alias("arm"), s.cast("double").alias("s")) for a, s in (("dense", -F.col("rank")), ("overlap", F.col("pair_score")), ("reverse", F.col("rank")))])
+    each = pool.select("qid", "chunk_id", "rank", "hit", F.explode(arms).alias("a")).select("qid", "chunk_id", "hit", "a.*", F.col("rank").alias("old"))
+    new = F.row_number().over(Window.partitionBy("arm", "qid").orderBy(F.col("s").desc(), "old"))
+    hits = lambda k: F.max(F.when(F.col("hit") & (F.col("new") <= k), 1).otherwise(0)).alias(f"h{k}")
+    flags = each.withColumn("new", new).groupBy("arm", "qid").agg(hits(1), hits(5))
+    return flags.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("h1"), 9).alias("recall_1"), F.round(F.avg("h5"), 9).alias("recall_5"))
+
+
+@query(
+    f"""
+WITH {_POOL}, r AS (SELECT qid, chunk_id, rank, row_number() OVER (PARTITION BY qid ORDER BY pair_score DESC, rank) AS new FROM pool)
+SELECT new - rank AS moved, count(*) AS n FROM r GROUP BY 1"""
+)
+def rank_movement(spark, sf_dir):
+    moved = R.reranked(_pool(spark, sf_dir), [50]).select((F.col("rank") - F.col("dense_rank")).alias("moved"))
+    return moved.groupBy("moved").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """
+WITH p AS (SELECT sha1(concat_ws(chr(31), role, text)) AS k, conv_id, turn FROM conversations), c AS (SELECT DISTINCT k FROM p WHERE conv_id % 3 = 0)
+SELECT count(DISTINCT k) AS n_pending FROM p WHERE k NOT IN (SELECT k FROM c)"""
+)
+def pending_pair_scores(spark, sf_dir):
+    pairs = _table(spark, sf_dir, "conversations").withColumn("pair_key", R.pair_key(F.col("role"), F.col("text")))
+    return R.pending_pairs(pairs, pairs.where("conv_id % 3 = 0")).agg(F.count(F.lit(1)).alias("n_pending"))
+
+
+@query(
+    """
+WITH v AS (SELECT vec_id, label, CASE WHEN vec_id % 3 = 1 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS e FROM embeddings),
+s AS (SELECT q.vec_id AS qid, c.label = q.label AS hit, c.vec_id, round(list_inner_product(q.e, c.e), 9) AS score FROM v q, v c WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10)
+SELECT qid, round(coalesce(max(CASE WHEN hit AND vec_id <> qid THEN 1.0::DOUBLE / rank END), 0), 9) AS reward FROM r GROUP BY qid"""
+)
+def swapped_corpus_reward(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    updates = rows.where("vec_id % 3 = 1").withColumn("vec", F.transform("vec", lambda x: -x))
+    now = R.swapped(rows, updates, "vec_id").withColumnRenamed("vec_id", "chunk_id")
+    queries = rows.where("vec_id % 20 = 0").join(updates.select("vec_id"), "vec_id", "left_anti").unionByName(updates.where("vec_id % 20 = 0"))
+    top = R.dense_top_k(now, queries.select(F.col("vec_id").alias("qid"), "vec"), 10)
+    own = rows.select(F.col("vec_id").alias("qid"), F.col("label").alias("wanted"))
+    lists = top.join(own, "qid").join(rows.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
+    hit = (F.col("label") == F.col("wanted")) & (F.col("qid") != F.col("chunk_id"))
+    return R.first_hit_rank(lists.withColumn("hit", hit)).select("qid", F.round(M.reciprocal(F.col("first_rank")), 9).alias("reward"))
+
+
+@query(f"SELECT doc_id, list_filter(list_reverse(string_split({_norm('text')}, ' '))[1:5], lambda x: contains(text, x))[1] AS answer FROM documents")
+def contained_candidate(spark, sf_dir):
+    words = F.slice(F.reverse(F.split(T.normalize_text(F.col("text")), " ")), 1, 5)
+    return _table(spark, sf_dir, "documents").select("doc_id", R.first_contained(F.col("text"), words).alias("answer"))
+
+
+@query(
+    f"""
+SELECT size, overlap, round(max(CASE WHEN method = 'ECONOMY' THEN recall END), 6) AS economy, round(max(CASE WHEN method = 'STANDARD' THEN recall END), 6) AS standard, round(max(CASE WHEN method = 'PROMO' THEN recall END), 6) AS promo,
+  CASE WHEN count(CASE WHEN method IN ('ECONOMY', 'STANDARD', 'PROMO') THEN 1 END) >= 2 THEN round(max(CASE WHEN method IN ('ECONOMY', 'STANDARD', 'PROMO') THEN recall END) - min(CASE WHEN method IN ('ECONOMY', 'STANDARD', 'PROMO') THEN recall END), 6) END AS spread
+FROM {_RESULTS} GROUP BY ALL"""
+)
+def matched_summary(spark, sf_dir):
+    arms = ["ECONOMY", "STANDARD", "PROMO"]
+    wide = B.arms_side_by_side(_results(spark, sf_dir), ["size", "overlap"], "method", arms, "recall")
+    known = F.size(F.filter(F.array(*arms), lambda x: x.isNotNull()))
+    spread = F.when(known >= 2, F.round(F.greatest(*arms) - F.least(*arms), 6))
+    return wide.select("size", "overlap", *[F.round(a, 6).alias(a.lower()) for a in arms], spread.alias("spread"))
+
+
+@query(
+    f"""
+WITH t AS (SELECT role, text, {_norm_answer("text")} AS w, array_to_string(string_split({_norm("text")}, ' ')[2:4], ' ') AS ans, turn FROM conversations),
+k AS (SELECT role, turn, contains(' ' || w || ' ', ' ' || {_norm_answer("ans")} || ' ') AND {_norm_answer("ans")} <> '' AS accurate, w = {_norm_answer("ans")} AS exact, len(string_split(ans, ' ')) AS na FROM t)
+SELECT role, count(*) AS n, round(avg(accurate::INT), 9) AS accuracy, round(avg(exact::INT), 9) AS exact, round(avg(CASE WHEN turn % 2 = 0 THEN accurate::INT END), 9) AS accuracy_hit, round(avg(CASE WHEN turn % 2 <> 0 THEN accurate::INT END), 9) AS accuracy_miss, round(avg(CASE WHEN na <= 2 THEN accurate::INT END), 9) AS accuracy_short FROM k GROUP BY role"""
+)
+def reader_roll_up(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").withColumn("answer", F.array_join(F.slice(F.split(T.normalize_text(F.col("text")), " "), 2, 3), " "))
+    p, a = F.col("text"), F.col("answer")
+    scored = rows.select("role", T.contains_answer(p, a).alias("accurate"), T.exact_match(p, a).alias("exact"), F.lit(0.0).alias("f1"), (F.col("turn") % 2 == 0).alias("hit"), F.size(F.split(a, " ")).alias("n_answer"))
+    out = M.answer_roll_up(scored, ["role"], 2).drop("f1")
+    return out.select("role", "n", *[F.round(c, 9).alias(c) for c in out.columns[2:]])
+
+
+@query(f"WITH e AS (SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM {_NUMBERS} WHERE doc_no <= 10)), n AS (SELECT user_id, min(event_id) AS f, row_number() OVER (ORDER BY min(event_id)) AS d FROM e GROUP BY user_id) SELECT event_id, user_id FROM e WHERE event_id <= coalesce((SELECT f FROM n WHERE d = 20), 9e18)")
+def holdout_window(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id")
+    skipped = W.document_numbers(events, "user_id", "event_id", 10)
+    return W.first_documents(W.excluding(events, skipped, "user_id"), "user_id", "event_id", 20).select("event_id", "user_id")
+
+
+@query("WITH k AS (SELECT event_id, user_id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 200) SELECT user_id, min(event_id) AS first_at, count(*) AS n_questions FROM k GROUP BY user_id")
+def first_kept_questions(spark, sf_dir):
+    kept = W.first_questions(_table(spark, sf_dir, "events"), "event_id", 200, F.col("event_type") == "click")
+    return kept.groupBy("user_id").agg(F.min("event_id").alias("first_at"), F.count(F.lit(1)).alias("n_questions"))
+
+
+@query(
+    """
+WITH g AS (SELECT l_orderkey AS qid, list(l_discount * 10 ORDER BY l_linenumber, l_partkey, l_suppkey) AS s FROM lineitem GROUP BY ALL)
+SELECT qid, round(ln(list_sum(list_transform(s, lambda x: exp(x)))) - list_sum(list_transform(s, lambda x: x * exp(x))) / list_sum(list_transform(s, lambda x: exp(x))), 6) + 0.0::DOUBLE AS entropy,
+  round(list_sum(list_transform(range(1, least(2, len(s)) + 1), lambda i: s[i] - ln(list_sum(list_transform(s[i:], lambda x: exp(x)))))), 6) + 0.0::DOUBLE AS log_prob FROM g"""
+)
+def policy_log_probs(spark, sf_dir):
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") * 10).alias("s"))))
+    g = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("qid")).agg(F.transform(ordered, lambda x: x["s"]).alias("s"))
+    return g.select("qid", (F.round(M.entropy(F.col("s")), 6) + 0.0).alias("entropy"), (F.round(M.prefix_log_prob(F.col("s"), 2), 6) + 0.0).alias("log_prob"))
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id, s, {_PROBS} AS p FROM (SELECT doc_id, {_LONG} AS s FROM documents)), e AS (SELECT unnest(p) AS p, unnest(list_transform(s[1:len(s) - 1], lambda x: CASE WHEN length(x) % 4 = 0 THEN 1 ELSE 0 END)) AS y FROM d)
+SELECT count(*) AS n, sum(CASE WHEN p > 0.5::FLOAT AND y = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN p > 0.5::FLOAT AND y = 0 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN NOT p > 0.5::FLOAT AND y = 1 THEN 1 ELSE 0 END)::BIGINT AS fn FROM e"""
+)
+def boundary_counts(spark, sf_dir):
+    labels = F.transform("sentences", lambda x: F.when(F.length(x) % 4 == 0, 1).otherwise(0))
+    m = F.least(F.size("probs"), F.size(labels))
+    both = F.arrays_zip(F.slice("probs", 1, m).alias("p"), F.slice(labels, 1, m).alias("y"))
+    e = _split(spark, sf_dir).where("n >= 2").select(F.explode(both).alias("x")).select("x.*")
+    up = F.col("p") > F.lit(0.5).cast("float")
+    return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(up & (F.col("y") == 1)).alias("tp"), F.count_if(up & (F.col("y") == 0)).alias("fp"), F.count_if(~up & (F.col("y") == 1)).alias("fn"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), lambda z: abs(z[1] - z[2]))), 6) AS gap FROM embeddings")
+def vector_features(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    norm, gap = F.sqrt(total(F.transform("v", lambda x: x * x))), total(F.zip_with("v", F.reverse("v"), lambda a, b: F.abs(a - b)))
+    return v.select("vec_id", F.round(norm, 6).alias("norm"), F.round(gap, 6).alias("gap"))
+
+
+@query("SELECT p_type || ' ' || p_size || '/' || right(p_brand, 1) AS label, count(*) AS n FROM part GROUP BY 1")
+def configuration_labels(spark, sf_dir):
+    label = F.format_string("%s %d/%s", F.col("p_type"), F.col("p_size"), F.expr("right(p_brand, 1)"))
+    return _table(spark, sf_dir, "part").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source, sha256(text) AS digest FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def unarchived_contents(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return S.pending(docs, docs.where("doc_id % 2 = 0"), ["digest"]).select("source", "digest")
