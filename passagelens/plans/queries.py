@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import boundary as N
 from ..operators import chunking as C
 from ..operators import metrics as M
 from ..operators import retrieval as R
@@ -917,3 +918,13 @@ def configuration_labels(spark, sf_dir):
 def unarchived_contents(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     return S.pending(docs, docs.where("doc_id % 2 = 0"), ["digest"]).select("source", "digest")
+
+
+@query()
+def boundary_model(spark, sf_dir):
+    """Vectors of ten are a document; a boundary lies where the label changes. Fitted on four fifths of the documents, applied to all."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("doc_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"), "label")
+    changes = rows.select("doc_id", "pos", (F.lead("label").over(Window.partitionBy("doc_id").orderBy("pos")) != F.col("label")).cast("int").alias("label"))
+    pairs = N.neighbours(rows).join(changes, ["doc_id", "pos"]).persist()
+    model = N.fit(pairs.where(W.hash_split(F.col("doc_id")) == "train"))
+    return N.probabilities(model, pairs).select("doc_id", "pos", "label", F.round("p", 6).alias("p"))

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from passagelens.functions import text as T
@@ -197,3 +198,23 @@ def test_entry():
 
     names = e.queries()
     assert len(names) > 50 and set(e.oracle_sql()) <= set(names)
+
+
+def test_boundary_model(spark):
+    from passagelens.operators import boundary
+
+    rng = random.Random(6)
+    rows = []
+    for doc in range(60):
+        side = 1.0
+        for pos in range(8):
+            if pos and rng.random() < 0.3:
+                side = -side
+            rows.append((doc, pos, [side + rng.gauss(0, 0.1), rng.random()], side))
+    df = spark.createDataFrame(rows, "doc_id int, pos int, vec array<double>, side double")
+    nxt = F.lead("side").over(Window.partitionBy("doc_id").orderBy("pos"))
+    labels = df.select("doc_id", "pos", (nxt != F.col("side")).cast("int").alias("label"))
+    pairs = boundary.neighbours(df.drop("side")).join(labels, ["doc_id", "pos"])
+    assert pairs.count() == 60 * 7
+    out = boundary.probabilities(boundary.fit(pairs.where("doc_id < 40")), pairs.where("doc_id >= 40")).collect()
+    assert sum((r.p > 0.5) == (r.label == 1) for r in out) / len(out) > 0.95
