@@ -35,6 +35,16 @@ def hinted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands Python few rows at a time: whole texts may be long, and each batch is held several times."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once for each row: lambdas would compute an inlined expression for each element."""
     return F.transform(F.array(value), use)[0]

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 SAMPLE_TEXTS, SAMPLE_CHARS, DICT_BYTES, BLOCK, LEVEL = 400, 2000, 200_000, 4096, 3
 #: Bytes of margin at which the winner counts as e times as likely as the second.
 SCALE = 4.0
@@ -85,6 +87,6 @@ def classified(docs: DataFrame, model: dict[str, bytes], least_margin: float = 0
 
     judge = F.pandas_udf(judged, "lang_pred string, score double, margin double")
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "margin", "rejected")]
-    out = docs.select(*own, judge("text").alias("_judged"))
+    out = in_small_batches(docs).select(*own, judge("text").alias("_judged"))
     rejected = (F.col("_judged.lang_pred") == "und") | (F.col("_judged.margin") < least_margin)
     return out.select(*own, "_judged.*", rejected.alias("rejected"))

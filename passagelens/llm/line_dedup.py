@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, settled
+from .common import hinted, in_small_batches, settled
 
 LEAST_WORDS = 50
 
@@ -78,7 +78,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc_id", "row", "fingerprint", "contents", "first", "last"])
 
     row = F.xxhash64("doc_id", "text")
-    keyed = docs.select(F.col("doc_id").cast("long"), row.alias("row"), "text")
+    keyed = in_small_batches(docs).select(F.col("doc_id").cast("long"), row.alias("row"), "text")
     windows = settled(keyed.mapInPandas(cut, "doc_id long, row long, fingerprint long, contents long, first int, last int"))
     # Winnowed join: windows by fingerprint and contents, each against the first place where it stands.
     groups = windows.groupBy("fingerprint", "contents").agg(F.min(F.struct("doc_id", "row", "first")).alias("origin"), F.count(F.lit(1)).alias("n"))

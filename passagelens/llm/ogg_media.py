@@ -25,6 +25,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 PACKET, STREAMS, RATE, BLOCK = 4080, 2, 8000, 64
 PAGE_SEGMENTS = 48  # lacing values a page; a page may hold up to 255
 FIRST, LAST, CONTINUED = 2, 4, 1
@@ -155,4 +157,4 @@ def ogg_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInPandas(stored, schema + ", media binary" * keep_media)
+    return in_small_batches(docs).select("doc_id", "text").mapInPandas(stored, schema + ", media binary" * keep_media)

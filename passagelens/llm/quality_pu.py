@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 EPOCHS, RATE, DECAY = 400, 0.05, 1e-4
 
@@ -107,7 +109,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame) -> Scorer:
             for f in frames:
                 yield pd.DataFrame({"x": list(features(f.text.fillna("").tolist()))})
 
-        rows = chosen.mapInPandas(measured, "x array<float>").toPandas().x
+        rows = in_small_batches(chosen).mapInPandas(measured, "x array<float>").toPandas().x
         return np.stack(rows) if len(rows) else np.zeros((0, N_FEATURES), np.float32)
 
     positive = sample(known.where("quality = 1"), MOST_POSITIVE)
@@ -129,5 +131,5 @@ def scored(docs: DataFrame, scorer: Scorer, least: float = 0.7) -> DataFrame:
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     judge = F.pandas_udf(score, "double")
-    out = docs.withColumn("score", judge("text"))
+    out = in_small_batches(docs).withColumn("score", judge("text"))
     return out.withColumn("predicted", F.when(F.col("score") >= least, 1).otherwise(0))

@@ -34,6 +34,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 CHUNK, MAX_STATES, FEW, TRIED, NEVER = 512, 131_000, 24, 60, 1 << 30
 LETTER, NUMBER, SPACE, BLANK, OTHER = 1, 2, 3, 4, 0
 _SHORT = ("s", "t", "m", "d")
@@ -304,4 +306,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, batch_chars:
             yield pd.DataFrame({"doc_id": batch.doc_id, "n_bytes": np.array(sizes, np.int64), "n_tokens": tokens, "over_limit": tokens > limit})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(counted, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return in_small_batches(docs).select("doc_id", "text").mapInPandas(counted, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
