@@ -74,6 +74,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Stands for a null doc_id where ids are compared: after all others.
+NO_ID = (1 << 63) - 1
+
+
+def number_of(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
 def train_row(doc_id: Column) -> Column:
     """Rows that models may learn labels from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2

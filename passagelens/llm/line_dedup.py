@@ -16,8 +16,8 @@ The first occurrence of a line's run stays, so that no line vanishes from the co
 
 Defined results: null texts stay null, with 0 lines; blank lines belong to no window and stay unless they are inside
 a deleted run; a text of which every line goes becomes empty, its row stays; rows that share a doc_id are
-ordered by their text's hash, and rows that also share that are copies of which the first by no rule in particular stays;
-an empty table gives an empty table.
+ordered by their text's hash, and rows that share both are one place in the order: what one loses, all lose; rows
+without a doc_id come last; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, in_small_batches, settled
+from .common import hinted, in_small_batches, number_of, settled
 
 LEAST_WORDS = 50
 
@@ -78,7 +78,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc_id", "row", "fingerprint", "contents", "first", "last"])
 
     row = F.xxhash64("doc_id", "text")
-    keyed = in_small_batches(docs).select(F.col("doc_id").cast("long"), row.alias("row"), "text")
+    keyed = in_small_batches(docs).select(number_of(F.col("doc_id")).alias("doc_id"), row.alias("row"), "text")
     windows = settled(keyed.mapInPandas(cut, "doc_id long, row long, fingerprint long, contents long, first int, last int"))
     # Winnowed join: windows by fingerprint and contents, each against the first place where it stands.
     groups = windows.groupBy("fingerprint", "contents").agg(F.min(F.struct("doc_id", "row", "first")).alias("origin"), F.count(F.lit(1)).alias("n"))
@@ -103,7 +103,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     found = settled(runs.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("firsts").alias("_firsts"), F.col("lasts").alias("_lasts")))
     few = hinted(found.select("_id", "_row"))
     base = docs.select(*own, row.alias("_key"))
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.col("_key") == F.col("_row"))
+    same = (number_of(F.col("doc_id")) == F.col("_id")) & (F.col("_key") == F.col("_row"))
     whole = base.join(few, same, "left_anti").select(*own, F.lit(0).cast("long").alias("n_deleted"), F.col("text").alias("_before"))
     touched = base.join(few, same, "left_semi").join(found, same).withColumn("_cut", rest("text", "_firsts", "_lasts"))
     touched = touched.select(*[F.col("_cut.text").alias("text") if c == "text" else c for c in own], F.col("_cut.n_deleted").alias("n_deleted"), F.col("text").alias("_before"))

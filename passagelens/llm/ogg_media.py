@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import in_small_batches
 
@@ -132,29 +133,28 @@ def feature(packets: list[Packet], pages: int) -> str:
 def ogg_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """Stores each text as Ogg, reads it back and describes what was read; keep_media adds the stored bytes as `media`."""
 
-    def stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in (frame.iloc[i : i + 500] for i in range(0, len(frame), 500)):
-                rows = []
-                for text in part.text:
-                    payload = payload_of(text)
-                    media = write_ogg(payload)
-                    packets, pages = read_ogg(media)
-                    read = b"".join(p.data for p in packets)
-                    row = (
-                        len((text or "").encode("utf-8")),
-                        len(read),
-                        hashlib.sha256(read).hexdigest(),
-                        zlib.crc32(read[-BLOCK:]),
-                        len(media),
-                        hashlib.sha256(media).hexdigest(),
-                        feature(packets, pages),
-                    )
-                    rows.append(row + (media,) * keep_media)
-                out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * keep_media)
-                out.insert(0, "doc_id", part.doc_id.values)
-                yield out
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return in_small_batches(docs).select("doc_id", "text").mapInPandas(stored, schema + ", media binary" * keep_media)
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * keep_media
+
+    def stored(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in columns:
+            rows = []
+            for text in texts:
+                payload = payload_of(text)
+                media = write_ogg(payload)
+                packets, pages = read_ogg(media)
+                read = b"".join(p.data for p in packets)
+                row = (
+                    len((text or "").encode("utf-8")),
+                    len(read),
+                    hashlib.sha256(read).hexdigest(),
+                    zlib.crc32(read[-BLOCK:]),
+                    len(media),
+                    hashlib.sha256(media).hexdigest(),
+                    feature(packets, pages),
+                )
+                rows.append(row + (media,) * keep_media)
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    store = F.pandas_udf(stored, schema + ", media binary" * keep_media)
+    return in_small_batches(docs).select("doc_id", store("text").alias("_stored")).select("doc_id", "_stored.*")

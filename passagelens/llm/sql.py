@@ -51,6 +51,37 @@ FROM d LEFT JOIN based USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN bl
 """
 
 
+OP2 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, i, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM l),
+f AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, sum(len(string_split(line, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS upto, len(string_split(line, ' ')) AS own FROM n WHERE line <> ''),
+w AS (
+  SELECT a.doc_id, a.k AS s, min(b.k) AS e FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.own >= 50 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.k), b.k FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.own >= 50 GROUP BY b.doc_id, b.k),
+c AS (SELECT w.doc_id, s, e, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY k) AS content FROM w JOIN f ON f.doc_id = w.doc_id AND k BETWEEN s AND e GROUP BY ALL),
+later AS (SELECT doc_id, first, last FROM c QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, first) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM later),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT doc_id, kept.text AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+OP9 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS digest FROM sh GROUP BY doc_id),
+cl AS (SELECT digest, n, min(doc_id) AS class_id FROM sets GROUP BY ALL),
+cs AS (SELECT doc_id, s, n FROM sh JOIN cl ON class_id = doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM cs a JOIN cs b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+ln AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (na + nb - k)),
+ends AS (SELECT a, b FROM ln UNION ALL SELECT b, a FROM ln),
+reach AS (SELECT class_id AS c, class_id AS r FROM cl UNION SELECT c, b FROM reach JOIN ends ON r = a),
+comp AS (SELECT c, min(r) AS component FROM reach GROUP BY c), deg AS (SELECT a, count(*) AS n_links FROM ends GROUP BY a)
+SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links,
+  coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN cl ON cl.digest = sets.digest LEFT JOIN comp ON c = class_id LEFT JOIN deg ON a = class_id
+"""
+
 OP10 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

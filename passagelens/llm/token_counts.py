@@ -33,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import in_small_batches
 
@@ -291,19 +292,19 @@ def transducer(path: str) -> Transducer:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, batch_chars: int = 4_000_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit). tokenizer: the file name of public_tokenizers."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
         machine = transducer(public_tokenizers.path(tokenizer))
-        for batch in batches:
-            texts = batch.text.fillna("").tolist()
+        for column in columns:
+            texts = column.fillna("").tolist()
             group = np.cumsum([0, *map(len, texts)])[:-1] // batch_chars
             tokens = np.zeros(len(texts), np.int64)
             for g in np.unique(group):
                 own = np.flatnonzero(group == g)
                 tokens[own] = machine.counts([texts[k] for k in own])
-            sizes = [len(t.encode("utf-8")) for t in texts]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "n_bytes": np.array(sizes, np.int64), "n_tokens": tokens, "over_limit": tokens > limit})
+            yield pd.DataFrame({"n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": tokens})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_small_batches(docs).select("doc_id", "text").mapInPandas(counted, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    count = F.pandas_udf(counted, "n_bytes long, n_tokens long")
+    out = in_small_batches(docs).select("doc_id", count("text").alias("_counted")).select("doc_id", "_counted.*")
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -33,7 +33,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame([*rows, rows[0]], DOCS)
+    return spark.createDataFrame([*rows, rows[0], (None, rows[3][1], None, None, None)], DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -319,6 +319,29 @@ def test_near_duplicates_equal_brute_force(spark, rows, empty):
     assert minhash_forest.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_edges(docs):
+    got = {(r.doc_id, r.n_shingles): r for r in minhash_forest.near_duplicates(docs.withColumn("kept", F.lit("old"))).collect()}
+    assert got[None, 26].component_id == 3 and not got[None, 26].kept and got[3, 26].kept and got[9, 0].kept
+
+
+def test_no_ids(spark, rows):
+    """A doc_id may be null, also for all."""
+    df = spark.createDataFrame([(None, rows[0][1], "en", "s", 1), (None, rows[2][1], None, None, None), (1 << 60, rows[0][1], "en", "s", 1)], DOCS)
+    bench = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    out = {
+        "lines": line_dedup.dedup_lines(df),
+        "hits": decontaminate.decontaminate(df, bench),
+        "scan": license_scan.scan_licenses(df),
+        "near": minhash_forest.near_duplicates(df),
+        "mix": pareto_mix.pareto_mix(df),
+        "media": ogg_media.ogg_columns(df),
+        "private": surrogates.replace_personal_data(df, "k"),
+    }
+    for name, result in out.items():
+        assert sorted(r.doc_id or 0 for r in result.collect()) == [0, 0, 1 << 60], name
+    assert out["lines"].where("n_deleted > 0 AND doc_id IS NULL").count() == 1 and out["hits"].where("contaminated").count() == 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 90), (90, 95), (7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
