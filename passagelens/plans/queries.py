@@ -17,6 +17,7 @@ from ..operators import tables as B
 from ..operators import verdicts as V
 from ..operators import windows as W
 from ..sources import readers as S
+from .sweep import bm25_sweep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -928,3 +929,35 @@ def boundary_model(spark, sf_dir):
     pairs = N.neighbours(rows).join(changes, ["doc_id", "pos"]).persist()
     model = N.fit(pairs.where(W.hash_split(F.col("doc_id")) == "train"))
     return N.probabilities(model, pairs).select("doc_id", "pos", "label", F.round("p", 6).alias("p"))
+
+
+def _sweep_sql(size: int, overlap: int) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_LONG} AS s FROM documents), l AS (SELECT doc_id, list_transform(range(0, len(s), {size - overlap}), lambda p: s[p + 1:p + {size}]) AS c FROM d),
+t AS (SELECT doc_id, CASE WHEN {overlap} > 0 AND len(c) >= 2 AND len(c[-1]) <= {overlap} THEN c[1:len(c) - 1] ELSE c END AS c FROM l),
+u AS (SELECT doc_id, unnest(c) AS x, unnest(range(0, len(c))) AS pos FROM t), ch AS (SELECT doc_id * 1000000 + pos AS chunk_id, doc_id, array_to_string(x, ' ') AS text, len(x) AS size FROM u),
+qs AS (SELECT item_id AS qid, array_to_string(w[1:8], ' ') AS question, array_to_string(w[9:14], ' ') AS answer, n FROM (SELECT item_id, {_norm("text")} AS n, string_split({_norm("text")}, ' ') AS w FROM benchmark)),
+gold AS (SELECT qid, doc_id FROM qs JOIN documents d ON contains({_norm("d.text")}, n) WHERE len(string_split(n, ' ')) >= 7),
+q AS (SELECT qid, unnest({_TERMS.replace("text", "question")}) AS term FROM qs), qt AS (SELECT qid, term, count(*) AS qtf FROM q GROUP BY ALL),
+c AS (SELECT chunk_id, {_TERMS} AS terms FROM ch), st AS (SELECT count(*) AS n, avg(len(terms)) AS av FROM c),
+po AS (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(terms) AS dl, unnest(terms) AS term FROM c) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+sc AS (SELECT qid, chunk_id, round(sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * qtf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / av))), 9) AS score FROM po JOIN qt USING (term) JOIN df USING (term), st GROUP BY ALL),
+al AS (SELECT qid, chunk_id, score FROM sc UNION ALL SELECT qid, chunk_id, 0.0 FROM qs, (SELECT chunk_id FROM ch ORDER BY chunk_id LIMIT 20) WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.qid = qs.qid AND sc.chunk_id = chunk_id)),
+bm AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM al QUALIFY rank <= 20),
+pr AS (SELECT bm.qid, bm.chunk_id, rank, ch.doc_id, contains({_norm("ch.text")}, answer) AS hit, gold.doc_id IS NOT NULL AS ok,
+  round(coalesce(len(list_intersect(list_distinct({_TERMS.replace("text", "ch.text")}), list_distinct({_TERMS.replace("text", "question")})))::DOUBLE / nullif(len(list_distinct(list_concat({_TERMS.replace("text", "ch.text")}, {_TERMS.replace("text", "question")}))), 0), 0), 9) AS s
+  FROM bm JOIN ch ON ch.chunk_id = bm.chunk_id JOIN qs ON qs.qid = bm.qid LEFT JOIN gold ON gold.qid = bm.qid AND gold.doc_id = ch.doc_id),
+ar AS (SELECT 'bm25' AS arm, qid, rank, hit, ok FROM pr UNION ALL SELECT 'rerank', qid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rank), hit, ok FROM pr),
+e AS (SELECT arm, k, qid, max(CASE WHEN rank <= k AND hit AND ok THEN 1 ELSE 0 END) AS c, max(CASE WHEN rank <= k AND hit THEN 1 ELSE 0 END) AS u FROM ar, (VALUES (1), (3), (5)) v(k) GROUP BY ALL)
+SELECT {size} AS size, {overlap} AS overlap, arm, k, (SELECT count(*) FROM ch) AS n_chunks, round((SELECT avg(size) FROM ch), 6) AS avg_chunk_size, round(avg(c), 6) AS recall, round(avg(u), 6) AS recall_unconstrained FROM e GROUP BY arm, k"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_sweep_sql(*c)})" for c in ((6, 0), (10, 1), (15, 0))))
+def retrieval_sweep(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    whole = T.normalize_text(F.col("text"))
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), whole.alias("whole"), F.split(whole, " ").alias("w"))
+    questions = items.select("qid", F.array_join(F.slice("w", 1, 8), " ").alias("question"), F.array_join(F.slice("w", 9, 6), " ").alias("answer"))
+    gold = R.containing_documents(docs.select("doc_id", whole.alias("page")), items.select("qid", F.col("whole").alias("answer"))).persist()
+    out = bm25_sweep(docs.select("doc_id", T.long_sentences(F.col("text")).alias("sentences")), questions, gold, [(6, 0), (10, 1), (15, 0)], [1, 3, 5])
+    return out.select("size", "overlap", "arm", "k", "n_chunks", *[F.round(c, 6).alias(c) for c in ("avg_chunk_size", "recall", "recall_unconstrained")])
