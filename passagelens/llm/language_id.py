@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_small_batches
@@ -39,15 +39,22 @@ def folded(text: str) -> str:
 
 
 def learn_languages(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """A dictionary for each value of lang among the given rows; reads all rows, keeps at most `texts` a language."""
+    """A dictionary for each value of lang among the given rows: of its `texts` rows of least hash.
+
+    All rows are counted by language; then only those come back whose hash lies in a share of its range that holds
+    about twice as many rows as are wanted, so that no task gathers a language's rows.
+    """
     known = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    by_hash = Window.partitionBy("lang").orderBy("at", "text")
-    cut = known.select("lang", F.xxhash64("doc_id").alias("at"), F.substring("text", 1, chars).alias("text"))
-    rows = cut.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= texts).collect()
+    counts = dict(known.groupBy("lang").count().collect())  # a row a language
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * texts + 50) / n))])
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    rows = known.select("lang", place.alias("at"), F.substring("text", 1, chars).alias("text")).where(F.col("at") < share[F.col("lang")]).collect()
     parts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.n)):
+    for r in sorted(rows):
         parts.setdefault(r.lang, []).append(r.text)
-    return {lang: " ".join(map(folded, own)).encode("utf-8")[:DICT_BYTES] for lang, own in sorted(parts.items())}
+    return {lang: " ".join(map(folded, own[:texts])).encode("utf-8")[:DICT_BYTES] for lang, own in sorted(parts.items())}
 
 
 @lru_cache(2)
