@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import providers as P
 from ..functions import text as T
 from ..operators import boundary as N
 from ..operators import chunking as C
@@ -17,7 +18,7 @@ from ..operators import tables as B
 from ..operators import verdicts as V
 from ..operators import windows as W
 from ..sources import readers as S
-from .sweep import bm25_sweep
+from .sweep import bm25_sweep, fixed_chunk_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -961,3 +962,43 @@ def retrieval_sweep(spark, sf_dir):
     gold = R.containing_documents(docs.select("doc_id", whole.alias("page")), items.select("qid", F.col("whole").alias("answer"))).persist()
     out = bm25_sweep(docs.select("doc_id", T.long_sentences(F.col("text")).alias("sentences")), questions, gold, [(6, 0), (10, 1), (15, 0)], [1, 3, 5])
     return out.select("size", "overlap", "arm", "k", "n_chunks", *[F.round(c, 6).alias(c) for c in ("avg_chunk_size", "recall", "recall_unconstrained")])
+
+
+def _vector_sql(source: str, name: str) -> str:
+    """CTEs that add to a source with text x its vector v, as the CTE `name`."""
+    return f"""{name}1 AS (SELECT *, list_transform(regexp_extract_all(lower(x), '[a-z0-9]+'), lambda t: ('0x' || substr(md5(t), 1, 6))::INT % 16) AS bu FROM {source}),
+{name}2 AS (SELECT * EXCLUDE (bu), list_transform(range(0, 16), lambda i: len(list_filter(bu, lambda y: y = i))::DOUBLE) AS co FROM {name}1),
+{name}3 AS (SELECT *, sqrt(list_sum(list_transform(co, lambda y: y * y))) AS no FROM {name}2),
+{name} AS (SELECT * EXCLUDE (co, no), list_transform(co, lambda y: CASE WHEN no > 0 THEN y / no ELSE 0 END) AS v FROM {name}3)"""
+
+
+@query(
+    f"""
+WITH RECURSIVE s AS (SELECT doc_id, unnest(s) AS x, unnest(range(0, len(s))) AS i, len(s) AS n FROM (SELECT doc_id, {_LONG} AS s FROM documents)),
+{_vector_sql("s", "v")},
+pr AS (SELECT a.doc_id, a.i, round(1.0::DOUBLE - list_inner_product(a.v, b.v), 6) AS p FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+d AS (SELECT documents.doc_id, coalesce(max(s.n), 0) AS n, (SELECT list(p ORDER BY i) FROM pr WHERE pr.doc_id = documents.doc_id) AS p FROM documents LEFT JOIN s USING (doc_id) GROUP BY documents.doc_id),
+w AS (
+  SELECT doc_id, n, p, 0 AS start, CAST([] AS INT[]) AS a, CAST([] AS INT[]) AS b FROM d
+  UNION ALL
+  SELECT doc_id, n, p, CASE WHEN n - start <= 10 THEN n ELSE start + k - 1 END, list_append(a, start::INT), list_append(b, (CASE WHEN n - start <= 10 THEN n ELSE start + k END)::INT)
+  FROM (SELECT *, CASE WHEN n - start > 10 THEN -(list_max(list_transform(range(2, 11), lambda k: {{'p': p[start + k], 'd': -abs(k - 6), 'k': -k}})).k) ELSE 0 END AS k FROM w WHERE start < n))
+SELECT doc_id, len(a) AS n_chunks, array_to_string(a, ',') AS starts, array_to_string(b, ',') AS ends FROM w WHERE start >= n"""
+)
+def hashed_boundary_chunks(spark, sf_dir):
+    docs = _split(spark, sf_dir).select("doc_id", "n", P.boundary_probs(F.col("sentences")).alias("probs"))
+    return _spans(docs.select("doc_id", C.target_spans(F.col("probs"), F.col("n"), 6, 2, 10, 1).alias("x")))
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id, {_LONG} AS s FROM documents), u AS (SELECT doc_id, s, unnest(range(0, len(s), 10)) AS p FROM d), c AS (SELECT doc_id * 1000000 + p // 10 AS chunk_id, array_to_string(s[p + 1:p + 10], ' ') AS x FROM u), q AS (SELECT item_id AS qid, text AS x FROM benchmark),
+{_vector_sql("c", "cv")}, {_vector_sql("q", "qv")},
+sc AS (SELECT qid, chunk_id, round(list_inner_product(qv.v, cv.v), 9) AS score FROM qv, cv)
+SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 5"""
+)
+def hashed_dense_search(spark, sf_dir):
+    chunks = fixed_chunk_table(_split(spark, sf_dir), 10, 0)
+    vectors = P.encoded(chunks.select("chunk_id", "text"), "text", P.hashed_vector).select("chunk_id", "vec")
+    questions = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), P.hashed_vector(F.col("text")).alias("vec"))
+    return R.dense_top_k(vectors, questions, 5)

@@ -218,3 +218,25 @@ def test_boundary_model(spark):
     assert pairs.count() == 60 * 7
     out = boundary.probabilities(boundary.fit(pairs.where("doc_id < 40")), pairs.where("doc_id >= 40")).collect()
     assert sum((r.p > 0.5) == (r.label == 1) for r in out) / len(out) > 0.95
+
+
+def test_stand_ins(spark):
+    from passagelens.functions import providers as P
+
+    df = spark.createDataFrame([(1, ["red fox runs", "red fox runs", "!!", ""]), (2, []), (3, ["one"])], "i int, s array<string>")
+    got = {r.i: r.p for r in df.select("i", P.boundary_probs(F.col("s")).alias("p")).collect()}
+    assert got == {1: [0.0, 1.0, 1.0], 2: [], 3: []}
+    texts = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "")], "k int, text string")
+    vecs = {r.k: r.vec for r in P.encoded(texts, "text", P.hashed_vector).collect()}
+    assert vecs[1] == vecs[2] and sum(x * x for x in vecs[1]) == pytest.approx(1) and not any(vecs[3])
+
+
+def test_sampling_follows_probabilities(spark):
+    """Draws over many seeds come near the softmax of the window's logits; the same seed draws the same."""
+    p = [0.5, 0.5, 0.9, 0.5, 0.5, 0.5, 0.5, 0.5]
+    df = spark.range(4000).select("id", C.sampled_spans(F.array(*map(F.lit, p)), F.lit(9), 3, 2, 4, 0, F.col("id")).alias("x"))
+    first = df.select(F.col("x")[0]["b"].alias("b"), F.col("id"))
+    shares = {r.b: r["count"] / 4000 for r in first.groupBy("b").count().collect()}
+    odds = {k: p[k - 1] / (1 - p[k - 1]) for k in (2, 3, 4)}
+    assert all(abs(shares[k] - odds[k] / sum(odds.values())) < 0.03 for k in odds)
+    assert sorted(map(tuple, first.limit(50).collect())) == sorted(map(tuple, first.limit(50).collect()))
