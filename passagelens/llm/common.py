@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 #: Fixed patterns of the contracts: what separates words, and what makes them up.
 WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPACE_GAP = r"[\x20\x09-\x0D]+"
@@ -21,12 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the session's checkpoint folder, with the lineage cut."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a session of one machine gets a folder of its own where none is named."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the session's checkpoint folder, with the lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -45,11 +55,6 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once for each row: lambdas would compute an inlined expression for each element."""
-    return F.transform(F.array(value), use)[0]
-
-
 def pieces(text: Column, gap: str) -> Column:
     """What stands between the gaps of a text; an empty piece may come first and last."""
     return F.split(F.coalesce(text, F.lit("")), gap)
