@@ -7,13 +7,12 @@ documents; the last returns the chosen documents with how often each is to be re
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagelens.llm.common import table, train_row
+from passagelens.llm.common import hinted, settled, shared_folder, table, train_row
 from passagelens.llm.decontaminate import decontaminate
 from passagelens.llm.language_id import classified, learn_languages
 from passagelens.llm.line_dedup import dedup_lines
@@ -23,6 +22,16 @@ from passagelens.llm.pareto_mix import pareto_mix
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def row() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """docs without the keys in gone, a table of one column; while that is counted to be small, no text is shuffled."""
+    gone = hinted(settled(gone.toDF("_gone")))
+    return docs.withColumn("_key", key).join(gone, F.col("_key") == F.col("_gone"), "left_anti").select(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected."""
     model = learn_languages(docs.where(train_row(F.col("doc_id"))).select("doc_id", "text", "lang"))
@@ -37,14 +46,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group."""
+    """One document of each group; documents without a doc_id stay."""
     gone = near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone, F.col("doc_id"))
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+    judged = decontaminate(docs.select("doc_id", "text", row().alias("row")), table(spark, sf_dir, "benchmark"))
+    return without(docs, judged.where("contaminated").select("row").distinct(), row())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/pipeline-{uuid.uuid4().hex}-{number}"
