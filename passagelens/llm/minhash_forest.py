@@ -6,7 +6,8 @@
    that a crowded region spreads over many tasks). A class's candidates are its nearest neighbours in that order,
    whose common prefix is the longest there is, and the first classes of its regions of each depth. A region is a
    common prefix of at least LEAST minima: sparse regions are searched at that depth, crowded ones as deep as
-   needed to tell their classes apart. Candidates grow with the number of classes, not with pairs of a region.
+   needed to tell their classes apart. That leaves no pair out of a region that has no more classes than a class has
+   neighbours and one; classes of larger regions are compared each with each (crowds.py), on their full sets, in blocks.
 3. Candidates are confirmed on their full shingle sets: 100 x intersection >= percent x union.
 4. Confirmed links make up components.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, hinted, in_small_batches, number_of, settled
 from .components import components
+from .crowds import crowd_links, crowds
 from .shingles import mixed, numbers, shingle_sets
 
 TREES, DEPTH, LEAST, NEIGHBOURS = 12, 6, 3, 3
@@ -135,15 +137,55 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long").distinct()
 
 
+def _regions(classes: DataFrame) -> DataFrame:
+    """id, region: a hash of the first LEAST minima of each tree."""
+    heads = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, *[F.get("sig", t * DEPTH + j) for j in range(LEAST)]))
+    return classes.select(F.col("doc_id").alias("id"), F.explode(heads).alias("region"))
+
+
+def _crowd_sets(docs: DataFrame, crowd: DataFrame, k: int) -> DataFrame:
+    """id, crowd, many, n and set of all texts of the ids of crowd."""
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame.text.tolist()
+            for part in _batches(texts):
+                hashes, at = shingle_sets(texts[part], k)
+                own = [hashes[a:b].tobytes() for a, b in zip(at, at[1:])]
+                yield frame.iloc[part][["id", "crowd"]].assign(n=np.diff(at), set=own)
+
+    texts = docs.where("text IS NOT NULL").select(number_of(F.col("doc_id")).alias("id"), "text").join(hinted(crowd), "id").dropDuplicates(["id", "text"])
+    sets = settled(in_small_batches(texts).mapInPandas(hashed, "id long, crowd long, n long, set binary").where("n > 0"))
+    many = settled(sets.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("many")))
+    return sets.join(hinted(many), "id", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("class_id")).unionAll(links.select("b")).withColumn("n", F.lit(1).cast("long"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with an equal set), n_links (of its class), component_id, kept."""
     rows = settled(signed(docs, k))
     full = rows.where("n_shingles > 0")
     classes = settled(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("set_a", "set_b", "n_shingles", "x.*"))
-    links = settled(confirmed(candidates(classes), docs, k, percent))
-    groups = components(links).select(F.col("node").alias("class_id"), "component")
-    ends = links.select(F.col("a").alias("class_id")).unionAll(links.select("b"))
-    degrees = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    crowd = crowds(_regions(classes), NEIGHBOURS + 1)
+    pairs = candidates(classes)
+    if crowd.isEmpty():
+        links = settled(confirmed(pairs, docs, k, percent))
+        edges, ends = links, _ends(links)
+    else:
+        sets = _crowd_sets(docs, crowd, k)
+        done = settled(sets.where("NOT many").select("id", "crowd"))  # what is compared in full needs no candidates
+        for side in ("a", "b"):
+            pairs = pairs.join(hinted(done.select(F.col("id").alias(side), F.col("crowd").alias(f"of_{side}"))), side, "left")
+        pairs = settled(pairs.where("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b"))
+        found = crowd_links(sets, percent)
+        links = settled(confirmed(pairs, docs, k, percent).unionByName(found.where("n = 0").select("a", "b")).distinct())
+        edges = links.unionByName(found.where("n IS NULL").select("a", "b"))
+        ends = _ends(links).unionByName(found.where("b IS NULL").select(F.col("a").alias("class_id"), "n"))
+    groups = components(edges).select(F.col("node").alias("class_id"), "component")
+    degrees = ends.groupBy("class_id").agg(F.sum("n").alias("n_links"))
     named = classes.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("class_id")).join(groups, "class_id", "left").join(degrees, "class_id", "left")
     out = rows.drop("sig").join(hinted(settled(named), 200_000), ["set_a", "set_b", "n_shingles"], "left")
     own = F.coalesce("class_id", "doc_id")

@@ -319,6 +319,25 @@ def test_near_duplicates_equal_brute_force(spark, rows, empty):
     assert minhash_forest.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_large_star(spark):
+    """Variants of one text, each like it but few like each other; the text's id lies in the middle of theirs."""
+    rng, n, middle = random.Random(91), 1200, 600
+    base = [f"w{i}" for i in range(602)]
+    spots = {i: set() if i == middle else set(rng.sample(range(5, 600, 10), 10)) for i in range(n)}
+    texts = [(i, " ".join(f"v{i}_{j}" if j in own else w for j, w in enumerate(base))) for i, own in spots.items()]
+    want = Counter()
+    for a in range(n):
+        for b in range(a):
+            shared = 600 - 3 * len(spots[a] | spots[b])
+            if 100 * shared >= 85 * (1200 - shared):
+                want[a] += 1
+                want[b] += 1
+    got = minhash_forest.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 85).collect()
+    assert want[middle] == n - 1
+    assert {r.doc_id: r.n_links for r in got} == {i: want[i] for i in range(n)}
+    assert {r.component_id for r in got} == {0}
+
+
 def test_near_duplicates_edges(docs):
     got = {(r.doc_id, r.n_shingles): r for r in minhash_forest.near_duplicates(docs.withColumn("kept", F.lit("old"))).collect()}
     assert got[None, 26].component_id == 3 and not got[None, 26].kept and got[3, 26].kept and got[9, 0].kept
