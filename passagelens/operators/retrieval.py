@@ -99,16 +99,28 @@ def reranked(pool: DataFrame, depths: list[int]) -> DataFrame:
 def containing_documents(pages: DataFrame, answers: DataFrame, n: int = 5) -> DataFrame:
     """qid, doc_id where the page holds the answer. pages: doc_id, page; answers: qid, answer; both normalised.
 
-    Words 2 to n + 1 of an answer are whole words of any page that holds it: pages and answers meet on that key, and only the pairs that
-    do are compared. Answers of fewer than n + 2 words are held by no page by this definition.
+    The inner words of an answer, its second to last but one, are whole words of any page that holds it: pages and answers of three words
+    or more meet on the first n of these, and only the pairs that do are compared. Shorter answers may lie within words and are compared with all pages.
     """
-    keyed = answers.select("qid", "answer", F.split("answer", " ").alias("w")).where(F.size("w") >= n + 2)
-    keys = keyed.select("qid", "answer", F.xxhash64(F.slice("w", 2, n)).alias("gram")).persist()
+    words = answers.where("answer IS NOT NULL").select("qid", "answer", F.split("answer", " ").alias("w"))
+    inner = F.least(F.size("w") - 2, F.lit(n))
+    keys = words.where(F.size("w") >= 3).select("qid", "answer", inner.alias("n"), F.xxhash64(F.slice("w", F.lit(2), inner)).alias("gram")).persist()
+    lengths = [r.n for r in keys.select("n").distinct().collect()]  # n values at most
     wanted = keys.select("qid", "gram")
     wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_ROWS else wanted
-    grams = F.transform(F.array(F.split("page", " ")), lambda w: F.transform(w, lambda _, i: F.xxhash64(F.slice(w, i + 1, n))))[0]
+    every = lambda w: [F.transform(w, lambda _, i: F.xxhash64(F.slice(w, i + 1, m))) for m in lengths or [n]]
+    grams = F.transform(F.array(F.split("page", " ")), lambda w: F.concat(*every(w)))[0]
     pairs = pages.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(wanted, "gram").select("doc_id", "qid").distinct()
-    return pairs.join(keys.select("qid", "answer"), "qid").join(pages, "doc_id").where(F.contains("page", F.col("answer"))).select("qid", "doc_id").distinct()
+    found = pairs.join(keys.select("qid", "answer"), "qid").join(pages, "doc_id").where(F.contains("page", F.col("answer"))).select("qid", "doc_id").distinct()
+
+    short = words.where(F.size("w") < 3).select("qid", "answer").persist()
+    n_short = short.count()
+    if not n_short:
+        return found
+    asked = short.select("answer").distinct()
+    asked = F.broadcast(asked) if n_short <= BROADCAST_ROWS else asked
+    within = pages.join(asked, F.contains("page", F.col("answer"))).select("doc_id", "answer")
+    return found.unionByName(within.join(short, "answer").select("qid", "doc_id").distinct())
 
 
 def term_overlap(left: Column, right: Column) -> Column:

@@ -240,3 +240,12 @@ def test_sampling_follows_probabilities(spark):
     odds = {k: p[k - 1] / (1 - p[k - 1]) for k in (2, 3, 4)}
     assert all(abs(shares[k] - odds[k] / sum(odds.values())) < 0.03 for k in odds)
     assert sorted(map(tuple, first.limit(50).collect())) == sorted(map(tuple, first.limit(50).collect()))
+
+
+def test_pages_that_hold_short_answers(spark):
+    pages = [(1, "the capital of france is paris, since long ago"), (2, "parisian life"), (3, "by the river seine in the town of paris"), (4, ""), (5, None), (6, "nothing of the kind is here at all today")]
+    asked = ["paris", "of paris", "france is paris", "e river seine in t", "the capital of france is paris", "is here at all tod", "kind is here at all today", "of the kind is here at all to", "rome", "is life", "the town of rome", "paris", "", None]
+    answers = spark.createDataFrame(list(enumerate(asked)), "qid long, answer string")
+    got = [tuple(r) for r in R.containing_documents(spark.createDataFrame(pages, "doc_id long, page string"), answers).collect()]
+    want = [(q, d) for q, a in enumerate(asked) for d, p in pages if a is not None and p is not None and a in p]
+    assert sorted(got) == sorted(want)
