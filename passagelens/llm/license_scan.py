@@ -1,10 +1,10 @@
 """License scans by a positional index of rare words; DataFrame functions only.
 
 Besides the plain phrases, the scan knows licence notices as templates. Their words, without common ones, are
-postings (word, template, position). Document frequencies of these words are counted over all documents. A file's
-RAREST licence words of highest inverse document frequency are looked up in the postings; each occurrence votes for a
-template at the start that its relative position implies. A template that gets a vote is verified at that start: all
-words of its key phrase must stand at their places. The share of all its posted words in place is its score.
+postings (word, template, position). Document frequencies of these words are counted over all documents. Each template is
+looked up by the word of its key phrase that has the highest inverse document frequency; each occurrence in a file votes for the
+template at the start that its relative position implies, so that no key phrase goes without a vote. A template that gets a vote is
+verified at that start: all words of its key phrase must stand at their places. The share of all its posted words in place is its score.
 
 Every key phrase holds a plain phrase or a marker phrase, so that files without any of these need no look-up.
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_GAP, ascii_lower, bound, hinted, settled, words_of
 
+#: How many rare words of a file the SQL of op5_license_scan looks up; this module has no such limit.
 RAREST = 6
 
 #: The plain phrases and their labels.
@@ -66,7 +67,7 @@ def _texts(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def scan_licenses(docs: DataFrame, rarest: int = RAREST) -> DataFrame:
+def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score."""
     posted = postings()
     vocabulary = sorted({p[0] for p in posted})
@@ -79,7 +80,8 @@ def scan_licenses(docs: DataFrame, rarest: int = RAREST) -> DataFrame:
     narrow = split.select("doc_id", "_key", "maybe", F.size("w").cast("long").alias("n_words"), F.array_intersect("w", _texts(vocabulary)).alias("held"))
     narrow = settled(narrow.select("doc_id", "_key", "maybe", "n_words", "held"))
     df = dict(narrow.select(F.explode("held").alias("word")).groupBy("word").count().collect())  # at most the vocabulary
-    counts = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, df.get(w, 0))])
+    # The rarest key word of each template.
+    rarest = {t: min((q[0] for q in posted if q[1] == t and q[3]), key=lambda w: (df.get(w, 0), w)) for t in TEMPLATES}
 
     # The files that may hold a phrase, with their words.
     few = hinted(settled(narrow.where("maybe").select("_key").distinct()))
@@ -98,19 +100,17 @@ def scan_licenses(docs: DataFrame, rarest: int = RAREST) -> DataFrame:
 
     def look_up(words: Column) -> Column:
         at = [places(words, p).alias(label) for p, label in PHRASES.items()]
-        ranked = F.array_sort(F.transform(F.array_intersect(words, _texts(vocabulary)), lambda w: F.struct(counts[w].alias("n"), w.alias("w"))))
-        rare = F.transform(F.slice(ranked, 1, rarest), lambda x: x["w"])
         own = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(vocabulary))
-        return F.struct(F.struct(*at).alias("places"), rare.alias("rare"), own.alias("own"))
+        return F.struct(F.struct(*at).alias("places"), own.alias("own"))
 
     read = settled(files.select("_key", bound(F.col("w"), look_up).alias("x")).select("_key", "x.*"))
-    listed = [F.struct(F.lit(w).alias("word"), F.lit(t).alias("label"), F.lit(at).alias("place"), F.lit(k).alias("in_key")) for w, t, at, k in posted]
+    listed = [F.struct(F.lit(t).alias("label"), F.lit(at).alias("place"), F.lit(k).alias("in_key"), F.lit(w == rarest[t]).alias("is_rare")) for w, t, at, k in posted]
     # The index is a constant of the query: some hundred postings, looked up inside each row.
     by_word = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.array(*[p for p, q in zip(listed, posted) if q[0] == w]))])
     # Only templates and starts that a rare word votes for are looked at; all words then show what stands there.
-    votes = read.select("_key", "rare", F.explode("own").alias("o")).select("_key", F.array_contains("rare", F.col("o.word")).alias("is_rare"), "o.at", F.explode(by_word[F.col("o.word")]).alias("p"))
+    votes = read.select("_key", F.explode("own").alias("o")).select("_key", "o.at", F.explode(by_word[F.col("o.word")]).alias("p"))
     aligned = votes.groupBy("_key", F.col("p.label").alias("label"), (F.col("at") - F.col("p.place")).alias("start")).agg(
-        F.count_if("is_rare").alias("votes"), F.count_if("p.in_key").alias("keys"), F.count(F.lit(1)).alias("matched")
+        F.count_if("p.is_rare").alias("votes"), F.count_if("p.in_key").alias("keys"), F.count(F.lit(1)).alias("matched")
     )
     total = {t: sum(q[1] == t for q in posted) for t in TEMPLATES}
     needed = {t: sum(q[1] == t and q[3] for q in posted) for t in TEMPLATES}

@@ -183,6 +183,16 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_of_long_files(spark):
+    """Two notices in one file, of which one has only words that many files hold; ordinary words of the vocabulary besides."""
+    notice = license_scan.TEMPLATES["mit-notice"].translate({91: None, 93: None})
+    gpl = "Licensed under the GNU General Public License, version 3."
+    texts = [f"{notice} fee binary subject. " + "some prose " * 500 + "Apache License, Version 2.0", "subject modify fee person purpose binary " + gpl] + ["the Apache License Version 2 0 of the GNU general public license version 3"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(df).collect()}
+    assert [got[i] for i in (0, 1, 2)] == ["apache,apache-2.0,mit-notice", "gpl,gpl-3.0", "apache,apache-2.0,gpl,gpl-3.0"]
+
+
 # 6
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 4079, 4080, 4081, 8160, 8161, 12241, 200_001])
 def test_ogg_round_trip(n):
