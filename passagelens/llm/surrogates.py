@@ -8,8 +8,8 @@ the title's gender and of the name's script. The normal form leaves out case and
 a value get one surrogate each in its own spelling, in all documents.
 
 Collision checks: over the distinct values of all documents, two values of a kind must not share a surrogate and a
-surrogate must not be another real value of the corpus. Values that break this get the next attempt,
-until none does. Only values with a later attempt are joined to documents; all others need no join.
+surrogate must not be another real value of the corpus, in no spelling. Values that break this get the next attempt,
+until none does; names and mail addresses get longer every GROWS attempts, as short ones run out. If MOST_TRIES don't do, that is an error. Only values with a later attempt are joined to documents; all others need no join.
 
 Defined results: null texts stay null and hold nothing; rows that repeat a doc_id are rewritten one by one; an empty
 table gives an empty table; columns of docs named as the added ones are replaced.
@@ -33,7 +33,8 @@ KINDS = {
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}[\p{L}'\-]+(?: \p{Lu}[\p{L}'\-]+)?",
 }
 _ANY = "|".join(KINDS.values())
-_CHEAP = r"[0-9@]|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}"
+#: Found in every text that _ANY is found in.
+_CHEAP = r"[0-9@]|[a-f]{32}|[A-F]{32}|AKIA[A-Z]{16}|(?:ghp|gho|sk|pk|xoxb)[_\-][A-Za-z_\-]{16}|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}"
 #: Given names by gender and script, and syllables of family names.
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Paul".split(),
@@ -45,6 +46,9 @@ SYLLABLES = {"latin": "ba den fer gol hal kem lin mor nas pel ros sten tal ver w
 #: Letters of other scripts and of Latin with marks, by the pattern of the letter that they replace.
 LETTERS = {"[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\p{IsCyrillic}&&\p{Ll}]": "абвгдежзиклмнопрстуфхц", r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦ", r"[\p{IsGreek}&&\p{Ll}]": "αβγδεζηθικλμνξοπρστυφχψω", r"[\p{IsGreek}&&\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"[\p{IsLatin}&&\p{Ll}]": "àáâãèéêìíîòóôõùúû", r"[\p{IsLatin}&&\p{Lu}]": "ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛ"}
 
+#: A surrogate of a name or mail address gets one more syllable or letter after so many attempts; so many attempts a value at most.
+GROWS, MOST_TRIES = 3, 200
+
 
 def normal(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]+", ""))
@@ -105,6 +109,15 @@ def _card(value: Column, woven: Column) -> Column:
     return F.when(_luhn(digits(value)) % 10 == 0, right).otherwise(wrong)
 
 
+def _longer(attempt: Column) -> Column:
+    return F.floor(attempt / GROWS).cast("int")
+
+
+def _more_letters(stream: Column, attempt: Column) -> Column:
+    n = _longer(attempt)
+    return F.array_join(F.transform(F.slice(F.sequence(F.lit(1), n + 1), F.lit(1), n), lambda j: _one_of(LETTERS["[a-z]"], _number(stream, 128 - j))), "")
+
+
 def _name(value: Column, stream: Column, attempt: Column) -> Column:
     title = F.regexp_extract(value, r"^(\p{L}+\.? )", 1)
     parts = F.size(F.split(F.substr(value, F.length(title) + 1), " "))
@@ -116,7 +129,7 @@ def _name(value: Column, stream: Column, attempt: Column) -> Column:
         pick = (gender == g) & (script == s)
         given = F.when(pick, _one_of(names, _number(stream, F.lit(0)))) if given is None else given.when(pick, _one_of(names, _number(stream, F.lit(0))))
     for s, syllables in SYLLABLES.items():
-        own = F.concat(*[_one_of(syllables, _number(stream, F.lit(j))) for j in range(1, 4)], F.when(attempt > 2, _one_of(syllables, _number(stream, F.lit(4)))).otherwise(""))
+        own = F.array_join(F.transform(F.sequence(F.lit(1), 3 + _longer(attempt)), lambda j: _one_of(syllables, _number(stream, j))), "")
         surname = F.when(script == s, own) if surname is None else surname.when(script == s, own)
     family = F.concat(F.upper(F.substring(surname, 1, 1)), F.substr(surname, F.lit(2)))
     return F.concat(title, F.when(parts > 1, F.concat(given, F.lit(" "))).otherwise(""), family)
@@ -131,7 +144,7 @@ def surrogate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
         octets = F.array_join(F.transform(F.split(value, r"\."), lambda x, i: (_number(stream, i) % 254 + 1).cast("string")), ".")
         code = F.regexp_extract(value, r"^(\+[0-9]{1,3}|)", 1)
         return (
-            F.when(kind == "email", F.concat(_woven(local, stream), F.lit("@"), site, F.lit("."), top))
+            F.when(kind == "email", F.concat(_woven(local, stream), _more_letters(stream, attempt), F.lit("@"), site, F.lit("."), top))
             .when(kind == "ip", octets)
             .when(kind == "phone", F.concat(code, _woven(F.substr(value, F.length(code) + 1), stream)))
             .when(kind == "card", bound(_woven(value, stream), lambda w: _card(value, w)))
@@ -142,24 +155,25 @@ def surrogate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
     return bound(_stream(key, kind, normal(value), attempt), made)
 
 
-def _resolved(values: DataFrame, key: str, tries: int = 20) -> DataFrame:
+def _resolved(values: DataFrame, key: str, tries: int = MOST_TRIES) -> DataFrame:
     """kind, norm, attempt of the distinct values that need an attempt after the first."""
 
     def attempted(df: DataFrame) -> DataFrame:
         return df.withColumn("made", normal(surrogate(F.col("value"), F.col("kind"), F.col("attempt"), key)))
 
-    real = settled(values.groupBy("kind", "norm").agg(F.min("value").alias("value")))
-    now = settled(attempted(real.withColumn("attempt", F.lit(0))))
+    spelled = settled(values.select("kind", "norm", "value").distinct())
+    real = settled(spelled.select("kind", F.col("norm").alias("made")).distinct())
+    now = settled(attempted(spelled.withColumn("attempt", F.lit(0))))
     for _ in range(tries):
-        shared = now.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1")
+        shared = now.groupBy("kind", "made").agg(F.min("norm").alias("least"), F.max("norm").alias("most"), F.min(F.struct("attempt", "norm")).alias("first")).where("least <> most")
         later = now.join(shared, ["kind", "made"]).where(F.col("norm") != F.col("first.norm")).select("kind", "norm")
-        leaking = now.join(real.select("kind", F.col("norm").alias("made")), ["kind", "made"], "left_semi").select("kind", "norm")
+        leaking = now.join(real, ["kind", "made"], "left_semi").select("kind", "norm")
         bad = settled(later.unionByName(leaking).distinct())
         if bad.isEmpty():
-            break
+            return now.where("attempt > 0").select("kind", "norm", "attempt").distinct()
         again = now.join(bad, ["kind", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         now = settled(now.join(bad, ["kind", "norm"], "left_anti").unionByName(attempted(again.drop("made"))))
-    return now.where("attempt > 0").select("kind", "norm", "attempt")
+    raise ValueError(f"{bad.count()} values have no surrogate of their own after {tries} attempts")
 
 
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:

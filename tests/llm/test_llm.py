@@ -273,6 +273,24 @@ def test_surrogates_stay_distinct(spark):
     assert all(r.text == f"{m} and {m}" for r, m in zip(rows, made))
 
 
+def test_surrogates_never_run_out(spark):
+    """More values than there are surrogates of their length, and spellings of which only some collide."""
+    letters = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+    pairs = [(f"Mr. {a}{b}a {c}o", f"Mr. {a}{b}a-{c}o") for a in "ABCDEFGHIJ" for b in "aeiou" for c in ("Bel", "Dan", "Mir", "Nor", "Pet", "Ros", "Sil", "Tom")]
+    texts = [f"{c}@mail.example.com" for c in letters] + [x for pair in pairs for x in pair]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = [r.text for r in sorted(surrogates.replace_personal_data(df, "k").collect(), key=lambda r: r.doc_id)]
+    mails, whole, joined = made[: len(letters)], made[len(letters) :: 2], made[len(letters) + 1 :: 2]
+    assert len(set(mails)) == len(letters) and len(set(whole)) == len(set(joined)) == len(pairs)
+    assert not set(made) & set(texts)
+
+
+def test_surrogates_of_tokens_without_digits(spark):
+    texts = ["key ghp_abcdefghijklmnopqrstuv", "AKIA" + "QWERTYUIOPASDFGH", "deadbeef" * 4, "DEADBEEF" * 4]
+    rows = surrogates.replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    assert all(r.n_token == 1 and r.text != texts[r.doc_id] for r in rows)
+
+
 # 8
 def test_quality(spark, docs, empty):
     rng = random.Random(8)
