@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of at most so many narrow rows (some 20 bytes each) may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
+#: The tables that settled() has written and nobody has discarded, oldest first.
+_written: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,9 +39,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the session's checkpoint folder, with the lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of df as a table in the session's checkpoint folder, with the lineage cut. discard() removes it again."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A mark for discard()."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Removes the tables settled since a mark; what was made from them must have been written."""
+    for path in _written[since:]:
+        remove(spark, path)
+    del _written[since:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def hinted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -45,14 +68,15 @@ def hinted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that hands Python few rows at a time: whole texts may be long, and each batch is held several times."""
-    conf = df.sparkSession.conf
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        now = conf.get(name, None)
-        if now is None or not now.isdigit() or not 0 < int(now) <= most:
-            conf.set(name, str(most))
-    return df
+def row_key(*columns: str) -> Column:
+    """128 bits that stand for the named columns' values: two hashes that start differently."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
+def kept_columns(df: DataFrame, *replaced: str) -> Column:
+    """df's columns as one struct, but for those that an operator adds itself: so no name of its own can clash with theirs."""
+    own = [df[c] for c in df.columns if c not in replaced]
+    return F.struct(*own) if own else F.struct(F.lit(None).alias("_"))
 
 
 def pieces(text: Column, gap: str) -> Column:
@@ -66,6 +90,11 @@ def n_pieces(parts: Column) -> Column:
     return (F.size(parts) - ends).cast("long")
 
 
+def n_words(text: Column) -> Column:
+    """How many words a text has; null has none."""
+    return bound(pieces(text, WORD_GAP), n_pieces)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text that is in lower case already; null has none."""
 
@@ -88,5 +117,23 @@ def number_of(doc_id: Column) -> Column:
 
 
 def train_row(doc_id: Column) -> Column:
-    """Rows that models may learn labels from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
+    """Rows that models may learn labels from; a row without an id is none."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows kept from learning by their id; one without an id has no remainder and is not among them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, hot: int = 10_000) -> DataFrame:
+    """left joined with right, which is settled, has one row a key and says in column n how many rows of left it meets.
+
+    A key of more than `hot` rows is joined by a broadcast of such keys, of which there are at most len(left) / hot, so
+    that its rows stay where they are; only the others are shuffled.
+    """
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on)
+    large = hinted(settled(right.where(F.col(n) > hot)))
+    rest = left.join(large.select(*on), on, "left_anti").join(right.where(F.col(n) <= hot), on)
+    return left.join(large, on).unionByName(rest)

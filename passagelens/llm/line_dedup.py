@@ -1,111 +1,167 @@
-"""Line dedup by winnowing over line hashes.
-
-A text is a sequence of lines, compared without the white space around and with one blank for any inside. A
-repeated run is a sequence of lines of at least `least_words` words in all that stood earlier in the corpus, in the
-order of doc_id and line. Later copies of repeated runs are deleted.
-
-Windows are the shortest sequences of lines with that many words, one from each line on and one up to each line. The
-least line hash in a window, its minimum, is the window's fingerprint. Equal runs have equal windows with equal minima,
-so that every repeated run is found; texts whose fingerprints all occur once need no further look. Among windows of
-one fingerprint, those with equal contents are told by a hash of all their lines. Extending a match both ways is what
-the two kinds of windows do: each line of a repeated run lies in a window from its start or up to its end that
-is inside the run. So a window's occurrences are compared with the first one only, and a frequent line or
-passage costs one row an occurrence, never a row a pair.
-
-The first occurrence of a line's run stays, so that no line vanishes from the corpus.
-
-Defined results: null texts stay null, with 0 lines; blank lines belong to no window and stay unless they are inside
-a deleted run; a text of which every line goes becomes empty, its row stays; rows that share a doc_id are
-ordered by their text's hash, and rows that share both are one place in the order: what one loses, all lose; rows
-without a doc_id come last; an empty table gives an empty table.
+"""Line dedup by winnowing.
+
+A repeated run is a sequence of at least LEAST_WORDS words that stood earlier in the corpus, in the order of doc_id
+and place, whatever line breaks and blanks are between the words; A-Z counts as a-z. Later copies are deleted.
+
+Passages start and end inside lines (and a line may hold several), so hashes of the text's own lines can't guarantee to find
+them. Lines are therefore cut from every word on: the hash of the LINE words from a word on is a line hash.
+
+1. Select. Of every LEAST_WORDS words in sequence the least line hash is their fingerprint. Equal windows have equal
+   minima, so that every repeated run shares a fingerprint at the same place; about one word in 18 is selected.
+2. Join. Fingerprints are counted with map-side sums. Texts whose fingerprints all occur once need no further look.
+3. Extend. From the places of fingerprints that occur again, matches are extended both ways to the windows whose minimum they are, and
+   compared by 128 bits over all words of the window. Each later window meets the first one of its contents only, so that a passage
+   of any number of copies costs a row a copy and word, never a row a pair.
+4. Delete. Words of later windows go, but for those that lie in the first window itself where the two overlap. A line that loses all
+   its words vanishes, one that loses some is joined from the others by single blanks, others stay byte for byte.
+
+Defined results: null texts stay null; a text that loses all its words becomes empty, its row stays; blank lines stay
+otherwise; rows that share a doc_id are ordered by their text's hash, and rows that share both are one place in the order: what
+one loses, all lose; rows without a doc_id come last; an empty table gives an empty table; a column n_deleted of
+docs is replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, in_small_batches, number_of, settled
-
-LEAST_WORDS = 50
-
-
-def line_windows(text: str, least_words: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """(fingerprint, contents, first line, last line) of each window, and the number of lines."""
+from .common import hinted, kept_columns, number_of, row_key, settled, spread_join
+from .shingles import batches, mixed, numbers, word_hashes
+
+LEAST_WORDS, LINE = 50, 16
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BASES = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F)
+
+
+def _least(x: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
+    """The least (or by pick) of each `width` consecutive values."""
+    span = 1
+    while 2 * span <= width:
+        x, span = pick(x[:-span], x[span:]), 2 * span
+    return pick(x[: len(x) - width + span], x[width - span :])
+
+
+def winnowed(texts: list[str], least: int) -> tuple[np.ndarray, ...]:
+    """Word hashes, their text, the first word of each text, line hashes, window minima, and the starts of whole windows."""
+    words, n = word_hashes(texts)
+    first = np.concatenate([[0], np.cumsum(n)])
+    owner = np.repeat(np.arange(len(texts)), n)
+    if len(words) < least:
+        none = np.zeros(0, np.uint64)
+        return words, owner, first, none, none, np.zeros(0, np.int64)
+    line = min(LINE, least)
+    factors = numbers(2, line)
+    lines = np.zeros(len(words) - line + 1, np.uint64)
+    for j in range(line):
+        lines += words[j : len(words) - line + 1 + j] * factors[j]
+    lines = mixed(lines)
+    minima = _least(lines, least - line + 1)
+    at = np.arange(len(minima))
+    return words, owner, first, lines, minima, at[at + least <= first[owner[at] + 1]]
+
+
+def selected(texts: list[str], least: int) -> pd.DataFrame:
+    """text, fingerprint, n: how often each fingerprint is selected in each text."""
+    _, owner, _, lines, minima, starts = winnowed(texts, least)
+    if not len(starts):
+        return pd.DataFrame({"text": [], "fingerprint": [], "n": []}, dtype=np.int64)
+    whole = np.zeros(len(minima), np.uint64)
+    whole[starts] = minima[starts]
+    width = len(lines) - len(minima) + 1
+    edge = np.zeros(width - 1, np.uint64)
+    places = np.flatnonzero((_least(np.concatenate([edge, whole, edge]), width, np.maximum) == lines) & (lines > 0))
+    frame = pd.DataFrame({"text": owner[places], "fingerprint": lines[places].view(np.int64)})
+    return frame.groupby(["text", "fingerprint"], sort=False).size().rename("n").reset_index()
+
+
+def extended(texts: list[str], least: int, shared: np.ndarray) -> pd.DataFrame:
+    """text, pos, a, b: the windows whose minimum is among `shared`, by their first word, with two hashes of all their words."""
+    words, owner, first, _, minima, starts = winnowed(texts, least)
+    starts = starts[np.isin(minima[starts].view(np.int64), shared)]
+    out = {"text": owner[starts], "pos": (starts - first[owner[starts]]).astype(np.int32)}
+    for name, base, own in zip("ab", _BASES, (words, mixed(words + np.uint64(1)))):
+        powers = np.full(len(words), base, np.uint64)
+        powers[:1] = 1
+        back = np.full(len(words), pow(base, -1, 1 << 64), np.uint64)
+        back[:1] = 1
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(own * np.cumprod(powers))])
+        out[name] = mixed((sums[starts + least] - sums[starts]) * np.cumprod(back)[starts]).view(np.int64)
+    return pd.DataFrame(out)
+
+
+def without(text: str, begins: np.ndarray, ends: np.ndarray) -> tuple[str, int]:
+    """text without the words in begins[i]:ends[i], and how many went."""
     lines = text.split("\n")
-    words = [x.split() for x in lines]
-    full = [i for i, w in enumerate(words) if w]
-    hashes = [xxhash.xxh3_64_intdigest(" ".join(words[i])) - (1 << 63) for i in full]
-    sums = [0]
-    for i in full:
-        sums.append(sums[-1] + len(words[i]))
-    out = set()
-    end = 0
-    for start in range(len(full)):  # from each line on
-        while end < len(full) and sums[end] - sums[start] < least_words:
-            end += 1
-        if sums[end] - sums[start] < least_words:
-            break
-        out.add((start, end))
-    start = len(full)
-    for end in range(len(full), 0, -1):  # up to each line
-        start = min(start, end)
-        while start > 0 and sums[end] - sums[start] < least_words:
-            start -= 1
-        if sums[end] - sums[start] < least_words:
-            break
-        out.add((start, end))
-    found = []
-    for a, b in sorted(out):
-        own = hashes[a:b]
-        contents = xxhash.xxh3_64_intdigest(np.array(own, np.int64).tobytes()) - (1 << 63)
-        found.append((min(own), contents, full[a], full[b - 1]))
-    return found, len(lines)
+    words = [_WORD.findall(x) for x in lines]
+    total = sum(map(len, words))
+    marks = np.zeros(total + 1, np.int64)
+    np.add.at(marks, begins, 1)
+    np.add.at(marks, ends, -1)
+    gone = np.cumsum(marks)[:-1] > 0
+    if gone.all():
+        return "", total
+    out, at = [], 0
+    for line, own in zip(lines, words):
+        lost = gone[at : at + len(own)]
+        at += len(own)
+        if not lost.any():
+            out.append(line)
+        elif not lost.all():
+            out.append(" ".join(w for w, x in zip(own, lost) if not x))
+    return "\n".join(out), int(gone.sum())
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs' columns, later copies of repeated runs deleted from text, with n_lines and n_deleted."""
+    """docs' columns, later copies of repeated runs deleted from text, with n_deleted, the number of words that went."""
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for part in (frame.iloc[i : i + 1000] for i in range(0, len(frame), 1000)):
-                rows = [(d, k, *w) for d, k, t in part.itertuples(index=False, name=None) if t for w in line_windows(t, least_words)[0]]
-                yield pd.DataFrame(rows, columns=["doc_id", "row", "fingerprint", "contents", "first", "last"])
-
-    row = F.xxhash64("doc_id", "text")
-    keyed = in_small_batches(docs).select(number_of(F.col("doc_id")).alias("doc_id"), row.alias("row"), "text")
-    windows = settled(keyed.mapInPandas(cut, "doc_id long, row long, fingerprint long, contents long, first int, last int"))
-    # Winnowed join: windows by fingerprint and contents, each against the first place where it stands.
-    groups = windows.groupBy("fingerprint", "contents").agg(F.min(F.struct("doc_id", "row", "first")).alias("origin"), F.count(F.lit(1)).alias("n"))
-    repeated = hinted(settled(groups.where("n > 1").drop("n")))
-    later = windows.join(repeated, ["fingerprint", "contents"]).where(F.struct("doc_id", "row", "first") > F.col("origin"))
-    runs = later.groupBy("doc_id", "row").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+            texts = frame.text.fillna("").tolist()
+            yield from (frame.iloc[part].assign(text=texts[part]) for part in batches(texts))
+
+    def select(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts(frames):
+            own = selected(part.text.tolist(), least_words)
+            yield pd.DataFrame({c: part[c].to_numpy()[own.text] for c in ("id", "ka", "kb")} | {"fingerprint": own.fingerprint, "n": own.n})
+
+    def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts(frames):
+            own = extended(part.text.tolist(), least_words, np.unique(np.concatenate(part.shared.tolist())))
+            yield pd.DataFrame({c: part[c].to_numpy()[own.text] for c in ("id", "ka", "kb")} | {c: own[c] for c in ("pos", "a", "b")})
+
+    key = row_key("doc_id", "text")
+    keyed = docs.select(number_of(F.col("doc_id")).alias("id"), key.alias("key"), "text").select("id", F.col("key.a").alias("ka"), F.col("key.b").alias("kb"), "text")
+    places = settled(keyed.mapInPandas(select, "id long, ka long, kb long, fingerprint long, n long").distinct())
+    counts = settled(places.groupBy("fingerprint").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_texts")).where("total > 1").drop("total"))
+    hits = spread_join(places.select("ka", "kb", "fingerprint"), counts, ["fingerprint"], "n_texts")
+    again = settled(hits.groupBy("ka", "kb").agg(F.collect_list("fingerprint").alias("shared")))
+    texts = keyed.join(hinted(settled(again.select("ka", "kb"))), ["ka", "kb"], "left_semi")
+    windows = texts.join(again, ["ka", "kb"]).dropDuplicates(["ka", "kb"])
+    windows = settled(windows.select("id", "ka", "kb", "text", "shared").mapInPandas(extend, "id long, ka long, kb long, pos int, a long, b long"))
+
+    groups = windows.groupBy("a", "b").agg(F.min(F.struct("id", "ka", "kb", "pos")).alias("origin"), F.count(F.lit(1)).alias("n"))
+    repeated = settled(groups.where("n > 1"))
+    later = spread_join(windows, repeated, ["a", "b"], "n").where(F.struct("id", "ka", "kb", "pos") > F.col("origin"))
+    overlaps = (F.col("ka") == F.col("origin.ka")) & (F.col("kb") == F.col("origin.kb"))
+    begin = F.when(overlaps, F.greatest("pos", F.col("origin.pos") + least_words)).otherwise(F.col("pos"))
+    runs = later.groupBy("ka", "kb").agg(F.collect_list(begin).alias("begins"), F.collect_list(F.col("pos") + least_words).alias("ends"))
+    runs = settled(runs.select(F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("key"), "begins", "ends"))
 
     def kept(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, firsts, lasts in columns:
-            rows = []
-            for t, a, b in zip(texts, firsts, lasts):
-                lines = t.split("\n")
-                gone = np.zeros(len(lines) + 1, np.int64)
-                np.add.at(gone, np.asarray(a), 1)
-                np.add.at(gone, np.asarray(b) + 1, -1)
-                stays = np.cumsum(gone)[:-1] == 0
-                rows.append(("\n".join(x for x, s in zip(lines, stays) if s), int((~stays).sum())))
-            yield pd.DataFrame(rows, columns=["text", "n_deleted"])
-
-    rest = F.pandas_udf(kept, "text string, n_deleted long")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "_row", "_firsts", "_lasts", "_cut")]
-    found = settled(runs.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("firsts").alias("_firsts"), F.col("lasts").alias("_lasts")))
-    few = hinted(found.select("_id", "_row"))
-    base = docs.select(*own, row.alias("_key"))
-    same = (number_of(F.col("doc_id")) == F.col("_id")) & (F.col("_key") == F.col("_row"))
-    whole = base.join(few, same, "left_anti").select(*own, F.lit(0).cast("long").alias("n_deleted"), F.col("text").alias("_before"))
-    touched = base.join(few, same, "left_semi").join(found, same).withColumn("_cut", rest("text", "_firsts", "_lasts"))
-    touched = touched.select(*[F.col("_cut.text").alias("text") if c == "text" else c for c in own], F.col("_cut.n_deleted").alias("n_deleted"), F.col("text").alias("_before"))
-    n_lines = F.when(F.col("_before").isNull(), 0).otherwise(F.size(F.split("_before", "\n"))).cast("long")
-    return whole.unionByName(touched).select(*own, n_lines.alias("n_lines"), "n_deleted")
+        for texts, begins, ends in columns:
+            yield pd.DataFrame([without(t, a, b) for t, a, b in zip(texts, begins, ends)], columns=["text", "n_deleted"])
+
+    cut = F.pandas_udf(kept, "text string, n_deleted long")
+    few = hinted(runs.select("key"))
+    base = docs.select(kept_columns(docs, "n_deleted").alias("own"), key.alias("key"))
+    whole = base.join(few, "key", "left_anti").select("own", F.lit(0).cast("long").alias("n_deleted"))
+    touched = base.join(few, "key", "left_semi").join(runs, "key").select("own", cut("own.text", "begins", "ends").alias("cut"))
+    touched = touched.select(F.col("own").withField("text", F.col("cut.text")).alias("own"), F.col("cut.n_deleted").alias("n_deleted"))
+    return whole.unionByName(touched).select("own.*", "n_deleted")

@@ -26,23 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hinted, in_small_batches, number_of, settled
+from .common import NO_ID, hinted, number_of, settled
 from .components import components
 from .crowds import crowd_links, crowds
-from .shingles import mixed, numbers, shingle_sets
+from .shingles import batches, mixed, numbers, shingle_sets
 
 TREES, DEPTH, LEAST, NEIGHBOURS = 12, 6, 3, 3
-BATCH_CHARS = 1_000_000
 _H = [f"h{i}" for i in range(DEPTH)]
 
 
-def _batches(texts: list[str]) -> Iterator[slice]:
-    """Runs of texts of about BATCH_CHARS characters."""
-    group = np.cumsum([0, *map(len, texts)])[:-1] // BATCH_CHARS
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(texts)] if texts else []
-    return (slice(a, b) for a, b in zip(cuts, cuts[1:]))
-
-
 def signed(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (a hash of the set in two parts) and sig (the minima) of each text."""
     n_minima = TREES * DEPTH
@@ -51,7 +43,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame.text.fillna("").tolist()
-            for part in _batches(texts):
+            for part in batches(texts):
                 hashes, at = shingle_sets(texts[part], k)
                 sizes = np.diff(at)
                 some = np.flatnonzero(sizes)
@@ -65,7 +57,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     sums[some, 1] = np.bitwise_xor.reduceat(mixed(hashes), begin).view(np.int64)
                 yield pd.DataFrame({"doc_id": frame.doc_id.iloc[part].values, "n_shingles": sizes, "set_a": sums[:, 0], "set_b": sums[:, 1], "sig": list(sig.view(np.int32))})
 
-    return in_small_batches(docs).select(number_of(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(sign, "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>")
+    return docs.select(number_of(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(sign, "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>")
 
 
 def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +118,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         for frame in frames:
             left, right = frame.ta.fillna("").tolist(), frame.tb.fillna("").tolist()
             good = np.zeros(len(frame), bool)
-            for part in _batches([x + y for x, y in zip(left, right)]):
+            for part in batches([x + y for x, y in zip(left, right)]):
                 (x, at), (y, to) = shingle_sets(left[part], k), shingle_sets(right[part], k)
                 for i in range(len(at) - 1):
                     p, q = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
@@ -149,13 +141,13 @@ def _crowd_sets(docs: DataFrame, crowd: DataFrame, k: int) -> DataFrame:
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame.text.tolist()
-            for part in _batches(texts):
+            for part in batches(texts):
                 hashes, at = shingle_sets(texts[part], k)
                 own = [hashes[a:b].tobytes() for a, b in zip(at, at[1:])]
                 yield frame.iloc[part][["id", "crowd"]].assign(n=np.diff(at), set=own)
 
     texts = docs.where("text IS NOT NULL").select(number_of(F.col("doc_id")).alias("id"), "text").join(hinted(crowd), "id").dropDuplicates(["id", "text"])
-    sets = settled(in_small_batches(texts).mapInPandas(hashed, "id long, crowd long, n long, set binary").where("n > 0"))
+    sets = settled(texts.mapInPandas(hashed, "id long, crowd long, n long, set binary").where("n > 0"))
     many = settled(sets.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("many")))
     return sets.join(hinted(many), "id", "left").withColumn("many", F.coalesce("many", F.lit(False)))
 

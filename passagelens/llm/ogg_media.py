@@ -26,7 +26,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
 
 PACKET, STREAMS, RATE, BLOCK = 4080, 2, 8000, 64
 PAGE_SEGMENTS = 48  # lacing values a page; a page may hold up to 255
@@ -157,4 +156,4 @@ def ogg_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 
     schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     store = F.pandas_udf(stored, schema + ", media binary" * keep_media)
-    return in_small_batches(docs).select("doc_id", store("text").alias("_stored")).select("doc_id", "_stored.*")
+    return docs.select("doc_id", store("text").alias("_stored")).select("doc_id", "_stored.*")

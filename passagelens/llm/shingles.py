@@ -1,7 +1,8 @@
-"""Hashed word shingles of a batch of texts, over whole columns of bytes at once."""
+"""Hashed words and word shingles of a batch of texts, over whole columns of bytes at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -9,8 +10,19 @@ import numpy as np
 _ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACES = bytes(np.flatnonzero(_SPACE).tolist())
 _PRIME = 0x9E3779B97F4A7C55
 _INVERSE = pow(_PRIME, -1, 1 << 64)
+#: Texts are hashed by so many bytes at a time; only a word that is longer is taken whole.
+PIECE_BYTES = 4 << 20
+BATCH_CHARS = 1_000_000
+
+
+def batches(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about BATCH_CHARS characters."""
+    group = np.cumsum([0, *map(len, texts)])[:-1] // BATCH_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(texts)] if texts else []
+    return (slice(a, b) for a, b in zip(cuts, cuts[1:]))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,18 +47,38 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+def _cuts(data: bytes) -> Iterator[bytes]:
+    """data in pieces of about PIECE_BYTES that end in white space, but for the last."""
+    at = 0
+    while len(data) - at > PIECE_BYTES:
+        end = at + PIECE_BYTES
+        while end < len(data) and data[end] not in _SPACES:
+            end += 1
+        yield data[at : end + 1]
+        at = end + 1
+    yield data[at:]
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of data, and where each begins."""
+    raw = np.frombuffer(data.translate(_ASCII_LOWER) + b"\n", np.uint8)
+    size = 1 << max(12, len(raw).bit_length())
+    word = ~_SPACE[raw]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    edge = np.concatenate([[0], edge]) if word[0] else edge
+    begin, end = edge[0::2], edge[1::2]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[raw] * _powers(_PRIME, size)[: len(raw)], out=sums[1:])
+    return mixed((sums[end] - sums[begin]) * _powers(_INVERSE, size)[begin]), begin
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and the number of words of each text. Words stand between ASCII white space; A-Z counts as a-z."""
     encoded = [t.encode("utf-8") for t in texts]
-    data = np.frombuffer(b"\n".join(encoded).translate(_ASCII_LOWER) + b"\n", np.uint8)
-    size = 1 << max(12, len(data).bit_length())
-    word = ~_SPACE[data]
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    edge = np.concatenate([[0], edge]) if len(word) and word[0] else edge
-    begin, end = edge[0::2], edge[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * _powers(_PRIME, size)[: len(data)], out=sums[1:])
-    hashes = mixed((sums[end] - sums[begin]) * _powers(_INVERSE, size)[begin])
+    if sum(map(len, encoded)) > PIECE_BYTES:
+        each = [np.concatenate([_hashed(part)[0] for part in _cuts(data)]) for data in encoded]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+    hashes, begin = _hashed(b"\n".join(encoded))
     stops = np.cumsum([len(e) + 1 for e in encoded])
     upto = np.searchsorted(begin, stops)
     return hashes, np.diff(np.concatenate([[0], upto]))

@@ -53,17 +53,18 @@ FROM d LEFT JOIN based USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN bl
 
 OP2 = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
-n AS (SELECT doc_id, i, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM l),
-f AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, sum(len(string_split(line, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS upto, len(string_split(line, ' ')) AS own FROM n WHERE line <> ''),
-w AS (
-  SELECT a.doc_id, a.k AS s, min(b.k) AS e FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.own >= 50 GROUP BY ALL
-  UNION
-  SELECT b.doc_id, max(a.k), b.k FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.own >= 50 GROUP BY b.doc_id, b.k),
-c AS (SELECT w.doc_id, s, e, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY k) AS content FROM w JOIN f ON f.doc_id = w.doc_id AND k BETWEEN s AND e GROUP BY ALL),
-later AS (SELECT doc_id, first, last FROM c QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, first) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM later),
-kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
-SELECT doc_id, kept.text AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted FROM documents LEFT JOIN kept USING (doc_id)
+s AS (SELECT doc_id, i, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+f AS (SELECT doc_id, i, unnest(w) AS word, unnest(range(0, len(w))) AS j FROM s),
+p AS (SELECT doc_id, i, word, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS pos FROM f),
+c AS (SELECT doc_id, pos, md5(string_agg(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h,
+  count(*) OVER (PARTITION BY doc_id) - pos AS n FROM p),
+o AS (SELECT doc_id, pos, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos FROM c WHERE n >= 50 WINDOW w AS (PARTITION BY h ORDER BY doc_id, pos)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN first_doc = doc_id THEN greatest(pos, first_pos + 50) ELSE pos END, pos + 50)) AS pos FROM o WHERE first_doc <> doc_id OR first_pos <> pos),
+t AS (SELECT p.doc_id, i, count(*) AS n, count(g.pos) AS lost, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL) AS rest FROM p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY ALL),
+k AS (SELECT s.doc_id, sum(coalesce(lost, 0)) AS n_deleted, sum(coalesce(n, 0)) AS n,
+  string_agg(CASE WHEN coalesce(lost, 0) = 0 THEN line ELSE rest END, chr(10) ORDER BY s.i) FILTER (WHERE coalesce(lost, 0) = 0 OR lost < t.n) AS text
+  FROM s LEFT JOIN t ON t.doc_id = s.doc_id AND t.i = s.i GROUP BY s.doc_id)
+SELECT doc_id, CASE WHEN n_deleted > 0 AND n_deleted = n THEN '' ELSE k.text END AS text, coalesce(n_deleted, 0)::BIGINT AS n_deleted FROM documents LEFT JOIN k USING (doc_id)
 """
 
 OP9 = r"""

@@ -35,7 +35,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
 
 CHUNK, MAX_STATES, FEW, TRIED, NEVER = 512, 131_000, 24, 60, 1 << 30
 LETTER, NUMBER, SPACE, BLANK, OTHER = 1, 2, 3, 4, 0
@@ -306,5 +305,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, batch_chars:
             yield pd.DataFrame({"n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": tokens})
 
     count = F.pandas_udf(counted, "n_bytes long, n_tokens long")
-    out = in_small_batches(docs).select("doc_id", count("text").alias("_counted")).select("doc_id", "_counted.*")
+    out = docs.select("doc_id", count("text").alias("_counted")).select("doc_id", "_counted.*")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

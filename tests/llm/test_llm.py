@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagelens.llm import components, decontaminate, language_id, license_scan, line_dedup, minhash_forest, ogg_media, pareto_mix, quality_pu, surrogates, token_counts
+from passagelens.llm import components, decontaminate, language_id, license_scan, line_dedup, minhash_forest, ogg_media, pareto_mix, quality_pu, shingles, surrogates, token_counts
 from passagelens.llm.shingles import shingle_sets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,38 +79,65 @@ def test_token_tables_start_anew(monkeypatch):
 
 # 2
 def brute_lines(texts, least):
-    seen, out = set(), []
-    for raw in texts:
+    """(text, words that went) of each text, with every window of `least` words held against all before."""
+    seen, out = {}, []
+    for at, raw in enumerate(texts):
         lines = (raw or "").split("\n")
-        norm = [" ".join(x.split()) for x in lines]
-        full = [i for i, x in enumerate(norm) if x]
+        own = [re.findall("[^\x20\x09-\x0d]+", x) for x in lines]
+        flat = [lowered(w) for x in own for w in x]
         gone = set()
-        for a in range(len(full)):
-            total = 0
-            for b in range(a, len(full)):
-                total += len(norm[full[b]].split())
-                if total >= least:
-                    run = tuple(norm[i] for i in full[a : b + 1])
-                    if run in seen:
-                        gone |= set(range(full[a], full[b] + 1))
-                    seen.add(run)
-        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+        for i in range(len(flat) - least + 1):
+            doc, first = seen.setdefault(tuple(flat[i : i + least]), (at, i))
+            if (doc, first) != (at, i):
+                gone |= set(range(max(i, first + least) if doc == at else i, i + least))
+        left, kept = iter(range(len(flat))), []
+        for line, ws in zip(lines, own):
+            stays = [next(left) not in gone for _ in ws]
+            if all(stays):
+                kept.append(line)
+            elif any(stays):
+                kept.append(" ".join(w for w, s in zip(ws, stays) if s))
+        out.append(("" if flat and len(gone) == len(flat) else "\n".join(kept), len(gone)))
     return out
 
 
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(2)
     pool = [prose(rng, n) for n in (3, 7, 12, 20, 26, 55, 2, 4)]
-    texts = ["\n".join(rng.choice([*pool, "", prose(rng, 6)]) for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["", pool[5], pool[5] + "\n", "x\n" * 80, None]
+    texts = ["\n".join(rng.choice([*pool, "", prose(rng, 6)]) for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["", pool[5], pool[5].upper() + "\n", "x\n" * 80, "y z " * 300]
+    inside = prose(rng, 40)  # a passage within lines, that starts and ends at any word
+    texts += [f"{prose(rng, rng.randint(0, 30))} {inside} {prose(rng, rng.randint(0, 30))}" for _ in range(5)] + [inside.replace(" ", "\n\t"), None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(df, 25).collect()}
-    assert len(got) == len(texts) and got[len(texts) - 1].text is None and got[len(texts) - 1].n_lines == 0
-    assert [got[i].text for i in range(len(texts) - 1)] == brute_lines(texts[:-1], 25)
+    assert len(got) == len(texts) and got[len(texts) - 1].text is None and got[len(texts) - 1].n_deleted == 0
+    assert [(got[i].text, got[i].n_deleted) for i in range(len(texts) - 1)] == brute_lines(texts[:-1], 25)
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    """A text that holds the middle of another, and one word that is longer than what is hashed at once."""
+    rng = random.Random(21)
+    long = " ".join(f"{rng.choice(WORDS)}{i}" for i in range(60_000))
+    texts = [long, prose(rng, 30) + "\n" + long[200_000:300_000] + "\n" + prose(rng, 30), "z" * 5_000_000]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    want = brute_lines(texts, 50)
+    assert [(got[i].text, got[i].n_deleted) for i in range(3)] == want and want[1][1] > 8_000
+
+
+def test_words_are_hashed_alike_in_pieces(monkeypatch):
+    rng = random.Random(22)
+    texts = [prose(rng, 500), "", "x" * 300, " \n" * 400, "É" + prose(rng, 100) + "\t\x0b"]
+    whole = shingles.word_hashes(texts)
+    monkeypatch.setattr(shingles, "PIECE_BYTES", 64)
+    parts = shingles.word_hashes(texts)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist() == [len(t.split()) for t in texts]
 
 
 def test_line_dedup_edges(docs, empty):
-    out = line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit("old")).withColumn("_row", F.lit(1)))
-    assert out.count() == docs.count() and out.columns.count("n_lines") == 1
+    odd = docs.withColumn("n_deleted", F.lit("old")).withColumns({c: F.lit(1) for c in ("_row", "_key", "key", "own", "id", "ka", "a", "pos", "cut", "origin")})
+    out = line_dedup.dedup_lines(odd)
+    assert sorted(out.columns) == sorted(odd.columns) and out.count() == docs.count()
+    by_id = {r.doc_id: r for r in out.collect()}
+    assert by_id[8].text == "" and by_id[8].n_deleted == 60 and by_id[0].n_deleted == 0
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
