@@ -101,18 +101,27 @@ lev AS (
   FROM dealt),
 goals AS (
   SELECT source, source_size, least(cap, weight * coalesce(max(CASE WHEN level <= full_at THEN level END) OVER (), full_at)) AS target FROM lev),
-rated AS (
-  SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+cls AS (
+  SELECT s.source, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS measure, CAST(sum(size) AS BIGINT) AS words, any_value(source_size) AS source_size, any_value(target) AS target
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source GROUP BY ALL),
+lvl AS (
+  SELECT *, (target - coalesce(CAST(sum(words) OVER (PARTITION BY source ORDER BY measure DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) * 2::DOUBLE)
+    / nullif(CAST(sum(words * measure) OVER (PARTITION BY source ORDER BY measure DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) AS one
+  FROM cls),
+lvl2 AS (SELECT *, max(CASE WHEN one * measure <= 2 THEN one END) OVER (PARTITION BY source) AS level FROM lvl),
+cop AS (SELECT *, CASE WHEN measure > 0 THEN least(2::DOUBLE, coalesce(level * measure, 2::DOUBLE)) ELSE 0 END AS copies FROM lvl2),
+drawn AS (
+  SELECT source, measure, source_size, target, CAST(floor(copies) AS BIGINT) AS certain, copies - floor(copies) AS chance,
+    target - CAST(sum(CAST(floor(copies) AS BIGINT) * words) OVER (PARTITION BY source) AS BIGINT) AS remaining
+  FROM cop),
 ranked AS (
-  SELECT *, CAST(floor(ratio) AS BIGINT) AS certain,
-    CASE WHEN ratio - floor(ratio) > 0 THEN (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) END AS odds
-  FROM rated),
+  SELECT s.doc_id, s.source, s.size, d.measure, source_size, target, certain, remaining,
+    CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS odds
+  FROM sized s JOIN drawn d ON s.source IS NOT DISTINCT FROM d.source AND d.measure = CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END),
 run AS (
-  SELECT *, target - certain * source_size AS remaining,
-    CAST(sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS reached
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY floor(odds / (1 + odds) * 1099511627776), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS reached
   FROM ranked)
-SELECT doc_id, size, source_size, target, source,
+SELECT doc_id, size, source_size, target, measure, source,
   certain + CASE WHEN odds IS NOT NULL AND 2 * reached + size <= 2 * remaining THEN 1 ELSE 0 END AS copies,
   size * (certain + CASE WHEN odds IS NOT NULL AND 2 * reached + size <= 2 * remaining THEN 1 ELSE 0 END) AS taken
 FROM run

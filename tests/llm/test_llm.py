@@ -429,34 +429,91 @@ def test_shingles_of_short_texts():
 
 
 # 10
-def test_mix(spark, docs, empty):
-    rng = random.Random(10)
-    rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 60))), rng.choice(["a", "b", "c", "d", None])) for i in range(600)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x"))
-    got = pareto_mix.pareto_mix(df).collect()
-    total, sizes = 0, Counter()
-    for i, t, s in rows:
-        sizes[s] += len(t.split())
-        total += len(t.split())
-    order = [*sorted(s for s in sizes if s is not None), None]
+def brute_targets(rows, share=1.5, most=2):
+    """The target of each source, by resharing what full sources can't take."""
+    sizes, total = Counter(), 0
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    total = sum(sizes.values())
+    order = [*sorted(s for s in sizes if s is not None), *([None] if None in sizes else [])]
     weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
-    targets, open_, rest = {}, set(order), 1.5 * total
+    targets, open_, rest = {}, set(order), share * total
     while open_:
         level = rest / sum(weights[s] for s in open_)
-        over = {s for s in open_ if weights[s] * level > 2 * sizes[s]}
+        over = {s for s in open_ if weights[s] * level > most * sizes[s]}
         if not over:
             targets |= {s: weights[s] * level for s in open_}
             break
-        targets |= {s: 2 * sizes[s] for s in over}
-        rest -= sum(2 * sizes[s] for s in over)
+        targets |= {s: most * sizes[s] for s in over}
+        rest -= sum(most * sizes[s] for s in over)
         open_ -= over
+    return sizes, targets
+
+
+def brute_mix(rows, measure, seed=20, most=2):
+    """copies of each row: levels by bisection, then a walk over all ranks of a source."""
+    sizes, targets = brute_targets(rows)
+    copies = {}
+    for source, target in targets.items():
+        own = [(i, len((t or "").split()), measure(i, t)) for i, t, s in rows if s == source]
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(min(most, middle * x) * n for _, n, x in own) < target else (low, middle)
+        ranks, left = [], target
+        for i, n, x in own:
+            expected = min(most, high * x) if n else 0
+            expected = round(expected) if abs(expected - round(expected)) < 1e-9 else expected
+            copies[i] = int(expected)
+            left -= copies[i] * n
+            u = (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if (p := expected - int(expected)) > 0:
+                ranks.append((u / (1 - u) / (p / (1 - p)), u, i, n))
+        reached = 0
+        for _, _, i, n in sorted(ranks):
+            copies[i] += 2 * reached + n <= 2 * left
+            reached += n
+    return copies
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_mix_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(pareto_mix, "FEW", few)  # 3: the last ranges are cut finer before rows are ordered
+    rng = random.Random(10)
+    rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.choice([0, 1, 5, 40, 300]))), rng.choice(["a", "b", "c", "d", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x")).withColumn("rank", F.lit(1))
+    got = pareto_mix.pareto_mix(df).collect()
+    sizes, targets = brute_targets(rows)
     taken = Counter()
     for r in got:
         taken[r.source] += r.taken
         assert r.target == pytest.approx(targets[r.source]) and r.taken <= 2 * r.size and r.source_size == sizes[r.source]
-    assert all(abs(taken[s] - targets[s]) <= 60 for s in order)
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, pareto_mix.pareto_mix(df).collect()), key=str)
+    assert all(abs(taken[s] - targets[s]) <= 301 for s in sizes)
+    digits = lambda i, t: len(t.split()).bit_length()
+    assert {r.doc_id: r.copies for r in got if r.size} == {i: c for i, c in brute_mix(rows, digits).items() if rows[i][1]}
+    even = brute_mix(rows, lambda i, t: 1)  # plain random order: all documents of a source alike
+    assert sum(r.copies != even[r.doc_id] for r in got if r.size) > 50
+
+
+def test_mix_by_a_measure(spark):
+    """Documents of a larger measure are taken more often."""
+    rows = [(i, "w " * 50, "ab"[i % 2], 1 + i % 4) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, worth int")
+    got = pareto_mix.pareto_mix(df, share=0.5, measure="worth").collect()
+    copies = Counter()
+    for r in got:
+        copies[r.source, r.measure] += r.copies
+    assert copies["b", 2] < copies["b", 4] and copies["a", 1] < copies["a", 3]
+    assert {r.doc_id: r.copies for r in got} == {r.doc_id: r.copies for r in pareto_mix.pareto_mix(df.repartition(7), share=0.5, measure="worth").collect()}
+
+
+def test_mix_edges(spark, docs, empty):
     assert pareto_mix.pareto_mix(docs).count() == docs.count() and pareto_mix.pareto_mix(empty).count() == 0
+    nothing = spark.createDataFrame([(1, None, "a"), (2, "", None), (2, "", None)], "doc_id long, text string, source string")
+    assert [(r.size, r.taken, r.target) for r in pareto_mix.pareto_mix(nothing).collect()] == [(0, 0, 0.0)] * 3
+    many = spark.createDataFrame([(i, "a b c", f"s{i}") for i in range(300)] + [(None, "d e", "s0")] * 3, "doc_id long, text string, source string")
+    got = pareto_mix.pareto_mix(many).collect()
+    assert len(got) == 303 and sum(r.taken for r in got) > 1000
 
 
 # the pipeline
