@@ -9,7 +9,7 @@ from . import sql
 from .common import table, train_row
 from .decontaminate import decontaminate
 from .language_id import classified, learn_languages
-from .license_scan import PHRASES, RAREST, postings, scan_licenses
+from .license_scan import PHRASES, postings, scan_licenses
 from .line_dedup import dedup_lines
 from .minhash_forest import near_duplicates
 from .ogg_media import ogg_columns
@@ -65,4 +65,4 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_language_id, op4_benchmark_decontamination, op5_license_scan, op6_media_columns, op7_pii_surrogates, op8_quality_classifier, op9_minhash_near_dedup, op10_mixing_sources)}
-ORACLE_SQL = {"op2_line_dedup": sql.OP2, "op9_minhash_near_dedup": sql.OP9, "op4_benchmark_decontamination": sql.OP4, "op5_license_scan": sql.op5(PHRASES, postings(), RAREST), "op10_mixing_sources": sql.OP10}
+ORACLE_SQL = {"op2_line_dedup": sql.OP2, "op9_minhash_near_dedup": sql.OP9, "op4_benchmark_decontamination": sql.OP4, "op5_license_scan": sql.op5(PHRASES, postings()), "op10_mixing_sources": sql.OP10}
