@@ -183,9 +183,10 @@ def test_decontamination_equals_brute_force(spark, rows, docs, empty):
     extra = [(100 + i, "Àé! ÀÉ " + " ".join(long[500 : 512 + i])) for i in range(3)] + [(200, "a " * 40), (201, None)]
     texts = [(r[0], r[1]) for r in rows] + extra
     items.append((9, "a " * 15))
-    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_hit", F.lit("x")).withColumn("_key", F.lit(0))
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n_hit", "_key", "key", "items", "own", "w", "start", "words", "fp", "shared")})
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.decontaminate(df, bench)
+    assert set(df.columns) <= set(got.columns)
     want = sorted(brute_contamination(texts, items))
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())) == want
     assert decontaminate.decontaminate(empty, bench).count() == 0
