@@ -137,3 +137,17 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, hot: i
     large = hinted(settled(right.where(F.col(n) > hot)))
     rest = left.join(large.select(*on), on, "left_anti").join(right.where(F.col(n) <= hot), on)
     return left.join(large, on).unionByName(rest)
+
+
+def in_order(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """df, settled, with consecutive numbers from 1 in the given order: ranges are sorted side by side and counted."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = settled(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
+    first, total = [], 0
+    for part, n in sorted(ranged.groupBy("_part").count().collect()):  # a number a partition
+        first += [F.lit(part), F.lit(total)]
+        total += n
+    before = F.create_map(*first)[F.col("_part")] if first else F.lit(0)
+    return ranged.withColumn(name, (before + F.col("_at") + 1).cast("long")).drop("_part", "_at")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_GAP, bound, hinted, n_pieces, pieces, settled
+from .common import SPACE_GAP, bound, hinted, in_order, n_pieces, pieces, settled
 
 #: Ranks are numbers of BITS bits, cut by STEP bits at a time until a source's last range has FEW rows.
 BITS, STEP, FEW = 40, 10, 10_000
@@ -35,24 +35,10 @@ def uniform(name: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def _numbered(sources: DataFrame) -> DataFrame:
-    """sources with `place` from 1 in the order of names, null last; ranges are sorted side by side and counted."""
-    order = [F.col("source").isNull(), F.col("source")]
-    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = sources.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = settled(ranged.withColumn("part", F.spark_partition_id()).withColumn("at", at))
-    first, total = [], 0
-    for part, n in sorted(ranged.groupBy("part").count().collect()):  # a number a partition
-        first += [F.lit(part), F.lit(total)]
-        total += n
-    before = F.create_map(*first)[F.col("part")] if first else F.lit(0)
-    return ranged.withColumn("place", before + F.col("at") + 1).drop("part", "at")
-
-
 def source_targets(sized: DataFrame, share: float, weights: tuple[int, ...], most: float) -> DataFrame:
     """source, source_size, target: share of all words dealt by weight, at most `most` times a source's size."""
-    sources = _numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = in_order(sources, [F.col("source").isNull(), F.col("source")], "place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
     dealt = settled(sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most)))
     total, open_ = dealt.agg(F.sum("source_size"), F.sum("weight")).first()
