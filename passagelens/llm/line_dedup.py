@@ -7,7 +7,8 @@ Passages start and end inside lines (and a line may hold several), so hashes of
 them. Lines are therefore cut from every word on: the hash of the LINE words from a word on is a line hash.
 
 1. Select. Of every LEAST_WORDS words in sequence the least line hash is their fingerprint. Equal windows have equal
-   minima, so that every repeated run shares a fingerprint at the same place; about one word in 18 is selected.
+   minima, so that every repeated run shares a fingerprint at the same place; about one word in 12 is selected. Texts of the
+   same words are told by a hash of all, and only the first of them goes on.
 2. Join. Fingerprints are counted with map-side sums. Texts whose fingerprints all occur once need no further look.
 3. Extend. From the places of fingerprints that occur again, matches are extended both ways to the windows whose minimum they are, and
    compared by 128 bits over all words of the window. Each later window meets the first one of its contents only, so that a passage
@@ -31,10 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, kept_columns, number_of, row_key, settled, spread_join
+from .common import hinted, in_order, kept_columns, number_of, row_key, settled, spread_join
 from .shingles import batches, mixed, numbers, word_hashes
 
-LEAST_WORDS, LINE = 50, 16
+LEAST_WORDS, LINE = 50, 25
+#: A place is the number of its text, shifted by so many bits, and the number of its word.
+PLACE_BITS = 26
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASES = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F)
@@ -67,33 +70,45 @@ def winnowed(texts: list[str], least: int) -> tuple[np.ndarray, ...]:
     return words, owner, first, lines, minima, at[at + least <= first[owner[at] + 1]]
 
 
+def _sums(words: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of words by falling powers up to each word, and what brings the sum from a word on back to the first power."""
+    powers, back = np.full(len(words) + 1, base, np.uint64), np.full(len(words) + 1, pow(base, -1, 1 << 64), np.uint64)
+    powers[:1] = back[:1] = 1
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(powers)[:-1])]), np.cumprod(back)
+
+
+def _both(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of words[begin:end] for each begin and end."""
+    out = []
+    for base, own in zip(_BASES, (words, mixed(words + np.uint64(1)))):
+        sums, back = _sums(own, base)
+        out.append(mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64)).view(np.int64))
+    return out
+
+
 def selected(texts: list[str], least: int) -> pd.DataFrame:
-    """text, fingerprint, n: how often each fingerprint is selected in each text."""
-    _, owner, _, lines, minima, starts = winnowed(texts, least)
-    if not len(starts):
-        return pd.DataFrame({"text": [], "fingerprint": [], "n": []}, dtype=np.int64)
+    """Of each text: two hashes of all words, their number, and its fingerprints with how often each is selected."""
+    words, owner, first, lines, minima, starts = winnowed(texts, least)
     whole = np.zeros(len(minima), np.uint64)
     whole[starts] = minima[starts]
-    width = len(lines) - len(minima) + 1
-    edge = np.zeros(width - 1, np.uint64)
-    places = np.flatnonzero((_least(np.concatenate([edge, whole, edge]), width, np.maximum) == lines) & (lines > 0))
-    frame = pd.DataFrame({"text": owner[places], "fingerprint": lines[places].view(np.int64)})
-    return frame.groupby(["text", "fingerprint"], sort=False).size().rename("n").reset_index()
+    places = np.zeros(0, np.int64)
+    if len(minima):
+        width = len(lines) - len(minima) + 1
+        edge = np.zeros(width - 1, np.uint64)
+        places = np.flatnonzero((_least(np.concatenate([edge, whole, edge]), width, np.maximum) == lines) & (lines > 0))
+    each = pd.DataFrame({"text": owner[places], "f": lines[places].view(np.int64)}).groupby(["text", "f"], sort=True).size()
+    text, f, times = each.index.get_level_values(0).to_numpy(), each.index.get_level_values(1).to_numpy(), each.to_numpy()
+    cut = np.searchsorted(text, np.arange(1, len(texts)))
+    a, b = _both(words, first[:-1], first[1:])
+    return pd.DataFrame({"wa": a, "wb": b, "n_words": np.diff(first), "prints": np.split(f, cut), "times": np.split(times, cut)})
 
 
 def extended(texts: list[str], least: int, shared: np.ndarray) -> pd.DataFrame:
     """text, pos, a, b: the windows whose minimum is among `shared`, by their first word, with two hashes of all their words."""
     words, owner, first, _, minima, starts = winnowed(texts, least)
     starts = starts[np.isin(minima[starts].view(np.int64), shared)]
-    out = {"text": owner[starts], "pos": (starts - first[owner[starts]]).astype(np.int32)}
-    for name, base, own in zip("ab", _BASES, (words, mixed(words + np.uint64(1)))):
-        powers = np.full(len(words), base, np.uint64)
-        powers[:1] = 1
-        back = np.full(len(words), pow(base, -1, 1 << 64), np.uint64)
-        back[:1] = 1
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(own * np.cumprod(powers))])
-        out[name] = mixed((sums[starts + least] - sums[starts]) * np.cumprod(back)[starts]).view(np.int64)
-    return pd.DataFrame(out)
+    a, b = _both(words, starts, starts + least)
+    return pd.DataFrame({"text": owner[starts], "pos": starts - first[owner[starts]], "a": a, "b": b})
 
 
 def without(text: str, begins: np.ndarray, ends: np.ndarray) -> tuple[str, int]:
@@ -129,38 +144,46 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     def select(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts(frames):
             own = selected(part.text.tolist(), least_words)
-            yield pd.DataFrame({c: part[c].to_numpy()[own.text] for c in ("id", "ka", "kb")} | {"fingerprint": own.fingerprint, "n": own.n})
+            yield own.assign(id=part.id.to_numpy(), ka=part.ka.to_numpy(), kb=part.kb.to_numpy())
 
     def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts(frames):
             own = extended(part.text.tolist(), least_words, np.unique(np.concatenate(part.shared.tolist())))
-            yield pd.DataFrame({c: part[c].to_numpy()[own.text] for c in ("id", "ka", "kb")} | {c: own[c] for c in ("pos", "a", "b")})
-
-    key = row_key("doc_id", "text")
-    keyed = docs.select(number_of(F.col("doc_id")).alias("id"), key.alias("key"), "text").select("id", F.col("key.a").alias("ka"), F.col("key.b").alias("kb"), "text")
-    places = settled(keyed.mapInPandas(select, "id long, ka long, kb long, fingerprint long, n long").distinct())
-    counts = settled(places.groupBy("fingerprint").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_texts")).where("total > 1").drop("total"))
-    hits = spread_join(places.select("ka", "kb", "fingerprint"), counts, ["fingerprint"], "n_texts")
-    again = settled(hits.groupBy("ka", "kb").agg(F.collect_list("fingerprint").alias("shared")))
-    texts = keyed.join(hinted(settled(again.select("ka", "kb"))), ["ka", "kb"], "left_semi")
-    windows = texts.join(again, ["ka", "kb"]).dropDuplicates(["ka", "kb"])
-    windows = settled(windows.select("id", "ka", "kb", "text", "shared").mapInPandas(extend, "id long, ka long, kb long, pos int, a long, b long"))
-
-    groups = windows.groupBy("a", "b").agg(F.min(F.struct("id", "ka", "kb", "pos")).alias("origin"), F.count(F.lit(1)).alias("n"))
-    repeated = settled(groups.where("n > 1"))
-    later = spread_join(windows, repeated, ["a", "b"], "n").where(F.struct("id", "ka", "kb", "pos") > F.col("origin"))
-    overlaps = (F.col("ka") == F.col("origin.ka")) & (F.col("kb") == F.col("origin.kb"))
-    begin = F.when(overlaps, F.greatest("pos", F.col("origin.pos") + least_words)).otherwise(F.col("pos"))
-    runs = later.groupBy("ka", "kb").agg(F.collect_list(begin).alias("begins"), F.collect_list(F.col("pos") + least_words).alias("ends"))
-    runs = settled(runs.select(F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("key"), "begins", "ends"))
+            yield pd.DataFrame({"a": own.a, "b": own.b, "place": (part.number.to_numpy()[own.text] << PLACE_BITS) + own.pos})
+
+    keyed = docs.select(number_of(F.col("doc_id")).alias("id"), row_key("doc_id", "text").alias("key"), "text").select("id", F.col("key.a").alias("ka"), F.col("key.b").alias("kb"), "text")
+    key = ["ka", "kb"]
+    texts = settled(keyed.mapInPandas(select, "id long, ka long, kb long, wa long, wb long, n_words long, prints array<long>, times array<int>").where(F.col("n_words") >= least_words))
+    numbered = in_order(texts.select("id", *key, "wa", "wb", "n_words").distinct(), ["id", *key], "number")
+    firsts = settled(numbered.groupBy("wa", "wb", "n_words").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n")))
+    named = settled(spread_join(numbered, firsts, ["wa", "wb", "n_words"], "n").select(*key, "number", "first", "n_words"))
+    originals = hinted(settled(named.where("number = first").select(*key, "number")))
+
+    places = texts.join(originals, key).dropDuplicates(["number"]).select("number", F.explode(F.arrays_zip("prints", "times")).alias("x")).select("number", F.col("x.prints").alias("print"), F.col("x.times").alias("times"))
+    places = settled(places)
+    counts = settled(places.groupBy("print").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("n")).where("total > 1").drop("total"))
+    again = settled(spread_join(places.select("number", "print"), counts, ["print"], "n").groupBy("number").agg(F.collect_list("print").alias("shared")))
+    read = keyed.join(originals, key).join(hinted(settled(again.select("number"))), "number", "left_semi").select("number", "text")
+    windows = settled(read.dropDuplicates(["number"]).join(again, "number").mapInPandas(extend, "a long, b long, place long"))
+    groups = windows.groupBy("a", "b").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    later = spread_join(windows, settled(groups.where("n > 1")), ["a", "b"], "n").where(F.col("place") > F.col("first"))
+
+    word = F.lit((1 << PLACE_BITS) - 1)
+    of = lambda c: F.shiftright(c, PLACE_BITS)
+    begin = F.when(of("place") == of("first"), F.greatest(F.col("place"), F.col("first") + least_words)).otherwise(F.col("place")).bitwiseAND(word)
+    runs = later.select(of("place").alias("number"), begin.cast("int").alias("begin"), (F.col("place").bitwiseAND(word) + least_words).cast("int").alias("end"))
+    runs = runs.groupBy("number").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    copies = named.where("number > first").select(*key, F.array(F.lit(0)).alias("begins"), F.array(F.col("n_words").cast("int")).alias("ends"))
+    runs = settled(runs.join(originals, "number").select(*key, "begins", "ends").unionByName(copies))
+    runs = runs.select(F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("key"), "begins", "ends")
 
     def kept(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, begins, ends in columns:
-            yield pd.DataFrame([without(t, a, b) for t, a, b in zip(texts, begins, ends)], columns=["text", "n_deleted"])
+        for whole, begins, ends in columns:
+            yield pd.DataFrame([without(t, a, b) for t, a, b in zip(whole, begins, ends)], columns=["text", "n_deleted"])
 
     cut = F.pandas_udf(kept, "text string, n_deleted long")
-    few = hinted(runs.select("key"))
-    base = docs.select(kept_columns(docs, "n_deleted").alias("own"), key.alias("key"))
+    few = hinted(settled(runs.select("key")))
+    base = docs.select(kept_columns(docs, "n_deleted").alias("own"), row_key("doc_id", "text").alias("key"))
     whole = base.join(few, "key", "left_anti").select("own", F.lit(0).cast("long").alias("n_deleted"))
     touched = base.join(few, "key", "left_semi").join(runs, "key").select("own", cut("own.text", "begins", "ends").alias("cut"))
     touched = touched.select(F.col("own").withField("text", F.col("cut.text")).alias("own"), F.col("cut.n_deleted").alias("n_deleted"))
