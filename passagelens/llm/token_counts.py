@@ -11,10 +11,12 @@ Two machines run one after another over a batch of texts, both over whole column
    compatible with the last token before it (two tokens are compatible if their bytes encode to just those two).
    States are built when they are first met and kept in dense tables; beyond MAX_STATES the tables start anew.
 
-Texts are cut into chunks that run side by side. A chunk's map from entry state to (exit state, count) is constant
+Texts are cut into chunks that run side by side. A chunk's state map takes an entry state to its exit state and count. It is constant
 from its first piece start on, since every piece starts in the start state: that body runs first, for all chunks. The bytes
-before it, the head, need the exit state of the chunk before. Maps then compose in a scan: rounds resolve all
-heads whose entry is known, and a chunk without any piece start hands its exit on.
+before it, the head, need the exit of the chunk before. Chunks without any piece start are all head: their maps are
+filled for the entry states that occur, all chunks at once, and composed in a parallel prefix scan, by twice the distance in each
+step. Where the scan meets an entry state that a map lacks, that state is filled in for all chunks and the scan runs
+again; states forget what lies far back, so that few rounds do.
 
 Special strings in a text count as one token each, as the tokenizers library does by default, and split the text.
 
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-CHUNK, MAX_STATES, FEW, TRIED, NEVER = 512, 131_000, 24, 60, 1 << 30
+CHUNK, MAX_STATES, FEW, TRIED, NEVER, SLOTS = 512, 131_000, 24, 60, 1 << 30, 8
 LETTER, NUMBER, SPACE, BLANK, OTHER = 1, 2, 3, 4, 0
 _SHORT = ("s", "t", "m", "d")
 _LONG = ("re", "ve", "ll")
@@ -226,6 +228,33 @@ class Transducer:
         exit_[order], counts[order] = state, count
         return exit_, counts
 
+    def _fill(self, data: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exits and counts of chunks without piece starts, in runs; known: the entry state of each run's first chunk."""
+        n = len(low)
+        entry, exit_, count = np.full((n, SLOTS), -2, np.int64), np.full((n, SLOTS), -1, np.int64), np.zeros((n, SLOTS), np.int64)
+        todo, wanted = np.arange(n), np.where(first, known, 0)  # inside runs the start state is a guess
+        slot = 0
+        while True:
+            entry[todo, slot] = wanted
+            exit_[todo, slot], count[todo, slot] = self.run(data, starts, low[todo], high[todo], wanted)
+            through, _ = composed(first, entry, exit_, count)
+            # A run's first chunk has its known entry in slot 0, and so have all prefixes.
+            if (through[:, 0] >= 0).all():
+                break
+            newest = np.where(exit_[:, slot] >= 0, exit_[:, slot], exit_[:, 0])
+            best = np.where(through[:, 0] >= 0, through[:, 0], newest)
+            todo = np.flatnonzero(~first & ~(entry == np.roll(best, 1)[:, None]).any(axis=1))
+            wanted = np.roll(best, 1)[todo]
+            slot = slot + 1 if slot + 1 < SLOTS else 1
+            resolved = ~first & (np.roll(through[:, 0], 1) >= 0)
+            own = (entry == np.roll(through[:, 0], 1)[:, None]) & resolved[:, None]
+            keep = own[:, slot]  # what the true prefix uses stays: in slot 0, whose guess is not needed any more
+            entry[keep, 0], exit_[keep, 0], count[keep, 0] = entry[keep, slot], exit_[keep, slot], count[keep, slot]
+        exits = through[:, 0]
+        come = np.where(first, known, np.roll(exits, 1))
+        at = (entry == come[:, None]).argmax(axis=1)
+        return exits, count[np.arange(n), at]
+
     def counts(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each text."""
         if len(self.states) > MAX_STATES:
@@ -265,24 +294,44 @@ class Transducer:
         at = np.append(np.flatnonzero(starts), len(data))
         body = np.minimum(at[np.searchsorted(at, low)], high)
         exits, chunk_counts = self.run(data, starts, body, high, np.zeros(len(low), np.int64))
-        known = body < high
-        open_ = np.flatnonzero(body > low)
-        while len(open_):  # a head's entry is the exit of the chunk before, which is known or becomes so in some round
-            ready = open_[known[open_ - 1]]
-            own_exit, own = self.run(data, starts, low[ready], body[ready], exits[ready - 1])
-            chunk_counts[ready] += own
-            whole = ready[~known[ready]]
-            exits[whole] = own_exit[~known[ready]]
-            rest = np.ones(len(low), bool)
-            rest[ready] = False
-            open_ = open_[rest[open_]]
-            known[whole] = True
+        ends_known = body < high
+        heads = np.flatnonzero(body > low)
+        if len(heads):
+            through = np.flatnonzero(~ends_known)
+            if len(through):
+                first = ends_known[through - 1]  # a text's first chunk begins with a piece
+                exits[through], chunk_counts[through] = self._fill(data, starts, low[through], high[through], first, exits[through - 1])
+            heads = heads[ends_known[heads]]
+            chunk_counts[heads] += self.run(data, starts, low[heads], body[heads], exits[heads - 1])[1]
         per_part = np.zeros(len(parts), np.int64)
         np.add.at(per_part, text_of, chunk_counts)
         np.add.at(total, np.array(owner, np.int64), per_part)
         return total
 
 
+def composed(first: np.ndarray, entry: np.ndarray, exit_: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix compositions of state maps: exit and count over all chunks from the first of a run on.
+
+    A map is a row: entry[i, r] goes to exit_[i, r] with count[i, r], or has no value where exit_ is negative. Each step
+    composes maps of twice the length, so that a run of n chunks takes log2(n) steps.
+    """
+    at = np.arange(len(first))
+    begin = np.maximum.accumulate(np.where(first, at, 0))
+    entry, exit_, count = entry.copy(), exit_.copy(), count.copy()
+    reach = 1
+    while len(here := np.flatnonzero(at - reach >= begin)):
+        before = here - reach
+        through = exit_[before]
+        same = (entry[here][:, None, :] == through[:, :, None]) & (through >= 0)[:, :, None]
+        slot, known = same.argmax(axis=2), same.any(axis=2)
+        after = np.where(known, np.take_along_axis(exit_[here], slot, 1), -1)
+        total = count[before] + np.take_along_axis(count[here], slot, 1)
+        starts = entry[before]
+        entry[here], exit_[here], count[here] = starts, after, total
+        reach *= 2
+    return exit_, count
+
+
 @lru_cache(1)
 def transducer(path: str) -> Transducer:
     return Transducer(path)

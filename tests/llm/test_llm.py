@@ -69,6 +69,36 @@ def test_token_counts_equal_the_library(spark, docs, empty):
     assert token_counts.token_counts(empty, "byte_bpe_50k.json").count() == 0
 
 
+def test_token_counts_of_texts_without_pieces():
+    """Long runs of one piece: state maps of many chunks are composed."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    machine = token_counts.Transducer(public.path("byte_bpe_50k.json"))
+    rng = random.Random(13)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = [letters(30_000, "etaoinshr"), "a" * 40_000, "ab " + "ing" * 9_000 + " x", letters(9_000, "日本語中文"), "-" * 20_000, "7" * 15_000, letters(20_000, "ab"), " " * 20_000, "x", "é" * 9_999]
+    assert machine.counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_composed_maps():
+    """Prefix compositions of random maps are those of a walk from chunk to chunk."""
+    rng = np.random.default_rng(5)
+    n, states = 200, 6
+    entry = np.tile(np.arange(states), (n, 1))
+    exit_, count = rng.integers(0, states, (n, states)), rng.integers(0, 9, (n, states))
+    exit_[rng.random((n, states)) < 0.01] = -1
+    first = rng.random(n) < 0.05
+    first[0] = True
+    got = token_counts.composed(first, entry, exit_, count)
+    for s in range(states):
+        for i in range(n):
+            state, total = (s, 0) if first[i] else (state, total)  # noqa: F821
+            total, state = (total + count[i, state], exit_[i, state]) if state >= 0 else (total, -1)
+            assert got[0][i, s] == state and (state < 0 or got[1][i, s] == total)
+
+
 def test_token_tables_start_anew(monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     machine = token_counts.Transducer(public.path("byte_bpe_50k.json"))
