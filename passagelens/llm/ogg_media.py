@@ -2,15 +2,20 @@
 
 A payload of 8-bit samples is cut into packets of PACKET samples, dealt in turn to STREAMS logical streams whose pages
 alternate in the file. Pages follow RFC 3533: a 27-byte header with serial number, page number, granule
-position and checksum, the lacing values, and the packet bytes; a packet may run over several pages. A stream's
-granule position is the number of samples of the whole payload up to the end of the last packet that the page
-completes, so that it dates a packet among all streams; at RATE samples a second it gives the timestamp.
-
-Reading verifies each page's checksum and number, joins packets from lacing values by stream, and merges the streams
-in the order of their granule positions.
-
-Defined results: null and empty texts become one block of 64 zero bytes; rows that repeat a doc_id are stored one
-by one; equal texts give equal media; a page that is cut short, out of order or fails its checksum raises ValueError.
+position and checksum, the lacing values, and the packet bytes; a packet may run over several pages. Each stream begins with a
+page of its own that holds its header packet: its place among the streams, the number of streams, the rate, the samples of a packet
+and of the whole payload. These pages come first in the file. A stream's granule position is the number of samples of the
+whole payload up to the end of the last packet that the page completes, so that it dates a packet among all streams; over the
+rate it gives the timestamp.
+
+Reading verifies each page's checksum and number, joins packets from lacing values by stream, dates the packets that a page completes
+from its granule position and the header, and merges the streams in that order. It knows nothing of the writer's constants. Every
+stream must begin and end with the pages marked so, all streams that the headers tell of must be there, and the packets must
+follow one another without gaps up to the payload's length.
+
+Defined results: null and empty texts become one block of 64 zero bytes; rows that repeat a doc_id, or have none, are stored one
+by one; equal texts give equal media; an empty table gives an empty table; columns besides doc_id and text are ignored; a page
+that is cut short, missing, out of order or fails its checksum raises ValueError.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ FIRST, LAST, CONTINUED = 2, 4, 1
 
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 _HEADER = struct.Struct("<4sBBqIIIB")
+#: A stream's header packet: magic, place among the streams, streams, rate, samples of a packet, samples in all.
+MAGIC, _IDENTITY = b"PCM8", struct.Struct("<4sBBIIQ")
 
 
 def checksum(page: bytes) -> int:
@@ -45,46 +52,44 @@ def checksum(page: bytes) -> int:
 class Packet:
     stream: int
     granule: int
+    seconds: float
     data: bytes
 
-    @property
-    def seconds(self) -> float:
-        return self.granule / RATE
 
+def _page(kind: int, granule: int, serial: int, number: int, parts: list[bytes]) -> bytes:
+    bare = _HEADER.pack(b"OggS", 0, kind, granule, serial, number, 0, len(parts)) + bytes(map(len, parts)) + b"".join(parts)
+    return bare[:22] + struct.pack("<I", checksum(bare)) + bare[26:]
 
-def _stream_pages(serial: int, packets: list[tuple[int, bytes]]) -> list[bytes]:
-    """The pages of one stream, from its packets with their granule positions."""
-    lacing: list[tuple[int, bytes, int]] = []  # value, bytes, granule of a packet that ends here or -1
+
+def _stream_pages(serial: int, header: bytes, packets: list[tuple[int, bytes]]) -> list[bytes]:
+    """The pages of one stream, from its header and its packets with their granule positions."""
+    lacing: list[tuple[bytes, int]] = []  # bytes, granule of a packet that ends here or -1
     for granule, data in packets:
         for at in range(0, len(data) + 1, 255):
             part = data[at : at + 255]
-            lacing.append((len(part), part, granule if len(part) < 255 else -1))
-    pages = []
-    for number, at in enumerate(range(0, len(lacing), PAGE_SEGMENTS)):
+            lacing.append((part, granule if len(part) < 255 else -1))
+    pages = [_page(FIRST, 0, serial, 0, [header])]
+    for at in range(0, len(lacing), PAGE_SEGMENTS):
         own = lacing[at : at + PAGE_SEGMENTS]
-        kind = CONTINUED * (at > 0 and lacing[at - 1][2] < 0) | FIRST * (at == 0) | LAST * (at + PAGE_SEGMENTS >= len(lacing))
-        granule = max(g for _, _, g in own)
-        tail = bytes(n for n, _, _ in own) + b"".join(b for _, b, _ in own)
-        bare = _HEADER.pack(b"OggS", 0, kind, granule, serial, number, 0, len(own)) + tail
-        pages.append(bare[:22] + struct.pack("<I", checksum(bare)) + bare[26:])
+        kind = CONTINUED * (at > 0 and lacing[at - 1][1] < 0) | LAST * (at + PAGE_SEGMENTS >= len(lacing))
+        pages.append(_page(kind, max(g for _, g in own), serial, len(pages), [part for part, _ in own]))
     return pages
 
 
 def write_ogg(payload: bytes) -> bytes:
-    streams: list[list[tuple[int, bytes]]] = [[] for _ in range(STREAMS)]
-    for k, at in enumerate(range(0, len(payload), PACKET)):
-        data = payload[at : at + PACKET]
-        streams[k % STREAMS].append((at + len(data), data))
-    pages = [_stream_pages(1 + k, own) for k, own in enumerate(streams) if own]
+    cut = [payload[at : at + PACKET] for at in range(0, len(payload), PACKET)]
+    n = min(STREAMS, len(cut))
+    ends = np.cumsum([len(c) for c in cut]).tolist()
+    pages = [
+        _stream_pages(1 + k, _IDENTITY.pack(MAGIC, k, n, RATE, PACKET, len(payload)), list(zip(ends[k::n], cut[k::n])))
+        for k in range(n)
+    ]
     return b"".join(own[i] for i in range(max(map(len, pages))) for own in pages if i < len(own))
 
 
-def read_ogg(media: bytes) -> tuple[list[Packet], int]:
-    """All packets in the order of their granule positions, and the number of pages."""
-    partial: dict[int, list[bytes]] = {}
-    numbers: dict[int, int] = {}
-    packets: list[Packet] = []
-    at = pages = 0
+def _pages(media: bytes) -> Iterator[tuple[int, int, int, int, list[bytes]]]:
+    """kind, granule, serial, number and parts of each page, verified by itself."""
+    at = 0
     while at < len(media):
         if len(media) < at + _HEADER.size:
             raise ValueError("a page is cut short")
@@ -95,24 +100,49 @@ def read_ogg(media: bytes) -> tuple[list[Packet], int]:
             raise ValueError("no whole page here")
         if checksum(media[at : at + 22] + bytes(4) + media[at + 26 : end]) != crc:
             raise ValueError("a page fails its checksum")
-        if number != numbers.get(serial, -1) + 1 or bool(kind & FIRST) != (serial not in numbers) or bool(kind & CONTINUED) != bool(partial.get(serial)):
+        edges = np.cumsum([at + 27 + n, *lacing]).tolist()
+        yield kind, granule, serial, number, [media[x:y] for x, y in zip(edges, edges[1:])]
+        at = end
+
+
+def read_ogg(media: bytes) -> tuple[list[Packet], int]:
+    """All packets in the order of their granule positions, and the number of pages."""
+    headers: dict[int, tuple[int, ...]] = {}
+    numbers: dict[int, int] = {}
+    partial: dict[int, list[bytes]] = {}
+    ended: set[int] = set()
+    packets: list[Packet] = []
+    pages = 0
+    for kind, granule, serial, number, parts in _pages(media):
+        pages += 1
+        if number != numbers.get(serial, -1) + 1 or bool(kind & FIRST) != (serial not in numbers) or bool(kind & CONTINUED) != bool(partial.get(serial)) or serial in ended:
             raise ValueError("a page is missing or out of order")
         numbers[serial] = number
-        here, done = at + 27 + n, []
-        for size in lacing:
-            partial.setdefault(serial, []).append(media[here : here + size])
-            here += size
-            if size < 255:
-                done.append(partial.pop(serial))
-        # A page dates the last packet that it completes; the stream's packet before that ended one packet of each other stream and this one earlier.
-        dated = granule
-        for parts in reversed(done):
-            packets.append(Packet(serial, dated, b"".join(parts)))
-            dated -= len(packets[-1].data) + (STREAMS - 1) * PACKET
-        at, pages = end, pages + 1
-    if any(partial.values()):
-        raise ValueError("a packet is cut short")
-    return sorted(packets, key=lambda p: p.granule), pages
+        if kind & FIRST:
+            if len(parts) != 1 or len(parts[0]) != _IDENTITY.size or parts[0][:4] != MAGIC or packets or any(partial.values()):
+                raise ValueError("a stream begins without its header")
+            headers[serial] = _IDENTITY.unpack(parts[0])[1:]
+            continue
+        done = []
+        for part in parts:
+            partial.setdefault(serial, []).append(part)
+            if len(part) < 255:
+                done.append(b"".join(partial.pop(serial)))
+        _, n, rate, samples, _ = headers[serial]
+        dated = granule  # of the last packet that the page completes; the one before it ended one packet of each other stream and this one earlier
+        for data in reversed(done):
+            packets.append(Packet(serial, dated, dated / rate, data))
+            dated -= len(data) + (n - 1) * samples
+        if kind & LAST:
+            ended.add(serial)
+    places, rest = sorted(h[0] for h in headers.values()), {h[1:] for h in headers.values()}
+    if len(rest) != 1 or places != list(range(next(iter(rest))[0])) or ended != set(headers) or any(partial.values()):
+        raise ValueError("a stream is missing or cut short")
+    packets.sort(key=lambda p: p.granule)
+    ends = np.cumsum([0, *(len(p.data) for p in packets)]).tolist()
+    if [p.granule for p in packets] != ends[1:] or ends[-1] != next(iter(rest))[-1]:
+        raise ValueError("the packets leave gaps")
+    return packets, pages
 
 
 def payload_of(text: str | None) -> bytes:

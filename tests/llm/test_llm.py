@@ -297,19 +297,61 @@ def test_ogg_checksum_and_damage():
 
     for data in (b"", b"a", bytes(range(256)) * 3):
         assert ogg_media.checksum(data) == slow(data)
-    media = ogg_media.write_ogg(bytes(30_000))
-    for damaged in (media[:-1], media[:100] + b"x" + media[101:], media[300:], media[: media.index(b"OggS", 5)]):
-        with pytest.raises(ValueError):
-            ogg_media.read_ogg(damaged) if damaged != media[: media.index(b"OggS", 5)] else ogg_media.read_ogg(damaged + b"Ogg")
+
+
+@pytest.mark.parametrize("n", [64, 8_000, 30_000, 60_032])
+def test_ogg_damage(n):
+    media = ogg_media.write_ogg(bytes(range(256)) * (n // 256) + bytes(n % 256))
+    cuts = [m.start() for m in re.finditer(b"OggS\0", media)] + [len(media)]
+    pages = [media[a:b] for a, b in zip(cuts, cuts[1:])]
+    serial = lambda page: page[14:18]
+    damaged = [b"", media[:-1], media[:100] + b"x" + media[101:], media[300:], media + pages[-1], pages[0] + media]
+    damaged += [b"".join(p for p in pages if p is not q) for q in pages]  # any page missing
+    damaged += [b"".join(p for p in pages if serial(p) != s) for s in set(map(serial, pages))]  # any stream missing
+    damaged += [b"".join(pages[:k]) for k in range(len(pages))]
+    own = [k for k, p in enumerate(pages) if serial(p) == serial(pages[-1])]
+    swapped = list(pages)
+    swapped[own[-1]], swapped[own[-2]] = pages[own[-2]], pages[own[-1]]
+    damaged.append(b"".join(swapped))
+    for bad in damaged:
+        if bad != media:
+            with pytest.raises(ValueError):
+                ogg_media.read_ogg(bad)
+
+
+def test_ogg_reader_takes_the_header_at_its_word(monkeypatch):
+    """Files of another writer's packets, streams and rate read the same."""
+    payload = bytes(random.Random(6).randrange(256) for _ in range(64 * 700))
+    monkeypatch.setattr(ogg_media, "PACKET", 1000)
+    monkeypatch.setattr(ogg_media, "STREAMS", 5)
+    monkeypatch.setattr(ogg_media, "RATE", 16_000)
+    media = ogg_media.write_ogg(payload)
+    monkeypatch.undo()
+    packets, _ = ogg_media.read_ogg(media)
+    assert b"".join(p.data for p in packets) == payload and len({p.stream for p in packets}) == 5
+    assert [p.seconds for p in packets] == [min(1000 * (i + 1), len(payload)) / 16_000 for i in range(len(packets))]
+
+
+def plain_feature(payload):
+    packets = -(-len(payload) // 4080)
+    mean = sum(payload) / len(payload)
+    rms = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+    crossings = sum((x < mean) != (y < mean) for x, y in zip(payload, payload[1:]))
+    lacing = [sum(min(4080, len(payload) - 4080 * k) // 255 + 1 for k in range(s, packets, 2)) for s in range(min(2, packets))]
+    return min(2, packets), sum(1 + -(-n // 48) for n in lacing), packets, len(payload) / 8000, mean, rms, crossings
 
 
 def test_ogg_columns(docs, empty):
-    got = ogg_media.ogg_columns(docs, keep_media=True).collect()
+    odd = docs.withColumns({c: F.lit("x") for c in ("_stored", "n_bytes", "media", "feature")})
+    got = ogg_media.ogg_columns(odd, keep_media=True).collect()
+    assert len(got) == docs.count()
     by_id = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     for r in got:
         data = by_id[r.doc_id]
         payload = data + bytes(-len(data) % 64) or bytes(64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        streams, pages, n, seconds, mean, rms, crossings = plain_feature(payload)
+        assert r.feature == f"streams={streams};pages={pages};packets={n};seconds={seconds:.3f};mean={mean:.3f};rms={rms:.3f};crossings={crossings}"
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
     same = {(by_id[r.doc_id], r.media_sha256, r.feature) for r in got}
     assert len(same) == len(set(by_id.values()))
