@@ -1,18 +1,23 @@
 """Personal data replaced by surrogates; DataFrame functions only.
 
-Entities are found by patterns and named by kind. A surrogate is made from a keyed SHA-256 stream of (key, kind,
-normal form, attempt): letters become letters of the same case and script, digits digits, separators stay, so that a value keeps
-its format. Card numbers keep whether their check digit holds, network addresses stay in range, mail
-addresses keep their top-level domain and share surrogate domains, names keep their title and get a name of
-the title's gender and of the name's script. The normal form leaves out case and separators: all spellings of
+Entities are found by patterns and named by kind. Numbers that only look like one are left alone: a card's check digit must
+hold, an address's numbers must be at most 255 and stand behind no word for a version. Names are found behind titles; a document that
+names a person so has its other mentions of the full name and of the family name found too.
+
+A surrogate is made from a keyed SHA-256 stream of (key, kind, normal form, attempt): letters become letters of the same case
+and script, digits digits, separators stay, so that a value keeps its format. Card numbers keep a valid check digit, network
+addresses stay in range, mail addresses keep their top-level domain. Mail addresses and names are made of parts that are each replaced
+alike wherever they stand: an address's domain, a person's given and family name. So "Mr. John Smith", "Dr. John Smith", "Mr. Smith"
+and "John Smith" stay one person, and addresses of one domain stay together. Titles stay; a given name gets a name of its gender, which most of the
+titles that it has in all documents decide, and of its script. The normal form leaves out case and separators: all spellings of
 a value get one surrogate each in its own spelling, in all documents.
 
 Collision checks: over the distinct values of all documents, two values of a kind must not share a surrogate and a
-surrogate must not be another real value of the corpus, in no spelling. Values that break this get the next attempt,
-until none does; names and mail addresses get longer every GROWS attempts, as short ones run out. If MOST_TRIES don't do, that is an error. Only values with a later attempt are joined to documents; all others need no join.
+surrogate must not be another real value of the corpus, in no spelling. Values that break this get the next attempt, until none
+does; names, mail addresses and domains get longer by every GROWS attempts, as short ones run out. If MOST_TRIES don't do, that is an error.
 
-Defined results: null texts stay null and hold nothing; rows that repeat a doc_id are rewritten one by one; an empty
-table gives an empty table; columns of docs named as the added ones are replaced.
+Defined results: null texts stay null and hold nothing; rows that repeat a doc_id, or have none, are rewritten one by one; an
+empty table gives an empty table; columns of docs named as the added ones are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,21 +25,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, hinted, settled
+from .common import bound, hinted, kept_columns, row_key, settled
 
+_TITLES = "Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Господин|Госпожа"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Fixed patterns by kind, tried in this order.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "token": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|(?:ghp|gho|sk|pk|xoxb)[_\-][0-9A-Za-z_\-]{16,})(?![0-9A-Za-z])",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
+    "ip": rf"(?<![\p{{L}}0-9.])(?<!(?i:version|release|build|section|chapter)[ .:]{{1,2}})(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])(?:[0-9][ \-]?){12,18}[0-9](?![0-9])",
-    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}[\p{L}'\-]+(?: \p{Lu}[\p{L}'\-]+)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
 }
 _ANY = "|".join(KINDS.values())
 #: Found in every text that _ANY is found in.
-_CHEAP = r"[0-9@]|[a-f]{32}|[A-F]{32}|AKIA[A-Z]{16}|(?:ghp|gho|sk|pk|xoxb)[_\-][A-Za-z_\-]{16}|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}"
+_CHEAP = rf"@|[0-9][ .)\-]{{0,2}}[0-9]|[a-f]{{32}}|[A-F]{{32}}|AKIA[A-Z]{{16}}|(?:ghp|gho|sk|pk|xoxb)[_\-][0-9A-Za-z_\-]{{16}}|(?:{_TITLES})\.? \p{{Lu}}"
 #: Given names by gender and script, and syllables of family names.
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Paul".split(),
@@ -46,8 +53,8 @@ SYLLABLES = {"latin": "ba den fer gol hal kem lin mor nas pel ros sten tal ver w
 #: Letters of other scripts and of Latin with marks, by the pattern of the letter that they replace.
 LETTERS = {"[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\p{IsCyrillic}&&\p{Ll}]": "абвгдежзиклмнопрстуфхц", r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦ", r"[\p{IsGreek}&&\p{Ll}]": "αβγδεζηθικλμνξοπρστυφχψω", r"[\p{IsGreek}&&\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"[\p{IsLatin}&&\p{Ll}]": "àáâãèéêìíîòóôõùúû", r"[\p{IsLatin}&&\p{Lu}]": "ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛ"}
 
-#: A surrogate of a name or mail address gets one more syllable or letter after so many attempts; so many attempts a value at most.
-GROWS, MOST_TRIES = 3, 200
+#: A surrogate of a name, mail address or domain gets one more syllable or letter after so many attempts; so many attempts a value at most.
+GROWS, MOST_TRIES = 1, 200
 
 
 def normal(value: Column) -> Column:
@@ -55,11 +62,44 @@ def normal(value: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
+    """The kind of what was found; null for a card number whose check digit doesn't hold. What no pattern has is a name without a title."""
     out = None
     for kind, pattern in KINDS.items():
         match = value.rlike(f"^(?:{pattern})$")
-        out = F.when(match, kind) if out is None else out.when(match, kind)
-    return out.otherwise("card")
+        name = F.when(_luhn(_digits(value)) % 10 == 0, kind) if kind == "card" else F.lit(kind)
+        out = F.when(match, name) if out is None else out.when(match, name)
+    return out.otherwise("name")
+
+
+def _title(name: Column) -> Column:
+    return F.regexp_extract(name, rf"^((?:{_TITLES})\.? )", 1)
+
+
+def _given(name: Column) -> Column:
+    """The given name, empty if there is the family name alone."""
+    rest = F.substr(name, F.length(_title(name)) + 1)
+    return F.when(F.contains(rest, F.lit(" ")), F.substring_index(rest, " ", 1)).otherwise("")
+
+
+def _family(name: Column) -> Column:
+    return F.substring_index(name, " ", -1)
+
+
+def _domain(mail: Column) -> Column:
+    return F.substring_index(mail, "@", -1)
+
+
+def parts(e: Column) -> Column:
+    """What of an entity is replaced by itself: arrays of (kind, value)."""
+    part = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
+    mail = F.array(part(F.lit("email"), e["value"]), part(F.lit("domain"), _domain(e["value"])))
+    name = F.filter(F.array(part(F.lit("given"), _given(e["value"])), part(F.lit("family"), _family(e["value"]))), lambda x: x["value"] != "")
+    return F.when(e["kind"] == "email", mail).when(e["kind"] == "name", name).otherwise(F.array(part(e["kind"], e["value"])))
+
+
+def identity(kind: Column, value: Column) -> Column:
+    """The normal form of a part, in which it must differ from others of its kind; a mail address's halves stay apart."""
+    return F.when(kind == "email", F.concat(normal(F.substring_index(value, "@", 1)), F.lit("@"), normal(_domain(value)))).otherwise(normal(value))
 
 
 def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -76,7 +116,7 @@ def _one_of(values: str | list[str], number: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), number % len(values))
 
 
-def _woven(value: Column, stream: Column, kind: Column | None = None) -> Column:
+def _woven(value: Column, stream: Column, kind: Column) -> Column:
     """value with each letter and digit replaced, by its place among them."""
 
     def step(state: Column, c: Column) -> Column:
@@ -84,9 +124,7 @@ def _woven(value: Column, stream: Column, kind: Column | None = None) -> Column:
         new = F.when(c.rlike("[0-9]"), (n % 10).cast("string"))
         for pattern, letters in LETTERS.items():
             new = new.when(c.rlike(pattern), _one_of(letters, n))
-        new = new.otherwise(c)
-        if kind is not None:
-            new = F.when((kind == "token") & c.rlike("[0-9a-f]"), _one_of("0123456789abcdef", n)).when((kind == "token") & c.rlike("[0-9A-F]"), _one_of("0123456789ABCDEF", n)).otherwise(new)
+        new = F.when((kind == "token") & c.rlike("[0-9a-f]"), _one_of("0123456789abcdef", n)).when((kind == "token") & c.rlike("[0-9A-F]"), _one_of("0123456789ABCDEF", n)).otherwise(new.otherwise(c))
         counts = c.rlike(r"[\p{L}\p{N}]").cast("int")
         return F.struct(F.concat(state["out"], new).alias("out"), (state["j"] + counts).alias("j"))
 
@@ -94,74 +132,103 @@ def _woven(value: Column, stream: Column, kind: Column | None = None) -> Column:
     return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("j")), step)["out"]
 
 
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
 def _luhn(digits: Column) -> Column:
     """The sum that a valid card number has divisible by 10."""
     one = lambda c, i: F.when(i % 2 == 1, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int"))
     return F.aggregate(F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), one), F.lit(0), lambda a, x: a + x)
 
 
-def _card(value: Column, woven: Column) -> Column:
-    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+def _card(woven: Column) -> Column:
+    """woven with the check digit that makes it valid."""
     body = F.substr(woven, F.lit(1), F.length(woven) - 1)
-    last = (10 - _luhn(F.concat(digits(body), F.lit("0"))) % 10) % 10
-    right = F.concat(body, last.cast("string"))
-    wrong = F.concat(body, ((last + 1 + F.substring(woven, -1, 1).cast("int") % 9) % 10).cast("string"))
-    return F.when(_luhn(digits(value)) % 10 == 0, right).otherwise(wrong)
+    last = (10 - _luhn(F.concat(_digits(body), F.lit("0"))) % 10) % 10
+    return F.concat(body, last.cast("string"))
 
 
 def _longer(attempt: Column) -> Column:
     return F.floor(attempt / GROWS).cast("int")
 
 
-def _more_letters(stream: Column, attempt: Column) -> Column:
+def _more(letters: str | list[str], stream: Column, attempt: Column) -> Column:
     n = _longer(attempt)
-    return F.array_join(F.transform(F.slice(F.sequence(F.lit(1), n + 1), F.lit(1), n), lambda j: _one_of(LETTERS["[a-z]"], _number(stream, 128 - j))), "")
-
-
-def _name(value: Column, stream: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(value, r"^(\p{L}+\.? )", 1)
-    parts = F.size(F.split(F.substr(value, F.length(title) + 1), " "))
-    male, female = title.rlike("^(Mr|Herr|Monsieur|Señor|Господин)[. ]"), title.rlike("^(Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Госпожа)[. ]")
-    gender = F.when(male, "m").when(female, "f").otherwise(F.when(_number(stream, F.lit(9)) % 2 == 0, "m").otherwise("f"))
-    script = F.when(value.rlike(r"\p{IsCyrillic}+$"), "cyrillic").otherwise("latin")
-    given = surname = None
-    for (g, s), names in GIVEN.items():
-        pick = (gender == g) & (script == s)
-        given = F.when(pick, _one_of(names, _number(stream, F.lit(0)))) if given is None else given.when(pick, _one_of(names, _number(stream, F.lit(0))))
-    for s, syllables in SYLLABLES.items():
-        own = F.array_join(F.transform(F.sequence(F.lit(1), 3 + _longer(attempt)), lambda j: _one_of(syllables, _number(stream, j))), "")
-        surname = F.when(script == s, own) if surname is None else surname.when(script == s, own)
-    family = F.concat(F.upper(F.substring(surname, 1, 1)), F.substr(surname, F.lit(2)))
-    return F.concat(title, F.when(parts > 1, F.concat(given, F.lit(" "))).otherwise(""), family)
-
-
-def surrogate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
+    return F.array_join(F.transform(F.slice(F.sequence(F.lit(1), n + 1), F.lit(1), n), lambda j: _one_of(letters, _number(stream, 128 - j))), "")
+
+
+def _by_script(value: Column, made) -> Column:
+    cyrillic = value.rlike(r"\p{IsCyrillic}$")
+    return F.when(cyrillic, made("cyrillic")).otherwise(made("latin"))
+
+
+def _as_spelled(value: Column, new: Column) -> Column:
+    return F.when((F.length(value) > 1) & (value == F.upper(value)), F.upper(new)).otherwise(new)
+
+
+def _new_given(value: Column, stream: Column, attempt: Column, gender: Column) -> Column:
+    of = F.coalesce(gender, F.when(_number(stream, F.lit(9)) % 2 == 0, "m").otherwise("f"))
+    pick = lambda g, s: F.concat(_one_of(GIVEN[g, s], _number(stream, F.lit(0))), _more(SYLLABLES[s], stream, attempt))
+    return _as_spelled(value, _by_script(value, lambda s: F.when(of == "m", pick("m", s)).otherwise(pick("f", s))))
+
+
+def _new_family(value: Column, stream: Column, attempt: Column) -> Column:
+    def made(script: str) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), 3 + _longer(attempt)), lambda j: _one_of(SYLLABLES[script], _number(stream, j))), "")
+
+    new = _by_script(value, made)
+    return _as_spelled(value, F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2))))
+
+
+def surrogate(value: Column, kind: Column, attempt: Column, gender: Column, key: str) -> Column:
+    """What replaces a part; of a mail address its local half."""
+
     def made(stream: Column) -> Column:
-        local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-        top = F.substring_index(domain, ".", -1)
-        bare = F.substr(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-        site = bound(_stream(key, F.lit("domain"), F.lower(domain), F.lit(0)), lambda s: _woven(bare, s))
-        octets = F.array_join(F.transform(F.split(value, r"\."), lambda x, i: (_number(stream, i) % 254 + 1).cast("string")), ".")
-        code = F.regexp_extract(value, r"^(\+[0-9]{1,3}|)", 1)
-        return (
-            F.when(kind == "email", F.concat(_woven(local, stream), _more_letters(stream, attempt), F.lit("@"), site, F.lit("."), top))
-            .when(kind == "ip", octets)
-            .when(kind == "phone", F.concat(code, _woven(F.substr(value, F.length(code) + 1), stream)))
-            .when(kind == "card", bound(_woven(value, stream), lambda w: _card(value, w)))
-            .when(kind == "name", _name(value, stream, attempt))
-            .otherwise(_woven(value, stream, kind))
+        top, code = F.substring_index(value, ".", -1), F.regexp_extract(value, r"^(\+[0-9]{1,3}|)", 1)
+        inner = (
+            F.when(kind == "email", F.substring_index(value, "@", 1))
+            .when(kind == "domain", F.substr(value, F.lit(1), F.length(value) - F.length(top) - 1))
+            .when(kind == "phone", F.substr(value, F.length(code) + 1))
+            .otherwise(value)
         )
+        more = _more(LETTERS["[a-z]"], stream, attempt)
+        octets = F.array_join(F.transform(F.split(value, r"\."), lambda x, i: (_number(stream, i) % 254 + 1).cast("string")), ".")
+
+        def whole(woven: Column) -> Column:
+            return (
+                F.when(kind == "email", F.concat(woven, more))
+                .when(kind == "domain", F.concat(woven, more, F.lit("."), top))
+                .when(kind == "ip", octets)
+                .when(kind == "phone", F.concat(code, woven))
+                .when(kind == "card", _card(woven))
+                .when(kind == "given", _new_given(value, stream, attempt, gender))
+                .when(kind == "family", _new_family(value, stream, attempt))
+                .otherwise(woven)
+            )
+
+        return bound(_woven(inner, stream, kind), whole)
 
-    return bound(_stream(key, kind, normal(value), attempt), made)
+    return bound(_stream(key, kind, identity(kind, value), attempt), made)
+
+
+def _genders(found: DataFrame) -> DataFrame:
+    """norm, gender of given names: what most of their titles say in all documents, null where they are even or say nothing."""
+    names = found.where(F.col("e.kind") == "name").select(normal(_given(F.col("e.value"))).alias("norm"), _title(F.col("e.value")).alias("title")).where("norm <> ''")
+    male, female = F.col("title").rlike("^(Mr|Herr|Monsieur|Señor|Господин)[. ]"), F.col("title").rlike("^(Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Госпожа)[. ]")
+    lead = F.count_if(male) - F.count_if(female)
+    return names.groupBy("norm").agg(lead.alias("lead")).select(F.lit("given").alias("kind"), "norm", F.when(F.col("lead") > 0, "m").when(F.col("lead") < 0, "f").alias("gender"))
 
 
 def _resolved(values: DataFrame, key: str, tries: int = MOST_TRIES) -> DataFrame:
-    """kind, norm, attempt of the distinct values that need an attempt after the first."""
+    """kind, norm, attempt of the distinct values (kind, norm, value, gender) that need an attempt after the first."""
 
     def attempted(df: DataFrame) -> DataFrame:
-        return df.withColumn("made", normal(surrogate(F.col("value"), F.col("kind"), F.col("attempt"), key)))
+        new = surrogate(F.col("value"), F.col("kind"), F.col("attempt"), F.col("gender"), key)
+        whole = F.when(F.col("kind") == "email", F.concat(new, F.lit("@"), _domain(F.col("value")))).otherwise(new)
+        return df.withColumn("made", identity(F.col("kind"), whole))
 
-    spelled = settled(values.select("kind", "norm", "value").distinct())
+    spelled = settled(values.select("kind", "norm", "value", "gender").distinct())
     real = settled(spelled.select("kind", F.col("norm").alias("made")).distinct())
     now = settled(attempted(spelled.withColumn("attempt", F.lit(0))))
     for _ in range(tries):
@@ -176,33 +243,57 @@ def _resolved(values: DataFrame, key: str, tries: int = MOST_TRIES) -> DataFrame
     raise ValueError(f"{bad.count()} values have no surrogate of their own after {tries} attempts")
 
 
-def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
-    """docs' columns, the text rewritten, with n_<kind> counts."""
-    suspect = F.col("text").rlike(_CHEAP)
-    found = F.transform(F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
-    row = F.xxhash64("doc_id", "text")
-    listed = docs.where(suspect).select(row.alias("_row"), F.explode(F.array_distinct(found)).alias("e")).select("_row", "e.*").withColumn("norm", normal(F.col("value")))
-    listed = settled(listed)
-    later = settled(_resolved(listed, key))
-    own = [c for c in docs.columns if c not in (*[f"n_{k}" for k in KINDS], "_row", "_attempts", "_found")]
-    out = docs.select(*own, row.alias("_row"), F.when(suspect, found).alias("_found"))
-    if later.isEmpty():
-        out = out.withColumn("_attempts", F.lit(None).cast("map<string,int>"))
-    else:
-        names = listed.join(hinted(later), ["kind", "norm"]).select("_row", F.concat_ws("|", "kind", "norm").alias("name"), "attempt").distinct()
-        maps = names.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("_attempts"))
-        out = out.join(hinted(settled(maps)), "_row", "left")
+def _entities(text: Column, pattern: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
 
-    def rewritten(e: Column) -> Column:
-        attempt = F.coalesce(F.col("_attempts")[F.concat_ws("|", e["kind"], normal(e["value"]))], F.lit(0))
-        return surrogate(e["value"], e["kind"], attempt, key)
 
-    gaps = F.split("text", _ANY)
-    filled = F.concat(F.transform("_found", rewritten), F.array(F.lit("")))
-    text = F.when(F.size("_found") > 0, F.array_join(F.zip_with(gaps, filled, lambda g, e: F.concat(g, e)), "")).otherwise(F.col("text"))
-    counts = [_count(k) for k in KINDS]
-    return out.select(*[text.alias("text") if c == "text" else c for c in own], *counts)
+def _mentions(found: Column) -> Column:
+    """The pattern of a document: _ANY, and its persons without their titles."""
+    titled = F.filter(found, lambda e: (e["kind"] == "name") & (_title(e["value"]) != ""))
+    bare = F.transform(titled, lambda e: F.substr(e["value"], F.length(_title(e["value"])) + 1))
+    named = F.array_distinct(F.concat(F.filter(bare, lambda n: F.contains(n, F.lit(" "))), F.transform(bare, _family)))
+    quoted = F.array_join(F.transform(named, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
+    return F.when(F.size(named) > 0, F.concat(F.lit(_ANY + r"|(?<!\p{L})(?:"), quoted, F.lit(r")(?!\p{L})"))).otherwise(F.lit(_ANY))
 
 
-def _count(kind: str) -> Column:
-    return F.when(F.col("_found").isNull(), 0).otherwise(F.size(F.filter("_found", lambda e: e["kind"] == kind))).alias(f"n_{kind}")
+def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
+    """docs' columns, the text rewritten, with n_<kind> counts."""
+    row = row_key("doc_id", "text")
+    plain = docs.where(F.col("text").rlike(_CHEAP)).select(row.alias("row"), "text", _entities(F.col("text"), F.lit(_ANY)).alias("found"))
+    listed = plain.where(F.size("found") > 0).withColumn("pattern", _mentions(F.col("found")))
+    again = F.when(F.col("pattern") != _ANY, _entities(F.col("text"), F.col("pattern"))).otherwise(F.col("found"))
+    listed = listed.select("row", "pattern", again.alias("found")).where(F.exists("found", lambda e: e["kind"].isNotNull()))
+    listed = settled(listed.dropDuplicates(["row"]))
+
+    found = settled(listed.select("row", F.explode(F.array_distinct("found")).alias("e")).where("e.kind IS NOT NULL"))
+    pieces = found.select("row", F.explode(parts(F.col("e"))).alias("p")).select("row", "p.*").withColumn("norm", identity(F.col("kind"), F.col("value"))).distinct()
+    pieces = settled(pieces.join(hinted(settled(_genders(found))), ["kind", "norm"], "left"))
+    later = settled(_resolved(pieces, key))
+    # What a document must know of its parts: later attempts, and the genders of given names.
+    known = pieces.join(hinted(later), ["kind", "norm"], "left").where("attempt IS NOT NULL OR gender IS NOT NULL")
+    known = known.select("row", F.concat_ws("|", "kind", "norm").alias("name"), F.struct(F.coalesce("attempt", F.lit(0)).alias("attempt"), "gender").alias("how")).distinct()
+    known = known.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("name", "how"))).alias("known"))
+    listed = settled(listed.join(hinted(settled(known)), "row", "left"))
+
+    def rewritten(e: Column) -> Column:
+        def new(part: Column) -> Column:
+            how = F.col("known")[F.concat_ws("|", part["kind"], identity(part["kind"], part["value"]))]
+            return surrogate(part["value"], part["kind"], F.coalesce(how["attempt"], F.lit(0)), how["gender"], key)
+
+        def joined(own: Column) -> Column:
+            return F.when(e["kind"] == "email", F.array_join(own, "@")).when(e["kind"] == "name", F.concat(_title(e["value"]), F.array_join(own, " "))).otherwise(own[0])
+
+        return F.when(e["kind"].isNull(), e["value"]).otherwise(bound(F.transform(parts(e), new), joined))
+
+    counts = [f"n_{k}" for k in KINDS]
+    base = docs.select(kept_columns(docs, *counts).alias("own"), row.alias("row"))
+    few = hinted(settled(listed.select("row")))
+    whole = base.join(few, "row", "left_anti").select("own", *[F.lit(0).alias(c) for c in counts])
+    touched = base.join(few, "row", "left_semi").join(listed, "row")
+    gaps = F.split("own.text", F.col("pattern"))
+    filled = F.concat(F.transform("found", rewritten), F.array(F.lit("")))
+    text = F.array_join(F.zip_with(gaps, filled, lambda g, e: F.concat(g, e)), "")
+    kinds = F.transform("found", lambda e: e["kind"])
+    held = [F.size(F.filter(kinds, F.lit(kind).__eq__)).alias(c) for kind, c in zip(KINDS, counts)]
+    touched = touched.select(F.col("own").withField("text", text).alias("own"), *held)
+    return whole.unionByName(touched).select("own.*", *counts)

@@ -389,7 +389,7 @@ def test_surrogates(spark, empty):
 
 def test_surrogates_stay_distinct(spark):
     """Short family names alone leave few surrogates, so that many of these values collide at first."""
-    values = [f"Mr. {a}{b}{c}" for a in "ABCDEFGHIJ" for b in "aeiou" for c in ("bel", "dan", "mir", "nor", "pet", "ros", "sil", "tom", "var", "wen")]
+    values = [f"Mr. {a}{b}{c}{d}" for a in "ABCDEFGHIJKLMNOPRST" for b in "aeiou" for c in ("bel", "dan", "mir", "nor", "pet", "ros", "sil", "tom", "var", "wen") for d in ("", *"abcdefghijklmno")]  # over 15,000
     df = spark.createDataFrame([(i, f"{v} and {v}") for i, v in enumerate(values)], "doc_id long, text string")
     rows = surrogates.replace_personal_data(df, "k").collect()
     made = [r.text.split(" and ")[0] for r in rows]
@@ -409,6 +409,48 @@ def test_surrogates_never_run_out(spark):
     assert not set(made) & set(texts)
 
 
+def test_surrogates_of_one_person(spark):
+    """All mentions of a person get the same names, whatever the title, also in other documents."""
+    texts = [
+        "Mr. John Smith came. Later Mr. Smith and Dr. John Smith left; John Smith is one man, SMITH another word, Smithers too.",
+        "Ms. Smith met Mrs. Anna Jones, then Anna Jones and JONES.",
+        "Dr. John Jones; John Smith is nobody here.",
+        "Dr. Anna Smith",
+    ]
+    rows = {r.doc_id: r.text for r in surrogates.replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    _, given, family = re.match(r"(Mr\.) (\w+) (\w+) came", rows[0]).groups()
+    assert rows[0] == texts[0].replace("John", given).replace("Smith ", family + " ") and family != "Smith" and given in surrogates.GIVEN["m", "latin"]
+    anna, jones = re.search(r"Mrs\. (\w+) (\w+),", rows[1]).groups()
+    assert rows[1] == f"Ms. {family} met Mrs. {anna} {jones}, then {anna} {jones} and JONES." and anna in surrogates.GIVEN["f", "latin"]
+    assert rows[2] == f"Dr. {given} {jones}; John Smith is nobody here." and rows[3] == f"Dr. {anna} {family}"
+
+
+def test_what_is_no_personal_data_stays(spark):
+    """Numbers whose check digit fails, versions, and numbers beyond an address's range."""
+    texts = ["order 4381893557741601 or 1234567890123", "version 1.2.3.4 and v1.2.3.4", "section 10.2.3.4.5", "300.1.2.3", "release: 4.3.2.1 of 2.4", "a 1.2.3.4.", "4111-1111-1111-1111"]
+    rows = {r.doc_id: r for r in surrogates.replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert [rows[i].text == texts[i] for i in range(7)] == [True] * 5 + [False] * 2
+    assert rows[5].n_ip == 1 and rows[6].n_card == 1 and rows[0].n_card == 0 and rows[1].n_ip == 0
+
+
+def test_surrogates_of_domains_stay_distinct(spark):
+    """Short domains leave few surrogates of their length; none is another real one."""
+    texts = [f"x@{a}{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdef"]
+    rows = surrogates.replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    made = [r.text.split("@")[1] for r in rows]
+    assert len(set(made)) == len(texts) and not set(made) & {t.split("@")[1] for t in texts} and all(m.endswith(".de") for m in made)
+
+
+def test_surrogates_edges(spark, docs):
+    odd = docs.withColumns({c: F.lit("x") for c in ("_found", "_row", "row", "found", "known", "own", "n_email", "pattern")})
+    out = surrogates.replace_personal_data(odd, "k")
+    assert set(odd.columns) <= set(out.columns) and out.count() == docs.count()
+    long = "word " * 200_000 + "a.b@mail.example.com " + "word " * 200_000
+    df = spark.createDataFrame([(1, long), (1, long), (None, "+1 (017) 555-7713"), (None, "+1 (017) 555-7713")], "doc_id long, text string")
+    rows = sorted(surrogates.replace_personal_data(df, "k").collect(), key=lambda r: len(r.text))
+    assert rows[0] == rows[1] and rows[2] == rows[3] and rows[0].n_phone == rows[2].n_email == 1 and len(rows[2].text) == len(long)
+
+
 def test_surrogates_of_tokens_without_digits(spark):
     texts = ["key ghp_abcdefghijklmnopqrstuv", "AKIA" + "QWERTYUIOPASDFGH", "deadbeef" * 4, "DEADBEEF" * 4]
     rows = surrogates.replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
