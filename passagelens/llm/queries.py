@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
-from .common import table, train_row
+from .common import held_out, table, train_row
 from .decontaminate import decontaminate
 from .language_id import classified, learn_languages
 from .license_scan import PHRASES, postings, scan_licenses
@@ -30,7 +30,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = learn_languages(docs.where(train_row(F.col("doc_id"))))
-    return classified(docs.drop("lang"), model).select("doc_id", (~train_row(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+    return classified(docs.drop("lang"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     may_learn = train_row(F.col("doc_id"))
     scorer = learn_quality(docs.where(may_learn), table(spark, sf_dir, "labels").where(may_learn).select("doc_id", "quality"))
-    return scored(docs, scorer).select("doc_id", (~may_learn).alias("held_out"), "score", "predicted")
+    return scored(docs, scorer).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
