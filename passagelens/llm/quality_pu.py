@@ -6,14 +6,16 @@ class prior p, loss l and score g the risk is
     p E_pos[l(g)] + max(0, E_unl[l(-g)] - p E_pos[l(-g)])
 
 where the second term estimates the negatives' risk and is kept from going below 0: while it does, steps go against
-its gradient. The prior is the share of 1 among all labelled rows that may be learnt from. The scorer is
-logistic, over shares of byte classes, of pairs of neighbouring classes, and of repeated words and lines, of the whole text.
+its gradient. Labels of 0 are not used. The prior is estimated from positives and unlabelled texts alone: a scorer is fitted to tell the
+two apart on one half of each, and on the other halves the prior is at most the ratio of the unlabelled texts to the
+positives above any score, since above it the unlabelled hold that share of all positives at least; the least such ratio is taken.
+The scorer is logistic, over shares of byte classes, of pairs of neighbouring classes, and of repeated words and lines, of the whole text.
 
-The samples are bounded by MOST_POSITIVE and MOST_UNLABELLED rows, chosen by the hash of doc_id; the prior is counted
-over all rows.
+The samples are bounded by MOST_POSITIVE and MOST_UNLABELLED rows, chosen by hash.
 
-Defined results: null and empty texts have all features 0 but the constant, and get a score like others; with no
-positive label every score is the prior (or 0.5 where that is unknown); rows that repeat a doc_id are scored one by one.
+Defined results: null and empty texts have all features 0, and get a score like others; with no positive or no unlabelled text
+every score is 0.5; rows that repeat a doc_id, or have none, are scored one by one; an empty table gives an empty table; columns of docs
+named as the added ones are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_columns
+
 
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 EPOCHS, RATE, DECAY = 400, 0.05, 1e-4
@@ -68,55 +72,79 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-z.astype(np.float64).clip(-60, 60)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Scorer:
-    """Minimises the non-negative risk by full-batch gradient steps with momentum-scaled rates (Adam)."""
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    xp, xu = (((x - mean) / scale).clip(-6, 6).astype(np.float64) for x in (positive, unlabelled))
-    n = xp.shape[1]
-    theta, first, second = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+def _slope(x: np.ndarray, theta: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
+    """The mean logistic loss of sign x score, and its gradient."""
+    z = sign * (x @ theta[:-1] + theta[-1])
+    pull = -sign / (1.0 + np.exp(z.clip(-60, 60)))
+    return float(np.logaddexp(0, -z).mean()), np.append(pull @ x, pull.sum()) / len(x)
 
-    def slope(x: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
-        """The mean logistic loss of sign x score, and its gradient."""
-        z = sign * (x @ theta[:n] + theta[n])
-        pull = -sign / (1.0 + np.exp(z.clip(-60, 60)))
-        return float(np.logaddexp(0, -z).mean()), np.append(pull @ x, pull.sum()) / len(x)
 
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, theta: np.ndarray) -> tuple[float, np.ndarray, bool]:
+    """The non-negative risk, the gradient to step against, and whether the negatives' part had to be kept from below 0."""
+    loss_up, up = _slope(positive, theta, 1.0)
+    loss_p, down_p = _slope(positive, theta, -1.0)
+    loss_u, down_u = _slope(unlabelled, theta, -1.0)
+    negative = loss_u - prior * loss_p
+    if negative < 0:
+        return prior * loss_up, prior * down_p - down_u, True
+    return prior * loss_up + negative, prior * up + down_u - prior * down_p, False
+
+
+def _descended(gradient, n: int, decay: float = DECAY) -> np.ndarray:
+    """Full-batch gradient steps with momentum-scaled rates (Adam) from zero."""
+    theta, first, second = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, EPOCHS + 1):
-        _, up = slope(xp, 1.0)
-        loss_p, down_p = slope(xp, -1.0)
-        loss_u, down_u = slope(xu, -1.0)
-        if loss_u - prior * loss_p >= 0:
-            gradient = prior * up + down_u - prior * down_p
-        else:
-            gradient = prior * down_p - down_u
-        gradient[:n] += DECAY * theta[:n]
-        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
+        g = gradient(theta)
+        g[:n] += decay * theta[:n]
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g**2
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Scorer(mean, scale, theta[:n].astype(np.float32), float(theta[n]))
+    return theta
+
+
+def _scaled(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
+    return mean, scale, *(((x - mean) / scale).clip(-6, 6).astype(np.float64) for x in (positive, unlabelled))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.3) -> float:
+    """The share of positives among the unlabelled; ratios are looked at above scores that at least a share `least` of the positives reach."""
+    _, _, xp, xu = _scaled(positive, unlabelled)
+    theta = _descended(lambda t: _slope(xp[::2], t, 1.0)[1] + _slope(xu[::2], t, -1.0)[1], xp.shape[1], 100 * DECAY)
+    p, u = (np.sort(x[1::2] @ theta[:-1] + theta[-1]) for x in (xp, xu))
+    if not len(p) or not len(u):
+        return 0.5
+    above = lambda s, t: 1 - np.searchsorted(s, t) / len(s)
+    levels = np.quantile(p, np.linspace(0.1, 1 - least, 8))
+    return float(np.clip((above(u, levels) / above(p, levels)).min(), 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Scorer:
+    """Minimises the non-negative risk."""
+    mean, scale, xp, xu = _scaled(positive, unlabelled)
+    theta = _descended(lambda t: risk(xp, xu, prior, t)[1], xp.shape[1])
+    return Scorer(mean, scale, theta[:-1].astype(np.float32), float(theta[-1]))
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame) -> Scorer:
     """docs: doc_id, text; labels: doc_id, quality, of rows that may be learnt from."""
-    known = labels.where(F.col("quality").isNotNull())
-    prior = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
 
-    def sample(df: DataFrame, most: int) -> np.ndarray:
-        ordered = df.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(most)
-        chosen = docs.select("doc_id", "text").join(F.broadcast(ordered.select("doc_id").distinct()), "doc_id", "left_semi")
+    def sample(ids: DataFrame, most: int) -> np.ndarray:
+        chosen = ids.select(F.xxhash64("doc_id").alias("h"), "doc_id").distinct().orderBy("h", "doc_id").limit(most)
+        rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
 
         def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                yield pd.DataFrame({"x": list(features(f.text.fillna("").tolist()))})
+                yield pd.DataFrame({"h": f.h, "x": list(features(f.text.fillna("").tolist()))})
 
-        rows = chosen.mapInPandas(measured, "x array<float>").toPandas().x
-        return np.stack(rows) if len(rows) else np.zeros((0, N_FEATURES), np.float32)
+        measures = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInPandas(measured, "h long, x array<float>")
+        x = measures.orderBy("h").limit(most).toPandas().x  # ids may repeat, so that rows are bounded too
+        return np.stack(x) if len(x) else np.zeros((0, N_FEATURES), np.float32)
 
-    positive = sample(known.where("quality = 1"), MOST_POSITIVE)
-    unlabelled = sample(docs, MOST_UNLABELLED)
+    positive = sample(labels.where("quality = 1 AND doc_id IS NOT NULL"), MOST_POSITIVE)
+    unlabelled = sample(docs.where("doc_id IS NOT NULL"), MOST_UNLABELLED)
     if not len(positive) or not len(unlabelled):
-        p = min(max(0.5 if prior is None else prior, 1e-6), 1 - 1e-6)
-        return Scorer(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES, np.float32), float(np.log(p / (1 - p))))
-    return fit(positive, unlabelled, prior)
+        return Scorer(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES, np.float32), 0.0)
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def scored(docs: DataFrame, scorer: Scorer, least: float = 0.7) -> DataFrame:
@@ -130,5 +158,5 @@ def scored(docs: DataFrame, scorer: Scorer, least: float = 0.7) -> DataFrame:
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     judge = F.pandas_udf(score, "double")
-    out = docs.withColumn("score", judge("text"))
-    return out.withColumn("predicted", F.when(F.col("score") >= least, 1).otherwise(0))
+    out = docs.select(kept_columns(docs, "score", "predicted").alias("own"), judge("text").alias("score"))
+    return out.select("own.*", "score", F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"))

@@ -172,21 +172,53 @@ def test_line_dedup_edges(docs, empty):
 
 
 # 3
-def test_language_id(spark, docs, empty):
+def brute_language(text, model):
+    """lang_pred, score, margin of a text by compressing its blocks one by one."""
+    import zstandard
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, 0.0
+    data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+    sizes = {}
+    for name, content in model.items():
+        pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False)
+        sizes[name] = sum(len(pack.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
+    best = min(sorted(sizes), key=sizes.get)
+    gaps = [sizes[n] - sizes[best] for n in sizes if n != best]
+    return best, 1 / (1 + sum(np.exp(-g / 4.0) for g in gaps)), min(gaps)
+
+
+def test_language_id_equals_brute_force(spark, docs, empty):
     rng = random.Random(3)
     kinds = {"aa": "ba be bi bo bu da de di".split(), "bb": "xor xul zek zim vor vak tul tem".split()}
     rows = [(i, " ".join("".join(rng.choice(kinds[k]) for _ in range(3)) for _ in range(rng.randint(5, 300))), k) for i in range(120) for k in [rng.choice(["aa", "bb"])]]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df = spark.createDataFrame([*rows, rows[0], rows[0], (None, rows[1][1], "aa")], "doc_id long, text string, lang string")
     model = language_id.learn_languages(df.where("doc_id < 80"))
+    assert model == language_id.learn_languages(df.where("doc_id < 80").unionAll(df.where("doc_id < 30")).repartition(3))  # rows alike count once
     held = language_id.classified(df.where("doc_id >= 80"), model).collect()
-    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in held)
-    odd = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (3, "12 34 !!", 9.0), (4, rows[0][1] * 50, 9.0)], "doc_id long, text string, score double")
-    got = {r.doc_id: r for r in language_id.classified(odd, model).collect()}
-    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["und", "und", "und", rows[0][2]] and got[1].rejected and got[1].score == 0
+    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.95
+    texts = [None, "", "12 34 !!", rows[0][1] * 50, rows[0][1] + " " + rows[1][1], "b", "ba xor " * 3, "É" * 20_000, "Ba. Be? BI"]
+    odd = spark.createDataFrame([(i, t, 9.0, "x") for i, t in [*enumerate(texts), (3, texts[3]), (None, texts[4])]], "doc_id long, text string, score double, _judged string").withColumns({c: F.lit(1) for c in ("own", "judged", "n", "lang")})
+    out = language_id.classified(odd, model)
+    assert set(odd.columns) <= set(out.columns)
+    got = out.collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        name, score, margin = brute_language(r.text, model)
+        n = len(re.sub(r"[\W\d_]+", " ", (r.text or "").lower()).encode())
+        assert (r.lang_pred, r.margin) == (name, margin) and r.score == pytest.approx(score)
+        assert r.rejected == (name == "und" or margin < 2 or margin < 0.001 * n)
     assert language_id.classified(empty, model).count() == 0
     assert {r.lang_pred for r in language_id.classified(odd, language_id.learn_languages(df.limit(0))).collect()} == {"und"}
 
 
+def test_languages_are_learnt_from_whole_texts(spark):
+    """What all texts open with doesn't fill the dictionaries."""
+    rows = [(i, "same opening " * 100 + f"word{i} " * 400, "aa") for i in range(60)]
+    model = language_id.learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["aa"].count(b"opening") < 0.6 * model["aa"].count(b" ") and len(model["aa"]) <= 60 * 501
+
+
 # 4
 def brute_contamination(docs, items):
     windows = {}
@@ -458,19 +490,69 @@ def test_surrogates_of_tokens_without_digits(spark):
 
 
 # 8
+def plain_features(t):
+    """The features of a text, counted one by one."""
+    groups, data = quality_pu._GROUPS, t.encode()
+    kind = [next((k for k, g in enumerate(groups) if chr(b) in g), len(groups)) if b < 128 else len(groups) + 1 for b in data]
+    n = len(groups) + 2
+    out = [0.0] * (n + n * n + 5)
+    for k in kind:
+        out[k] += 1 / len(kind)
+    for a, b in zip(kind, kind[1:]):
+        out[n + a * n + b] += 1 / (len(kind) - 1)
+    if data:
+        w, lines = t.split(), [x for x in t.split("\n") if x]
+        out[-5:] = [sum(a == b for a, b in zip(w, w[1:])) / max(len(w), 1), np.log(1 + len(data)) / 10, len(data) / (len(w) + 1) / 10, len(set(w)) / max(len(w), 1), len(set(lines)) / max(len(lines), 1)]
+    return out
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(8)
-    good = [(i, prose(rng, rng.randint(20, 200)) + ".", 1) for i in range(150)]
-    bad = [(200 + i, " | ".join(prose(rng, 1) for _ in range(rng.randint(20, 100))), 0) for i in range(60)]
+    good = [(i, prose(rng, rng.randint(20, 200)) + ".", 1) for i in range(500)]
+    bad = [(1000 + i, " | ".join(prose(rng, 1) for _ in range(rng.randint(20, 100))), 0) for i in range(200)]
     df = spark.createDataFrame([(i, t) for i, t, _ in good + bad], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, q) for i, _, q in good[:70] + bad[:20]], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, q) for i, _, q in good[:250] + bad[:60]] + [(None, 1), (5, None)], "doc_id long, quality int")
     scorer = quality_pu.learn_quality(df, labels)
     got = {r.doc_id: r for r in quality_pu.scored(df, scorer).collect()}
-    assert np.mean([got[i].predicted == q for i, _, q in good[70:] + bad[20:]]) > 0.95
-    for r in quality_pu.scored(docs, scorer).collect():
-        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
-    assert quality_pu.scored(empty, scorer).count() == 0
+    assert np.mean([got[i].predicted == q for i, _, q in good[250:] + bad[60:]]) > 0.95
+    odd = docs.withColumns({c: F.lit("x") for c in ("own", "score", "x", "h")})
+    for r in quality_pu.scored(odd, scorer).collect():
+        x = (np.array(plain_features(r.text or "")) - scorer.mean) / scorer.scale
+        want = 1 / (1 + np.exp(-(x.clip(-6, 6) @ scorer.weights + scorer.bias)))
+        assert r.score == pytest.approx(want, abs=1e-5) and r.predicted == int(r.score >= 0.7)
+    assert quality_pu.scored(odd, scorer).count() == docs.count() and quality_pu.scored(empty, scorer).count() == 0
     assert {r.score for r in quality_pu.scored(docs, quality_pu.learn_quality(df, labels.limit(0))).collect()} == {0.5}
+    assert {r.score for r in quality_pu.scored(docs, quality_pu.learn_quality(empty, labels)).collect()} == {0.5}
+
+
+def test_quality_risk_and_prior():
+    """The risk by its definition, its gradient by differences, and the prior of a known mixture."""
+    rng = np.random.default_rng(8)
+    xp, xu = rng.normal(0.5, 1, (40, 3)), rng.normal(0, 1, (90, 3))
+    soft = lambda z: float(np.mean(np.log1p(np.exp(-z))))
+    for theta, prior in ((np.array([0.3, -0.2, 0.1, 0.4]), 0.3), (np.array([2.0, 2.0, 2.0, -3.0]), 0.9)):
+        score = lambda x: x @ theta[:3] + theta[3]
+        negative = soft(-score(xu)) - prior * soft(-score(xp))
+        value, gradient, kept = quality_pu.risk(xp, xu, prior, theta)
+        assert kept == (negative < 0) and value == pytest.approx(prior * soft(score(xp)) + max(0, negative))
+        if not kept:
+            for j in range(4):
+                step = np.eye(4)[j] * 1e-6
+                slope = (quality_pu.risk(xp, xu, prior, theta + step)[0] - quality_pu.risk(xp, xu, prior, theta - step)[0]) / 2e-6
+                assert gradient[j] == pytest.approx(slope, abs=1e-5)
+    positive = rng.normal(2, 1, (1000, 3))
+    unlabelled = np.concatenate([rng.normal(2, 1, (600, 3)), rng.normal(-2, 1, (1400, 3))])
+    assert quality_pu.estimated_prior(positive, rng.permutation(unlabelled)) == pytest.approx(0.3, abs=0.06)
+
+
+def test_quality_sample_is_bounded_by_rows(spark, monkeypatch):
+    """A doc_id that many rows share counts by rows."""
+    monkeypatch.setattr(quality_pu, "MOST_UNLABELLED", 20)
+    seen = []
+    monkeypatch.setattr(quality_pu, "fit", lambda p, u, prior: seen.append((len(p), len(u))))
+    df = spark.createDataFrame([(1, f"text {i}") for i in range(200)], "doc_id long, text string")
+    quality_pu.learn_quality(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert seen == [(200, 20)]
 
 
 # 9
