@@ -31,7 +31,7 @@ from .components import components
 from .crowds import crowd_links, crowds
 from .shingles import batches, mixed, numbers, shingle_sets
 
-TREES, DEPTH, LEAST, NEIGHBOURS = 12, 6, 3, 3
+TREES, DEPTH, LEAST, NEIGHBOURS, PART = 12, 6, 3, 3, 500
 _H = [f"h{i}" for i in range(DEPTH)]
 
 
@@ -112,7 +112,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     """The pairs whose full shingle sets are as similar as asked."""
     named = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     texts = settled(docs.select(number_of(F.col("doc_id")).alias("id"), "text").join(hinted(settled(named)), "id", "left_semi"))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    # A region's first class meets all others as `a`: its pairs are dealt in parts of about PART, and its text goes to each part once.
+    parts = settled(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    right = pairs.join(hinted(parts), "a").select("a", "b", part.alias("part")).join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    left = texts.join(hinted(parts.withColumnRenamed("a", "id")), "id")
+    left = left.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = right.join(left, ["a", "part"])
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
