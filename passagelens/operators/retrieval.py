@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms
+from ..sources.scratch import settled
 
 #: A table of so many rows at most is broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
@@ -20,61 +22,154 @@ def ranked(scores: DataFrame, k: int, by: list[str], order: list[Column]) -> Dat
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+#: So many queries are sent to all tasks at once, for each pass over the chunks; so many of them are scored at a time; chunks at a time.
+QUERIES, BLOCK, ROWS = 16_384, 1024, 512
+
+
+def _groups(queries: DataFrame) -> tuple[DataFrame, int]:
+    """queries with `group`, by a hash of qid, and the number of groups, which hold about QUERIES each."""
+    n = max(1, -(-queries.count() // QUERIES))
+    return queries.withColumn("group", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int")), n
+
+
+def _merged(best: tuple[np.ndarray, np.ndarray] | None, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and scores, a row a query, of the k best of `best` and these; ties by id."""
+    ids = np.broadcast_to(ids, scores.shape)
+    if best is not None:
+        ids, scores = np.concatenate([best[0], ids], axis=1), np.concatenate([best[1], scores], axis=1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
+def _top_k(rows: DataFrame, blocks: list[tuple[np.ndarray, object]], score, k: int) -> DataFrame:
+    """qid, chunk_id, score: the k best rows of each task for each query of the blocks (qids, what score needs of them).
+
+    A task keeps k rows a query over all that it reads, and sends these alone.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(blocks)
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list = [None] * len(shared.value)
+        for frame in frames:
+            for at in range(0, len(frame), ROWS):
+                part = frame.iloc[at : at + ROWS]
+                ids = part.chunk_id.to_numpy()
+                ready = score(part)
+                for i, (_, wanted) in enumerate(shared.value):
+                    found[i] = _merged(found[i], ids, np.round(ready(wanted), 9), k)
+        for (qids, _), held in zip(shared.value, found):
+            if held is not None:
+                yield pd.DataFrame({"qid": np.repeat(qids, held[0].shape[1]), "chunk_id": held[0].ravel(), "score": held[1].ravel()})
+
+    return rows.mapInPandas(best, "qid long, chunk_id long, score double")
+
+
+def _over_groups(rows: DataFrame, queries: DataFrame, blocks_of, score, k: int) -> DataFrame:
+    """qid, rank, chunk_id, score over all groups of queries; blocks_of makes the blocks of one group's rows, which are bounded."""
+    grouped, n = _groups(queries)
+    found = [_top_k(rows, blocks_of(grouped.where(F.col("group") == g).drop("group").toPandas()), score, k) for g in range(n)]
+    every = reduce(DataFrame.unionByName, found)
+    return ranked(every, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")]).select("qid", "rank", "chunk_id", "score")
+
+
+def term_counts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """chunk_id, dl, terms and counts: how often each wanted term (a hash) stands in each chunk (chunk_id, text). One pass over the texts."""
+    n = wanted.count()
+    known = np.sort(wanted.toPandas().term.to_numpy(np.int64)) if n <= 20 * BROADCAST_ROWS else None  # beyond that all terms stay
+    shared = chunks.sparkSession.sparkContext.broadcast(known)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sizes = frame.terms.str.len().to_numpy(np.int64)
+            flat = np.concatenate([*frame.terms, np.zeros(0, np.int64)]).astype(np.int64)
+            row = np.repeat(np.arange(len(frame)), sizes)
+            if (terms := shared.value) is not None:
+                at = np.searchsorted(terms, flat)
+                held = np.zeros(len(flat), bool) if not len(terms) else terms[np.minimum(at, len(terms) - 1)] == flat
+                flat, row = flat[held], row[held]
+            order = np.lexsort((flat, row))
+            flat, row = flat[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])) if len(flat) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(first, len(flat))).astype(np.int32)
+            cut = np.searchsorted(row[first], np.arange(1, len(frame)))
+            yield pd.DataFrame({"chunk_id": frame.chunk_id.to_numpy(), "dl": sizes, "terms": np.split(flat[first], cut), "counts": np.split(counts, cut)})
+
+    hashed = chunks.select("chunk_id", F.transform(search_terms(F.col("text")), lambda t: F.xxhash64(t)).alias("terms"))
+    return hashed.mapInPandas(count, "chunk_id long, dl long, terms array<long>, counts array<int>")
+
+
+def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, counted: DataFrame | None = None) -> DataFrame:
     """qid, rank, chunk_id, score. chunks: chunk_id, text; queries: qid, text.
 
-    Only postings of terms that some query has are built. A term that a query repeats counts as often. Queries with
-    fewer than k scored chunks are filled up with unscored ones by chunk_id.
+    A term that a query repeats counts as often. Queries that share a term with fewer than k chunks are filled up with others by
+    chunk_id. Texts are read once, for the counts of the queries' terms, from which document frequencies, lengths and scores follow;
+    `counted` hands in the settled counts of an earlier search with the same terms. Scores never become a row a pair: each task adds them up for blocks of
+    queries and keeps k a query.
     """
-    terms = queries.select("qid", F.explode(search_terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")).persist()
-    wanted = terms.select("term").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    split = chunks.select("chunk_id", search_terms(F.col("text")).alias("terms"))
-    n, average = split.agg(F.count(F.lit(1)), F.avg(F.size("terms"))).first()
-    length = F.size("terms").alias("dl")
-    postings = split.select("chunk_id", length, F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    postings = postings.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = queries.select("qid", F.explode(F.transform(search_terms(F.col("text")), lambda t: F.xxhash64(t))).alias("term"))
+    terms = settled(asked.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    counted = settled(term_counts(chunks, terms.select("term").distinct())) if counted is None else counted
+    n, average = counted.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    average = average or 1.0
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(df, "term").select("qid", "term", (idf * F.col("qtf")).alias("w"))
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (average or 1.0)))
-    scored = postings.join(weighted, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
-    top = ranked(scored, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")]).drop("rank")
-    lowest = [r.chunk_id for r in chunks.select("chunk_id").orderBy("chunk_id").limit(k).collect()]
-    padding = queries.select("qid", F.explode(F.array(*map(F.lit, lowest)) if lowest else F.array().cast("array<bigint>")).alias("chunk_id")).join(top.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
-    filled = top.unionByName(padding.withColumn("score", F.lit(0.0)))
-    return ranked(filled, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")]).select("qid", "rank", "chunk_id", "score")
-
-
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    listed = weighted.groupBy("qid").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w"))
+    every = settled(queries.select("qid").distinct().join(listed, "qid", "left"))
+
+    def blocks(frame: pd.DataFrame) -> list:
+        out = []
+        for at in range(0, len(frame), BLOCK):
+            own = frame.iloc[at : at + BLOCK]
+            sizes = [0 if t is None else len(t) for t in own.terms]
+            flat = np.concatenate([*(t for t in own.terms if t is not None), np.zeros(0, np.int64)]).astype(np.int64)
+            w = np.concatenate([*(x for x in own.w if x is not None), np.zeros(0)])
+            order = np.argsort(flat, kind="stable")
+            named, first = np.unique(flat[order], return_index=True)
+            out.append((own.qid.to_numpy(), (len(own), named, np.append(first, len(flat)), np.repeat(np.arange(len(own)), sizes)[order], w[order])))
+        return out
+
+    def score(part: pd.DataFrame):
+        sizes = part.terms.str.len().to_numpy(np.int64)
+        term = np.concatenate([*part.terms, np.zeros(0, np.int64)]).astype(np.int64)
+        tf = np.concatenate([*part.counts, np.zeros(0)]).astype(np.float64)
+        row = np.repeat(np.arange(len(part)), sizes)
+        order = np.argsort(term, kind="stable")
+        term, row = term[order], row[order]
+        gain = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.repeat(part.dl.to_numpy(), sizes) / average)))[order]
+        held, first = np.unique(term, return_index=True)
+        last = np.append(first, len(term))
+
+        def ready(wanted) -> np.ndarray:
+            n_queries, named, begin, query, w = wanted
+            scores = np.zeros((n_queries, len(part)))
+            _, mine, theirs = np.intersect1d(held, named, assume_unique=True, return_indices=True)
+            for i, j in zip(mine, theirs):
+                here, there = slice(last[i], last[i + 1]), slice(begin[j], begin[j + 1])
+                scores[np.ix_(query[there], row[here])] += np.outer(w[there], gain[here])
+            return scores
+
+        return ready
+
+    return _over_groups(counted, every, blocks, score, k)
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, rank, chunk_id, score by inner product, exactly. vectors: chunk_id, vec; queries: qid, vec.
 
-    Queries are dealt in blocks of bounded size; for each block every task keeps its own k best a query and batch, so that
-    what is shuffled is k rows a query and batch, not a row a pair.
+    Queries are dealt in groups of bounded size by a hash; for each group there is one pass over the vectors, in which every task keeps its own
+    k best a query.
     """
-    ids = [r.qid for r in queries.select("qid").orderBy("qid").collect()]
-    out = None
-    for at in range(0, len(ids), block):
-        own = queries.where(F.col("qid").between(ids[at], ids[min(at + block, len(ids)) - 1])).orderBy("qid").collect()
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.qid for r in own]), np.array([r.vec for r in own], np.float64)))
-
-        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qids, matrix = shared.value
-            for frame in frames:
-                if not len(frame):
-                    continue
-                ids, x = frame.chunk_id.to_numpy(), np.stack(frame.vec.to_numpy()).astype(np.float64)
-                scores = np.round(matrix @ x.T, 9)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(qids)), order.shape[1])
-                yield pd.DataFrame({"qid": qids[rows], "chunk_id": ids[order.ravel()], "score": scores[rows, order.ravel()]})
-
-        found = vectors.select("chunk_id", "vec").mapInPandas(best, "qid long, chunk_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "qid long, rank int, chunk_id long, score double")
-    return ranked(out, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")]).select("qid", "rank", "chunk_id", "score")
+
+    def blocks(frame: pd.DataFrame) -> list:
+        parts = (frame.iloc[at : at + BLOCK] for at in range(0, len(frame), BLOCK))
+        return [(own.qid.to_numpy(), np.stack(own.vec.to_numpy()).astype(np.float64)) for own in parts]
+
+    def score(part: pd.DataFrame):
+        x = np.stack(part.vec.to_numpy()).astype(np.float64)
+        return lambda wanted: wanted @ x.T
+
+    return _over_groups(vectors.select("chunk_id", "vec"), queries.select("qid", "vec"), blocks, score, k)
 
 
 def rrf_fuse(lists: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:
@@ -104,7 +199,8 @@ def containing_documents(pages: DataFrame, answers: DataFrame, n: int = 5) -> Da
     """
     words = answers.where("answer IS NOT NULL").select("qid", "answer", F.split("answer", " ").alias("w"))
     inner = F.least(F.size("w") - 2, F.lit(n))
-    keys = words.where(F.size("w") >= 3).select("qid", "answer", inner.alias("n"), F.xxhash64(F.slice("w", F.lit(2), inner)).alias("gram")).persist()
+    keys = words.where(F.size("w") >= 3).select("qid", "answer", inner.alias("n"), F.xxhash64(F.slice("w", F.lit(2), inner)).alias("gram"))
+    keys = settled(keys)
     lengths = [r.n for r in keys.select("n").distinct().collect()]  # n values at most
     wanted = keys.select("qid", "gram")
     wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_ROWS else wanted
@@ -113,7 +209,7 @@ def containing_documents(pages: DataFrame, answers: DataFrame, n: int = 5) -> Da
     pairs = pages.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(wanted, "gram").select("doc_id", "qid").distinct()
     found = pairs.join(keys.select("qid", "answer"), "qid").join(pages, "doc_id").where(F.contains("page", F.col("answer"))).select("qid", "doc_id").distinct()
 
-    short = words.where(F.size("w") < 3).select("qid", "answer").persist()
+    short = settled(words.where(F.size("w") < 3).select("qid", "answer"))
     n_short = short.count()
     if not n_short:
         return found

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with consecutive numbers from 1 in the given order, without gathering them in one task.
@@ -14,7 +16,7 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", at).persist()
+    ranged = settled(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
     counts = dict(ranged.groupBy("_part").count().collect())
     first, total = [], 0
     for part in sorted(counts):
@@ -43,7 +45,7 @@ def consecutive_windows(rows: DataFrame, title: str, order: str, sizes: list[int
     """Rows of consecutive windows of documents, with `window`; later rows of a window's documents stay until the first
     new document after the last window."""
     total = sum(sizes)
-    numbers = document_numbers(rows, title, order, total + 1).persist()
+    numbers = settled(document_numbers(rows, title, order, total + 1))
     end = numbers.where(F.col("doc_no") == total + 1).first()
     window = F.lit(None).cast("int")
     for i in reversed(range(len(sizes))):

@@ -18,6 +18,7 @@ from ..operators import tables as B
 from ..operators import verdicts as V
 from ..operators import windows as W
 from ..sources import readers as S
+from ..sources.scratch import settled, spread
 from .sweep import bm25_sweep, fixed_chunk_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # DuckDB expressions that several queries share.
@@ -262,7 +263,7 @@ SELECT k, count(*) AS n_questions, round(avg(c), 9) AS recall, round(avg(u), 9)
 def retrieval_recall(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("page"))
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.normalize_text(F.col("text")).alias("answer"))
-    pool = _pool(spark, sf_dir).persist()
+    pool = settled(_pool(spark, sf_dir))
     gold = R.containing_documents(docs, items).groupBy("qid").agg(F.min("doc_id").alias("gold"))
     hits = pool.join(gold, "qid", "left").select("qid", "rank", (F.col("chunk_id") == F.col("gold")).alias("in_gold"), F.col("hit").alias("holds_answer"))
     out = M.recall_at_k(items, hits.fillna(False, ["in_gold"]), [1, 3, 5, 20, 50])
@@ -356,7 +357,7 @@ SELECT count(*) AS n, round(avg(diff), 9) AS mean, round(avg(diff) - 1.96::DOUBL
 FROM (SELECT diff FROM {_PAIRED} WHERE config = 1 UNION ALL SELECT diff FROM {_PAIRED} WHERE config = 2)"""
 )
 def pooled_paired_delta(spark, sf_dir):
-    diffs = M.paired(_arms(spark, sf_dir), ["config", "qid"], "arm", "value", "A", "N").persist()
+    diffs = settled(M.paired(_arms(spark, sf_dir), ["config", "qid"], "arm", "value", "A", "N"))
     pooled = diffs.where("config = 1").select("diff").unionByName(diffs.where("config = 2").select("diff"))
     return M.mean_ci(pooled, "diff", []).select("n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
@@ -378,7 +379,7 @@ SELECT config,
 FROM c"""
 )
 def verdict_rules(spark, sf_dir):
-    diffs = M.paired(_arms(spark, sf_dir), ["config", "qid"], "arm", "value", "A", "N").persist()
+    diffs = settled(M.paired(_arms(spark, sf_dir), ["config", "qid"], "arm", "value", "A", "N"))
     wide = M.mean_ci(diffs, "diff", ["config"], 1.645).select("config", F.col("low").alias("low90"), F.col("high").alias("high90"))
     c = M.mean_ci(diffs, "diff", ["config"]).join(wide, "config")
     mean, low, high, n = F.col("mean"), F.col("low"), F.col("high"), F.col("n")
@@ -419,7 +420,7 @@ SELECT l.size, l.overlap, f.size AS match_size, round(abs(l.avg_size - f.avg_siz
 FROM l JOIN f ON l.overlap = f.overlap QUALIFY row_number() OVER (PARTITION BY l.size, l.overlap ORDER BY abs(l.avg_size - f.avg_size), f.size) = 1"""
 )
 def nearest_size_match(spark, sf_dir):
-    rows = _results(spark, sf_dir).select("method", "size", "overlap", F.round("recall", 6).alias("recall"), F.round("avg_size", 6).alias("avg_size")).persist()
+    rows = settled(_results(spark, sf_dir).select("method", "size", "overlap", F.round("recall", 6).alias("recall"), F.round("avg_size", 6).alias("avg_size")))
     left, right = rows.where("method = 'ECONOMY'"), rows.where("method = 'STANDARD'")
     out = B.nearest_match(left, right, ["overlap"], "avg_size", "size")
     return out.select("size", "overlap", F.col("match.size").alias("match_size"), F.round("gap", 6).alias("gap"), F.round(F.col("recall") - F.col("match.recall"), 6).alias("delta"))
@@ -444,7 +445,7 @@ s AS (SELECT avg(spread) AS spread FROM (SELECT max(recall) - min(recall) AS spr
 SELECT round((SELECT corr(avg_size, recall) FROM r), 6) AS pearson, (SELECT corr(avg_size, recall) FROM r) >= 0.5 AS tracks_size, round(effect, 6) AS size_effect, round(spread, 6) AS mean_spread, effect > spread AS size_over_method, round((SELECT max(recall) FROM r), 6) AS best FROM z, s"""
 )
 def direction_checks(spark, sf_dir):
-    rows = _results(spark, sf_dir).persist()
+    rows = settled(_results(spark, sf_dir))
     ends = rows.agg(F.min("size").alias("lo"), F.max("size").alias("hi")).first()
     cells = B.spread(rows, ["size", "overlap"], "recall").agg(F.avg("spread").alias("mean_spread"))
     effect = F.avg(F.when(F.col("size") == ends.hi, F.col("recall"))) - F.avg(F.when(F.col("size") == ends.lo, F.col("recall")))
@@ -927,7 +928,7 @@ def boundary_model(spark, sf_dir):
     """Vectors of ten are a document; a boundary lies where the label changes. Fitted on four fifths of the documents, applied to all."""
     rows = _table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("doc_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"), "label")
     changes = rows.select("doc_id", "pos", (F.lead("label").over(Window.partitionBy("doc_id").orderBy("pos")) != F.col("label")).cast("int").alias("label"))
-    pairs = N.neighbours(rows).join(changes, ["doc_id", "pos"]).persist()
+    pairs = settled(N.neighbours(rows).join(changes, ["doc_id", "pos"]))
     model = N.fit(pairs.where(W.hash_split(F.col("doc_id")) == "train"))
     return N.probabilities(model, pairs).select("doc_id", "pos", "label", F.round("p", 6).alias("p"))
 
@@ -959,7 +960,7 @@ def retrieval_sweep(spark, sf_dir):
     whole = T.normalize_text(F.col("text"))
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), whole.alias("whole"), F.split(whole, " ").alias("w"))
     questions = items.select("qid", F.array_join(F.slice("w", 1, 8), " ").alias("question"), F.array_join(F.slice("w", 9, 6), " ").alias("answer"))
-    gold = R.containing_documents(docs.select("doc_id", whole.alias("page")), items.select("qid", F.col("whole").alias("answer"))).persist()
+    gold = settled(R.containing_documents(docs.select("doc_id", whole.alias("page")), items.select("qid", F.col("whole").alias("answer"))))
     out = bm25_sweep(docs.select("doc_id", T.long_sentences(F.col("text")).alias("sentences")), questions, gold, [(6, 0), (10, 1), (15, 0)], [1, 3, 5])
     return out.select("size", "overlap", "arm", "k", "n_chunks", *[F.round(c, 6).alias(c) for c in ("avg_chunk_size", "recall", "recall_unconstrained")])
 

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..sources.scratch import settled
 
 
 def fixed_chunk_table(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -31,9 +32,9 @@ def bm25_sweep(docs: DataFrame, questions: DataFrame, gold: DataFrame, configs:
     rerank, which reorders the first `depth` by shared terms. questions: qid, question, answer."""
 
     def one(size: int, overlap: int) -> DataFrame:
-        chunks = fixed_chunk_table(docs, size, overlap).persist()
+        chunks = settled(fixed_chunk_table(docs, size, overlap))
         asked = questions.select("qid", F.col("question").alias("text"))
-        pool = R.bm25_top_k(chunks.select("chunk_id", "text"), asked, max(depth, *ks)).persist()
+        pool = settled(R.bm25_top_k(chunks.select("chunk_id", "text"), asked, max(depth, *ks)))
         texts = pool.join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
         again = R.reranked(texts.withColumn("pair_score", R.term_overlap(F.col("text"), F.col("question"))), [depth])
         arms = [(name, scored_hits(top.where(F.col("rank") <= max(ks)), chunks, questions, gold)) for name, top in (("bm25", pool), ("rerank", again))]
