@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from ..sources.scratch import discard, mark, remove, settled, shared_folder, spread  # noqa: F401
 
 #: Fixed patterns of the contracts: what separates words, and what makes them up.
 WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -19,48 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of at most so many narrow rows (some 20 bytes each) may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
-#: The tables that settled() has written and nobody has discarded, oldest first.
-_written: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a session of one machine gets a folder of its own where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        if own is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of df as a table in the session's checkpoint folder, with the lineage cut. discard() removes it again."""
-    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def mark() -> int:
-    """A mark for discard()."""
-    return len(_written)
-
-
-def discard(spark: SparkSession, since: int = 0) -> None:
-    """Removes the tables settled since a mark; what was made from them must have been written."""
-    for path in _written[since:]:
-        remove(spark, path)
-    del _written[since:]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def hinted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
