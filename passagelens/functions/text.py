@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python's str methods and \s see it.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ABBREVIATED = r"(^|[\s(\"\x02])(Dr|Mr|Mrs|Ms|Prof|St|Jr|Sr|vs|[A-Z])\.\s+"
-_SENTENCE_END = r"([.!?][\"']?)\s+([\"'(]?[\p{Lu}0-9])"
+_SENTENCE_END = r"([.!?][\"')\]]*)\s+([\"'(]?[\p{Lu}0-9])"
 
 
 def bound(value: Column, use) -> Column:
@@ -65,30 +65,38 @@ def search_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences by end marks before a capital, a digit or a quote; abbreviations and initials don't end one."""
+def _cut(text: Column) -> Column:
+    """text split after end marks before a capital, a digit or a quote; abbreviations and initials don't end a sentence."""
     kept = F.regexp_replace(F.regexp_replace(text, _ABBREVIATED, "$1$2.\x02"), _ABBREVIATED, "$1$2.\x02")  # twice: neighbours share a blank
-    cut = F.regexp_replace(kept, _SENTENCE_END, "$1\x01$2")
-    parts = F.transform(F.split(cut, "\x01"), lambda x: strip(F.replace(x, F.lit("\x02"), F.lit(" "))))
-    return F.filter(parts, lambda x: x != "")
+    return F.split(F.replace(F.regexp_replace(kept, _SENTENCE_END, "$1\x01$2"), F.lit("\x02"), F.lit(" ")), "\x01")
+
+
+def sentences(text: Column) -> Column:
+    """Sentences by their end marks. White space before the first stays, that after the last goes; a blank text has none."""
+    return F.filter(_cut(F.regexp_replace(text, r"(?U)\s+$", "")), lambda x: x != "")
 
 
 def long_sentences(text: Column, least: int = 20) -> Column:
-    return F.filter(sentences(text), lambda x: F.length(x) >= least)
+    """The stripped sentences of at least so many characters. Only a text's ends can have white space that cutting leaves."""
+    return F.filter(_cut(strip(text)), lambda x: F.length(x) >= least)
 
 
 def clean_text(text: Column) -> Column:
     """Without reference marks, blank lines and table rows; white space collapsed."""
-    unmarked = F.regexp_replace(text, r"\[\d+\]", "")
+    unmarked = F.regexp_replace(text, r"\[\d+\]", " ")
     bars = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
-    lines = F.filter(F.split(unmarked, "\n"), lambda x: (F.trim(x) != "") & (bars(x) < 2))
+    lines = F.filter(F.transform(F.split(unmarked, "\n"), strip), lambda x: (x != "") & (bars(x) < 2))
     return F.trim(F.regexp_replace(F.array_join(lines, " "), SPACE, " "))
 
 
 def strip_refs_and_comments(text: Column) -> Column:
-    out = F.regexp_replace(text, r"(?is)<ref[^>]*>.*?</ref>", "")
-    out = F.regexp_replace(out, r"(?is)<ref[^>]*/>", "")
-    return F.regexp_replace(out, r"(?s)<!--.*?-->", "")
+    out = F.regexp_replace(text, r"(?is)<ref[^>]*>.*?</ref>", " ")
+    out = F.regexp_replace(out, r"(?i)<ref[^>]*/>", " ")
+    return F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
+
+
+#: Names of sections that hold no prose.
+SKIPPED_SECTIONS = ("references", "see also", "external links", "notes", "further reading", "bibliography", "sources", "footnotes", "citations", "external link")
 
 
 def html_sections(html: Column) -> Column:
@@ -104,18 +112,52 @@ def html_sections(html: Column) -> Column:
     return F.transform(F.split(bare, r"<h2[^>]*>"), section)
 
 
+def section_labels(sections: Column) -> Column:
+    """For each sentence but the first of all sections (arrays of sentences) whether it begins a section."""
+    flags = F.flatten(F.transform(sections, lambda s: F.transform(s, lambda _, j: F.when(j == 0, 1).otherwise(0))))
+    return F.slice(flags, F.lit(2), F.greatest(F.size(flags) - 1, F.lit(0)))
+
+
+def parsed_articles(pages: DataFrame, html: str, least_section: int = 1, least_article: int = 8) -> DataFrame:
+    """pages with sentences and labels (1 where the next sentence begins a section), without `html`. Sections that hold no prose by their name, or too few
+    sentences, are left out, and so are pages with too few sentences in all. The lead has no name."""
+    prose = F.filter(html_sections(F.col(html)), lambda s: ~F.lower(F.trim(F.coalesce(s["heading"], F.lit("__lead__")))).isin(*SKIPPED_SECTIONS))
+    kept = F.filter(F.transform(prose, lambda s: long_sentences(s["text"])), lambda s: F.size(s) >= least_section)
+    parsed = pages.withColumn("_sections", kept).withColumn("sentences", F.flatten("_sections")).where(F.size("sentences") >= least_article)
+    return parsed.withColumn("labels", section_labels(F.col("_sections"))).drop("_sections", html)
+
+
 def slug(title: Column) -> Column:
-    safe = F.regexp_replace(title, r"[^A-Za-z0-9]+", "_")
-    return F.concat(F.substring(safe, 1, 60), F.lit("_"), F.substring(F.md5(title.cast("binary")), 1, 8))
+    """A file name of a title: its letters and digits, at most 60 characters, and a digest; the digest alone if it has none."""
+    digest = F.substring(F.md5(title.cast("binary")), 1, 8)
+    safe = F.substring(F.regexp_replace(F.regexp_replace(title, r"[^A-Za-z0-9]+", "_"), "^_+|_+$", ""), 1, 60)
+    return F.when(safe == "", digest).otherwise(F.concat(safe, F.lit("_"), digest))
+
+
+def model_slug(name: Column) -> Column:
+    """A model's name in lower case with one dash for whatever stands between letters and digits of any script."""
+    safe = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+    return F.when(safe == "", "model").otherwise(safe)
+
+
+def html_escaped(text: Column) -> Column:
+    out = text
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out
 
 
 def highlighted(text: Column, answer: Column) -> Column:
-    """HTML-escaped text with the answer marked, whatever its case."""
-    escaped = text
-    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        escaped = F.replace(escaped, F.lit(plain), F.lit(entity))
-    pattern = F.concat(F.lit(r"(?i)("), F.regexp_replace(answer, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"), F.lit(")"))
-    return F.when(F.length(answer) > 0, F.regexp_replace(escaped, pattern, F.lit("<mark>$1</mark>"))).otherwise(escaped)
+    """HTML-escaped text with the answer marked, whatever its case and whatever white space is where it has some."""
+    quoted = F.regexp_replace(html_escaped(answer), r"([\\.\[\]{}()*+?^$|\-&#])", r"\\$1")
+    pattern = F.concat(F.lit("(?iu)("), F.regexp_replace(quoted, r"(?U)\s+", r"(?U:\\s+)"), F.lit(")"))
+    return F.when(F.length(answer) > 0, F.regexp_replace(html_escaped(text), pattern, F.lit("<mark>$1</mark>"))).otherwise(html_escaped(text))
+
+
+def fixed_number(value: Column, places: int) -> Column:
+    """A number with so many places, as result files have it; empty for null and NaN."""
+    known = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    return F.when(known.isNull(), "").otherwise(F.format_string(f"%.{places}f", known))
 
 
 def checked_query(text: Column, most: int = 2000) -> Column:
@@ -125,10 +167,40 @@ def checked_query(text: Column, most: int = 2000) -> Column:
     return F.when(F.length(value) > most, too_long).otherwise(strip(value))
 
 
+#: What prompts begin with, with passages and without.
+WITH_PASSAGES = "Answer the question using the passages below. Reply with the answer only, as a short phrase, without explanation."
+CLOSED_BOOK = "Answer the question. Reply with the answer only, as a short phrase, without explanation."
+#: What goes before a question for an embedding model whose name holds one of these.
+QUERY_PREFIX, PREFIXED_MODELS = "Represent this sentence for searching relevant passages: ", ("bge-", "/bge")
+
+
 def prompt(question: Column, passages: Column) -> Column:
-    """Numbered passages (title, text) and the question."""
+    """The instruction, numbered passages (title, text) and the question; without passages (null) the closed-book form."""
     blocks = F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p["title"], F.lit("\n"), p["text"]))
-    return F.concat_ws("\n\n", F.array_join(blocks, "\n\n"), F.concat(F.lit("Question: "), question))
+    asked = F.concat(F.lit("Question: "), question)
+    return F.when(passages.isNull(), F.concat_ws("\n\n", F.lit(CLOSED_BOOK), asked)).otherwise(F.concat_ws("\n\n", F.lit(WITH_PASSAGES), F.array_join(blocks, "\n\n"), asked))
+
+
+def encoder_input(text: Column, model: str, is_query: bool) -> Column:
+    """What an embedding model is given: queries of models of one family carry an instruction."""
+    return F.concat(F.lit(QUERY_PREFIX), text) if is_query and any(m in model.lower() for m in PREFIXED_MODELS) else text
+
+
+def built_prompt(question: Column, passages: Column, most: int) -> Column:
+    """(text, n_cut): the prompt of passages cut to `most` tokens each, and how many were cut."""
+    cut = F.transform(passages, lambda p: F.struct(p["title"].alias("title"), cut_passage(p["text"], most).alias("c")))
+    return bound(
+        F.struct(cut.alias("cut")),
+        lambda x: F.struct(
+            prompt(question, F.transform(x["cut"], lambda p: F.struct(p["title"].alias("title"), p["c"]["text"].alias("text")))).alias("text"),
+            F.coalesce(F.size(F.filter(x["cut"], lambda p: p["c"]["cut"])), F.lit(0)).alias("n_cut"),
+        ),
+    )
+
+
+def answer_in_prompt(passages: Column, answer: Column, gold: Column) -> Column:
+    """Whether a passage of a gold title still holds the answer; null without passages."""
+    return F.when(passages.isNotNull(), F.exists(passages, lambda p: F.array_contains(gold, p["title"]) & F.contains(normalize_text(p["text"]), normalize_text(answer))))
 
 
 def cut_passage(text: Column, most: int) -> Column:

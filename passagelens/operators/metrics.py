@@ -118,14 +118,58 @@ def prefix_log_prob(scores: Column, k: int) -> Column:
 
 
 def answer_roll_up(rows: DataFrame, by: list[str], short: int = 5) -> DataFrame:
-    """Means of accuracy, exact match and F1 of rows (accurate, exact, f1, hit, n_answer), also where a hit was shown, where none was, and for short answers."""
-    flag = lambda c: F.col(c).cast("double")
+    """Scores of reader runs by arm. rows: accurate, exact, f1, hit (null where nothing was retrieved), n_answer (words of the answer), n_words,
+    n_tokens, n_cut, in_prompt (null without passages), shown (whether the passages held the answer before they were cut).
+
+    Means of accuracy, exact match and F1 over all, of accuracy where a hit was shown and where not, for short answers and for long ones, each with
+    its n; means of lengths; how many passages were cut, and how many answers were lost by that.
+    """
+    number = lambda c: F.col(c).cast("double")
+    accurate, is_short = number("accurate"), F.col("n_answer") <= short
+
+    def part(name: str, condition: Column) -> list[Column]:
+        return [F.avg(F.when(condition, accurate)).alias(f"accuracy_{name}"), F.count_if(condition).alias(f"n_{name}")]
+
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(flag("accurate")).alias("accuracy"),
-        F.avg(flag("exact")).alias("exact"),
+        F.avg(accurate).alias("accuracy"),
+        F.avg(number("exact")).alias("exact"),
         F.avg("f1").alias("f1"),
-        F.avg(F.when(F.col("hit"), flag("accurate"))).alias("accuracy_hit"),
-        F.avg(F.when(~F.col("hit"), flag("accurate"))).alias("accuracy_miss"),
-        F.avg(F.when(F.col("n_answer") <= short, flag("accurate"))).alias("accuracy_short"),
+        *part("hit", F.col("hit")),
+        *part("miss", ~F.col("hit")),
+        *part("short", is_short),
+        *part("long", ~is_short),
+        F.avg("n_words").alias("mean_words"),
+        F.avg("n_tokens").alias("mean_tokens"),
+        F.sum("n_cut").alias("n_cut"),
+        F.count_if(~F.col("in_prompt") & F.col("shown")).alias("n_lost"),
     )
+
+
+def scores_at(scores: DataFrame, threshold: float | Column, by: list[str]) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 of scores (p, label) above one threshold in single precision."""
+    at = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    up, true = F.col("p").cast("float") > at.cast("float"), F.col("label") == 1
+    counts = scores.groupBy(*by).agg(F.count_if(up & true).alias("tp"), F.count_if(up & ~true).alias("fp"), F.count_if(~up & true).alias("fn"))
+    p, r, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return counts.withColumns({"precision": p, "recall": r, "f1": f1})
+
+
+def calibrated(scores: DataFrame, reference: float = 0.8, fallback: float = 0.5) -> DataFrame:
+    """split, threshold, kind and scores: the threshold of best F1 on the rows of split `val`, and a fixed one, both on val and test.
+
+    Without positives in val there is nothing to calibrate on, and the fallback stands. scores: split, p, label.
+    """
+    val = scores.where("split = 'val'")
+    sweep = best_threshold(threshold_sweep(val)).first()
+    chosen = float(sweep.threshold) if sweep and (sweep.tp or 0) + (sweep.fn or 0) > 0 else fallback
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("threshold")) for kind, t in (("calibrated", chosen), ("fixed", reference))])
+    both = scores.where("split IN ('val', 'test')").select("*", F.explode(kinds).alias("x")).select("split", "p", "label", "x.*")
+    return scores_at(both, F.col("threshold"), ["split", "kind", "threshold"])
+
+
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """Counts of a boundary corpus (split, labels): documents and boundaries, in all and by split."""
+    each = docs.select("split", F.size("labels").alias("n"), F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("pos"))
+    sums = each.cube("split").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
+    return sums.withColumns({"pos_rate": F.coalesce(F.try_divide(F.col("pos").cast("double"), F.col("pos") + F.col("neg")), F.lit(0.0)), "pos_weight": F.try_divide(F.col("neg").cast("double"), F.col("pos"))})

@@ -219,6 +219,19 @@ def containing_documents(pages: DataFrame, answers: DataFrame, n: int = 5) -> Da
     return found.unionByName(within.join(short, "answer").select("qid", "doc_id").distinct())
 
 
+def gold_pages(pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """qid, pos, answer, doc_id: all pages that hold a question's answer, which is the first of its candidates that any page holds.
+
+    pages: doc_id, page; candidates: qid, pos, answer; both normalised, empty candidates left out.
+    """
+    asked = candidates.where("answer <> ''")
+    distinct = asked.select("answer").distinct().withColumn("qid", F.xxhash64("answer"))
+    found = settled(containing_documents(pages, distinct).withColumnRenamed("qid", "key"))
+    held = asked.withColumn("key", F.xxhash64("answer"))
+    first = held.join(found.select("key").distinct(), "key").groupBy("qid").agg(F.min(F.struct("pos", "answer", "key")).alias("x")).select("qid", "x.*")
+    return first.join(found, "key").select("qid", "pos", "answer", "doc_id")
+
+
 def term_overlap(left: Column, right: Column) -> Column:
     """A model-free pair score: shared terms over all terms."""
     a, b = F.array_distinct(search_terms(left)), F.array_distinct(search_terms(right))
@@ -236,11 +249,37 @@ def hard_negatives(pool: DataFrame, wanted: int = 7) -> DataFrame:
     return groups.select("qid", F.col("pos.chunk_id").alias("pos"), F.col("pos.rank").alias("pos_rank"), F.transform("negs", lambda x: x["chunk_id"]).alias("negs"), F.transform("negs", lambda x: x["rank"]).alias("neg_ranks"))
 
 
+def mining_stats(pool: DataFrame, wanted: int = 7) -> DataFrame:
+    """questions, kept, dropped_no_positive, dropped_too_few_negatives of pools that training groups are mined from."""
+    each = pool.groupBy("qid").agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
+    has = F.col("pos") > 0
+    return each.agg(F.count(F.lit(1)).alias("questions"), F.count_if(has & (F.col("neg") >= wanted)).alias("kept"), F.count_if(~has).alias("dropped_no_positive"), F.count_if(has & (F.col("neg") < wanted)).alias("dropped_too_few_negatives"))
+
+
+def one_query(chunks: DataFrame, text: str, k: int = 20, shown: int = 5, pair_score=None) -> DataFrame:
+    """rank, chunk_id, dense_rank: the serving path of one question: a pool of k, reordered by pair_score(text, question) if there is one, `shown` of it."""
+    asked = chunks.sparkSession.range(1).select(F.lit(0).cast("long").alias("qid"), F.lit(text).alias("text"))
+    pool = bm25_top_k(chunks, asked, k)
+    if pair_score is None:
+        return pool.where(F.col("rank") <= shown).select("rank", "chunk_id", F.col("rank").alias("dense_rank"))
+    scored = pool.join(chunks.select("chunk_id", "text"), "chunk_id").withColumn("pair_score", pair_score(F.col("text"), F.lit(text)))
+    return reranked(scored, [k]).where(F.col("rank") <= shown).select("rank", "chunk_id", "dense_rank")
+
+
 def first_hit_rank(lists: DataFrame) -> DataFrame:
     """qid, first_rank (0 without a hit) of ranked lists (qid, rank, hit)."""
     return lists.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0)).alias("first_rank"))
 
 
+def merged_first_hit(base: DataFrame, new: DataFrame, depth: int) -> DataFrame:
+    """qid, first_rank (0 without one) of the first hit when a frozen top list (qid, pos, score) takes in new chunks (qid, pos, score, hit).
+
+    Base chunks are of other documents: they are never hits, and go before new ones of equal score.
+    """
+    both = base.select("qid", "pos", "score", F.lit(0).alias("is_new"), F.lit(False).alias("hit")).unionByName(new.select("qid", "pos", "score", F.lit(1).alias("is_new"), "hit"))
+    return first_hit_rank(ranked(both, depth, ["qid"], [F.col("score").desc(), F.col("is_new"), F.col("pos")]))
+
+
 def pair_key(*texts: Column) -> Column:
     """What identifies a scored pair in a score table."""
     return F.sha1(F.concat_ws("\x1f", *texts).cast("binary"))

@@ -56,3 +56,26 @@ def placement(low: Column, high: Column, low90: Column, high90: Column, margin:
 
 def reader_works(low: Column) -> Column:
     return F.coalesce(low > 0, F.lit(False))
+
+
+def dev_gate(mean: Column, live: Column, go: float = 0.0, least_live: float = 0.05) -> Column:
+    """Whether an optimised ranker goes on to the final run: enough of its groups must have had a gradient."""
+    return _first([(live < least_live, "NO-GO"), (mean >= go, "GO")], "NO-GO")
+
+
+def optimised(mean: Column, low: Column, high: Column, valid: Column, live: Column, groups: Column, floor: float, least_live: float = 0.05, least_groups: int = 0) -> Column:
+    """An optimised ranker against its control, at a matched budget where least_groups asks for one."""
+    return comparison(mean, low, high, floor, "RL-BETTER", "CE-BETTER", [(~valid, "INVALID"), (live < least_live, "FAILED-OPTIMISATION"), (groups < least_groups, "INCONCLUSIVE-BUDGET")])
+
+
+def more_training(mean: Column, low: Column, high: Column, valid: Column, floor: float) -> Column:
+    return comparison(mean, low, high, floor, "CE-BETTER", "STAGE8-BETTER", [(~valid, "INVALID")])
+
+
+def more_data(mean: Column, low: Column, high: Column, valid: Column, groups: Column, floor: float, least_groups: int) -> Column:
+    return comparison(mean, low, high, floor, "MORE-DATA-BETTER", "MORE-DATA-WORSE", [(~valid, "INVALID"), (groups < least_groups, "INCONCLUSIVE-SIZE")])
+
+
+def precheck(found: dict[str, Column], expected: dict[str, Column], reasons: dict[str, str]) -> Column:
+    """The reasons why inputs are not those that a study was planned for, in the order given; an empty array if they are."""
+    return F.array_compact(F.array(*[F.when(~found[name].eqNullSafe(expected[name]), why) for name, why in reasons.items()]))

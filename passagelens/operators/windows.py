@@ -55,6 +55,47 @@ def consecutive_windows(rows: DataFrame, title: str, order: str, sizes: list[int
     return kept.withColumn("window", window)
 
 
+def usable_rows(rows: DataFrame, answer: str, sentences: str, least: int = 2) -> DataFrame:
+    """Rows with an answer whose document has enough sentences. Others neither add a question nor admit a document, so windows are cut from these."""
+    return rows.where((F.trim(F.coalesce(answer, F.lit(""))) != "") & (F.size(F.coalesce(sentences, F.array().cast("array<string>"))) >= least))
+
+
+def holdout(rows: DataFrame, title: str, question: str, order: str, n: int, skip_titles: DataFrame, skip_questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first n documents outside skipped titles and questions, and what was scanned and skipped up to the row that filled the window.
+
+    A row of a skipped title counts as that, whatever its question.
+    """
+    marked = rows.join(skip_titles.select(title).distinct().withColumn("_title", F.lit(True)), title, "left")
+    marked = marked.join(skip_questions.select(question).distinct().withColumn("_question", F.lit(True)), question, "left")
+    open_ = marked.where("_title IS NULL AND _question IS NULL").select(*rows.columns)
+    cutoff = document_numbers(open_, title, order, n).where(F.col("doc_no") == n).first()
+    inside = F.lit(True) if cutoff is None else F.col(order) <= cutoff.first_at
+    seen = marked.where(inside)
+    stats = seen.agg(F.count(F.lit(1)).alias("scanned"), F.count("_title").alias("skipped_title"), F.count_if(F.col("_title").isNull() & F.col("_question").isNotNull()).alias("skipped_question"))
+    return open_.where(inside), stats
+
+
+def rows_after(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """All rows but the first n, which only a distributed top-n looks for."""
+    last = rows.select(order).orderBy(order).limit(n).agg(F.max(order), F.count(F.lit(1))).first()
+    return rows.where(F.col(order) > last[0]) if n > 0 and last[1] else rows
+
+
+def inserted_documents(pages: DataFrame, order: str, pos: str, title: str) -> DataFrame:
+    """title, doc_id: documents numbered from 0 as questions, and pages within a question, first bring them in."""
+    first = pages.groupBy(title).agg(F.min(F.struct(order, pos)).alias("first_at"))
+    return numbered(first, ["first_at"], "n").select(title, (F.col("n") - 1).alias("doc_id"))
+
+
+def cut_split(rows: DataFrame, key: str, shares: tuple[float, float] = (0.8, 0.9), seed: int = 0) -> DataFrame:
+    """rows with split: in the order of a seeded hash, whole numbers of rows by share: the first int(0.8 n) train, up to int(0.9 n) val, then test."""
+    hashed = rows.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")))
+    at = numbered(hashed, ["_hash", key], "_row")
+    n = rows.count()
+    split = F.when(F.col("_row") <= int(shares[0] * n), "train").when(F.col("_row") <= int(shares[1] * n), "val").otherwise("test")
+    return at.withColumn("split", split).drop("_hash", "_row")
+
+
 def excluding(rows: DataFrame, skipped: DataFrame, title: str) -> DataFrame:
     """Rows of no skipped document; windows over them are holdouts."""
     return rows.join(skipped.select(title).distinct(), title, "left_anti")

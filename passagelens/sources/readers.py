@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import normalize_answer, normalize_text
+
 DOCS = T.StructType([T.StructField("id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("sentences", T.ArrayType(T.StringType()))])
 QUESTIONS = T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("doc_title", T.StringType()), T.StructField("doc_titles", T.ArrayType(T.StringType()))])
 BOUNDARIES = T.StructType([T.StructField("id", T.StringType()), T.StructField("sentences", T.ArrayType(T.StringType())), T.StructField("labels", T.ArrayType(T.IntegerType()))])
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, required: list[str]) -> DataFrame:
     """JSON lines with a declared schema; lines that don't parse, or lack a required field, are left out."""
     with_bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     rows = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
@@ -79,3 +81,93 @@ def entity_pages(titles: Column, contexts: Column) -> Column:
 def answer_candidates(value: Column, aliases: Column) -> Column:
     """The answer, then its aliases; stripped, without empty ones and repeats."""
     return F.array_distinct(F.filter(F.transform(F.concat(F.array(value), aliases), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def read_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines of an interrupted run: a last line that doesn't parse is left out, one before it fails the job.
+
+    Lines are told by the place of their block in the file and their order in it; only the last place of each file is gathered.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("at"))
+    last = lines.groupBy("file").agg(F.max("at").alias("last"))
+    parsed = lines.join(last, "file").withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    good = F.try_parse_json("value").isNotNull()
+    torn = F.raise_error(F.concat(F.lit("unreadable line before the last in "), F.col("file"))).cast("boolean")
+    kept = F.when(good, True).when(F.col("at") == F.col("last"), False).otherwise(torn)
+    return parsed.where(kept).select("row.*")
+
+
+def read_boundaries(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The records of several splits together, with the split that the file is named by."""
+    rows = read_jsonl(spark, paths, BOUNDARIES, ["sentences", "labels"])
+    return rows.withColumn("split", F.regexp_extract(F.input_file_name(), r"([A-Za-z]+)\.jsonl?$", 1))
+
+
+def index_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except Exception as missing:  # Spark has no other way to say that a path is not there
+        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+            raise
+        return False
+    return True
+
+
+def load_index(spark: SparkSession, path: str, articles: list[str] | None = None) -> DataFrame:
+    """The chunks (or sentence vectors) of an index; of the named articles only, which reaches the scan as a filter."""
+    rows = spark.read.parquet(path)
+    return rows if articles is None else rows.where(F.col("doc_id").isin(articles))
+
+
+def grid_rows(results: DataFrame, arm: str, n: int | None = None) -> DataFrame:
+    """The rows of one arm with `size` and `overlap` whatever the method; an error if there are not n of them."""
+    rows = results.where(F.col("arm") == arm).withColumns({"size": F.coalesce("fixed_size", "semantic_target_size"), "overlap": F.coalesce("fixed_overlap", "semantic_overlap")})
+    if n is not None and (found := rows.count()) != n:
+        raise ValueError(f"expected {n} configurations, got {found}")
+    return rows
+
+
+def config_identity() -> Column:
+    """What identifies the configuration of a result row, whether its cells are numbers or text; the window of a learned one is part of it."""
+    number = lambda c: F.round(F.col(c).cast("string").cast("double")).cast("int").cast("string")
+    fixed = F.concat_ws("|", F.lit("fixed"), number("fixed_size"), number("fixed_overlap"))
+    learned = F.concat_ws("|", F.trim("method"), F.trim("semantic_policy"), number("semantic_target_size"), number("semantic_min_size"), number("semantic_max_size"), number("semantic_overlap"))
+    return F.when(F.trim("method") == "fixed", fixed).otherwise(learned)
+
+
+def config_label() -> Column:
+    """A short name of a result row's configuration."""
+    return F.format_string("%s %d/%d", F.trim("method"), F.coalesce("fixed_size", "semantic_target_size").cast("int"), F.coalesce("fixed_overlap", "semantic_overlap").cast("int"))
+
+
+def spans(answers: Column, lists: bool) -> Column:
+    """(start, end) of short answers in either layout: arrays side by side in one struct, or an array of structs of arrays."""
+    zipped = lambda s: F.arrays_zip(s["start_token"].alias("start"), s["end_token"].alias("end"))
+    return zipped(answers) if lists else F.flatten(F.transform(answers, zipped))
+
+
+def doc_tokens(document: Column) -> tuple[Column, Column]:
+    return document["tokens"]["token"], document["tokens"]["is_html"]
+
+
+def work_items(questions: DataFrame, contexts: DataFrame | None) -> DataFrame:
+    """qid, passages of the questions (qid, answer) that a reader is asked: those whose answer isn't empty when normalised, and, unless the
+    book is closed (no contexts), that have passages."""
+    kept = questions.where(normalize_answer(F.col("answer")) != "").select("qid")
+    if contexts is None:
+        return kept.withColumn("passages", F.lit(None).cast("array<struct<title:string,text:string>>"))
+    return kept.join(contexts.where(F.size("passages") > 0).select("qid", "passages"), "qid")
+
+
+def chosen_answer(pages: Column, candidates: Column) -> Column:
+    """(answer, gold) of a question from its own pages (title, text): its first candidate that a page holds, and the titles of all pages that hold it;
+    null if none is held."""
+
+    def among(named: Column) -> Column:
+        tried = F.transform(
+            F.filter(candidates, lambda c: normalize_text(c) != ""),
+            lambda c: F.struct(c.alias("answer"), F.transform(F.filter(named, lambda p: F.contains(p["text"], normalize_text(c))), lambda p: p["title"]).alias("gold")),
+        )
+        return F.try_element_at(F.filter(tried, lambda x: F.size(x["gold"]) > 0), F.lit(1))
+
+    return F.transform(F.array(F.transform(pages, lambda p: F.struct(p["title"].alias("title"), normalize_text(p["text"]).alias("text")))), among)[0]

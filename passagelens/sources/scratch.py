@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What Python workers are handed at a time while a table is settled: rows may be whole texts, and each batch is held several times.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 #: The tables that settled() has written and nobody has discarded, oldest first.
 _written: list[str] = []
 
@@ -23,10 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session hands Python workers small batches in the jobs that are planned meanwhile."""
+    before = {name: spark.conf.get(name) for name in BATCHES}
+    try:
+        for name, value in BATCHES.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows of df as a table in the session's checkpoint folder, with the lineage cut. discard() removes it again."""
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
