@@ -191,16 +191,20 @@ def reranked(pool: DataFrame, depths: list[int]) -> DataFrame:
     return heads.withColumn("rank", F.row_number().over(order))
 
 
+#: So many distinct answers are looked for at a time.
+ANSWERS = 100_000
+
+
 def containing_documents(pages: DataFrame, answers: DataFrame, n: int = 5) -> DataFrame:
-    """qid, doc_id where the page holds the answer. pages: doc_id, page; answers: qid, answer; both normalised.
+    """qid, doc_id where the page holds the answer. pages: doc_id, page; answers: qid, answer; both normalised. An empty answer is held by none.
 
     The inner words of an answer, its second to last but one, are whole words of any page that holds it: pages and answers of three words
-    or more meet on the first n of these, and only the pairs that do are compared. Shorter answers may lie within words and are compared with all pages.
+    or more meet on the first n of these, and only the pairs that do are compared. Shorter answers may lie within words: pages are read once for each
+    group of at most about ANSWERS of them, all of which one automaton finds.
     """
-    words = answers.where("answer IS NOT NULL").select("qid", "answer", F.split("answer", " ").alias("w"))
+    words = answers.where("answer <> ''").select("qid", "answer", F.split("answer", " ").alias("w"))
     inner = F.least(F.size("w") - 2, F.lit(n))
-    keys = words.where(F.size("w") >= 3).select("qid", "answer", inner.alias("n"), F.xxhash64(F.slice("w", F.lit(2), inner)).alias("gram"))
-    keys = settled(keys)
+    keys = settled(words.where(F.size("w") >= 3).select("qid", "answer", inner.alias("n"), F.xxhash64(F.slice("w", F.lit(2), inner)).alias("gram")))
     lengths = [r.n for r in keys.select("n").distinct().collect()]  # n values at most
     wanted = keys.select("qid", "gram")
     wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_ROWS else wanted
@@ -210,13 +214,30 @@ def containing_documents(pages: DataFrame, answers: DataFrame, n: int = 5) -> Da
     found = pairs.join(keys.select("qid", "answer"), "qid").join(pages, "doc_id").where(F.contains("page", F.col("answer"))).select("qid", "doc_id").distinct()
 
     short = settled(words.where(F.size("w") < 3).select("qid", "answer"))
-    n_short = short.count()
-    if not n_short:
-        return found
-    asked = short.select("answer").distinct()
-    asked = F.broadcast(asked) if n_short <= BROADCAST_ROWS else asked
-    within = pages.join(asked, F.contains("page", F.col("answer"))).select("doc_id", "answer")
-    return found.unionByName(within.join(short, "answer").select("qid", "doc_id").distinct())
+    asked = settled(short.select("answer").distinct())
+    n_groups = -(-asked.count() // ANSWERS)
+    for group in range(n_groups):
+        own = [r.answer for r in asked.where(F.pmod(F.xxhash64("answer"), F.lit(n_groups)) == group).collect()]
+        found = found.unionByName(_within(pages, own).join(short, "answer").select("qid", "doc_id"))
+    return found
+
+
+def _within(pages: DataFrame, answers: list[str]) -> DataFrame:
+    """doc_id, answer: which of the answers stand in each page, also within words."""
+    shared = pages.sparkSession.sparkContext.broadcast(answers)
+
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, answer in enumerate(shared.value):
+            automaton.add_word(answer, i)
+        automaton.make_automaton()
+        for frame in frames:
+            held = [(d, i) for d, p in zip(frame.doc_id, frame.page) if isinstance(p, str) for i in {i for _, i in automaton.iter(p)}]
+            yield pd.DataFrame({"doc_id": [d for d, _ in held], "answer": [shared.value[i] for _, i in held]})
+
+    return pages.select("doc_id", "page").mapInPandas(find, f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, answer string")
 
 
 def gold_pages(pages: DataFrame, candidates: DataFrame) -> DataFrame:

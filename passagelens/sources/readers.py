@@ -23,9 +23,24 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType,
     return rows.where(good).drop("_corrupt_record")
 
 
+def no_such_path(error: Exception) -> bool:
+    """Whether an error says that a path is not there, or holds nothing; Spark has no other way to say so."""
+    return any(x in str(error) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"))
+
+
+def read_cached(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> DataFrame:
+    """As read_jsonl, but a file that isn't there yet has no rows."""
+    try:
+        return read_jsonl(spark, path, schema, required)
+    except Exception as error:
+        if not no_such_path(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
     """Documents of two sentences or more; the title falls back on the id."""
-    docs = read_jsonl(spark, path, DOCS, ["sentences"])
+    docs = read_cached(spark, path, DOCS, ["sentences"])
     return docs.withColumn("title", F.coalesce("title", "id")).where(F.size("sentences") >= 2)
 
 
@@ -34,7 +49,7 @@ def gold_titles() -> Column:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, QUESTIONS, ["question", "answer"]).withColumn("gold", gold_titles())
+    return read_cached(spark, path, QUESTIONS, ["question", "answer"]).withColumn("gold", gold_titles())
 
 
 def read_results(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -106,8 +121,8 @@ def read_boundaries(spark: SparkSession, paths: list[str]) -> DataFrame:
 def index_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
-    except Exception as missing:  # Spark has no other way to say that a path is not there
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+    except Exception as error:
+        if not no_such_path(error):
             raise
         return False
     return True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import pending
+from .readers import no_such_path, pending
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -32,8 +32,8 @@ def materialise_missing(inputs: DataFrame, key: list[str], path: str, make) -> D
     try:
         done = spark.read.parquet(path)
         todo = pending(inputs, done, key)
-    except Exception as missing:  # Spark has no other way to say that a path is not there
-        if "PATH_NOT_FOUND" not in str(missing):
+    except Exception as error:
+        if not no_such_path(error):
             raise
         todo = inputs
     make(todo).write.mode("append").parquet(path)

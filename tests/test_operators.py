@@ -100,12 +100,15 @@ def test_bm25_pads_and_repeats(spark):
     assert len(got) == 9
 
 
-def test_dense_blocks_agree(spark):
+def test_dense_blocks_agree(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [rng.random() for _ in range(8)]) for i in range(60)]
     v = spark.createDataFrame(rows, "chunk_id long, vec array<double>")
     q = v.where("chunk_id % 7 = 0").withColumnRenamed("chunk_id", "qid")
-    one, many = (sorted(map(tuple, R.dense_top_k(v, q, 4, block).collect())) for block in (100, 2))
+    one = sorted(map(tuple, R.dense_top_k(v, q, 4).collect()))
+    for name, value in (("QUERIES", 3), ("BLOCK", 2), ("ROWS", 7)):
+        monkeypatch.setattr(R, name, value)
+    many = sorted(map(tuple, R.dense_top_k(v.repartition(3), q, 4).collect()))
     assert one == many and len(one) == 36
     for qid, rank, chunk, _ in one:
         best = sorted(range(60), key=lambda i: (-round(sum(a * b for a, b in zip(rows[qid][1], rows[i][1])), 9), i))
@@ -242,10 +245,11 @@ def test_sampling_follows_probabilities(spark):
     assert sorted(map(tuple, first.limit(50).collect())) == sorted(map(tuple, first.limit(50).collect()))
 
 
-def test_pages_that_hold_short_answers(spark):
+def test_pages_that_hold_short_answers(spark, monkeypatch):
+    monkeypatch.setattr(R, "ANSWERS", 3)
     pages = [(1, "the capital of france is paris, since long ago"), (2, "parisian life"), (3, "by the river seine in the town of paris"), (4, ""), (5, None), (6, "nothing of the kind is here at all today")]
     asked = ["paris", "of paris", "france is paris", "e river seine in t", "the capital of france is paris", "is here at all tod", "kind is here at all today", "of the kind is here at all to", "rome", "is life", "the town of rome", "paris", "", None]
     answers = spark.createDataFrame(list(enumerate(asked)), "qid long, answer string")
     got = [tuple(r) for r in R.containing_documents(spark.createDataFrame(pages, "doc_id long, page string"), answers).collect()]
-    want = [(q, d) for q, a in enumerate(asked) for d, p in pages if a is not None and p is not None and a in p]
+    want = [(q, d) for q, a in enumerate(asked) for d, p in pages if a and p is not None and a in p]
     assert sorted(got) == sorted(want)
