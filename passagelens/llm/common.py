@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
-from ..sources.scratch import discard, mark, remove, settled, shared_folder, spread  # noqa: F401
+from ..sources.scratch import discard, mark, remove, settled, shared_folder, small_batches, spread  # noqa: F401
 
 #: Fixed patterns of the contracts: what separates words, and what makes them up.
 WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 500_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def hinted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

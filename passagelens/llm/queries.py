@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
-from .common import held_out, table, train_row
+from .common import held_out, spread, table, train_row
 from .decontaminate import decontaminate
 from .language_id import classified, learn_languages
 from .license_scan import PHRASES, postings, scan_licenses
@@ -20,15 +20,15 @@ from .token_counts import token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+    return token_counts(spread(table(spark, sf_dir, "documents")), "byte_bpe_50k.json")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = learn_languages(docs.where(train_row(F.col("doc_id"))))
     return classified(docs.drop("lang"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
@@ -42,7 +42,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg_columns(table(spark, sf_dir, "documents"))
+    return ogg_columns(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +50,14 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     may_learn = train_row(F.col("doc_id"))
     scorer = learn_quality(docs.where(may_learn), table(spark, sf_dir, "labels").where(may_learn).select("doc_id", "quality"))
     return scored(docs, scorer).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k=3, percent=85)
 
 
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ again; states forget what lies far back, so that few rounds do.
 
 Special strings in a text count as one token each, as the tokenizers library does by default, and split the text.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; rows that repeat a doc_id are counted one by
-one; an empty table gives an empty table.
+Defined results: null and empty texts have 0 bytes and 0 tokens; rows that repeat a doc_id, or have none, are counted one by
+one; an empty table gives an empty table; columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -62,7 +62,7 @@ def test_token_counts_equal_the_library(spark, docs, empty):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["a" * 4000, " " * 3000 + "x", "日" * 1500, "ab" * 2000]
     machine = token_counts.transducer(public.path("byte_bpe_50k.json"))
     assert machine.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
-    got = token_counts.token_counts(docs, "byte_bpe_50k.json").collect()
+    got = token_counts.token_counts(docs.withColumns({c: F.lit("x") for c in ("_counted", "n_tokens", "over_limit")}), "byte_bpe_50k.json").collect()
     by_id = {r.doc_id: r.text or "" for r in docs.collect()}
     assert len(got) == docs.count()
     for r in got:
@@ -616,6 +616,15 @@ def test_near_duplicates_of_a_large_star(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    """Texts longer than what is hashed at once, alike but for few words."""
+    rng = random.Random(92)
+    long = [f"{rng.choice(WORDS)}{i}" for i in range(500_000)]
+    texts = [" ".join(long), " ".join(w if i % 50_000 else "new" for i, w in enumerate(long)), " ".join(long[:250_000])]
+    got = {r.doc_id: r for r in minhash_forest.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].component_id for i in range(3)] == [0, 0, 2] and got[0].n_shingles == 500_000 - 4
+
+
 def test_near_duplicates_edges(docs):
     got = {(r.doc_id, r.n_shingles): r for r in minhash_forest.near_duplicates(docs.withColumn("kept", F.lit("old"))).collect()}
     assert got[None, 26].component_id == 3 and not got[None, 26].kept and got[3, 26].kept and got[9, 0].kept
