@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagelens.llm.common import discard, hinted, kept_columns, mark, remove, settled, shared_folder, table, train_row
+from passagelens.llm.common import discard, hinted, kept_columns, mark, remove, settled, shared_folder, small_batches, table, train_row
 from passagelens.llm.decontaminate import decontaminate
 from passagelens.llm.language_id import classified, learn_languages
 from passagelens.llm.line_dedup import dedup_lines
@@ -76,7 +76,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/pipeline-{uuid.uuid4().hex}-{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with small_batches(spark):  # stages may end in Python workers that read whole texts
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         discard(spark, since)
         if before is not None:
