@@ -83,6 +83,10 @@ def two_se(p: Column, n: Column) -> Column:
     return 2 * F.sqrt(p * (1 - p) / n)
 
 
+def one_se(p: Column, n: Column) -> Column:
+    return F.sqrt(p * (1 - p) / n)
+
+
 def reciprocal(rank: Column) -> Column:
     return F.when(rank > 0, 1.0 / rank).otherwise(0.0)
 
@@ -106,15 +110,58 @@ def entropy(logits: Column) -> Column:
     return F.log(total) - F.aggregate(F.zip_with(weights, logits, lambda w, x: w * (x - top)), F.lit(0.0), lambda a, x: a + x) / total
 
 
-def prefix_log_prob(scores: Column, k: int) -> Column:
+def prefix_log_prob(scores: Column, k: int | Column) -> Column:
     """The Plackett-Luce log-probability of the first k of an ordered array of scores."""
+    k = k if isinstance(k, Column) else F.lit(k)
     top = F.array_max(scores)
 
     def step(i: Column) -> Column:
         rest = F.slice(scores, i, F.size(scores))
         return F.get(scores, i - 1) - top - F.log(F.aggregate(rest, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), F.least(F.lit(k), F.size(scores))), step), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.least(k, F.size(scores))), step), F.lit(0.0), lambda a, x: a + x)
+
+
+def gumbel(name: Column) -> Column:
+    """Gumbel noise that a name decides, so that a draw can be repeated anywhere."""
+    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    return -F.log(-F.log(u))
+
+
+def sampled_ranking(scores: Column, seed: Column, temperature: float = 1.0) -> Column:
+    """The places (from 0) of an array of scores in an order drawn by Plackett-Luce: sorted by score over temperature plus noise."""
+    keyed = F.transform(scores, lambda s, i: F.struct((-F.round(s / temperature + gumbel(F.concat_ws(":", seed.cast("string"), i.cast("string"))), 9)).alias("k"), i.alias("i")))
+    return F.transform(F.array_sort(keyed), lambda x: x["i"])
+
+
+def policy_gradient(groups: DataFrame, n_samples: int, temperature: float = 1.0) -> DataFrame:
+    """qid, reward, live, advantage (mean of its size) and loss of groups (qid, s: scores, the positive's first) over sampled rankings.
+
+    The reward of a ranking is the positive's reciprocal rank, its advantage what it has more than the group's other samples, and the loss
+    weighs by it the log-probability of the ranking as far as the positive. A group is live if its samples disagree.
+    """
+    z = F.transform("s", lambda x: x / temperature)
+    drawn = groups.select("qid", "s", F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("j")).withColumn("order", sampled_ranking(F.col("s"), F.concat_ws(":", F.col("qid").cast("string"), F.col("j").cast("string")), temperature))
+    placed = drawn.withColumn("rank", F.array_position("order", 0).cast("int")).withColumn("log_prob", prefix_log_prob(F.transform("order", lambda i: F.get(z, i)), F.col("rank")))
+    each = placed.groupBy("qid").agg(F.collect_list(F.struct((1.0 / F.col("rank")).alias("reward"), "log_prob")).alias("x"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x["reward"])
+    advantage = lambda x: x["reward"] - (total - x["reward"]) / (n_samples - 1)
+    mean = lambda f: F.aggregate("x", F.lit(0.0), lambda a, x: a + f(x)) / n_samples
+    rewards = F.transform("x", lambda x: x["reward"])
+    return each.select("qid", (total / n_samples).alias("reward"), (F.array_max(rewards) > F.array_min(rewards)).alias("live"), mean(lambda x: F.abs(advantage(x))).alias("advantage"), mean(lambda x: -advantage(x) * x["log_prob"]).alias("loss"))
+
+
+def choice_log_prob(logits: Column, choices: Column, temperature: float = 1.0) -> Column:
+    """(log_prob, entropy): the summed log-probability of a rollout's choices (lo, hi, chosen) under the softmax of each window of logits, and the mean entropy
+    of the windows; windows of one place decide nothing."""
+
+    def window(c: Column) -> Column:
+        own = F.transform(F.slice(logits, c["lo"] + 1, c["hi"] - c["lo"] + 1), lambda x: x / temperature)
+        return F.struct((F.get(own, c["chosen"] - c["lo"]) - F.array_max(own) - F.log(F.aggregate(own, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(own))))).alias("p"), entropy(own).alias("h"))
+
+    each = F.transform(F.filter(choices, lambda c: c["hi"] > c["lo"]), window)
+    total = lambda name: F.aggregate(each, F.lit(0.0), lambda a, x: a + x[name])
+    return F.struct(total("p").alias("log_prob"), F.coalesce(F.try_divide(total("h"), F.size(each)), F.lit(0.0)).alias("entropy"))
 
 
 def answer_roll_up(rows: DataFrame, by: list[str], short: int = 5) -> DataFrame:

@@ -43,13 +43,16 @@ def detection(p: Column, n: Column) -> tuple[Column, Column]:
     return 1.96 * se, (1.96 + 0.8416) * se
 
 
-def reproduction(new: DataFrame, archive: DataFrame, key: list[str], values: list[str], tolerance: float = 0.005) -> DataFrame:
-    """key, worst, status: `new` against `archive`, both rounded to 4 places."""
-    old = archive.select(*key, *[F.col(v).alias(f"_old_{v}") for v in values])
+def reproduction(new: DataFrame, archive: DataFrame, key: list[str], values: list[str], tolerance: float = 0.005, counts: list[str] | None = None) -> DataFrame:
+    """key, worst, status: `new` against `archive`, both rounded to 4 places; what `counts` names must be equal."""
+    old = archive.select(*key, *[F.col(v).alias(f"_old_{v}") for v in (*values, *(counts or []))])
     gaps = [F.abs(F.round(v, 4) - F.round(f"_old_{v}", 4)) for v in values]
     worst = F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
     joined = new.join(old, key, "left").withColumn("worst", F.round(worst, 9))
-    status = F.when(F.col("worst").isNull(), "UNMATCHED").when(F.col("worst") == 0, "OK exact").when(F.col("worst") <= tolerance, "OK within one question").otherwise("FAILED")
+    same = F.lit(True)
+    for c in counts or []:
+        same = same & F.col(c).eqNullSafe(F.col(f"_old_{c}"))
+    status = F.when(F.col("worst").isNull(), "UNMATCHED").when(~same, "FAILED").when(F.col("worst") == 0, "OK exact").when(F.col("worst") <= tolerance, "OK within one question").otherwise("FAILED")
     return joined.select(*key, "worst", status.alias("status"))
 
 

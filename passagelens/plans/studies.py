@@ -328,3 +328,40 @@ def formatted_results(spark, sf_dir):
     names = numbers.select("p_type", F.concat(F.col("fixed_size").cast("int").cast("string"), F.lit(".0")).alias("fixed_size"), F.col("fixed_overlap").cast("int").cast("string").alias("fixed_overlap"), S.config_label().alias("label"), T.model_slug(F.col("p_type")).alias("slug"))
     return labelled.join(names, ["p_type", "fixed_size", "fixed_overlap"]).select("label", "identity", "slug", "recall", "size")
 
+
+
+# Policies.
+@query(
+    """
+WITH g AS (SELECT l_orderkey AS qid, list(l_discount * 10 ORDER BY l_linenumber, l_partkey, l_suppkey) AS s FROM lineitem GROUP BY ALL), j AS (SELECT qid, s, unnest(range(1, 5)) AS j FROM g),
+o AS (SELECT qid, s, list_sort(list_transform(range(0, len(s)), lambda i: {'k': -round(s[i + 1] - ln(-ln((CAST(('0x' || substr(md5(qid || ':' || j || ':' || i), 1, 8))::BIGINT AS DOUBLE) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)), 9), 'i': i})) AS o FROM j),
+p AS (SELECT qid, list_transform(o, lambda x: s[x.i + 1]) AS z, list_position(list_transform(o, lambda x: x.i), 0) AS rank FROM o),
+l AS (SELECT qid, 1.0::DOUBLE / rank AS reward, list_sum(list_transform(range(1, rank + 1), lambda m: z[m] - ln(list_sum(list_transform(z[m:], lambda x: exp(x)))))) AS log_prob FROM p),
+a AS (SELECT *, reward - (sum(reward) OVER (PARTITION BY qid) - reward) / 3 AS adv FROM l)
+SELECT qid, round(avg(reward), 6) AS reward, max(reward) > min(reward) AS live, round(avg(abs(adv)), 6) AS advantage, round(avg(-adv * log_prob), 6) + 0.0::DOUBLE AS loss FROM a GROUP BY qid"""
+)
+def policy_gradients(spark, sf_dir):
+    """An order's lines are a training group: four rankings drawn for each, their rewards and the loss."""
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") * 10).alias("s"))))
+    groups = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("qid")).agg(F.transform(ordered, lambda x: x["s"]).alias("s"))
+    out = M.policy_gradient(groups, 4)
+    return out.select("qid", F.round("reward", 6).alias("reward"), "live", F.round("advantage", 6).alias("advantage"), (F.round("loss", 6) + 0.0).alias("loss"))
+
+
+@query(
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, len(s) AS n, {_PROBS} AS p FROM (SELECT doc_id, {_LONG} AS s FROM documents)),
+w AS (
+  SELECT doc_id, n, p, 0 AS start, 0.0::DOUBLE AS lp, 0.0::DOUBLE AS h, 0 AS c FROM d
+  UNION ALL
+  SELECT doc_id, n, p, CASE WHEN n - start <= 10 THEN n ELSE start + k - 1 END, lp + CASE WHEN n - start <= 10 THEN 0 ELSE x[k - 1] - ln(list_sum(list_transform(x, lambda y: exp(y)))) END,
+    h + CASE WHEN n - start <= 10 THEN 0 ELSE ln(list_sum(list_transform(x, lambda y: exp(y)))) - list_sum(list_transform(x, lambda y: y * exp(y))) / list_sum(list_transform(x, lambda y: exp(y))) END, c + CASE WHEN n - start <= 10 THEN 0 ELSE 1 END
+  FROM (SELECT *, list_transform(p[start + 2:start + 10], lambda y: y::DOUBLE) AS x, CASE WHEN n - start > 10 THEN -(list_max(list_transform(range(2, 11), lambda k: {{'p': p[start + k]::DOUBLE, 'd': -abs(k - 6), 'k': -k}})).k) ELSE 0 END AS k FROM w WHERE start < n))
+SELECT doc_id, round(lp, 6) + 0.0::DOUBLE AS log_prob, round(CASE WHEN c > 0 THEN h / c ELSE 0 END, 6) + 0.0::DOUBLE AS entropy FROM w WHERE start >= n"""
+)
+def choice_log_probs(spark, sf_dir):
+    """The log-probability and entropy of a greedy rollout's choices, with its scores as logits."""
+    docs = _split(spark, sf_dir)
+    cut = docs.select("doc_id", "n", F.transform("probs", lambda x: x.cast("double")).alias("probs"), C.target_spans(F.col("probs"), F.col("n"), 6, 2, 10, 1).alias("x"))
+    told = cut.select("doc_id", M.choice_log_prob(F.col("probs"), C.choices(F.col("x"), F.col("n"), 2, 10)).alias("c"))
+    return told.select("doc_id", (F.round("c.log_prob", 6) + 0.0).alias("log_prob"), (F.round("c.entropy", 6) + 0.0).alias("entropy"))

@@ -11,13 +11,15 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..operators.windows import numbered
 from ..sources.scratch import settled
 
 
 def fixed_chunk_table(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """chunk_id, doc_id, text, size of the chunks of docs (doc_id, sentences); ids follow documents and positions."""
+    """chunk_id, doc_id, text, size of the chunks of docs (doc_id, sentences), settled; ids count documents and positions in order from 0."""
     cut = docs.select("doc_id", F.posexplode(C.fixed_chunks(F.col("sentences"), size, overlap)).alias("pos", "c"))
-    return cut.select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("chunk_id"), "doc_id", F.array_join("c", " ").alias("text"), F.size("c").alias("size"))
+    rows = cut.select("doc_id", "pos", F.array_join("c", " ").alias("text"), F.size("c").alias("size"))
+    return numbered(rows, ["doc_id", "pos"], "n").select((F.col("n") - 1).alias("chunk_id"), "doc_id", "text", "size")
 
 
 def scored_hits(top: DataFrame, chunks: DataFrame, questions: DataFrame, gold: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def bm25_sweep(docs: DataFrame, questions: DataFrame, gold: DataFrame, configs:
     rerank, which reorders the first `depth` by shared terms. questions: qid, question, answer."""
 
     def one(size: int, overlap: int) -> DataFrame:
-        chunks = settled(fixed_chunk_table(docs, size, overlap))
+        chunks = fixed_chunk_table(docs, size, overlap)
         asked = questions.select("qid", F.col("question").alias("text"))
         pool = settled(R.bm25_top_k(chunks.select("chunk_id", "text"), asked, max(depth, *ks)))
         texts = pool.join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")

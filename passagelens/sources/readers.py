@@ -66,6 +66,19 @@ def checkpoint_rows(spark: SparkSession, path: str, row_schema: str, meta: dict[
     return parsed.where(F.col("x.rows").isNotNull()).select(F.explode("x.rows").alias("r")).select("r.*")
 
 
+def read_contexts(spark: SparkSession, path: str, passages: str, arms: list[str], n: int) -> tuple[dict, DataFrame]:
+    """The meta line of a contexts file, and its rows (arm, contexts, a list for each question), of which there must be one for each arm, of n questions."""
+    parsed = spark.read.text(path).select(F.from_json("value", f"meta map<string,string>, arm string, contexts array<array<{passages}>>").alias("x")).select("x.*")
+    meta = parsed.where("meta IS NOT NULL").select("meta").first()
+    if meta is None:
+        raise ValueError(f"{path} has no meta line")
+    rows = parsed.where("arm IS NOT NULL").select("arm", "contexts")
+    sizes = {r.arm: r.n for r in rows.select("arm", F.size("contexts").alias("n")).collect()}  # a row an arm
+    if sizes != dict.fromkeys(arms, n):
+        raise ValueError(f"{path} has {sizes}, not {n} questions for each of {arms}")
+    return meta.meta, rows
+
+
 def pending(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return wanted.join(done.select(*key), key, "left_anti")
 

@@ -160,6 +160,32 @@ def test_results_and_indices(spark, tmp_path):
     assert S.index_exists(spark, index) and S.load_index(spark, index).count() == 2 and S.load_index(spark, index, ["b"]).first().chunk_id == 2
 
 
+def test_contexts_and_replaced_tables(spark, tmp_path):
+    path = str(tmp_path / "contexts")
+    lines(spark, path, '{"meta": {"n": "2"}}', '{"arm": "a", "contexts": [[{"doc_id": "d", "text": "t"}], []]}', '{"arm": "b", "contexts": [[], []]}')
+    meta, rows = S.read_contexts(spark, path, "struct<doc_id:string,text:string>", ["a", "b"], 2)
+    assert meta == {"n": "2"} and {r.arm: len(r.contexts[0]) for r in rows.collect()} == {"a": 1, "b": 0}
+    for arms, n in ((["a", "b"], 3), (["a", "c"], 2)):
+        with pytest.raises(ValueError):
+            S.read_contexts(spark, path, "struct<doc_id:string,text:string>", arms, n)
+    table = str(tmp_path / "table")
+    K.replace_table(spark.range(3), table)
+    K.replace_table(spark.read.parquet(table).where("id > 0"), table)  # made from what it replaces
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [1, 2] and [x.name for x in tmp_path.iterdir() if "new" in x.name] == []
+    K.write_results(spark.createDataFrame([("x", 0.123456, 6.5, None)], "name string, recall double, avg_size double, other double"), str(tmp_path / "res"), ["recall", "name", "avg_size", "other"], {"avg_size": 3})
+    assert spark.read.text(str(tmp_path / "res")).collect()[1].value == '0.1235,x,6.500,""' or spark.read.csv(str(tmp_path / "res"), header=True).first().asDict() == {"recall": "0.1235", "name": "x", "avg_size": "6.500", "other": None}
+    K.write_json(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "json1"))
+    assert spark.read.text(str(tmp_path / "json1")).first().value == '{"a":1,"b":null}'
+
+
+def test_sampled_rankings(spark):
+    """The first place over many draws follows the softmax; draws repeat."""
+    df = spark.range(3000).select(M.sampled_ranking(F.array(*[F.lit(x) for x in (1.0, 0.0, 2.0)]), F.col("id")).alias("o"))
+    first = [r.o[0] for r in df.collect()]
+    weights = np.exp([1.0, 0.0, 2.0])
+    assert all(abs(first.count(i) / 3000 - weights[i] / weights.sum()) < 0.03 for i in range(3)) and first == [r.o[0] for r in df.collect()]
+
+
 def test_settled_tables_are_discarded(spark):
     since, before = scratch.mark(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     table = scratch.settled(spark.range(10))
