@@ -94,7 +94,8 @@ def term_counts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
             cut = np.searchsorted(row[first], np.arange(1, len(frame)))
             yield pd.DataFrame({"chunk_id": frame.chunk_id.to_numpy(), "dl": sizes, "terms": np.split(flat[first], cut), "counts": np.split(counts, cut)})
 
-    hashed = chunks.select("chunk_id", F.transform(search_terms(F.col("text")), lambda t: F.xxhash64(t)).alias("terms"))
+    text = F.coalesce("text", F.lit(""))
+    hashed = chunks.select("chunk_id", F.transform(search_terms(text), lambda t: F.xxhash64(t)).alias("terms"))
     return hashed.mapInPandas(count, "chunk_id long, dl long, terms array<long>, counts array<int>")
 
 
@@ -235,7 +236,8 @@ def _within(pages: DataFrame, answers: list[str]) -> DataFrame:
         automaton.make_automaton()
         for frame in frames:
             held = [(d, i) for d, p in zip(frame.doc_id, frame.page) if isinstance(p, str) for i in {i for _, i in automaton.iter(p)}]
-            yield pd.DataFrame({"doc_id": [d for d, _ in held], "answer": [shared.value[i] for _, i in held]})
+            if held:
+                yield pd.DataFrame({"doc_id": [d for d, _ in held], "answer": [shared.value[i] for _, i in held]})
 
     return pages.select("doc_id", "page").mapInPandas(find, f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, answer string")
 
