@@ -15,7 +15,7 @@ _PRIME = 0x9E3779B97F4A7C55
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 #: Texts are hashed by so many bytes at a time; only a word that is longer is taken whole.
 PIECE_BYTES = 4 << 20
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 250_000
 
 
 def batches(texts: list[str]) -> Iterator[slice]:
