@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .byte_bpe import decode, encode
 from .common import held_out, spread, table, train_row
 from .decontaminate import decontaminate
 from .language_id import classified, learn_languages
@@ -15,6 +16,8 @@ from .minhash_forest import near_duplicates
 from .ogg_media import ogg_columns
 from .pareto_mix import pareto_mix
 from .quality_pu import learn_quality, scored
+from .spelling_variants import spelling_variants
+from .subvector_clusters import cluster
 from .surrogates import replace_personal_data
 from .token_counts import token_counts
 
@@ -64,5 +67,27 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_language_id, op4_benchmark_decontamination, op5_license_scan, op6_media_columns, op7_pii_surrogates, op8_quality_classifier, op9_minhash_near_dedup, op10_mixing_sources)}
-ORACLE_SQL = {"op2_line_dedup": sql.OP2, "op9_minhash_near_dedup": sql.OP9, "op4_benchmark_decontamination": sql.OP4, "op5_license_scan": sql.op5(PHRASES, postings()), "op10_mixing_sources": sql.OP10}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))[0]
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decode(encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_line_dedup, op3_language_id, op4_benchmark_decontamination, op5_license_scan, op6_media_columns, op7_pii_surrogates, op8_quality_classifier,
+        op9_minhash_near_dedup, op10_mixing_sources, op11_centroid_clustering, op12_byte_bpe, op13_spelling_variants,
+    )
+}
+ORACLE_SQL = {
+    "op2_line_dedup": sql.OP2, "op9_minhash_near_dedup": sql.OP9, "op4_benchmark_decontamination": sql.OP4, "op5_license_scan": sql.op5(PHRASES, postings()),
+    "op10_mixing_sources": sql.OP10, "op11_centroid_clustering": sql.op11(), "op13_spelling_variants": sql.OP13,
+}

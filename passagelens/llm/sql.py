@@ -121,3 +121,45 @@ SELECT doc_id, size, source_size, target, measure, source,
   size * (certain + CASE WHEN odds IS NOT NULL AND 2 * reached + size <= 2 * remaining THEN 1 ELSE 0 END) AS taken
 FROM run
 """
+
+
+def op11(k: int = 8, rounds: int = 10) -> str:
+    """k-means over whole numbers, a table of centroids (c, i, v) and one of the vectors' clusters a round."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""far{r} AS MATERIALIZED (SELECT vec_id, c, sum((x - v) * (x - v)) AS d FROM x JOIN cent{r} USING (i) GROUP BY ALL),
+own{r} AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM far{r} GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""mean{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN own{r} USING (vec_id) GROUP BY ALL),
+cent{r + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, v) AS v FROM cent{r} LEFT JOIN mean{r} USING (c, i))""")
+    return f"""
+WITH good AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: isfinite(y))) = 64),
+x AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(e, lambda y: floor(1024 * y::DOUBLE)::BIGINT)) AS x FROM good),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) - 1 AS c FROM good),
+cent0 AS MATERIALIZED (SELECT c, i, x AS v FROM x JOIN first USING (vec_id) WHERE c < {k}),
+{", ".join(parts)},
+dig AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM cent{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM own{rounds} JOIN dig USING (c)
+"""
+
+
+#: The hash is a CRC over the bytes of `<doc_id>:<run>`, eight steps a byte. Near words share what is left of them without one code point at one
+#: place, or are what is left of the other.
+OP13 = r"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r GROUP BY doc_id, run),
+b AS (SELECT run, n, flatten(list_transform(range(0, len(x) // 2), lambda j: [('0x' || substr(x, 2 * j + 1, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS bytes FROM g),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, y: xor(xor(c, y) >> 1, 3988292384 * (xor(c, y) & 1))), 4294967295) AS h FROM b),
+t AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM t WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+v AS MATERIALIZED (SELECT word, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT v.word, w.word FROM v JOIN w ON v.rest = w.word UNION SELECT w.word, v.word FROM v JOIN w ON v.rest = w.word),
+best AS MATERIALIZED (SELECT a AS word, count(*) AS n_near, min(CASE WHEN o.n >= 2 * m.n THEN (-o.n, b) END) AS x FROM p JOIN w m ON m.word = a JOIN w o ON o.word = b GROUP BY a),
+f AS MATERIALIZED (SELECT word, x[2] AS form, -x[1] AS form_n FROM best WHERE x IS NOT NULL),
+way AS (SELECT word, form AS root FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.root),
+ends AS (SELECT word, root FROM way WHERE root NOT IN (SELECT word FROM f))
+SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n
+FROM w LEFT JOIN best USING (word) LEFT JOIN f USING (word) LEFT JOIN ends USING (word)
+"""
