@@ -147,7 +147,7 @@ FROM own{rounds} JOIN dig USING (c)
 #: The hash is a CRC over the bytes of `<doc_id>:<run>`, eight steps a byte. Near words share what is left of them without one code point at one
 #: place, or are what is left of the other.
 OP13 = r"""
-WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r GROUP BY doc_id, run),
 b AS (SELECT run, n, flatten(list_transform(range(0, len(x) // 2), lambda j: [('0x' || substr(x, 2 * j + 1, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS bytes FROM g),
 h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, y: xor(xor(c, y) >> 1, 3988292384 * (xor(c, y) & 1))), 4294967295) AS h FROM b),
