@@ -118,13 +118,18 @@ def section_labels(sections: Column) -> Column:
     return F.slice(flags, F.lit(2), F.greatest(F.size(flags) - 1, F.lit(0)))
 
 
-def parsed_articles(pages: DataFrame, html: str, least_section: int = 1, least_article: int = 8) -> DataFrame:
-    """pages with sentences and labels (1 where the next sentence begins a section), without `html`. Sections that hold no prose by their name, or too few
+def kept_articles(pages: DataFrame, sections: Column, least_section: int, least_article: int) -> DataFrame:
+    """pages with sentences and labels (1 where the next sentence begins a section) of sections (heading, text). Sections that hold no prose by their name, or too few
     sentences, are left out, and so are pages with too few sentences in all. The lead has no name."""
-    prose = F.filter(html_sections(F.col(html)), lambda s: ~F.lower(F.trim(F.coalesce(s["heading"], F.lit("__lead__")))).isin(*SKIPPED_SECTIONS))
+    prose = F.filter(sections, lambda s: ~F.lower(F.trim(F.coalesce(s["heading"], F.lit("__lead__")))).isin(*SKIPPED_SECTIONS))
     kept = F.filter(F.transform(prose, lambda s: long_sentences(s["text"])), lambda s: F.size(s) >= least_section)
     parsed = pages.withColumn("_sections", kept).withColumn("sentences", F.flatten("_sections")).where(F.size("sentences") >= least_article)
-    return parsed.withColumn("labels", section_labels(F.col("_sections"))).drop("_sections", html)
+    return parsed.withColumn("labels", section_labels(F.col("_sections"))).drop("_sections")
+
+
+def parsed_articles(pages: DataFrame, html: str, least_section: int = 1, least_article: int = 8) -> DataFrame:
+    """kept_articles() of a column of HTML, which is dropped."""
+    return kept_articles(pages, html_sections(F.col(html)), least_section, least_article).drop(html)
 
 
 def slug(title: Column) -> Column:

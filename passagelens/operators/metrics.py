@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order_statistics import percentiles
+
 
 def recall_at_k(questions: DataFrame, hits: DataFrame, ks: list[int]) -> DataFrame:
     """k, n_questions, recall, recall_unconstrained. hits: qid, rank, in_gold, holds_answer. A question without candidates counts as a miss."""
@@ -45,8 +47,12 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def score_diagnostics(scores: DataFrame) -> DataFrame:
     """Moments and percentiles of p for all rows (label null) and by label."""
     shares = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    sets = scores.groupingSets([[], ["label"]], "label") if hasattr(scores, "groupingSets") else scores.cube("label")
-    return sets.agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.percentile("p", F.array(*map(F.lit, shares))).alias("q")).select("label", "n", "mean", "std", *[F.col("q")[i].alias(f"p{int(s * 100)}") for i, s in enumerate(shares)])
+    both = scores.select("p", F.explode(F.array(F.lit(None).cast("string"), F.coalesce(F.col("label").cast("string"), F.lit("none")))).alias("_set"), "label")
+    moments = both.groupBy("_set").agg(F.any_value("label").alias("label"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.count(F.lit(1)).alias("n"))
+    spread = percentiles(both, ["_set"], "p", shares).drop("n")
+    same = moments["_set"].eqNullSafe(spread["_set"])
+    label = F.when(moments["_set"].isNotNull(), F.col("label"))
+    return moments.join(spread, same).select(label.alias("label"), "n", "mean", "std", *[F.col("q")[i].alias(f"p{int(s * 100)}") for i, s in enumerate(shares)])
 
 
 def histogram(scores: DataFrame, bins: int = 10) -> DataFrame:
@@ -91,11 +97,6 @@ def reciprocal(rank: Column) -> Column:
     return F.when(rank > 0, 1.0 / rank).otherwise(0.0)
 
 
-def upper_median(values: str) -> Column:
-    """The element in the middle of the sorted values, the upper of two."""
-    return -F.percentile_disc(0.5, -F.col(values)) if hasattr(F, "percentile_disc") else -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{values})")
-
-
 def group_loss(scores: Column, positive: Column) -> Column:
     """Listwise cross-entropy of a group: log of the summed exponentials less the positive's score."""
     top = F.array_max(scores)

@@ -22,16 +22,10 @@ def ranked(scores: DataFrame, k: int, by: list[str], order: list[Column]) -> Dat
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-#: So many queries are sent to all tasks at once, for each pass over the chunks; so many of them are scored at a time; chunks at a time.
+#: So many queries are sent to all tasks, or held by one, at once; so many of them are scored at a time; chunks at a time.
 QUERIES, BLOCK, ROWS = 16_384, 1024, 512
 
 
-def _groups(queries: DataFrame) -> tuple[DataFrame, int]:
-    """queries with `group`, by a hash of qid, and the number of groups, which hold about QUERIES each."""
-    n = max(1, -(-queries.count() // QUERIES))
-    return queries.withColumn("group", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int")), n
-
-
 def _merged(best: tuple[np.ndarray, np.ndarray] | None, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """ids and scores, a row a query, of the k best of `best` and these; ties by id."""
     ids = np.broadcast_to(ids, scores.shape)
@@ -64,12 +58,57 @@ def _top_k(rows: DataFrame, blocks: list[tuple[np.ndarray, object]], score, k: i
     return rows.mapInPandas(best, "qid long, chunk_id long, score double")
 
 
-def _over_groups(rows: DataFrame, queries: DataFrame, blocks_of, score, k: int) -> DataFrame:
-    """qid, rank, chunk_id, score over all groups of queries; blocks_of makes the blocks of one group's rows, which are bounded."""
-    grouped, n = _groups(queries)
-    found = [_top_k(rows, blocks_of(grouped.where(F.col("group") == g).drop("group").toPandas()), score, k) for g in range(n)]
-    every = reduce(DataFrame.unionByName, found)
-    return ranked(every, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")]).select("qid", "rank", "chunk_id", "score")
+def _meeting(rows: DataFrame, queries: DataFrame, blocks_of, score, k: int, n: int) -> DataFrame:
+    """What _top_k returns, for any number n of queries, without the driver.
+
+    Queries are dealt in groups of about QUERIES, rows in as many shares as give every core work. A group and a share meet in one
+    partition, the queries first, so that a task holds one group's queries and k rows for each while the share's rows pass.
+    """
+    groups = -(-n // QUERIES)
+    shares = max(1, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // groups))
+    own, theirs = [c for c in queries.columns if c != "qid"], [c for c in rows.columns if c != "chunk_id"]
+    group = F.pmod(F.xxhash64("qid"), F.lit(groups)) * shares
+    left = queries.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(shares - 1)), lambda h: (group + h).cast("int"))).alias("cell"), F.lit(0).alias("side"), F.col("qid").alias("id"), *[F.col(c).alias(f"q_{c}") for c in own])
+    share = F.pmod(F.xxhash64("chunk_id"), F.lit(shares))
+    right = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: (g * shares + share).cast("int"))).alias("cell"), F.lit(1).alias("side"), F.col("chunk_id").alias("id"), *[F.col(c).alias(f"r_{c}") for c in theirs])
+    both = left.unionByName(right, allowMissingColumns=True).repartition(groups * shares, "cell").sortWithinPartitions("cell", "side")
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, waiting, blocks, found = None, [], None, []
+
+        def results() -> Iterator[pd.DataFrame]:
+            for (qids, _), held in zip(blocks or [], found):
+                if held is not None:
+                    yield pd.DataFrame({"qid": np.repeat(qids, held[0].shape[1]), "chunk_id": held[0].ravel(), "score": held[1].ravel()})
+
+        for frame in frames:
+            for number, part in frame.groupby("cell", sort=False):
+                if number != cell:
+                    yield from results()
+                    cell, waiting, blocks, found = number, [], None, []
+                asked, passing = part[part.side == 0], part[part.side == 1]
+                if len(asked):
+                    waiting.append(asked[["id", *(f"q_{c}" for c in own)]].set_axis(["qid", *own], axis=1))
+                if not len(passing) or not waiting:
+                    continue
+                if blocks is None:
+                    blocks = blocks_of(pd.concat(waiting, ignore_index=True))
+                    found = [None] * len(blocks)
+                for at in range(0, len(passing), ROWS):
+                    now = passing.iloc[at : at + ROWS][["id", *(f"r_{c}" for c in theirs)]].set_axis(["chunk_id", *theirs], axis=1)
+                    ids, ready = now.chunk_id.to_numpy(), score(now)
+                    for i, (_, wanted) in enumerate(blocks):
+                        found[i] = _merged(found[i], ids, np.round(ready(wanted), 9), k)
+        yield from results()
+
+    return both.mapInPandas(meet, "qid long, chunk_id long, score double")
+
+
+def _over_all(rows: DataFrame, queries: DataFrame, blocks_of, score, k: int) -> DataFrame:
+    """qid, rank, chunk_id, score. Up to QUERIES queries go to all tasks, and the rows stay where they are; more of them meet the rows by a shuffle."""
+    n = queries.count()
+    found = _top_k(rows, blocks_of(queries.toPandas()), score, k) if n <= QUERIES else _meeting(rows, queries, blocks_of, score, k, n)
+    return ranked(found, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")]).select("qid", "rank", "chunk_id", "score")
 
 
 def term_counts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -152,14 +191,13 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b
 
         return ready
 
-    return _over_groups(counted, every, blocks, score, k)
+    return _over_all(counted, every, blocks, score, k)
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, rank, chunk_id, score by inner product, exactly. vectors: chunk_id, vec; queries: qid, vec.
 
-    Queries are dealt in groups of bounded size by a hash; for each group there is one pass over the vectors, in which every task keeps its own
-    k best a query.
+    Every task keeps its own k best a query while the vectors pass.
     """
 
     def blocks(frame: pd.DataFrame) -> list:
@@ -170,7 +208,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         x = np.stack(part.vec.to_numpy()).astype(np.float64)
         return lambda wanted: wanted @ x.T
 
-    return _over_groups(vectors.select("chunk_id", "vec"), queries.select("qid", "vec"), blocks, score, k)
+    return _over_all(vectors.select("chunk_id", "vec"), queries.select("qid", "vec"), blocks, score, k)
 
 
 def rrf_fuse(lists: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:
@@ -196,22 +234,50 @@ def reranked(pool: DataFrame, depths: list[int]) -> DataFrame:
 ANSWERS = 100_000
 
 
-def containing_documents(pages: DataFrame, answers: DataFrame, n: int = 5) -> DataFrame:
+def _contexts(before: Column, word: Column, after: Column) -> list[Column]:
+    """Keys of a word between two others: with the last characters of the one before and the first of the one after, two of each and one of each."""
+    return [F.xxhash64(F.lit(m), word, F.right(before, F.lit(m)), F.left(after, F.lit(m))) for m in (2, 1)]
+
+
+def answer_keys(pages: DataFrame, words: DataFrame) -> DataFrame:
+    """qid, answer, word, key: each answer of three words or more (qid, answer, w: its words) under its rarest inner word on the pages, in its surroundings.
+
+    The inner words, the second to the last but one, are whole words of any page that holds the answer. What stands beside one of them may be cut off
+    at the answer's ends, so that the key has the nearest two characters on both sides, or the nearest one where a neighbour has no more.
+    """
+    inner = settled(words.where(F.size("w") >= 3).select("qid", "answer", "w", F.posexplode(F.slice("w", F.lit(2), F.size("w") - 2)).alias("at", "word")))
+    wanted = inner.select("word").distinct()
+    often = pages.select(F.explode(F.split("page", " ")).alias("word")).join(hinted(settled(wanted)), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = inner.join(hinted(settled(often)), "word", "left").groupBy("qid", "answer").agg(F.min_by(F.struct("w", "at", "word"), F.struct(F.coalesce("n", F.lit(0)), "at")).alias("x"))
+    before, after = F.get("x.w", F.col("x.at")), F.get("x.w", F.col("x.at") + 2)
+    two, one = _contexts(before, F.col("x.word"), after)
+    return rarest.select("qid", "answer", F.col("x.word").alias("word"), F.when(F.least(F.length(before), F.length(after)) >= 2, two).otherwise(one).alias("key"))
+
+
+def candidate_pages(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, qid where the page has the answer's key at some place, once each."""
+    word = lambda i: F.get("w", i)
+    rows = pages.select("doc_id", F.split("page", " ").alias("w")).where(F.size("w") >= 3)
+    places = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.struct(word(i - 1).alias("b"), word(i).alias("word"), word(i + 1).alias("a")))).alias("p")).select("doc_id", "p.*")
+    held = places.join(hinted(settled(keys.select("word").distinct())), "word", "left_semi")  # a row a place only where an answer may be
+    found = held.select("doc_id", F.explode(F.array(*_contexts(F.col("b"), F.col("word"), F.col("a")))).alias("key")).distinct()
+    return found.join(hinted(settled(keys.select("qid", "key"))), "key").select("doc_id", "qid").distinct()
+
+
+def hinted(df: DataFrame) -> DataFrame:
+    """df, settled, marked for broadcasting if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def containing_documents(pages: DataFrame, answers: DataFrame) -> DataFrame:
     """qid, doc_id where the page holds the answer. pages: doc_id, page; answers: qid, answer; both normalised. An empty answer is held by none.
 
-    The inner words of an answer, its second to last but one, are whole words of any page that holds it: pages and answers of three words
-    or more meet on the first n of these, and only the pairs that do are compared. Shorter answers may lie within words: pages are read once for each
-    group of at most about ANSWERS of them, all of which one automaton finds.
+    Answers of three words or more meet pages on their rarest inner word in its surroundings, and only the pairs that do are compared. Shorter answers
+    may lie within words: pages are read once for each group of at most about ANSWERS of them, all of which one automaton finds.
     """
     words = answers.where("answer <> ''").select("qid", "answer", F.split("answer", " ").alias("w"))
-    inner = F.least(F.size("w") - 2, F.lit(n))
-    keys = settled(words.where(F.size("w") >= 3).select("qid", "answer", inner.alias("n"), F.xxhash64(F.slice("w", F.lit(2), inner)).alias("gram")))
-    lengths = [r.n for r in keys.select("n").distinct().collect()]  # n values at most
-    wanted = keys.select("qid", "gram")
-    wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_ROWS else wanted
-    every = lambda w: [F.transform(w, lambda _, i: F.xxhash64(F.slice(w, i + 1, m))) for m in lengths or [n]]
-    grams = F.transform(F.array(F.split("page", " ")), lambda w: F.concat(*every(w)))[0]
-    pairs = pages.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(wanted, "gram").select("doc_id", "qid").distinct()
+    keys = settled(answer_keys(pages, words))
+    pairs = candidate_pages(pages, keys)
     found = pairs.join(keys.select("qid", "answer"), "qid").join(pages, "doc_id").where(F.contains("page", F.col("answer"))).select("qid", "doc_id").distinct()
 
     short = settled(words.where(F.size("w") < 3).select("qid", "answer"))

@@ -17,6 +17,8 @@ from ..operators import retrieval as R
 from ..operators import tables as B
 from ..operators import verdicts as V
 from ..operators import windows as W
+from ..operators.chunk_policy import freeze, swapped_lists
+from ..operators.order_statistics import upper_medians
 from ..sources import readers as S
 from ..sources.scratch import settled, spread
 from .sweep import bm25_sweep, fixed_chunk_table
@@ -589,7 +591,7 @@ def first_and_last_tenth(spark, sf_dir):
 
 @query("SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median, (list_sort(list(n_chars))[count(*) // 2 + 1]) >= 30 AS long_enough FROM documents GROUP BY source")
 def document_length_guard(spark, sf_dir):
-    out = _table(spark, sf_dir, "documents").groupBy("source").agg(M.upper_median("n_chars").alias("upper_median"))
+    out = upper_medians(_table(spark, sf_dir, "documents"), ["source"], "n_chars")
     return out.select("source", F.col("upper_median").cast("long").alias("upper_median"), (F.col("upper_median") >= 30).alias("long_enough"))
 
 
@@ -861,11 +863,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)
 SELECT qid, round(coalesce(max(CASE WHEN hit AND vec_id <> qid THEN 1.0::DOUBLE / rank END), 0), 9) AS reward FROM r GROUP BY qid"""
 )
 def swapped_corpus_reward(spark, sf_dir):
+    """A third of the vectors change; lists that were searched once over the old ones are mended, not searched again."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     updates = rows.where("vec_id % 3 = 1").withColumn("vec", F.transform("vec", lambda x: -x))
-    now = R.swapped(rows, updates, "vec_id").withColumnRenamed("vec_id", "chunk_id")
-    queries = rows.where("vec_id % 20 = 0").join(updates.select("vec_id"), "vec_id", "left_anti").unionByName(updates.where("vec_id % 20 = 0"))
-    top = R.dense_top_k(now, queries.select(F.col("vec_id").alias("qid"), "vec"), 10)
+    queries = R.swapped(rows.where("vec_id % 20 = 0"), updates.where("vec_id % 20 = 0"), "vec_id").select(F.col("vec_id").alias("qid"), "vec")
+    as_chunks = lambda df: df.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), "vec")
+    corpus = freeze(as_chunks(rows), queries, 10)
+    base = swapped_lists(corpus, updates.select(F.col("vec_id").alias("doc_id")), queries).select("qid", "chunk_id", "score")
+    new = R.dense_top_k(as_chunks(updates), queries, 10).select("qid", "chunk_id", "score")
+    top = R.ranked(base.unionByName(new), 10, ["qid"], [F.col("score").desc(), F.col("chunk_id")])
     own = rows.select(F.col("vec_id").alias("qid"), F.col("label").alias("wanted"))
     lists = top.join(own, "qid").join(rows.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
     hit = (F.col("label") == F.col("wanted")) & (F.col("qid") != F.col("chunk_id"))

@@ -41,11 +41,11 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of df as a table in the session's checkpoint folder, with the lineage cut. discard() removes it again."""
+def settled(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The rows of df as a table in the session's checkpoint folder, with the lineage cut, in folders by some columns if wanted. discard() removes it again."""
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
