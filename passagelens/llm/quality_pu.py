@@ -7,8 +7,8 @@ class prior p, loss l and score g the risk is
 
 where the second term estimates the negatives' risk and is kept from going below 0: while it does, steps go against
 its gradient. Labels of 0 are not used. The prior is estimated from positives and unlabelled texts alone: a scorer is fitted to tell the
-two apart on one half of each, and on the other halves the prior is at most the ratio of the unlabelled texts to the
-positives above any score, since above it the unlabelled hold that share of all positives at least; the least such ratio is taken.
+two apart on each half in turn, and on the other half the prior is at most the ratio of the unlabelled texts to the
+positives above any score, since above it the unlabelled hold that share of all positives at least; the ratio that is least with its margin of error is taken.
 The scorer is logistic, over shares of byte classes, of pairs of neighbouring classes, and of repeated words and lines, of the whole text.
 
 The samples are bounded by MOST_POSITIVE and MOST_UNLABELLED rows, chosen by hash.
@@ -106,16 +106,27 @@ def _scaled(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, n
     return mean, scale, *(((x - mean) / scale).clip(-6, 6).astype(np.float64) for x in (positive, unlabelled))
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.3) -> float:
-    """The share of positives among the unlabelled; ratios are looked at above scores that at least a share `least` of the positives reach."""
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.3, doubt: float = 0.05) -> float:
+    """The share of positives among the unlabelled.
+
+    A row's place is the share of the other half's positives that score below it. Above any place the unlabelled hold the prior's share of the positives
+    there at least, so that the ratio of what lies above bounds the prior; the place whose ratio is least with its margin of error counts, of those that at least a
+    share `least` of the positives reach. Ratios of few rows, which may be low by chance, have wide margins.
+    """
     _, _, xp, xu = _scaled(positive, unlabelled)
-    theta = _descended(lambda t: _slope(xp[::2], t, 1.0)[1] + _slope(xu[::2], t, -1.0)[1], xp.shape[1], 100 * DECAY)
-    p, u = (np.sort(x[1::2] @ theta[:-1] + theta[-1]) for x in (xp, xu))
-    if not len(p) or not len(u):
+    place_p, place_u = np.zeros(len(xp)), np.zeros(len(xu))
+    if len(xp) < 2 or len(xu) < 2:
         return 0.5
-    above = lambda s, t: 1 - np.searchsorted(s, t) / len(s)
-    levels = np.quantile(p, np.linspace(0.1, 1 - least, 8))
-    return float(np.clip((above(u, levels) / above(p, levels)).min(), 0.01, 0.99))
+    for half in (0, 1):
+        theta = _descended(lambda t: _slope(xp[half::2], t, 1.0)[1] + _slope(xu[half::2], t, -1.0)[1], xp.shape[1], 100 * DECAY)
+        p, u = (x[1 - half :: 2] @ theta[:-1] + theta[-1] for x in (xp, xu))
+        known = np.sort(p)
+        place_p[1 - half :: 2], place_u[1 - half :: 2] = (np.searchsorted(known, s, side="right") / len(known) for s in (p, u))
+    levels = np.linspace(0, 1 - least, 71)
+    above_p, above_u = (np.array([(place >= c).mean() for c in levels]) for place in (place_p, place_u))
+    ratio = above_u / above_p
+    margin = np.sqrt(np.log(2 / doubt) / 2) * (1 / np.sqrt(len(xu)) + ratio / np.sqrt(len(xp))) / above_p
+    return float(np.clip(ratio[(ratio + margin).argmin()], 0.01, 0.99))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Scorer:
