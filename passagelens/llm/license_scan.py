@@ -4,8 +4,8 @@ Besides the plain phrases, the scan knows licence notices as templates. Their wo
 phrase, are the postings: word, template, position. One pass over all texts counts the words of each file and in how many files each word of a key phrase
 stands. Each template is looked up by the word of its key phrase that has the highest inverse document frequency, so that no template
 hangs on what other notices a file has: each place of that word in a file implies a start of the template. There all postings of the template are
-intersected with the file's words by relative position; the template is found where its whole key phrase stands at its place,
-and the share of all its posted words in place is its score.
+intersected with the file's words by relative position; the template is found where its whole key phrase stands at its place
+and at least LEAST_SHARE of all its posted words are in place, which share is its score. Identifiers of the SPDX list are templates of their own.
 
 Only files that hold every word of some key phrase or plain phrase are read again; the counts of the first pass tell which.
 
@@ -73,6 +73,33 @@ TEMPLATES = {
     "cc-by-notice": "licensed under a [creative commons attribution 4 0 international license]",
     "cc-by-sa-notice": "licensed under a [creative commons attribution sharealike 4 0 international license]",
 }
+#: Identifiers of the SPDX list, by the words that they are.
+IDENTIFIERS = (
+    "mit", "apache 2 0", "gpl 2 0", "gpl 3 0", "lgpl 2 1", "lgpl 3 0", "agpl 3 0", "bsd 2 clause", "bsd 3 clause", "isc", "mpl 2 0", "epl 2 0", "cddl 1 0", "bsl 1 0", "artistic 2 0", "eupl 1 2", "cc0 1 0",
+    "cc by 3 0", "cc by 4 0", "cc by sa 3 0", "cc by sa 4 0", "cc by nc 4 0", "cc by nd 4 0", "unlicense", "zlib",
+)
+TEMPLATES |= {f"spdx:{'-'.join(name.split())}": f"[spdx license identifier {name}]" for name in IDENTIFIERS}
+TEMPLATES |= {
+    "gpl-v2": "[gnu general public license v2]",
+    "gpl-v3": "[gnu general public license v3]",
+    "lgpl-v2.1": "[gnu lesser general public license v2 1]",
+    "lgpl-v3": "[gnu lesser general public license v3]",
+    "agpl-v3": "[gnu affero general public license v3]",
+    "bsd-2-clause-name": "the [bsd 2 clause license]",
+    "bsd-3-clause-name": "the [bsd 3 clause license]",
+    "isc-name": "the [isc license]",
+    "mpl-v2": "[mozilla public license v 2 0]",
+    "mpl-version-2": "[mozilla public license version 2 0]",
+    "bsd-2-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of
+        source code must retain the above copyright notice [this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce] the above
+        copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided
+        by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness
+        for a particular purpose are disclaimed""",
+    "wtfpl": "[do what the fuck you want to public license] terms and conditions for copying distribution and modification",
+}
+#: A notice is found where at least this share of its posted words stands in place.
+LEAST_SHARE = 0.5
+
 #: Words too common to be posted.
 COMMON = ("a", "and", "any", "are", "for", "in", "is", "of", "or", "the", "this", "to", "use", "with", "without", "under")
 
@@ -149,7 +176,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
             return bound(stands, judged)
 
-        found = F.filter(F.transform(votes, intersect), lambda x: ~x["missing"])
+        found = F.filter(F.transform(votes, intersect), lambda x: ~x["missing"] & (x["share"] >= LEAST_SHARE))
         return F.struct(F.struct(*at).alias("places"), found.alias("found"))
 
     read = files.select("key", bound(F.col("w"), look_up).alias("x")).select("key", "x.*")

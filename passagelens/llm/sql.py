@@ -22,7 +22,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 
-def op5(phrases: dict[str, str], postings: list[tuple[str, str, int, bool]]) -> str:
+def op5(phrases: dict[str, str], postings: list[tuple[str, str, int, bool]], least: float) -> str:
     listed = ", ".join(f"('{w}', '{label}', {at}, {str(key).lower()})" for w, label, at, key in postings)
     plain = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in phrases.items())
     return rf"""
@@ -35,7 +35,7 @@ base AS (SELECT doc_id, pos, label FROM runs JOIN plain ON array_to_string(l[1:n
 based AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM base GROUP BY doc_id),
 al AS (SELECT doc_id, label, pos - place AS start, count(*) AS matched, count(*) FILTER (WHERE in_key) AS keys FROM dw JOIN post ON dw.word = post.word GROUP BY ALL),
 tot AS (SELECT label, count(*) AS total, count(*) FILTER (WHERE in_key) AS needed FROM post GROUP BY label),
-ver AS (SELECT doc_id, label, matched / total AS share FROM al JOIN tot USING (label) WHERE keys = needed),
+ver AS (SELECT doc_id, label, matched / total AS share FROM al JOIN tot USING (label) WHERE keys = needed AND matched / total >= {least}),
 best AS (SELECT doc_id, max(share) AS share FROM ver GROUP BY doc_id),
 bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY doc_id),
 al2 AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM ver) GROUP BY doc_id)
