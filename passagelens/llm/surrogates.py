@@ -1,12 +1,13 @@
 """Personal data replaced by surrogates; DataFrame functions only.
 
-Entities are found by patterns and named by kind. Numbers that only look like one are left alone: a card's check digit must
+Entities are found by patterns and named by kind. Numbers that only look like one are left alone: a card's and an IBAN's check digits must
 hold, an address's numbers must be at most 255 and stand behind no word for a version. Names are found behind titles; a document that
-names a person so has its other mentions of the full name and of the family name found too.
+names a person so has its other mentions of the full name and of the family name found too, also in capitals, and the full name in small letters.
 
 A surrogate is made from a keyed SHA-256 stream of (key, kind, normal form, attempt): letters become letters of the same case
-and script, digits digits, separators stay, so that a value keeps its format. Card numbers keep a valid check digit, network
-addresses stay in range, mail addresses keep their top-level domain. Mail addresses and names are made of parts that are each replaced
+and script, digits digits (hexadecimal ones in values that are hexadecimal as a whole), separators stay, so that a value keeps its format. Tokens keep the
+prefix that tells their kind, card numbers and IBANs get valid check digits, private and local network addresses keep what makes them that and public ones stay
+public, telephone numbers keep their country code and are one with it and without, mail addresses keep their top-level domain. Mail addresses and names are made of parts that are each replaced
 alike wherever they stand: an address's domain, a person's given and family name. So "Mr. John Smith", "Dr. John Smith", "Mr. Smith"
 and "John Smith" stay one person, and addresses of one domain stay together. Titles stay; a given name gets a name of its gender, which most of the
 titles that it has in all documents decide, and of its script. The normal form leaves out case and separators: all spellings of
@@ -29,11 +30,18 @@ from .common import bound, hinted, kept_columns, row_key, settled
 
 _TITLES = "Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Господин|Госпожа"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_TOKEN_HEADS = r"AKIA|(?:ghp|gho|sk|pk|xoxb)[_\-]"
+_CODE = r"^(\+1(?=[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}$)[ .\-]?|\+[0-9]{1,3}[ .\-]?|)"
+#: First numbers of addresses that aren't all public.
+_SPECIAL = (10, 100, 127, 169, 172, 192, 198, 203)
+_GROUP6 = "[0-9A-Fa-f]{1,4}"
 #: Fixed patterns by kind, tried in this order.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "token": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|(?:ghp|gho|sk|pk|xoxb)[_\-][0-9A-Za-z_\-]{16,})(?![0-9A-Za-z])",
     "ip": rf"(?<![\p{{L}}0-9.])(?<!(?i:version|release|build|section|chapter)[ .:]{{1,2}})(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:{_GROUP6}:){{7}}{_GROUP6}(?![0-9A-Za-z:.])|(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:{_GROUP6}:){{1,6}}(?::{_GROUP6}){{1,5}}(?![0-9A-Za-z:.])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])(?:[0-9][ \-]?){12,18}[0-9](?![0-9])",
@@ -41,7 +49,7 @@ KINDS = {
 }
 _ANY = "|".join(KINDS.values())
 #: Found in every text that _ANY is found in.
-_CHEAP = rf"@|[0-9][ .)\-]{{0,2}}[0-9]|[a-f]{{32}}|[A-F]{{32}}|AKIA[A-Z]{{16}}|(?:ghp|gho|sk|pk|xoxb)[_\-][0-9A-Za-z_\-]{{16}}|(?:{_TITLES})\.? \p{{Lu}}"
+_CHEAP = rf"@|[0-9A-Fa-f]::?[0-9A-Fa-f]|[0-9][ .)\-]{{0,2}}[0-9]|[a-f]{{32}}|[A-F]{{32}}|AKIA[A-Z]{{16}}|(?:ghp|gho|sk|pk|xoxb)[_\-][0-9A-Za-z_\-]{{16}}|(?:{_TITLES})\.? \p{{Lu}}"
 #: Given names by gender and script, and syllables of family names.
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Paul".split(),
@@ -62,11 +70,11 @@ def normal(value: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of what was found; null for a card number whose check digit doesn't hold. What no pattern has is a name without a title."""
+    """The kind of what was found; null for a card number or IBAN whose check digits don't hold. What no pattern has is a name without a title."""
     out = None
     for kind, pattern in KINDS.items():
         match = value.rlike(f"^(?:{pattern})$")
-        name = F.when(_luhn(_digits(value)) % 10 == 0, kind) if kind == "card" else F.lit(kind)
+        name = F.when(_luhn(_digits(value)) % 10 == 0, kind) if kind == "card" else F.when(_mod97(value) == 1, kind) if kind == "iban" else F.lit(kind)
         out = F.when(match, name) if out is None else out.when(match, name)
     return out.otherwise("name")
 
@@ -98,8 +106,10 @@ def parts(e: Column) -> Column:
 
 
 def identity(kind: Column, value: Column) -> Column:
-    """The normal form of a part, in which it must differ from others of its kind; a mail address's halves stay apart."""
-    return F.when(kind == "email", F.concat(normal(F.substring_index(value, "@", 1)), F.lit("@"), normal(_domain(value)))).otherwise(normal(value))
+    """The normal form of a part, in which it must differ from others of its kind; a mail address's halves stay apart, a telephone number is one with country code 1 and without."""
+    mail = F.concat(normal(F.substring_index(value, "@", 1)), F.lit("@"), normal(_domain(value)))
+    national = F.regexp_replace(normal(value), "^1(?=[0-9]{10}$)", "")
+    return F.when(kind == "email", mail).when(kind == "phone", national).when(kind == "ipv6", F.lower(value)).otherwise(normal(value))
 
 
 def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -116,15 +126,21 @@ def _one_of(values: str | list[str], number: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), number % len(values))
 
 
-def _woven(value: Column, stream: Column, kind: Column) -> Column:
-    """value with each letter and digit replaced, by its place among them."""
+def _hexadecimal(value: Column, kind: Column) -> Column:
+    """Of a token that is one number, or an address of groups, the case of its hexadecimal digits; empty for others."""
+    whole = F.when(value.rlike("^[0-9a-f:]+$"), "lower").when(value.rlike("^[0-9A-F:]+$"), "upper").when(kind == "ipv6", "lower").otherwise("")
+    return F.when(kind.isin("token", "ipv6"), whole).otherwise("")
+
+
+def _woven(value: Column, stream: Column, digits: Column) -> Column:
+    """value with each letter and digit replaced, by its place among them; digits: the case of hexadecimal ones, if they are."""
 
     def step(state: Column, c: Column) -> Column:
         n = _number(stream, state["j"])
         new = F.when(c.rlike("[0-9]"), (n % 10).cast("string"))
         for pattern, letters in LETTERS.items():
             new = new.when(c.rlike(pattern), _one_of(letters, n))
-        new = F.when((kind == "token") & c.rlike("[0-9a-f]"), _one_of("0123456789abcdef", n)).when((kind == "token") & c.rlike("[0-9A-F]"), _one_of("0123456789ABCDEF", n)).otherwise(new.otherwise(c))
+        new = F.when((digits == "lower") & c.rlike("[0-9a-f]"), _one_of("0123456789abcdef", n)).when((digits == "upper") & c.rlike("[0-9A-F]"), _one_of("0123456789ABCDEF", n)).otherwise(new.otherwise(c))
         counts = c.rlike(r"[\p{L}\p{N}]").cast("int")
         return F.struct(F.concat(state["out"], new).alias("out"), (state["j"] + counts).alias("j"))
 
@@ -149,6 +165,23 @@ def _card(woven: Column) -> Column:
     return F.concat(body, last.cast("string"))
 
 
+def _mod97(text: Column) -> Column:
+    """What an IBAN, its first four characters put last and its letters as numbers from 10 on, leaves when divided by 97; 1 if it is valid."""
+    bare = F.regexp_replace(text, " ", "")
+    chars = F.filter(F.split(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4)), ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
+def _iban(country: Column, rest: Column) -> Column:
+    """country and rest with the two check digits that make it valid between them."""
+    return F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0"), rest)
+
+
+def _kept_octets(ip: Column) -> Column:
+    """How many first numbers of an address say that it is private, of the machine itself or of its link; 0 for a public one."""
+    return F.when(ip.rlike(r"^(?:10|127)\."), 1).when(ip.rlike(r"^(?:192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."), 2).otherwise(0)
+
+
 def _longer(attempt: Column) -> Column:
     return F.floor(attempt / GROWS).cast("int")
 
@@ -164,7 +197,7 @@ def _by_script(value: Column, made) -> Column:
 
 
 def _as_spelled(value: Column, new: Column) -> Column:
-    return F.when((F.length(value) > 1) & (value == F.upper(value)), F.upper(new)).otherwise(new)
+    return F.when((F.length(value) > 1) & (value == F.upper(value)), F.upper(new)).when(value == F.lower(value), F.lower(new)).otherwise(new)
 
 
 def _new_given(value: Column, stream: Column, attempt: Column, gender: Column) -> Column:
@@ -185,15 +218,19 @@ def surrogate(value: Column, kind: Column, attempt: Column, gender: Column, key:
     """What replaces a part; of a mail address its local half."""
 
     def made(stream: Column) -> Column:
-        top, code = F.substring_index(value, ".", -1), F.regexp_extract(value, r"^(\+[0-9]{1,3}|)", 1)
+        top, code = F.substring_index(value, ".", -1), F.regexp_extract(value, _CODE, 1)
+        head = F.when(kind == "token", F.regexp_extract(value, f"^({_TOKEN_HEADS}|)", 1)).when(kind == "iban", F.substring(value, 1, 4)).otherwise(F.regexp_extract(value, "^([0-9A-Fa-f]*:)", 1))
         inner = (
             F.when(kind == "email", F.substring_index(value, "@", 1))
             .when(kind == "domain", F.substr(value, F.lit(1), F.length(value) - F.length(top) - 1))
             .when(kind == "phone", F.substr(value, F.length(code) + 1))
+            .when(kind.isin("token", "iban", "ipv6"), F.substr(value, F.length(head) + 1))
             .otherwise(value)
         )
         more = _more(LETTERS["[a-z]"], stream, attempt)
-        octets = F.array_join(F.transform(F.split(value, r"\."), lambda x, i: (_number(stream, i) % 254 + 1).cast("string")), ".")
+        octets = F.split(value, r"\.")
+        new_octet = lambda x, i: F.when(i < _kept_octets(value), x).when(i == 0, _one_of([str(n) for n in range(1, 224) if n not in _SPECIAL], _number(stream, i))).otherwise((_number(stream, i) % 254 + 1).cast("string"))
+        octets = F.array_join(F.transform(octets, new_octet), ".")
 
         def whole(woven: Column) -> Column:
             return (
@@ -202,12 +239,15 @@ def surrogate(value: Column, kind: Column, attempt: Column, gender: Column, key:
                 .when(kind == "ip", octets)
                 .when(kind == "phone", F.concat(code, woven))
                 .when(kind == "card", _card(woven))
+                .when(kind == "token", F.concat(head, woven))
+                .when(kind == "ipv6", F.concat(head, woven))
+                .when(kind == "iban", _iban(F.substring(value, 1, 2), woven))
                 .when(kind == "given", _new_given(value, stream, attempt, gender))
                 .when(kind == "family", _new_family(value, stream, attempt))
                 .otherwise(woven)
             )
 
-        return bound(_woven(inner, stream, kind), whole)
+        return bound(_hexadecimal(value, kind), lambda digits: bound(_woven(inner, stream, digits), whole))
 
     return bound(_stream(key, kind, identity(kind, value), attempt), made)
 
@@ -251,7 +291,9 @@ def _mentions(found: Column) -> Column:
     """The pattern of a document: _ANY, and its persons without their titles."""
     titled = F.filter(found, lambda e: (e["kind"] == "name") & (_title(e["value"]) != ""))
     bare = F.transform(titled, lambda e: F.substr(e["value"], F.length(_title(e["value"])) + 1))
-    named = F.array_distinct(F.concat(F.filter(bare, lambda n: F.contains(n, F.lit(" "))), F.transform(bare, _family)))
+    full = F.filter(bare, lambda n: F.contains(n, F.lit(" ")))
+    named = F.concat(full, F.transform(bare, _family))
+    named = F.array_distinct(F.concat(named, F.transform(named, F.upper), F.transform(full, F.lower)))
     quoted = F.array_join(F.transform(named, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
     return F.when(F.size(named) > 0, F.concat(F.lit(_ANY + r"|(?<!\p{L})(?:"), quoted, F.lit(r")(?!\p{L})"))).otherwise(F.lit(_ANY))
 
