@@ -27,6 +27,26 @@ def fixed_chunks(sentences: Column, size: int, overlap: int = 0) -> Column:
     return bound(sentences, cut)
 
 
+def fixed_spans(n: Column, size: int, overlap: int = 0) -> Column:
+    """The (a, b) spans of fixed_chunks of n sentences."""
+    size = max(1, size)
+    overlap = min(max(0, overlap), size - 1)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap)))
+    spans = F.coalesce(F.transform(starts, lambda a: F.struct(a.alias("a"), F.least(a + size, n).alias("b"))), F.array().cast("array<struct<a:int,b:int>>"))
+
+    def kept(x: Column) -> Column:
+        last = F.try_element_at(x, F.lit(-1))
+        return F.when((F.lit(overlap) > 0) & (F.size(x) >= 2) & (last["b"] - last["a"] <= overlap), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))).otherwise(x)
+
+    return bound(spans, kept)
+
+
+def config_spans(config: tuple[int, str, int, int, int, int], n: Column, probs: Column) -> Column:
+    """The spans of a configuration of config_grid()."""
+    _, method, size, overlap, least, most = config
+    return fixed_spans(n, size, overlap) if method == "fixed" else target_spans(probs, n, size, least, most, overlap)
+
+
 def threshold_spans(probs: Column, n: Column, threshold: float, least: int, most: int, overlap: int = 0) -> Column:
     """(a, b) spans of sentences: cut after sentence i where its probability reaches the threshold and the chunk has
     `least` sentences, or where it has `most`; the next chunk begins `overlap` sentences before the cut."""

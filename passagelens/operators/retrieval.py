@@ -58,20 +58,21 @@ def _top_k(rows: DataFrame, blocks: list[tuple[np.ndarray, object]], score, k: i
     return rows.mapInPandas(best, "qid long, chunk_id long, score double")
 
 
-def _meeting(rows: DataFrame, queries: DataFrame, blocks_of, score, k: int, n: int) -> DataFrame:
-    """What _top_k returns, for any number n of queries, without the driver.
+def _meeting(rows: DataFrame, queries: DataFrame, blocks_of, score, k: int, n: int, corpora: int = 1) -> DataFrame:
+    """corpus, qid, chunk_id, score: the k best rows of each share of the rows for any number n of queries, without the driver.
 
-    Queries are dealt in groups of about QUERIES, rows in as many shares as give every core work. A group and a share meet in one
-    partition, the queries first, so that a task holds one group's queries and k rows for each while the share's rows pass.
+    Rows and queries name their corpus, from 0. A corpus's queries are dealt in groups of about QUERIES, its rows in as many shares as give every core work. A
+    group and a share meet in one partition, the queries first, so that a task holds one group's queries and k rows for each while the share's rows pass.
     """
     groups = -(-n // QUERIES)
-    shares = max(1, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // groups))
-    own, theirs = [c for c in queries.columns if c != "qid"], [c for c in rows.columns if c != "chunk_id"]
-    group = F.pmod(F.xxhash64("qid"), F.lit(groups)) * shares
-    left = queries.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(shares - 1)), lambda h: (group + h).cast("int"))).alias("cell"), F.lit(0).alias("side"), F.col("qid").alias("id"), *[F.col(c).alias(f"q_{c}") for c in own])
-    share = F.pmod(F.xxhash64("chunk_id"), F.lit(shares))
+    shares = max(1, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // (groups * corpora)))
+    per = groups * shares
+    own, theirs = [c for c in queries.columns if c not in ("qid", "corpus")], [c for c in rows.columns if c not in ("chunk_id", "corpus")]
+    first = F.col("corpus") * per + F.pmod(F.xxhash64("qid"), F.lit(groups)) * shares
+    left = queries.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(shares - 1)), lambda h: (first + h).cast("int"))).alias("cell"), F.lit(0).alias("side"), F.col("qid").alias("id"), *[F.col(c).alias(f"q_{c}") for c in own])
+    share = F.col("corpus") * per + F.pmod(F.xxhash64("chunk_id"), F.lit(shares))
     right = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: (g * shares + share).cast("int"))).alias("cell"), F.lit(1).alias("side"), F.col("chunk_id").alias("id"), *[F.col(c).alias(f"r_{c}") for c in theirs])
-    both = left.unionByName(right, allowMissingColumns=True).repartition(groups * shares, "cell").sortWithinPartitions("cell", "side")
+    both = left.unionByName(right, allowMissingColumns=True).repartition(per * corpora, "cell").sortWithinPartitions("cell", "side")
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell, waiting, blocks, found = None, [], None, []
@@ -79,7 +80,7 @@ def _meeting(rows: DataFrame, queries: DataFrame, blocks_of, score, k: int, n: i
         def results() -> Iterator[pd.DataFrame]:
             for (qids, _), held in zip(blocks or [], found):
                 if held is not None:
-                    yield pd.DataFrame({"qid": np.repeat(qids, held[0].shape[1]), "chunk_id": held[0].ravel(), "score": held[1].ravel()})
+                    yield pd.DataFrame({"corpus": cell // per, "qid": np.repeat(qids, held[0].shape[1]), "chunk_id": held[0].ravel(), "score": held[1].ravel()})
 
         for frame in frames:
             for number, part in frame.groupby("cell", sort=False):
@@ -101,21 +102,24 @@ def _meeting(rows: DataFrame, queries: DataFrame, blocks_of, score, k: int, n: i
                         found[i] = _merged(found[i], ids, np.round(ready(wanted), 9), k)
         yield from results()
 
-    return both.mapInPandas(meet, "qid long, chunk_id long, score double")
+    return both.mapInPandas(meet, "corpus int, qid long, chunk_id long, score double")
 
 
 def _over_all(rows: DataFrame, queries: DataFrame, blocks_of, score, k: int) -> DataFrame:
     """qid, rank, chunk_id, score. Up to QUERIES queries go to all tasks, and the rows stay where they are; more of them meet the rows by a shuffle."""
     n = queries.count()
-    found = _top_k(rows, blocks_of(queries.toPandas()), score, k) if n <= QUERIES else _meeting(rows, queries, blocks_of, score, k, n)
+    if n <= QUERIES:
+        found = _top_k(rows, blocks_of(queries.toPandas()), score, k)
+    else:
+        found = _meeting(rows.withColumn("corpus", F.lit(0)), queries.withColumn("corpus", F.lit(0)), blocks_of, score, k, n).drop("corpus")
     return ranked(found, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")]).select("qid", "rank", "chunk_id", "score")
 
 
-def term_counts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """chunk_id, dl, terms and counts: how often each wanted term (a hash) stands in each chunk (chunk_id, text). One pass over the texts."""
+def counted_terms(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys (whole numbers), dl, terms and counts: how often each wanted term (a hash) stands in each row's `terms`."""
     n = wanted.count()
     known = np.sort(wanted.toPandas().term.to_numpy(np.int64)) if n <= 20 * BROADCAST_ROWS else None  # beyond that all terms stay
-    shared = chunks.sparkSession.sparkContext.broadcast(known)
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -131,11 +135,19 @@ def term_counts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])) if len(flat) else np.zeros(0, np.int64)
             counts = np.diff(np.append(first, len(flat))).astype(np.int32)
             cut = np.searchsorted(row[first], np.arange(1, len(frame)))
-            yield pd.DataFrame({"chunk_id": frame.chunk_id.to_numpy(), "dl": sizes, "terms": np.split(flat[first], cut), "counts": np.split(counts, cut)})
+            yield pd.DataFrame({**{c: frame[c].to_numpy() for c in keys}, "dl": sizes, "terms": np.split(flat[first], cut), "counts": np.split(counts, cut)})
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, "terms").mapInPandas(count, f"{', '.join(f'{c} {kinds[c]}' for c in keys)}, dl long, terms array<long>, counts array<int>")
 
-    text = F.coalesce("text", F.lit(""))
-    hashed = chunks.select("chunk_id", F.transform(search_terms(text), lambda t: F.xxhash64(t)).alias("terms"))
-    return hashed.mapInPandas(count, "chunk_id long, dl long, terms array<long>, counts array<int>")
+
+def hashed_terms(text: Column) -> Column:
+    return F.transform(search_terms(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t))
+
+
+def term_counts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """chunk_id, dl, terms and counts of the wanted terms (hashes) in chunks (chunk_id, text). One pass over the texts."""
+    return counted_terms(chunks.select("chunk_id", hashed_terms(F.col("text")).alias("terms")), wanted, ["chunk_id"])
 
 
 def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, counted: DataFrame | None = None) -> DataFrame:
@@ -146,16 +158,42 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b
     `counted` hands in the settled counts of an earlier search with the same terms. Scores never become a row a pair: each task adds them up for blocks of
     queries and keeps k a query.
     """
-    asked = queries.select("qid", F.explode(F.transform(search_terms(F.col("text")), lambda t: F.xxhash64(t))).alias("term"))
-    terms = settled(asked.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    terms = asked_terms(queries)
     counted = settled(term_counts(chunks, terms.select("term").distinct())) if counted is None else counted
-    n, average = counted.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    average = average or 1.0
-    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").select("qid", "term", (idf * F.col("qtf")).alias("w"))
-    listed = weighted.groupBy("qid").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w"))
-    every = settled(queries.select("qid").distinct().join(listed, "qid", "left"))
+    one = counted.withColumn("corpus", F.lit(0))
+    every = settled(_weighted(one, terms, queries, [0]).drop("corpus"))
+    average = one.agg(F.avg("dl")).first()[0] or 1.0
+    return _over_all(counted.withColumn("average", F.lit(average)), every, *_bm25(k1, b), k)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """qid, term (a hash), qtf of queries (qid, text), settled."""
+    asked = queries.select("qid", F.explode(hashed_terms(F.col("text"))).alias("term"))
+    return settled(asked.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
+
+
+def _weighted(counted: DataFrame, terms: DataFrame, queries: DataFrame, corpora: list[int]) -> DataFrame:
+    """corpus, qid, terms and w (their weights) of each query in each corpus; null where a corpus has none of its terms."""
+    sizes = counted.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"))
+    df = counted.select("corpus", F.explode("terms").alias("term")).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(sizes), "corpus")
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    listed = terms.join(df, "term").select("corpus", "qid", "term", (idf * F.col("qtf")).alias("w")).groupBy("corpus", "qid").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w"))
+    return queries.select("qid").distinct().select("qid", F.explode(F.array(*map(F.lit, corpora))).alias("corpus")).join(listed, ["corpus", "qid"], "left")
+
+
+def bm25_by_corpus(counted: DataFrame, queries: DataFrame, k: int, corpora: list[int], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """corpus, qid, rank, chunk_id, score: what bm25_top_k gives over each corpus by itself, in one search. counted: corpus, chunk_id, dl, terms,
+    counts, as counted_terms makes them for the queries' terms; corpora: the numbers, from 0."""
+    terms = asked_terms(queries)
+    counted = settled(counted)
+    average = F.greatest(F.avg("dl"), F.lit(1e-9))
+    rows = counted.join(F.broadcast(counted.groupBy("corpus").agg(average.alias("average"))), "corpus")
+    found = _meeting(rows, _weighted(counted, terms, queries, corpora), *_bm25(k1, b), k, max(1, queries.count()), len(corpora))
+    return ranked(found, k, ["corpus", "qid"], [F.col("score").desc(), F.col("chunk_id")]).select("corpus", "qid", "rank", "chunk_id", "score")
+
+
+def _bm25(k1: float, b: float) -> tuple:
+    """How queries (qid, terms, w) become blocks, and rows (chunk_id, dl, terms, counts, average) scores of a block."""
 
     def blocks(frame: pd.DataFrame) -> list:
         out = []
@@ -176,7 +214,7 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b
         row = np.repeat(np.arange(len(part)), sizes)
         order = np.argsort(term, kind="stable")
         term, row = term[order], row[order]
-        gain = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.repeat(part.dl.to_numpy(), sizes) / average)))[order]
+        gain = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.repeat(part.dl.to_numpy() / part.average.to_numpy(), sizes))))[order]
         held, first = np.unique(term, return_index=True)
         last = np.append(first, len(term))
 
@@ -191,7 +229,7 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b
 
         return ready
 
-    return _over_all(counted, every, blocks, score, k)
+    return blocks, score
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -28,16 +28,16 @@ def stored_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def batched(pairs: DataFrame, length: str, most: int) -> DataFrame:
-    """pairs with `batch`, from 0: in the order of falling length, each batch of at most `most` in all unless a pair alone is longer.
+    """pairs with `batch`, from 0: in the order of falling length, each batch of about `most` in all: it may hold more by less than its longest pair.
 
     Pairs of one length are numbered in the order of their keys; how much longer pairs hold in all is a sum over lengths, of which there are few.
     """
     sizes = pairs.groupBy(length).agg((F.count(F.lit(1)) * F.col(length)).alias("total"))
     before = sizes.withColumn("before", F.sum("total").over(Window.orderBy(F.col(length).desc()).rowsBetween(Window.unboundedPreceding, -1))).select(length, F.coalesce("before", F.lit(0)).alias("before"))
-    ordered = numbered(pairs.withColumn("_less", -F.col(length)), ["_less", "pair_key"], "_at")
-    first = ordered.groupBy(length).agg(F.min("_at").alias("_first"))
-    reached = F.col("before") + (F.col("_at") - F.col("_first") + 1) * F.col(length)
-    return ordered.join(F.broadcast(before.join(first, length)), length).withColumn("batch", F.floor((reached - 1) / most).cast("int")).drop("_less", "_at", "_first", "before")
+    ordered = numbered(pairs.withColumn("_less", -F.col(length)), ["_less", "pair_key"], "_nth")
+    first = ordered.groupBy(length).agg(F.min("_nth").alias("_first"))
+    reached = F.col("before") + (F.col("_nth") - F.col("_first") + 1) * F.col(length)
+    return ordered.join(F.broadcast(before.join(first, length)), length).withColumn("batch", F.floor((reached - 1) / most).cast("int")).drop("_less", "_nth", "_first", "before")
 
 
 def score_pairs(pairs: DataFrame, left: str, right: str, score: Callable[[DataFrame], DataFrame], path: str, most: int = BATCH) -> DataFrame:

@@ -16,15 +16,22 @@ def arms_side_by_side(rows: DataFrame, key: list[str], arm: str, arms: list[str]
 
 
 def nearest_match(left: DataFrame, right: DataFrame, equal: list[str], size: str, order: str) -> DataFrame:
-    """For each left row the right row with the same `equal` columns whose size is nearest, the first by `order` of equals.
+    """For each left row the right row with the same `equal` columns whose size is nearest, the first by `order` of equals; left rows without one go.
 
-    The nearest is picked by an aggregate, so that pairs are reduced before they are shuffled.
+    Both sides are sorted by size together, once: the nearest is the last right row before a left one, or the first behind it. No pairs are made.
     """
-    r = right.select(*equal, F.struct(F.col(size).alias("size"), F.col(order).alias("order"), F.struct(*[c for c in right.columns if c not in equal]).alias("row")).alias("_r"))
-    gap = F.abs(F.col(size) - F.col("_r.size"))
-    own = [c for c in left.columns]
-    best = left.join(r, equal).groupBy(*own).agg(F.min_by("_r.row", F.struct(gap, F.col("_r.order"))).alias("match"))
-    return best.withColumn("gap", F.abs(F.col(size) - F.col(f"match.{size}")))
+    row = F.struct(*[c for c in right.columns if c not in equal])
+    firsts = right.groupBy(*equal, F.col(size).alias("_size")).agg(F.min_by(F.struct(F.col(order).alias("order"), row.alias("row")), order).alias("_r"))  # one a size
+    own = F.struct(*left.columns)
+    both = left.select(*equal, F.col(size).alias("_size"), own.alias("_l")).unionByName(firsts, allowMissingColumns=True)
+    seen = F.when(F.col("_r").isNotNull(), F.struct("_size", F.col("_r.order").alias("order"), F.col("_r.row").alias("row")))
+    along = Window.partitionBy(*equal).orderBy("_size")
+    before = F.last(seen, ignorenulls=True).over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(seen, ignorenulls=True).over(along.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    gap = lambda x: F.struct(F.abs(F.col("_size") - x["_size"]).alias("gap"), x["order"].alias("order"), x["row"].alias("row"))
+    met = both.withColumns({"_before": before, "_after": after}).where("_l IS NOT NULL AND (_before IS NOT NULL OR _after IS NOT NULL)")
+    near = F.array_min(F.array_compact(F.array(F.when(F.col("_before").isNotNull(), gap(F.col("_before"))), F.when(F.col("_after").isNotNull(), gap(F.col("_after"))))))
+    return met.withColumn("_near", near).select("_l.*", F.col("_near.row").alias("match"), F.col("_near.gap").alias("gap"))
 
 
 def best_rows(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -11,19 +11,16 @@ from ..sources.scratch import settled
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with consecutive numbers from 1 in the given order, without gathering them in one task.
 
-    Rows are dealt to ranges and kept; the ranges' sizes (a number each) give the first number of each range.
+    Rows are dealt to ranges and kept; the ranges' sizes (a number each) give the first number of each range, in a table of a row a range.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = settled(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
-    counts = dict(ranged.groupBy("_part").count().collect())
-    first, total = [], 0
-    for part in sorted(counts):
-        first += [F.lit(part), F.lit(total)]
-        total += counts[part]
-    before = F.create_map(*first)[F.col("_part")] if first else F.lit(0)
-    return ranged.withColumn(name, (before + F.col("_at") + 1).cast("long")).drop("_part", "_at")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = settled(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__place": place}))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = settled(sizes.select("__part", before.alias("__before")))
+    return ranged.join(F.broadcast(first), "__part").withColumn(name, (F.col("__before") + F.col("__place") + 1).cast("long")).drop("__part", "__place", "__before")
 
 
 def document_numbers(rows: DataFrame, title: str, order: str, most: int | None = None) -> DataFrame:

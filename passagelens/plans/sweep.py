@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -45,3 +45,40 @@ def bm25_sweep(docs: DataFrame, questions: DataFrame, gold: DataFrame, configs:
         return recalls.select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), "arm", "k", F.lit(totals.n_chunks).alias("n_chunks"), F.lit(totals.avg_chunk_size).alias("avg_chunk_size"), "recall", "recall_unconstrained")
 
     return reduce(DataFrame.unionByName, [one(*c) for c in configs])
+
+
+def grid_sweep(docs: DataFrame, questions: DataFrame, gold: DataFrame, grid: list[tuple[int, str, int, int, int, int]], ks: list[int], probs: dict[str, str] | None = None, depth: int = 20) -> DataFrame:
+    """What bm25_sweep gives, with the method, for a whole grid of configurations in one search.
+
+    docs: doc_id, sentences and columns of boundary probabilities, as chunk_all takes them. Sentences are split into terms once; a chunk's terms are those of its
+    sentences, under every configuration. A configuration is a corpus of the search. Texts are looked at again for the ranked chunks alone.
+    """
+    docs = settled(docs.withColumn("terms", F.transform("sentences", R.hashed_terms)))
+    cuts = [F.struct(F.lit(c[0]).alias("corpus"), C.config_spans(c, F.size("sentences"), F.col((probs or {}).get(c[1], "probs")) if c[1] != "fixed" else F.lit(None)).alias("spans")) for c in grid]
+    spans = docs.select("doc_id", F.explode(F.array(*cuts)).alias("c")).select("doc_id", "c.corpus", F.posexplode("c.spans").alias("pos", "x")).select("corpus", "doc_id", "pos", "x.*")
+    placed = numbered(spans, ["corpus", "doc_id", "pos"], "n")
+    first = placed.groupBy("corpus").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("n_chunks"), F.avg(F.col("b") - F.col("a")).alias("avg_chunk_size"))
+    first = settled(first)  # a row a configuration
+    chunks = settled(placed.join(F.broadcast(first.select("corpus", "first")), "corpus").select("corpus", (F.col("n") - F.col("first")).alias("chunk_id"), "doc_id", "a", "b"))
+    asked = questions.select("qid", F.col("question").alias("text"))
+    wanted = R.asked_terms(asked).select("term").distinct()
+    own = F.flatten(F.slice("terms", F.col("a") + 1, F.col("b") - F.col("a")))
+    counted = R.counted_terms(chunks.join(docs.select("doc_id", "terms"), "doc_id").select("corpus", "chunk_id", own.alias("terms")), wanted, ["corpus", "chunk_id"])
+    pool = settled(R.bm25_by_corpus(counted, asked, max(depth, *ks), [c[0] for c in grid]))
+    named = pool.join(chunks, ["corpus", "chunk_id"])
+    text = F.array_join(F.slice("sentences", F.col("a") + 1, F.col("b") - F.col("a")), " ")
+    seen = named.join(docs.select("doc_id", "sentences"), "doc_id").withColumn("text", text).join(questions, "qid")
+    hits = seen.join(gold.select("qid", "doc_id", F.lit(True).alias("in_gold")), ["qid", "doc_id"], "left")
+    hits = settled(hits.select("corpus", "qid", "rank", R.term_overlap(F.col("text"), F.col("question")).alias("score"), F.coalesce("in_gold", F.lit(False)).alias("in_gold"), F.contains(T.normalize_text(F.col("text")), F.col("answer")).alias("holds")))
+    again = F.when(F.col("rank") <= depth, F.row_number().over(Window.partitionBy("corpus", "qid").orderBy(F.when(F.col("rank") <= depth, F.col("score")).desc_nulls_last(), "rank")))
+    arms = F.array(F.struct(F.lit("bm25").alias("arm"), F.col("rank").alias("at")), F.struct(F.lit("rerank").alias("arm"), F.col("again").alias("at")))
+    placed_hits = hits.withColumn("again", again).select("corpus", "qid", "in_gold", "holds", F.explode(arms).alias("x")).select("corpus", "qid", "in_gold", "holds", "x.*")
+    flags = [F.max(F.when((F.col("at") <= k) & c, 1).otherwise(0)).alias(f"{name}{k}") for k in ks for name, c in (("c", F.col("in_gold") & F.col("holds")), ("u", F.col("holds")))]
+    each = placed_hits.groupBy("corpus", "arm", "qid").agg(*flags)
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c"), F.col(f"u{k}").alias("u")) for k in ks])
+    recalls = each.select("corpus", "arm", F.explode(rows).alias("r")).select("corpus", "arm", "r.*").groupBy("corpus", "arm", "k").agg(F.sum("c").alias("c"), F.sum("u").alias("u"))
+    n_questions = F.lit(float(questions.select("qid").distinct().count()))  # a question without candidates is a miss
+    about = docs.sparkSession.createDataFrame([(c[0], c[1], c[2], c[3]) for c in grid], "corpus int, method string, size int, overlap int").join(first, "corpus", "left")
+    grid_rows = about.select("*", F.explode(F.array(*map(F.lit, ks))).alias("k")).select("*", F.explode(F.array(F.lit("bm25"), F.lit("rerank"))).alias("arm"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return grid_rows.join(F.broadcast(recalls), ["corpus", "arm", "k"], "left").select("method", "size", "overlap", "arm", "k", zero("n_chunks").alias("n_chunks"), F.coalesce("avg_chunk_size", F.lit(0.0)).alias("avg_chunk_size"), (zero("c") / n_questions).alias("recall"), (zero("u") / n_questions).alias("recall_unconstrained"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,8 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType,
 
 
 def no_such_path(error: Exception) -> bool:
-    """Whether an error says that a path is not there, or holds nothing; Spark has no other way to say so."""
-    return any(x in str(error) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"))
+    """Whether an error says that a path is not there, or holds nothing."""
+    return isinstance(error, PySparkException) and str(error.getCondition()).split(".")[0] in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def read_cached(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> DataFrame:
@@ -79,6 +80,29 @@ def read_contexts(spark: SparkSession, path: str, passages: str, arms: list[str]
     return meta.meta, rows
 
 
+def read_partial(spark: SparkSession, path: str, passages: str, meta: dict[str, str], arms: list[str], n: int) -> DataFrame | None:
+    """The rows of a contexts file that an earlier run of the same inputs has left; None if there is none. A file of other inputs, or with other arms or counts, is an error."""
+    if not path_exists(spark, path):
+        return None
+    found, rows = read_contexts(spark, path, passages, arms, n)
+    if found != meta:
+        raise ValueError(f"{path} was written for other inputs")
+    return rows
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def article_vectors(spark: SparkSession, path: str, articles: list[str] | DataFrame) -> DataFrame:
+    """doc_id, vecs: the sentence vectors (doc_id, pos, vec) of some articles, in order, one row an article. Names given as a list reach the scan as a filter, a table (doc_id) is joined."""
+    rows = spark.read.parquet(path)
+    rows = rows.where(F.col("doc_id").isin(articles)) if isinstance(articles, list) else rows.join(articles.select("doc_id").distinct(), "doc_id", "left_semi")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "vec")))
+    return rows.groupBy("doc_id").agg(F.transform(ordered, lambda x: x["vec"]).alias("vecs"))
+
+
 def pending(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return wanted.join(done.select(*key), key, "left_anti")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,8 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 #: What Python workers are handed at a time while a table is settled: rows may be whole texts, and each batch is held several times.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
-#: The tables that settled() has written and nobody has discarded, oldest first.
-_written: list[str] = []
+#: The tables that settled() has written in a thread and nobody has discarded, oldest first: what one thread discards is never another's.
+_of_thread = threading.local()
+
+
+def _written() -> list[str]:
+    if not hasattr(_of_thread, "tables"):
+        _of_thread.tables = []
+    return _of_thread.tables
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,20 +53,31 @@ def settled(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     with small_batches(df.sparkSession):
         (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    _written.append(path)
+    _written().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    """A mark for discard()."""
-    return len(_written)
+    """A mark for discard(), in this thread."""
+    return len(_written())
 
 
 def discard(spark: SparkSession, since: int = 0) -> None:
-    """Removes the tables settled since a mark; what was made from them must have been written."""
-    for path in _written[since:]:
+    """Removes the tables that this thread settled since a mark; what was made from them must have been written."""
+    tables = _written()
+    for path in tables[since:]:
         remove(spark, path)
-    del _written[since:]
+    del tables[since:]
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving, also by an error, what was settled meanwhile; results must have been written or collected by then."""
+    since = mark()
+    try:
+        yield
+    finally:
+        discard(spark, since)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,17 +20,6 @@ def write_results(rows: DataFrame, path: str, columns: list[str], places: dict[s
     write_csv(rows.select(*own), path)
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes beside the table at path and then puts the new one in its place, so that readers find the old or the new one, also where rows are made from the old one."""
-    spark = rows.sparkSession
-    beside = f"{path}.new-{uuid.uuid4().hex}"
-    rows.write.parquet(beside)
-    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = paths(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(paths(path), True)
-    files.rename(paths(beside), paths(path))
-
-
 def write_json(rows: DataFrame, path: str) -> None:
     """One nested JSON object for each row, null fields left in."""
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from passagelens.operators import tables as B
 from passagelens.operators import verdicts as V
 from passagelens.operators import windows as W
 from passagelens.sources import readers as S
-from passagelens.sources import scratch
+from passagelens.sources import scratch, versions
 from passagelens.sources import writers as K
 
 #: Golden cases of the sentence splitter, a text and its sentences.
@@ -78,34 +79,42 @@ def test_highlight(spark, text, answer, want):
 
 
 def test_answer_scoring_cases(spark):
-    for text, want in (("The  U.S.A. , an Ally", "usa ally"), (")", "")):
+    for text, want in (("An  Oak,  the (old) tree", "oak old tree"), ("the a an", ""), ("It's 3-4", "its 34"), ("Theatre", "theatre")):
         assert values(spark, T.normalize_answer, text) == want
-    for text, want in (("<think>x\ny</think>\n Paris \nmore", "Paris"), ("  \n", "")):
+    for text, want in (("<think>maybe 7\n\n8</think>\n\n nine \nten", "nine"), ("<think>all</think>", ""), (" one two ", "one two")):
         assert values(spark, T.prediction_from_output, text) == want
-    cases = [("It aired on March 18, 2018.", "March 18 , 2018", True), ("the Beatles", "Beatles", True), ("19901", "1990", False), ("March 2018", "March 18 , 2018", False), ("anything", ")", False)]
+    cases = [("Built of oak; it stood", "the oak", True), ("an oaken door", "oak", False), ("12.5 metres", "12.5", True), ("112.5 metres", "12.5", False), ("something", "...", False), ("", "oak", False)]
     assert all(values(spark, T.contains_answer, p, a) == want for p, a, want in cases)
-    assert values(spark, T.exact_match, "The Beatles.", "beatles") and values(spark, T.token_f1, "", "paris") == 0
-    assert values(spark, T.token_f1, "john paul george", "paul george ringo") == pytest.approx(2 / 3)
+    assert values(spark, T.exact_match, "A tall Oak!", "tall oak") and not values(spark, T.exact_match, "oaks", "oak") and values(spark, T.token_f1, "oak", "") == 0
+    assert values(spark, T.token_f1, "oak oak elm", "oak elm ash elm") == pytest.approx(4 / 7)
 
 
 def test_prompts(spark):
-    passages = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(x).alias("text")) for t, x in (("Title A", "text a b c"), ("Title B", "text b"))])
+    passages = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(x).alias("text")) for t, x in (("Trees", "oaks grow very slowly"), ("Rivers", "water flows"), ("Hills", ""))])
     none = F.lit(None).cast("array<struct<title:string,text:string>>")
-    row = spark.range(1).select(T.built_prompt(F.lit("who wrote it"), passages, 3).alias("p"), T.prompt(F.lit("who wrote it"), none).alias("closed"), T.built_prompt(F.lit("q"), none, 3).alias("none"), *[T.answer_in_prompt(passages, F.lit(a), F.array(F.lit(g))).alias(n) for n, a, g in (("x", "B  C", "Title A"), ("y", "B C", "Title B"))], T.answer_in_prompt(none, F.lit("a"), F.array(F.lit("t"))).alias("z")).first()
-    head = "Answer the question using the passages below. Reply with the answer only, as a short phrase, without explanation."
-    assert row.p.text == head + "\n\n[1] Title A\ntext a b\n\n[2] Title B\ntext b\n\nQuestion: who wrote it" and row.p.n_cut == 1
-    assert row.closed == "Answer the question. Reply with the answer only, as a short phrase, without explanation.\n\nQuestion: who wrote it"
+    ask = F.lit("how do oaks grow")
+    seen = lambda a, g: T.answer_in_prompt(passages, F.lit(a), F.array(*map(F.lit, g)))
+    row = spark.range(1).select(T.built_prompt(ask, passages, 2).alias("p"), T.prompt(ask, none).alias("closed"), T.built_prompt(ask, none, 2).alias("none"), seen("VERY  slowly", ["Hills", "Trees"]).alias("x"), seen("very slowly", ["Rivers"]).alias("y"), T.answer_in_prompt(none, F.lit("water"), F.array(F.lit("Rivers"))).alias("z")).first()
+    with_, closed = row.p.text.split("\n\n"), row.closed.split("\n\n")
+    assert with_[1:] == ["[1] Trees\noaks grow", "[2] Rivers\nwater flows", "[3] Hills\n", "Question: how do oaks grow"] and "passages below" in with_[0] and row.p.n_cut == 1
+    assert closed[1:] == ["Question: how do oaks grow"] and "passages" not in closed[0]
     assert row.none.n_cut == 0 and (row.x, row.y, row.z) == (True, False, None)
-    assert [tuple(values(spark, lambda t: T.cut_passage(t, 3), t)) for t in ("a b c", "a b c d")] == [("a b c", False), ("a b c", True)]
+    assert [tuple(values(spark, lambda t: T.cut_passage(t, 2), t)) for t in ("", "one", "one two", "one two three")] == [("", False), ("one", False), ("one two", False), ("one two", True)]
 
 
 def test_queries_are_checked(spark):
-    assert [values(spark, T.checked_query, t) for t in ("  hello  ", None, "   ", "問" * 2000)] == ["hello", "", "", "問" * 2000]
-    for text in ("x" * 2001, " " * 2000 + "x", "問" * 2001):
-        with pytest.raises(PySparkException, match="2000"):
+    most = 2000
+    assert [values(spark, T.checked_query, t) for t in ("\n oak \t", "", None, "é" * most, "a" + " " * (most - 2) + "b")] == ["oak", "", "", "é" * most, "a" + " " * (most - 2) + "b"]
+    for text in ("é" * (most + 1), "a " * most):
+        with pytest.raises(PySparkException, match=str(most)):
             values(spark, T.checked_query, text)
 
 
+def test_standard_errors(spark):
+    got = spark.range(1).select(M.one_se(F.lit(0.2), F.lit(16)).alias("one"), M.two_se(F.lit(0.2), F.lit(16)).alias("two")).first()
+    assert got.one == pytest.approx(0.1) and got.two == pytest.approx(0.2)
+
+
 def test_numbers_in_files(spark):
     df = spark.createDataFrame([(0.12345,), (None,), (float("nan"),), (2.0,)], "v double")
     assert [r.x for r in df.select(T.fixed_number(F.col("v"), 4).alias("x")).collect()][3] == "2.0000"
@@ -169,9 +178,9 @@ def test_contexts_and_replaced_tables(spark, tmp_path):
         with pytest.raises(ValueError):
             S.read_contexts(spark, path, "struct<doc_id:string,text:string>", arms, n)
     table = str(tmp_path / "table")
-    K.replace_table(spark.range(3), table)
-    K.replace_table(spark.read.parquet(table).where("id > 0"), table)  # made from what it replaces
-    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [1, 2] and [x.name for x in tmp_path.iterdir() if "new" in x.name] == []
+    versions.commit(spark.range(3), table)
+    versions.commit(versions.current(spark, table).where("id > 0"), table)  # made from what it replaces
+    assert sorted(r.id for r in versions.current(spark, table).collect()) == [1, 2]
     K.write_results(spark.createDataFrame([("x", 0.123456, 6.5, None)], "name string, recall double, avg_size double, other double"), str(tmp_path / "res"), ["recall", "name", "avg_size", "other"], {"avg_size": 3})
     assert spark.read.text(str(tmp_path / "res")).collect()[1].value == '0.1235,x,6.500,""' or spark.read.csv(str(tmp_path / "res"), header=True).first().asDict() == {"recall": "0.1235", "name": "x", "avg_size": "6.500", "other": None}
     K.write_json(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "json1"))
@@ -190,7 +199,15 @@ def test_settled_tables_are_discarded(spark):
     since, before = scratch.mark(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     table = scratch.settled(spark.range(10))
     assert table.count() == 10 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    others = []
+    thread = threading.Thread(target=lambda: others.append(scratch.settled(spark.range(5))))
+    thread.start()
+    thread.join()
     scratch.discard(spark, since)
+    assert scratch.mark() == since and not S.index_exists(spark, table.inputFiles()[0]) and others[0].count() == 5
+    with pytest.raises(RuntimeError), scratch.cleared(spark):
+        table = scratch.settled(spark.range(3))
+        raise RuntimeError
     assert scratch.mark() == since and not S.index_exists(spark, table.inputFiles()[0])
 
 
