@@ -110,7 +110,7 @@ def wikitext_page_sections(spark, sf_dir):
     """The pages' sections, written as wikitext with templates, links and references strewn in, and read back from it."""
     rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(T.html_sections(F.col("html"))).alias("pos", "s"))
     escaped = lambda c: F.regexp_replace(F.replace(c, F.lit("&"), F.lit("&amp;")), r"([{}\[\]'=|<>])", "<nowiki>$1</nowiki>")
-    body = F.regexp_replace(escaped(F.col("s.text")), r"^(\p{L}+) (\p{L}+)", "{{note|{{deep|x}} y}}[[$1]] [[target of it|$2]]<ref name=\"r\">gone</ref>")
+    body = F.regexp_replace(escaped(F.col("s.text")), r"^(\p{L}+) (\p{L}+)", "{{note|{{deep|x}} y}}[[$1]]<ref name=\"r\">gone</ref> [[target of it|$2]]")
     heading = F.when(F.col("s.heading").isNotNull(), F.concat(F.lit("\n== "), escaped(F.col("s.heading")), F.lit(" ==\n"))).otherwise("")
     pages = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(heading, body).alias("t")))), lambda x: x["t"]), "").alias("wikitext"))
     read = pages.select("page_id", F.posexplode(wikitext_sections(F.col("wikitext"))).alias("pos", "s"))
