@@ -32,8 +32,6 @@ _TITLES = "Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Гос
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TOKEN_HEADS = r"AKIA|(?:ghp|gho|sk|pk|xoxb)[_\-]"
 _CODE = r"^(\+1(?=[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}$)[ .\-]?|\+[0-9]{1,3}[ .\-]?|)"
-#: First numbers of addresses that aren't all public.
-_SPECIAL = (10, 100, 127, 169, 172, 192, 198, 203)
 _GROUP6 = "[0-9A-Fa-f]{1,4}"
 #: Fixed patterns by kind, tried in this order.
 KINDS = {
@@ -228,8 +226,8 @@ def surrogate(value: Column, kind: Column, attempt: Column, gender: Column, key:
             .otherwise(value)
         )
         more = _more(LETTERS["[a-z]"], stream, attempt)
-        octets = F.split(value, r"\.")
-        new_octet = lambda x, i: F.when(i < _kept_octets(value), x).when(i == 0, _one_of([str(n) for n in range(1, 224) if n not in _SPECIAL], _number(stream, i))).otherwise((_number(stream, i) % 254 + 1).cast("string"))
+        octets = F.split(value, r"\.")  # a public address begins with 11 to 99, all of which are public
+        new_octet = lambda x, i: F.when(i < _kept_octets(value), x).when(i == 0, (_number(stream, i) % 89 + 11).cast("string")).otherwise((_number(stream, i) % 254 + 1).cast("string"))
         octets = F.array_join(F.transform(octets, new_octet), ".")
 
         def whole(woven: Column) -> Column:
