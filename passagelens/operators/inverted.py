@@ -43,8 +43,8 @@ def add_to_index(chunks: DataFrame, path: str) -> None:
         F.transform("p", lambda x: (x["chunk_id"] - F.col("range") * RANGE).cast("int")).alias("at"), F.transform("p", lambda x: x["tf"]).alias("tf"), F.transform("p", lambda x: x["dl"]).alias("dl"), _part(F.col("term")).alias("part"),
     )
     segment = _segments(spark, path)
-    blocks.repartition("part", "term").sortWithinPartitions("part", "term", "range").write.partitionBy("part").parquet(f"{path}/blocks-{segment}")
-    sizes.write.parquet(f"{path}/chunks-{segment}")
+    blocks.repartition("part", "term").sortWithinPartitions("part", "term", "range").write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks-{segment}")
+    sizes.write.mode("overwrite").parquet(f"{path}/chunks-{segment}")  # overwritten: what an addition that died has left doesn't count
     commit_version(spark.range(1).select(F.lit(segment + 1).alias("segments")), f"{path}/segments")
 
 
