@@ -90,13 +90,13 @@ def test_answer_scoring_cases(spark):
 
 
 def test_prompts(spark):
-    passages = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(x).alias("text")) for t, x in (("Trees", "oaks grow very slowly"), ("Rivers", "water flows"), ("Hills", ""))])
+    passages = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(x).alias("text")) for t, x in (("Trees", "oaks grow very slowly"), ("Rivers", "water flows"), ("Hills", "steep"))])
     none = F.lit(None).cast("array<struct<title:string,text:string>>")
     ask = F.lit("how do oaks grow")
     seen = lambda a, g: T.answer_in_prompt(passages, F.lit(a), F.array(*map(F.lit, g)))
     row = spark.range(1).select(T.built_prompt(ask, passages, 2).alias("p"), T.prompt(ask, none).alias("closed"), T.built_prompt(ask, none, 2).alias("none"), seen("VERY  slowly", ["Hills", "Trees"]).alias("x"), seen("very slowly", ["Rivers"]).alias("y"), T.answer_in_prompt(none, F.lit("water"), F.array(F.lit("Rivers"))).alias("z")).first()
     with_, closed = row.p.text.split("\n\n"), row.closed.split("\n\n")
-    assert with_[1:] == ["[1] Trees\noaks grow", "[2] Rivers\nwater flows", "[3] Hills\n", "Question: how do oaks grow"] and "passages below" in with_[0] and row.p.n_cut == 1
+    assert with_[1:] == ["[1] Trees\noaks grow", "[2] Rivers\nwater flows", "[3] Hills\nsteep", "Question: how do oaks grow"] and "passages below" in with_[0] and row.p.n_cut == 1
     assert closed[1:] == ["Question: how do oaks grow"] and "passages" not in closed[0]
     assert row.none.n_cut == 0 and (row.x, row.y, row.z) == (True, False, None)
     assert [tuple(values(spark, lambda t: T.cut_passage(t, 2), t)) for t in ("", "one", "one two", "one two three")] == [("", False), ("one", False), ("one two", False), ("one two", True)]
