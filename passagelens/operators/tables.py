@@ -44,6 +44,15 @@ def spread(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(value).alias("n"), F.when(F.count(value) >= 2, F.max(value) - F.min(value)).alias("spread"))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A double at so many places by scaling it, half away from zero, as SQL engines do. F.round looks at the digits that a double is written with, and takes
+    938.9437499999999, a mean of prices whose ten thousandfold is 9389437.5 as a double, for less than half."""
+    scaled = F.abs(value) * 10.0**places
+    whole = F.floor(scaled)
+    up = F.when(scaled - whole >= 0.5, whole + 1).otherwise(whole) / 10.0**places
+    return F.when(scaled < float(1 << 52), F.when(value < 0, -up).otherwise(up)).otherwise(value)  # beyond that, and for NaN, there is nothing to round
+
+
 def detection(p: Column, n: Column) -> tuple[Column, Column]:
     """The 95 % detection floor and the effect that 80 % power finds, of two shares of n each."""
     se = F.sqrt(2 * p * (1 - p) / n)

@@ -321,7 +321,7 @@ SELECT p_type || ' ' || p_size || '/' || right(p_brand, 1) AS label, 'fixed|' ||
 def formatted_results(spark, sf_dir):
     """Result rows as files have them: identities whether cells are numbers or text, labels, slugs, fixed decimals, empty cells."""
     parts = _table(spark, sf_dir, "part").withColumns({"method": F.lit(" fixed "), "fixed_size": F.concat(F.col("p_size").cast("string"), F.lit(".0")), "fixed_overlap": F.expr("right(p_brand, 1)")})
-    rows = parts.groupBy("p_type", "method", "fixed_size", "fixed_overlap").agg(F.round(F.avg("p_retailprice"), 4).alias("recall"), F.round(F.stddev_samp("p_partkey"), 3).alias("size"))
+    rows = parts.groupBy("p_type", "method", "fixed_size", "fixed_overlap").agg(B.rounded(F.avg("p_retailprice"), 4).alias("recall"), F.round(F.stddev_samp("p_partkey"), 3).alias("size"))
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("semantic_policy", "semantic_target_size", "semantic_min_size", "semantic_max_size", "semantic_overlap")})
     numbers = rows.withColumns({c: F.col(c).cast("double") for c in ("fixed_size", "fixed_overlap", "semantic_target_size", "semantic_overlap")}).withColumn("method", F.col("p_type"))
     labelled = rows.select("p_type", "fixed_size", "fixed_overlap", S.config_identity().alias("identity"), T.fixed_number(F.col("recall"), 4).alias("recall"), T.fixed_number(F.col("size"), 3).alias("size"))

@@ -299,3 +299,10 @@ def test_parsed_articles(spark):
     pages = [(1, f"<p>{long(3)}</p><h2>Life</h2><p>{long(4)}</p><h2>See also</h2><p>{long(5)}</p><h2>Short</h2><p>No.</p><h2>End</h2>{long(2)}"), (2, f"<p>{long(7)}</p>")]
     got = T.parsed_articles(spark.createDataFrame(pages, "page_id int, html string"), "html").collect()
     assert [r.page_id for r in got] == [1] and got[0].labels == [0, 0, 1, 0, 0, 0, 1, 0] and len(got[0].sentences) == 9
+
+
+def test_rounded_by_scaling(spark):
+    given = [938.9437499999999, 1004.7212499999998, -938.9437499999999, 0.49999999999999994e-4, 1e300, float("inf"), float("nan"), None, 12.0]
+    got = [r.x for r in spark.createDataFrame([(x,) for x in given], "x double").coalesce(1).select(B.rounded(F.col("x"), 4).alias("x")).collect()]
+    # The second one's ten thousandfold is 10047212.499999998 as a double.
+    assert got[:6] == [938.9438, 1004.7212, -938.9438, 0.0, 1e300, float("inf")] and got[6] != got[6] and got[7:] == [None, 12.0]
