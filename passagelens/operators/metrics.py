@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .order_statistics import percentiles
 
 
@@ -142,9 +143,13 @@ def policy_gradient(groups: DataFrame, n_samples: int, temperature: float = 1.0)
     weighs by it the log-probability of the ranking as far as the positive. A group is live if its samples disagree.
     """
     z = F.transform("s", lambda x: x / temperature)
-    drawn = groups.select("qid", "s", F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("j")).withColumn("order", sampled_ranking(F.col("s"), F.concat_ws(":", F.col("qid").cast("string"), F.col("j").cast("string")), temperature))
-    placed = drawn.withColumn("rank", F.array_position("order", 0).cast("int")).withColumn("log_prob", prefix_log_prob(F.transform("order", lambda i: F.get(z, i)), F.col("rank")))
-    each = placed.groupBy("qid").agg(F.collect_list(F.struct((1.0 / F.col("rank")).alias("reward"), "log_prob")).alias("x"))
+
+    def sample(order: Column) -> Column:
+        rank = F.array_position(order, 0).cast("int")
+        return F.struct((1.0 / rank).alias("reward"), prefix_log_prob(F.transform(order, lambda i: F.get(z, i)), rank).alias("log_prob"))
+
+    drawn = lambda j: bound(sampled_ranking(F.col("s"), F.concat_ws(":", F.col("qid").cast("string"), j.cast("string")), temperature), sample)
+    each = groups.select("qid", F.transform(F.sequence(F.lit(1), F.lit(n_samples)), drawn).alias("x"))  # a group's samples stay in its row
     total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x["reward"])
     advantage = lambda x: x["reward"] - (total - x["reward"]) / (n_samples - 1)
     mean = lambda f: F.aggregate("x", F.lit(0.0), lambda a, x: a + f(x)) / n_samples

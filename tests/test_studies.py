@@ -306,3 +306,10 @@ def test_rounded_by_scaling(spark):
     got = [r.x for r in spark.createDataFrame([(x,) for x in given], "x double").coalesce(1).select(B.rounded(F.col("x"), 4).alias("x")).collect()]
     # The second one's ten thousandfold is 10047212.499999998 as a double.
     assert got[:6] == [938.9438, 1004.7212, -938.9438, 0.0, 1e300, float("inf")] and got[6] != got[6] and got[7:] == [None, 12.0]
+
+
+def test_samples_stay_in_their_row(spark):
+    groups = spark.range(50).selectExpr("id AS qid", "array(0.5D, id / 50.0D, 0.1D) AS s")
+    got = M.policy_gradient(groups, 4)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # neither samples nor rewards are shuffled
+    assert all(r.live == (r.advantage > 0) and 1 / 3 <= r.reward <= 1 for r in got.collect()) and got.count() == 50
