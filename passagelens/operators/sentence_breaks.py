@@ -1,10 +1,9 @@
 """Sentence ends learned from a corpus without labels, after Kiss and Strunk: a period ends a sentence unless its word is an abbreviation, an initial or an
 ordinal number, which counts over the corpus tell; what follows these decides in a second pass.
 
-learn() reads the corpus twice: for how often each word stands with a period and without, from which the abbreviations follow, and, knowing these, for what
-follows ends of sentences, which words are found in upper and in lower case at which places, and which pairs stay together across a period. Both are groupings
-of a row a word, with partial sums where texts are read. break_sentences() looks up each distinct pair of a word with a period and the word after it, once; texts get only
-the places that are no ends.
+learn() reads the corpus once: all counts follow from how often each word stands behind a word with an end mark, behind which one, or elsewhere, which is one
+grouping with partial sums where texts are read; words are looked at once for each distinct one. break_sentences() looks up each distinct pair of a word with a
+period and the word after it, once; texts get only the places that are no ends.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound
 from ..sources.scratch import settled
 from .retrieval import hinted
 
@@ -38,13 +36,13 @@ class Breaks:
 
 def word_type(form: Column) -> Column:
     """A word's type: in lower case, without periods at its end; all numbers are one."""
-    bare = F.lower(F.regexp_replace(form, r"\.+$", ""))
-    return F.when(F.regexp_like(bare, F.lit(r"^-?[\d.,]*\d$")), NUMBER).otherwise(bare)
+    bare = F.lower(F.rtrim(form, F.lit(".")))
+    return F.when(F.right(bare, F.lit(1)).between("0", "9") & F.regexp_like(bare, F.lit(r"^-?[\d.,]*\d$")), NUMBER).otherwise(bare)
 
 
 def _ended(form: Column) -> Column:
     """Whether a word has a period, which an ellipsis is not."""
-    return F.regexp_like(form, F.lit(r"[\p{L}\p{N}]\.$"))
+    return F.endswith(form, F.lit(".")) & F.regexp_like(form, F.lit(r"[\p{L}\p{N}]\.$"))
 
 
 def _is_word(form: Column) -> Column:
@@ -83,31 +81,34 @@ def pair_likelihood(a: Column, b: Column, both: Column, n: Column) -> Column:
 
 def learn(texts: DataFrame, text: str = "text") -> Breaks:
     """From the non-null texts of a column."""
-    tokens = settled(texts.where(F.col(text).isNotNull()).select(F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0)).alias("w")))
-    forms = tokens.select(F.explode("w").alias("form"))
-    counts = settled(forms.groupBy(F.when(_is_word(F.col("form")), word_type(F.col("form"))).alias("type")).agg(F.count_if(_ended(F.col("form"))).alias("with_"), F.count_if(~_ended(F.col("form"))).alias("without")))
+    tokens = F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0))
+    # Each form with the one before it; "" stands before a text's first. Only forms with end marks are told apart there, so that there are few such pairs.
+    pairs = texts.where(F.col(text).isNotNull()).select(tokens.alias("w")).select(F.inline(F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("first"), F.col("w").alias("form")))).where("form IS NOT NULL")
+    marked = F.endswith("first", F.lit(".")) | F.col("first").isin("", "!", "?")
+    seen = pairs.groupBy(F.when(marked, F.col("first")).alias("first"), "form").agg(F.count(F.lit(1)).alias("n"))
+    seen = settled(seen.withColumns({"type": F.when(_is_word(F.col("form")), word_type(F.col("form"))), "with_": _ended(F.col("form"))}))
+    times = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    counts = settled(seen.groupBy("type").agg(times(F.col("with_")).alias("with_"), times(~F.col("with_")).alias("without")))
     periods, total = counts.agg(F.sum("with_"), F.sum(F.col("with_") + F.col("without"))).first()
     periods, total = float(periods or 0), float(total or 1)
     named = counts.where("type IS NOT NULL")
     score = abbreviation_score(F.col("with_"), F.col("without"), F.col("type"), periods, total)
     abbreviations = settled(named.where((F.col("with_") > 0) & F.regexp_like("type", F.lit(r"\p{L}")) & (score >= ABBREVIATION)).select("type"))
 
-    neighbours = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("first"), F.get("w", i).alias("form")))
-    rows = tokens.where(F.size("w") > 1).select(F.explode(neighbours).alias("x")).select("x.*")
     known = abbreviations.withColumn("abbreviated", F.lit(True))
+    rows = seen.where("type IS NOT NULL AND (first IS NULL OR first <> '')").withColumn("first", F.coalesce("first", F.lit("-")))  # "-" has no end mark and is no word
     before = F.when(_is_word(F.col("first")), word_type(F.col("first")))
-    rows = rows.withColumns({"before": before, "type": word_type(F.col("form")), "ended": _ended(F.col("first"))}).join(hinted(known.withColumnRenamed("type", "before")), "before", "left")
+    rows = rows.withColumns({"before": before, "ended": _ended(F.col("first"))}).join(hinted(known.withColumnRenamed("type", "before")), "before", "left")
     abbreviated, number_ = F.coalesce("abbreviated", F.lit(False)), (F.col("before") == NUMBER) | _is_initial(F.col("before"))
     is_end = F.col("first").isin("!", "?") | (F.col("ended") & ~abbreviated)
     open_ = (F.col("ended") & (abbreviated | number_)) | F.regexp_like("first", F.lit(r"\.{2,}$"))
     place = F.when(open_, "open").when(is_end, "first").otherwise("inside")
-    # One grouping gives what all later steps need: how often a pair of types meets, and how.
+    # How often a pair of types meets, and how, is all that later steps need.
     upper, lower = F.regexp_like("form", F.lit(r"^\p{Lu}")), F.regexp_like("form", F.lit(r"^\p{Ll}"))
     met = settled(
-        rows.where(_is_word(F.col("form")))
-        .withColumns({"place": place, "starts": F.col("ended") & ~abbreviated & ~F.coalesce(number_, F.lit(False)), "ties": F.col("ended") & F.coalesce(number_, F.lit(False))})
+        rows.withColumns({"place": place, "starts": F.col("ended") & ~abbreviated & ~F.coalesce(number_, F.lit(False)), "ties": F.col("ended") & F.coalesce(number_, F.lit(False))})
         .groupBy("type", F.when(F.col("ties"), F.col("before")).alias("first"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("starts").alias("starts"), F.bool_or(upper).alias("upper"), F.bool_or(upper & (F.col("place") == "inside")).alias("upper_inside"), F.bool_or(lower).alias("lower"), F.bool_or(lower & (F.col("place") == "first")).alias("lower_first"))
+        .agg(F.sum("n").alias("n"), times(F.col("starts")).alias("starts"), F.bool_or(upper).alias("upper"), F.bool_or(upper & (F.col("place") == "inside")).alias("upper_inside"), F.bool_or(lower).alias("lower"), F.bool_or(lower & (F.col("place") == "first")).alias("lower_first"))
     )
     cases = settled(met.groupBy("type").agg(F.sum("starts").alias("starts"), *(F.bool_or(c).alias(c) for c in ("upper", "upper_inside", "lower", "lower_first"))))
     ends = float(cases.agg(F.sum("starts")).first()[0] or 0)
@@ -128,8 +129,8 @@ def _parts(text: Column) -> Column:
 
 def no_breaks(pairs: DataFrame, model: Breaks) -> DataFrame:
     """Those of the pairs (before: a word with its end marks, after: the form that follows) where no sentence ends."""
-    type_ = word_type(F.regexp_replace("before", r"\.+$", ""))
-    rows = pairs.withColumns({"first": type_, "second": word_type(F.col("after")), "tail": F.regexp_extract(type_, r"[^-]*$", 0)})
+    type_ = word_type(F.col("before"))
+    rows = pairs.withColumns({"first": type_, "second": word_type(F.col("after")), "tail": F.substring_index(type_, "-", -1)})
     marked = lambda df, old, new, flag: hinted(df.select(F.col(old).alias(new)).withColumn(flag, F.lit(True)))
     rows = rows.join(marked(model.abbreviations, "type", "first", "whole"), "first", "left").join(marked(model.abbreviations, "type", "tail", "part"), "tail", "left")
     rows = rows.join(marked(model.starters, "type", "second", "starter"), "second", "left").join(hinted(model.pairs.withColumn("tied", F.lit(True))), ["first", "second"], "left")
@@ -151,20 +152,18 @@ def break_sentences(texts: DataFrame, model: Breaks, text: str = "text", out: st
     """texts with their sentences; null texts and blank ones have none. White space before the first sentence stays, that between sentences and at the end goes."""
     rows = settled(texts.withColumns({"_row": F.monotonically_increasing_id(), "_parts": _parts(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+$", ""))}))
 
-    def seam(p: Column, i: Column) -> Column:
-        last = F.regexp_extract(F.get(p, i - 1), rf"({_WORD})?([.!?]+){_CLOSING}$", 0)
-        return F.struct(i.alias("at"), F.regexp_replace(last, rf"{_CLOSING}$", "").alias("before"), F.regexp_extract(F.get(p, i), rf"^(?U:\s)+{_OPENING}({_WORD}\.*|\S)", 1).alias("after"))
+    def seam(at: Column, ended: Column, begun: Column) -> Column:
+        # Read from its end, a part's last word is matched at once; no blank stands in it.
+        last = F.regexp_extract(F.reverse(F.substring_index(ended, " ", -1)), rf"^{_CLOSING}([.!?]+({_WORD})?)", 1)
+        return F.struct(at.alias("at"), F.reverse(last).alias("before"), F.regexp_extract(begun, rf"^(?U:\s)+{_OPENING}({_WORD}\.*|\S)", 1).alias("after"))
 
-    seams = rows.where(F.size("_parts") > 1).select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: seam(F.col("_parts"), i))).alias("s")).select("_row", "s.*")
+    seams = rows.where(F.size("_parts") > 1).select("_row", F.posexplode(F.arrays_zip(F.col("_parts").alias("ended"), F.slice("_parts", F.lit(2), F.size("_parts") - 1).alias("begun"))).alias("at", "p")).where("p.begun IS NOT NULL")
+    seams = seams.select("_row", F.inline(F.array(seam(F.col("at") + 1, F.col("p.ended"), F.col("p.begun")))))
     seams = settled(seams.where(F.regexp_like("before", F.lit(r"[\p{L}\p{N}]\.+$")) | F.regexp_like("before", F.lit(r"^\.{2,}$"))))  # other marks always end a sentence
     stays = settled(no_breaks(seams.select("before", "after").distinct(), model))
     skipped = seams.join(hinted(stays), ["before", "after"]).groupBy("_row").agg(F.collect_set("at").alias("_skipped"))
     joined = rows.join(hinted(settled(skipped)), "_row", "left")
-
-    def put_together(p: Column) -> Column:
-        kept = lambda i: (i == 0) | F.coalesce(F.array_contains("_skipped", i), F.lit(False))
-        at = F.transform(p, lambda x, i: F.struct(x.alias("x"), (~kept(i)).alias("new")))
-        begun = F.aggregate(at, F.array().cast("array<string>"), lambda done, one: F.when(one["new"] | (F.size(done) == 0), F.concat(done, F.array(F.when(one["new"], F.regexp_replace(one["x"], r"^(?U)\s+", "")).otherwise(one["x"])))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), one["x"])))))
-        return F.filter(begun, lambda s: s != "")
-
-    return joined.withColumn(out, bound(F.col("_parts"), put_together)).select(*texts.columns, out)
+    # Parts that begin a sentence get a mark before them, which no part holds; the whole is then cut at these.
+    kept = lambda i: (i == 0) | F.coalesce(F.array_contains("_skipped", i), F.lit(False))
+    one = F.array_join(F.transform("_parts", lambda x, i: F.when(kept(i), x).otherwise(F.concat(F.lit("\x01"), F.regexp_replace(x, r"^(?U)\s+", "")))), "")
+    return joined.withColumn(out, F.filter(F.split(one, "\x01"), lambda s: s != "")).select(*texts.columns, out)

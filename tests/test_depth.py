@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -167,6 +168,18 @@ def test_breaks_follow_what_the_corpus_shows(spark, learnt):
     assert [r.sentences for r in sentence_breaks.break_sentences(spark.createDataFrame([("Oak elm. Ash fir.",)], "text string"), nothing).collect()] == [["Oak elm.", "Ash fir."]]
 
 
+def test_learning_keeps_no_row_a_token_and_long_words_cost_their_length(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(sentence_breaks, "settled", lambda df, by=None, f=sentence_breaks.settled: kept.append(f(df, by)) or kept[-1])
+    model = sentence_breaks.learn(spark.createDataFrame([(t,) for t in CORPUS * 50], "text string"))
+    n_tokens = sum(len(t.split()) for t in CORPUS)
+    assert all(kind != "array<string>" for table in kept for _, kind in table.dtypes) and max(t.count() for t in kept) < n_tokens
+    long = "x" * 200_000
+    began = time.time()
+    got = sentence_breaks.break_sentences(spark.createDataFrame([(f"{long} oak. Elm fir (Dr.) Ash. \"He.\" she",)], "text string"), model).first().sentences
+    assert got[:2] == [f"{long} oak.", "Elm fir (Dr.) Ash."] and time.time() - began < 30
+
+
 # Order statistics
 @pytest.mark.parametrize("few", [3, 10_000])
 def test_percentiles_equal_numpy(spark, few):
