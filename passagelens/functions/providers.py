@@ -3,6 +3,9 @@ about the quality of real models, which come in as columns of the same types."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +14,27 @@ from .text import bound, search_terms
 
 def hashed_vector(text: Column, dim: int = 16) -> Column:
     """Counts of a text's terms by hash, at unit length; all zero for a text without terms."""
+    if 16 % dim == 0:
+        return vector_of_digits(hashed_digits(text), dim)
     number = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10).cast("int") % dim
     counts = bound(F.transform(search_terms(text), number), lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))
+    return bound(counts, _unit)
+
+
+def hashed_digits(text: Column) -> Column:
+    """What decides hashed_vector() for a dim that divides 16: a hex digit a term, in a string. Texts put together with blanks have theirs put together."""
+    return F.array_join(F.transform(search_terms(text), lambda t: F.substring(F.md5(t.cast("binary")), 6, 1)), "")
+
+
+def vector_of_digits(digits: Column, dim: int = 16) -> Column:
+    times = lambda s, d: F.octet_length(s) - F.octet_length(F.replace(s, F.lit(d), F.lit("")))
+    counts = bound(digits, lambda s: F.array(*[reduce(add, (times(s, d) for d in "0123456789abcdef"[i::dim])).cast("double") for i in range(dim)]))
+    return bound(counts, _unit)
 
-    def unit(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return bound(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
-    return bound(counts, unit)
+def _unit(v: Column) -> Column:
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return bound(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
 
 def boundary_probs(sentences: Column, dim: int = 16) -> Column:
