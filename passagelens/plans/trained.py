@@ -95,15 +95,15 @@ def policy_ranker_training(spark, sf_dir):
 def chunker_policy_training(spark, sf_dir):
     """A policy over cuts, rewarded by where the answers of the items' pages rank: two steps, and their figures."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", T.long_sentences(F.col("text")).alias("sentences"))
-    docs = settled(docs.withColumn("vecs", F.transform("sentences", lambda s: P.hashed_vector(s, 16))))
+    docs = settled(docs.withColumn("digits", F.transform("sentences", P.hashed_digits)).withColumn("vecs", F.transform("digits", lambda d: P.vector_of_digits(d))))
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.normalize_text(F.col("text")).alias("answer"))
     pages = docs.select("doc_id", T.normalize_text(F.array_join("sentences", " ")).alias("page"))
     gold = containing_documents(pages, items).groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
     words = F.split("answer", " ")
     asked = settled(gold.join(items, "qid").select("qid", "doc_id", F.array_join(F.slice(words, 9, 6), " ").alias("answer"), P.hashed_vector(F.array_join(F.slice(words, 1, 8), " "), 16).alias("vec")))
-    cut = F.transform(F.sequence(F.lit(0), F.size("sentences") - 1, F.lit(6)), lambda p: F.array_join(F.slice("sentences", p + 1, 6), " "))
-    chunks = docs.where(F.size("sentences") > 0).select("doc_id", F.posexplode(cut).alias("pos", "text"))
-    chunks = settled(chunks.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("chunk_id"), "doc_id", P.hashed_vector(F.col("text"), 16).alias("vec")))
+    cut = F.transform(F.sequence(F.lit(0), F.size("sentences") - 1, F.lit(6)), lambda p: F.array_join(F.slice("digits", p + 1, 6), ""))
+    chunks = docs.where(F.size("sentences") > 0).select("doc_id", F.posexplode(cut).alias("pos", "digits"))
+    chunks = settled(chunks.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("chunk_id"), "doc_id", P.vector_of_digits(F.col("digits")).alias("vec")))
     model = SequenceModel(16, 6)
     state = train_chunker(docs, freeze(chunks, asked), lambda c: P.hashed_vector(c, 16), model, model.start(1), steps=2, rate=0.01)
     rows = [(int(r["step"]), round(r["reward_greedy"], 6), round(r["reward_sample"], 6), round(r["entropy"], 6)) for r in state.log]  # a row a step
