@@ -270,6 +270,8 @@ def reranked(pool: DataFrame, depths: list[int]) -> DataFrame:
 
 #: So many distinct answers are looked for at a time.
 ANSWERS = 100_000
+#: A task remembers what so many words hold.
+WORDS, _NONE = 100_000, frozenset()
 
 
 def _contexts(before: Column, word: Column, after: Column) -> list[Column]:
@@ -294,9 +296,10 @@ def answer_keys(pages: DataFrame, words: DataFrame) -> DataFrame:
 
 def candidate_pages(pages: DataFrame, keys: DataFrame) -> DataFrame:
     """doc_id, qid where the page has the answer's key at some place, once each."""
-    word = lambda i: F.get("w", i)
     rows = pages.select("doc_id", F.split("page", " ").alias("w")).where(F.size("w") >= 3)
-    places = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.struct(word(i - 1).alias("b"), word(i).alias("word"), word(i + 1).alias("a")))).alias("p")).select("doc_id", "p.*")
+    none = F.array(F.lit(None).cast("string"))
+    beside = F.arrays_zip(F.concat(none, "w").alias("b"), F.col("w").alias("word"), F.slice("w", F.lit(2), F.size("w") - 1).alias("a"))
+    places = rows.select("doc_id", F.inline(beside)).where("b IS NOT NULL AND a IS NOT NULL")
     held = places.join(hinted(settled(keys.select("word").distinct())), "word", "left_semi")  # a row a place only where an answer may be
     found = held.select("doc_id", F.explode(F.array(*_contexts(F.col("b"), F.col("word"), F.col("a")))).alias("key")).distinct()
     return found.join(hinted(settled(keys.select("qid", "key"))), "key").select("doc_id", "qid").distinct()
@@ -311,35 +314,52 @@ def containing_documents(pages: DataFrame, answers: DataFrame) -> DataFrame:
     """qid, doc_id where the page holds the answer. pages: doc_id, page; answers: qid, answer; both normalised. An empty answer is held by none.
 
     Answers of three words or more meet pages on their rarest inner word in its surroundings, and only the pairs that do are compared. Shorter answers
-    may lie within words: pages are read once for each group of at most about ANSWERS of them, all of which one automaton finds.
+    may lie within words: pages are read once for each group of at most about ANSWERS of them, all of which one automaton finds. Pages are made once and kept meanwhile;
+    they stay where they are unless more pairs meet than are broadcast.
     """
+    pages = settled(pages.select("doc_id", "page"))
     words = answers.where("answer <> ''").select("qid", "answer", F.split("answer", " ").alias("w"))
     keys = settled(answer_keys(pages, words))
     pairs = candidate_pages(pages, keys)
-    found = pairs.join(keys.select("qid", "answer"), "qid").join(pages, "doc_id").where(F.contains("page", F.col("answer"))).select("qid", "doc_id").distinct()
+    found = pages.join(hinted(settled(pairs.join(keys.select("qid", "answer"), "qid"))), "doc_id").where(F.contains("page", F.col("answer"))).select("qid", "doc_id").distinct()
 
     short = settled(words.where(F.size("w") < 3).select("qid", "answer"))
     asked = settled(short.select("answer").distinct())
     n_groups = -(-asked.count() // ANSWERS)
     for group in range(n_groups):
         own = [r.answer for r in asked.where(F.pmod(F.xxhash64("answer"), F.lit(n_groups)) == group).collect()]
-        found = found.unionByName(_within(pages, own).join(short, "answer").select("qid", "doc_id"))
+        found = found.unionByName(settled(_within(pages, own)).join(short, "answer").select("qid", "doc_id"))
     return found
 
 
 def _within(pages: DataFrame, answers: list[str]) -> DataFrame:
-    """doc_id, answer: which of the answers stand in each page, also within words."""
+    """doc_id, answer: which of the answers stand in each page, also within words.
+
+    Answers without a blank lie within one word: a task looks each distinct word up once, and remembers WORDS of them."""
     shared = pages.sparkSession.sparkContext.broadcast(answers)
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
+        inside, across = ahocorasick.Automaton(), ahocorasick.Automaton()
         for i, answer in enumerate(shared.value):
-            automaton.add_word(answer, i)
-        automaton.make_automaton()
+            (across if " " in answer else inside).add_word(answer, i)
+        inside.make_automaton()
+        across.make_automaton()
+        known: dict[str, set[int]] = {}
+
+        def of(page: str) -> set[int]:
+            found = {i for _, i in across.iter(page)} if len(across) else set()
+            for word in set(page.split(" ")) if len(inside) else ():
+                if (own := known.get(word)) is None:
+                    if len(known) >= WORDS:
+                        known.clear()
+                    own = known[word] = {i for _, i in inside.iter(word)} or _NONE
+                found |= own
+            return found
+
         for frame in frames:
-            held = [(d, i) for d, p in zip(frame.doc_id, frame.page) if isinstance(p, str) for i in {i for _, i in automaton.iter(p)}]
+            held = [(d, i) for d, p in zip(frame.doc_id, frame.page) if isinstance(p, str) for i in of(p)]
             if held:
                 yield pd.DataFrame({"doc_id": [d for d, _ in held], "answer": [shared.value[i] for _, i in held]})
 

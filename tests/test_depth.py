@@ -1,5 +1,6 @@
 """Stored indexes, block joins, sentence breaks, order statistics, score stores, wikitext and versions against plain Python."""
 
+import hashlib
 import math
 import random
 import re
@@ -11,9 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 from test_studies import SENTENCES
 
-from passagelens.functions import wikitext
-from passagelens.functions.text import parsed_articles
+from passagelens.functions import providers, wikitext
+from passagelens.functions.text import normalize_text, parsed_articles
 from passagelens.operators import inverted, order_statistics, reader_runs, retrieval, score_store, sentence_breaks, tables
+from passagelens.plans import sweep
 from passagelens.sources import readers, versions
 from passagelens.sources.scratch import settled
 
@@ -73,6 +75,55 @@ def test_many_queries_meet_rows_without_the_driver(spark, texts, monkeypatch):
     assert {tuple(r) for r in plan.collect()} == dense and len(dense) == 134 * 5
 
 
+def test_searches_run_in_small_batches(spark, texts):
+    chunks, queries = texts
+    assert "MapIn" not in retrieval.bm25_top_k(chunks, queries, 7)._jdf.queryExecution().toString()  # what runs later gets the session's large ones
+    rows = chunks.repartition(1).select("chunk_id", retrieval.hashed_terms(F.col("text")).alias("terms"))
+    wanted = rows.select(F.explode("terms").alias("term")).distinct().where("term % 3 = 0")
+    got = {r.chunk_id: (r.dl, dict(zip(r.terms, r.counts))) for r in retrieval.counted_terms(rows, wanted, ["chunk_id"]).collect()}
+    assert got == {r.chunk_id: (len(r.terms), Counter(t for t in r.terms if t % 3 == 0)) for r in rows.collect()}
+
+
+def reads(spark, frame):
+    """The rows of frame, and how many of them have been made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for one in frames:
+            made.add(len(one))
+            yield one
+
+    return frame.mapInPandas(seen, frame.schema), made
+
+
+def test_pages_are_made_once(spark):
+    pages, made = reads(spark, spark.createDataFrame([(d, f"the red tower of king {d} in spain") for d in range(40)], "doc_id long, page string"))
+    answers = spark.createDataFrame([(1, "red tower of king 7"), (2, "ower"), (3, "g 12"), (4, "none of these here"), (5, "9 in")], "qid long, answer string")
+    got = {(r.qid, r.doc_id) for r in retrieval.containing_documents(pages, answers).collect()}
+    assert got == {(1, 7), (3, 12)} | {(2, d) for d in range(40)} | {(5, d) for d in (9, 19, 29, 39)} and made.value == 40
+
+
+def test_chunk_tables_read_documents_once(spark):
+    docs, made = reads(spark, spark.createDataFrame([(d, ["One.", "Two.", "Three."]) for d in range(30)], "doc_id long, sentences array<string>"))
+    assert [r.chunk_id for r in sweep.fixed_chunk_table(docs, 2, 0).orderBy("doc_id", "chunk_id").collect()] == list(range(60)) and made.value == 30
+
+
+@pytest.mark.parametrize("dim", [16, 4, 10])
+def test_hashed_vectors_equal_plain_python(spark, dim):
+    rows = [(0, ["Oak elm, oak.", "Ash 12!"]), (1, ["...", ""]), (2, ["É x", "a b c d e f g h"])]
+    frame = spark.createDataFrame(rows, "i int, s array<string>")
+    got = frame.select("i", providers.hashed_vector(F.array_join("s", " "), dim).alias("v"), F.array_join(F.transform("s", lambda x: providers.hashed_digits(x)), "").alias("d"))
+    for r in got.withColumn("of_digits", providers.vector_of_digits(F.col("d"), dim) if 16 % dim == 0 else F.col("v")).collect():
+        counts = Counter(int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % dim for t in re.findall("[a-z0-9]+", " ".join(rows[r.i][1]).lower()))
+        norm = math.sqrt(sum(n * n for n in counts.values()))
+        assert r.v == r.of_digits == [counts[k] / norm if norm else 0.0 for k in range(dim)]
+
+
+def test_normalised_text_has_single_blanks(spark):
+    text = "\t A  b\u00a0c\u2003 \x1cd \ne f\r\n"
+    assert spark.range(1).select(normalize_text(F.lit(text))).first()[0] == " ".join(text.split()).lower()
+
+
 # Answers by their rarest inner word
 def test_answers_in_pages(spark):
     rng = random.Random(3)
