@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +113,7 @@ def _over_all(rows: DataFrame, queries: DataFrame, blocks_of, score, k: int) ->
         found = _top_k(rows, blocks_of(queries.toPandas()), score, k)
     else:
         found = _meeting(rows.withColumn("corpus", F.lit(0)), queries.withColumn("corpus", F.lit(0)), blocks_of, score, k, n).drop("corpus")
+    found = settled(found)  # in small batches: what a worker holds doesn't grow with its rows
     return ranked(found, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")]).select("qid", "rank", "chunk_id", "score")
 
 
@@ -121,11 +123,13 @@ def counted_terms(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFr
     known = np.sort(wanted.toPandas().term.to_numpy(np.int64)) if n <= 20 * BROADCAST_ROWS else None  # beyond that all terms stay
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sizes = frame.terms.str.len().to_numpy(np.int64)
-            flat = np.concatenate([*frame.terms, np.zeros(0, np.int64)]).astype(np.int64)
-            row = np.repeat(np.arange(len(frame)), sizes)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # as flat arrays: no object a row
+            lists = batch.column("terms")
+            begin = lists.offsets.to_numpy()
+            sizes = np.diff(begin).astype(np.int64)
+            flat = lists.values.to_numpy(zero_copy_only=False)[begin[0] : begin[-1]]
+            row = np.repeat(np.arange(len(sizes)), sizes)
             if (terms := shared.value) is not None:
                 at = np.searchsorted(terms, flat)
                 held = np.zeros(len(flat), bool) if not len(terms) else terms[np.minimum(at, len(terms) - 1)] == flat
@@ -134,11 +138,12 @@ def counted_terms(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFr
             flat, row = flat[order], row[order]
             first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])) if len(flat) else np.zeros(0, np.int64)
             counts = np.diff(np.append(first, len(flat))).astype(np.int32)
-            cut = np.searchsorted(row[first], np.arange(1, len(frame)))
-            yield pd.DataFrame({**{c: frame[c].to_numpy() for c in keys}, "dl": sizes, "terms": np.split(flat[first], cut), "counts": np.split(counts, cut)})
+            cut = pa.array(np.searchsorted(row[first], np.arange(len(sizes) + 1)).astype(np.int32))
+            columns = [pa.array(sizes), pa.ListArray.from_arrays(cut, pa.array(flat[first])), pa.ListArray.from_arrays(cut, pa.array(counts))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *columns], [*keys, "dl", "terms", "counts"])
 
     kinds = dict(rows.dtypes)
-    return rows.select(*keys, "terms").mapInPandas(count, f"{', '.join(f'{c} {kinds[c]}' for c in keys)}, dl long, terms array<long>, counts array<int>")
+    return rows.select(*keys, "terms").mapInArrow(count, f"{', '.join(f'{c} {kinds[c]}' for c in keys)}, dl long, terms array<long>, counts array<int>")
 
 
 def hashed_terms(text: Column) -> Column:
